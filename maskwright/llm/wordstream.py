@@ -18,6 +18,9 @@ BLOCK_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: For matching that ignores punctuation: all ASCII characters but letters and digits stand between words.
+PUNCTUATION = np.zeros(256, bool)
+PUNCTUATION[:128] = [not chr(i).isalnum() for i in range(128)]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -80,10 +83,10 @@ def lowered(data: np.ndarray) -> np.ndarray:
 class Words:
     """The words of the texts of one block: byte ranges, and for each text its range of words."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray):
+    def __init__(self, data: np.ndarray, off: np.ndarray, between: np.ndarray = _SPACE):
         self.data = data = data[off[0] : off[-1]]
         off = off - off[0]
-        solid = ~_SPACE[data]
+        solid = ~between[data]
         cut = np.zeros(len(data) + 1, bool)
         cut[off] = True
         before = np.empty(len(data), bool)
