@@ -21,9 +21,10 @@ class SortedRuns:
         return rows.groupBy(self.key).agg(*[how.alias(name) for name, how in self.merge.items()])
 
     def _write(self, rows: DataFrame) -> str:
-        # The aggregation has dealt the rows by key. Parquet keeps a Bloom filter on the key for each row group.
+        # The aggregation has dealt the rows by key. Parquet keeps a Bloom filter on the key for each row group, as large as its rows need.
         path = f"{self.path}/run-{self._written:06d}"
-        rows.sortWithinPartitions(self.key).write.option(f"parquet.bloom.filter.enabled#{self.key}", "true").option(f"parquet.bloom.filter.expected.ndv#{self.key}", "1000000").parquet(path)
+        bloom = {f"parquet.bloom.filter.enabled#{self.key}": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+        rows.sortWithinPartitions(self.key).write.options(**bloom).parquet(path)
         self._written += 1
         return path
 
