@@ -1,6 +1,71 @@
-STAGES = []
+"""A corpus pipeline: low quality, copies, near copies and benchmark items go, and the sources of what is left are mixed.
+
+Ids are taken to be unique, but for rows repeated with id and text, of which one stays. Every stage works on all rows of its input.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from maskwright.llm.decontaminate import contaminated
+from maskwright.llm.exact_dedup import exact_dedup
+from maskwright.llm.filters import drop_listed, only_listed
+from maskwright.llm.mixing import mix
+from maskwright.llm.quality import score_quality
+from maskwright.llm.simhash import simhash_groups
+from maskwright.llm.storage import materialize
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    scored = score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.where("predicted = 1").select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest id."""
+    keys = ["_id", "_text"]
+    groups = materialize(exact_dedup(docs, keep=F.max), "copies").select(F.xxhash64("doc_id").alias("_id"), F.col("text_sha256").alias("_text"), "kept")
+    keyed = docs.withColumns({"_id": F.xxhash64("doc_id"), "_text": F.sha2(F.coalesce("text", F.lit("")), 256)})
+    rest = drop_listed(keyed, groups.where(~F.col("kept")), keys)
+    again = materialize(groups.where("kept").groupBy(*keys).count().where("count > 1"), "repeated")
+    once = only_listed(rest, again, keys).join(again, keys, "left_semi").dropDuplicates(keys)
+    return drop_listed(rest, again, keys).unionByName(once).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked fingerprints the document with the smallest id."""
+    others = simhash_groups(docs).where(F.col("doc_id") != F.col("component_id")).select("doc_id")
+    return drop_listed(docs, materialize(others, "near-copies"), ["doc_id"]).select(*docs.columns)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return drop_listed(docs, materialize(found, "contaminated"), ["doc_id"]).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix, with the words that it takes of each."""
+    return mix(docs).where("taken > 0")
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("exact dedup", drop_copies),
+    ("simhash near-dedup", drop_near_copies),
+    ("benchmark decontamination", drop_benchmark),
+    ("source mixing", mix_sources),
+]
+
+#: A classifier that is trained and groups of fingerprints can't be written as SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn over the documents in ``sf_dir``; what each leaves is written before the next one reads it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

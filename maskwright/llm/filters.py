@@ -9,10 +9,23 @@ from pyspark.sql import functions as F
 BUCKETS = 1024
 
 
-def only_listed(rows: DataFrame, listed: DataFrame, keys: list[str], buckets: int = BUCKETS) -> DataFrame:
-    """The rows whose ``keys`` are in ``listed``, and by chance some others; a join on the keys has to follow. Many keys let more others through."""
+def _marked(rows: DataFrame, listed: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    """The rows with ``_maybe``: whether their keys can be in ``listed``."""
     spot = F.pmod(F.xxhash64(*keys), F.lit(buckets * 32768))
     place, bit = F.bitmap_bucket_number(spot), F.bitmap_bit_position(spot)
     bitmaps = listed.select(place.alias("_place"), bit.alias("_bit")).groupBy("_place").agg(F.bitmap_construct_agg("_bit").alias("_bitmap"))
     byte = F.conv(F.hex(F.substring("_bitmap", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return rows.join(F.broadcast(bitmaps), place == F.col("_place")).where(F.getbit(byte, (bit % 8).cast("int")) == 1).drop("_place", "_bitmap")
+    maybe = F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
+    return rows.join(F.broadcast(bitmaps), place == F.col("_place"), "left").withColumn("_maybe", maybe).drop("_place", "_bitmap")
+
+
+def only_listed(rows: DataFrame, listed: DataFrame, keys: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """The rows whose ``keys`` are in ``listed``, and by chance some others; a join on the keys has to follow. Many keys let more others through."""
+    return _marked(rows, listed, keys, buckets).where("_maybe").drop("_maybe")
+
+
+def drop_listed(rows: DataFrame, listed: DataFrame, keys: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """The rows whose ``keys`` are not in ``listed``, exactly; null keys are never listed. Only rows that can be listed are shuffled."""
+    marked = _marked(rows, listed, keys, buckets)
+    certain = marked.where(~F.col("_maybe")).drop("_maybe")
+    return certain.unionByName(marked.where("_maybe").drop("_maybe").join(listed.select(*keys), keys, "left_anti"))
