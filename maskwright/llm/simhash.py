@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .filters import only_listed
 from .storage import materialize
 from .wordstream import Words, blocks, joined_words, lowered, utf8
 from .xxh64 import xxh64_slices
@@ -110,7 +111,7 @@ def links(fps: DataFrame, distance: int = 4, dense: int = 512) -> DataFrame:
     # Fingerprints that agree in the half all meet in the bucket of its own value; the other 32 have nothing to add.
     useful = half_varies | (half == F.col("key").bitwiseAND(F.lit(_LOW)))
     buckets = materialize(seen.where((F.col("n") >= 2) & useful).select("key", "n", "least", vary.alias("vary")), "buckets")
-    members = materialize(keyed.join(buckets, "key"), "members")
+    members = materialize(only_listed(keyed, buckets, ["key"]).join(buckets, "key"), "members")
     small = members.where(F.col("n") <= dense).groupBy("key").agg(F.collect_list("fp").alias("fps")).select("fps")
     near = small.mapInArrow(lambda batches: _near(batches, distance), "a bigint, b bigint")
     large = members.where(F.col("n") > dense)
