@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import materialize
+
 #: A maximal run of characters outside space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Ranges of the random key within one source; a power of 16, so that a range is a prefix of the hexadecimal key.
@@ -57,7 +59,8 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (1, 2, 3)
     """
     key = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 256)
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), key.alias("key"))
-    sized = sized.withColumn("cell", F.substring("key", 1, KEY_DIGITS))
+    # Written, so that the texts are read once for the sums and the documents.
+    sized = materialize(sized.withColumn("cell", F.substring("key", 1, KEY_DIGITS)), "sized")
     cells = sized.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
     before = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cells.withColumn("offset", F.coalesce(F.sum("cell_size").over(before), F.lit(0))).drop("cell_size")
