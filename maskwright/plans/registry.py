@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import detection, tables
+from . import artifacts, detection, tables
 
-_MODULES = [detection, tables]
+_MODULES = [detection, tables, artifacts]
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
