@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from math import log
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -84,7 +85,7 @@ class RuleModel:
 
 
 def fit_rules(sample: DataFrame, trees: int = 20, depth: int = 3, penalty: float = 0.002, seed: int = 7) -> RuleModel:
-    """Fits on ``sample`` (text, label 0/1), which has to be small: it goes to one partition, so that reruns agree. With one label only, or none, the score is constant."""
+    """Fits on ``sample`` (text, label 0/1), which has to be small: it goes to one partition, so that reruns agree. With one label only, none, or nothing that tells them apart, the score is constant."""
     stats = statistics(F.col("text"))
     rows = materialize(sample.select("doc_id", "label", *[c.alias(n) for n, c in stats.items()]).coalesce(1).sortWithinPartitions("doc_id", *stats), "statistics")
     n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
@@ -94,6 +95,8 @@ def fit_rules(sample: DataFrame, trees: int = 20, depth: int = 3, penalty: float
     vectors = VectorAssembler(inputCols=names, outputCol="features").transform(rows.coalesce(1))
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, featureSubsetStrategy="onethird", minInstancesPerNode=3, seed=seed).setLabelCol("label").fit(vectors)
     rules = rules_of(forest.toDebugString, names)
+    if not rules:
+        return RuleModel(log(ones / (n - ones)), ())
     marked = rows.coalesce(1).select("label", *[r.column().cast("double").alias(f"r{i}") for i, r in enumerate(rules)])
     lasso = LogisticRegression(labelCol="label", elasticNetParam=1.0, regParam=penalty, maxIter=100, standardization=False)
     fitted = lasso.fit(VectorAssembler(inputCols=[f"r{i}" for i in range(len(rules))], outputCol="features").transform(marked).select("label", "features"))
