@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from math import sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -13,10 +15,18 @@ from pyspark.sql import functions as F
 
 from .labelled import fold, labelled_sample
 from .storage import materialize
-from .wordstream import _powers, blocks, lowered, mix, utf8
+from .wordstream import Words, _powers, blocks, lowered, mix, utf8
 
 
-def _ngrams(data: np.ndarray, off: np.ndarray, sizes: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+@dataclass(frozen=True)
+class Sizes:
+    """Lengths of the n-grams that start anywhere, and of those that start where a word does."""
+
+    anywhere: tuple[int, ...] = (4, 5)
+    at_words: tuple[int, ...] = (6, 8)
+
+
+def _ngrams(data: np.ndarray, off: np.ndarray, sizes: Sizes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each size, row and 64-bit hash of each n-gram of characters (A-Z lower-cased) within a text of the block."""
     text = lowered(data[off[0] : off[-1]])
     n = len(text)
@@ -26,12 +36,14 @@ def _ngrams(data: np.ndarray, off: np.ndarray, sizes: tuple[int, ...]) -> Iterat
     heads = np.append(np.flatnonzero((text & 0xC0) != 0x80), n)
     first = np.searchsorted(heads, off - off[0])
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    for size in sizes:
-        at = np.flatnonzero(np.arange(len(row)) + size <= first[1:][row])
-        yield row[at], mix((total[heads[at + size]] - total[heads[at]]) * down[heads[at]] + np.uint64(size))
+    words = np.searchsorted(heads, Words(text, off - off[0]).start)
+    for starts, some, mark in ((np.arange(len(row)), sizes.anywhere, 0), (words, sizes.at_words, 1 << 32)):
+        for size in some:
+            at = starts[starts + size <= first[1:][row[starts]]]
+            yield row[at], mix((total[heads[at + size]] - total[heads[at]]) * down[heads[at]] + np.uint64(size + mark))
 
 
-def _counts(sample: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
+def _counts(sample: DataFrame, sizes: Sizes) -> DataFrame:
     """(h, toxic, clean): how many of the texts with each label have each n-gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,7 +69,7 @@ def _counts(sample: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
 class Features:
     """The chosen n-grams, sorted by hash."""
 
-    def __init__(self, hashes: np.ndarray, sizes: tuple[int, ...]):
+    def __init__(self, hashes: np.ndarray, sizes: Sizes):
         self.hashes, self.sizes = hashes, sizes
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[hashes & np.uint64((1 << 20) - 1)] = True
@@ -76,7 +88,7 @@ class Features:
         return both // (len(self.hashes) or 1), both % (len(self.hashes) or 1)
 
 
-def fit(sample: DataFrame, sizes: tuple[int, ...] = (4, 5), min_texts: int = 3, min_ratio: float = 1.0, max_features: int = 30_000, penalty: float = 0.001) -> tuple[Features, np.ndarray, float]:
+def fit(sample: DataFrame, sizes: Sizes = Sizes(), min_texts: int = 3, min_ratio: float = 1.0, max_features: int = 30_000, penalty: float = 0.0003) -> tuple[Features, np.ndarray, float]:
     """Features, their weights (ratio times coefficient) and the intercept, from ``sample`` (text, label 0/1), which has to be small.
 
     An n-gram is a feature if at least ``min_texts`` texts have it and its log-count ratio is at least ``min_ratio`` away from zero; ``max_features`` with the largest ratios at most.
@@ -107,9 +119,11 @@ def fit(sample: DataFrame, sizes: tuple[int, ...] = (4, 5), min_texts: int = 3,
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.ListArray.from_arrays(pa.array(bounds), pa.array(place.astype(np.int32)))], ["label", "places"])
 
     vector = F.udf(lambda places: Vectors.sparse(len(r), places, r[places]), VectorUDT())
-    rows = sample.mapInArrow(listed, "label int, places array<int>").select("label", vector("places").alias("features"))
+    # The rarer label weighs more, by the root of its share: half-way between the sample's shares and equal ones.
+    weight = F.when(F.col("label") == 1, sqrt((sums["n"] - sums["ones"]) / sums["ones"])).otherwise(1.0)
+    rows = sample.mapInArrow(listed, "label int, places array<int>").select("label", weight.alias("weight"), vector("places").alias("features"))
     rows = materialize(rows, "vectors")
-    model = LogisticRegression(labelCol="label", regParam=penalty, maxIter=50, standardization=False).fit(rows)
+    model = LogisticRegression(labelCol="label", weightCol="weight", regParam=penalty, maxIter=60, standardization=False).fit(rows)
     return features, model.coefficients.toArray() * r, float(model.intercept)
 
 
