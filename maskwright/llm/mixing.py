@@ -21,7 +21,7 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs:
     """``totals`` has a row per source (source, source_size); adds ``target``.
 
     Sources in code point order, null last, have the weights in turn and share all words by weight, up to ``max_epochs`` times their own size;
-    the excess goes to the others by weight. As a target stops when the common share per unit of weight passes source_size *
+    the excess goes to the others by weight. There is one row per source, so the windows over all of them are small. As a target stops when the common share per unit of weight passes source_size *
     max_epochs / weight, the stopped sources are the first ones in that order, and prefix sums give the share of the others.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
@@ -41,8 +41,8 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs:
     share = (F.col("all_size") - max_epochs * F.col("size_before")) / (F.col("all_weight") - F.col("weight_before"))
     ranked = ranked.withColumn("share", share)
     # The first source that its share does not stop, and its share: the one that holds for all from there on.
-    free = ranked.where(F.col("share") * F.col("weight") <= max_epochs * F.col("source_size")).agg(F.min(F.struct("nth", "share")).alias("free"))
-    return ranked.crossJoin(F.broadcast(free)).select(
+    free = F.min(F.when(F.col("share") * F.col("weight") <= max_epochs * F.col("source_size"), F.struct("nth", "share"))).over(everything)
+    return ranked.withColumn("free", free).select(
         "source", "source_size",
         F.when(F.col("nth") >= F.col("free.nth"), F.col("free.share") * F.col("weight")).otherwise((max_epochs * F.col("source_size")).cast("double")).alias("target"),
     )
