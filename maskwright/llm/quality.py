@@ -19,28 +19,37 @@ from .labelled import fold, labelled_sample
 from .storage import materialize
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a text, all zero for an empty one. Shares are of characters or of words."""
+def counts(text: Column) -> dict[str, Column]:
+    """What is counted in a text, each in one pass over it."""
     count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("double")
-    chars = F.greatest(F.length(text), F.lit(1)).cast("double")
-    solid = F.length(F.translate(text, " \t\n\r\f\v", "")).cast("double")
-    words = count(r"\S+")
-    some = F.greatest(words, F.lit(1.0))
-    distinct = F.size(F.array_distinct(F.split(text, r"\s+"))).cast("double")
     return {
-        "words": words,
-        "word_length": solid / some,
-        "upper": count(r"\p{Lu}") / chars,
-        "symbols": count(r"[^\p{L}\p{N}\s]") / chars,
-        "digits": count(r"\p{N}") / chars,
-        "distinct": F.when(words > 0, distinct / some).otherwise(0.0),
-        "repeated": count(r"(?<!\S)(\S++)(?=\s+\1(?!\S))") / some,
-        "short": count(r"(?<!\S)\S{1,3}(?!\S)") / some,
-        "stops": count(r"[.,;:?](?!\S)") / some,
-        "lines": count(r"\n") / some,
+        "n_chars": F.length(text).cast("double"),
+        "n_solid": F.length(F.regexp_replace(text, r"\s+", "")).cast("double"),
+        "n_words": count(r"\S+"),
+        "n_distinct": F.size(F.array_distinct(F.split(text, r"\s+"))).cast("double"),
+        "n_upper": count(r"\p{Lu}"),
+        "n_symbols": count(r"[^\p{L}\p{N}\s]"),
+        "n_digits": count(r"\p{N}"),
+        "n_repeated": count(r"(?<!\S)(\S++)(?=\s+\1(?!\S))"),
+        "n_stops": count(r"[.,;:?](?!\S)"),
+        "n_lines": (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("double"),
     }
 
 
+def statistics(prefix: str = "") -> dict[str, Column]:
+    """Statistics from the columns of ``counts``, all zero for an empty text. Shares are of characters or of words."""
+    n = lambda name: F.col(f"{prefix}n_{name}")
+    chars, words = F.greatest(n("chars"), F.lit(1.0)), F.greatest(n("words"), F.lit(1.0))
+    shares = {"upper": chars, "symbols": chars, "digits": chars, "repeated": words, "stops": words, "lines": words}
+    return {"words": n("words"), "word_length": n("solid") / words, "distinct": F.when(n("words") > 0, n("distinct") / words).otherwise(0.0), **{name: n(name) / of for name, of in shares.items()}}
+
+
+def with_statistics(docs: DataFrame, text: Column, prefix: str = "") -> DataFrame:
+    """Adds the statistics. A generator holds the counts, so that the optimizer does not put them in place of their names and count once for each rule."""
+    counted = docs.withColumn(f"{prefix}text", text).select(*docs.columns, F.inline(F.array(F.struct(*[c.alias(f"{prefix}{name}") for name, c in counts(F.col(f"{prefix}text")).items()]))))
+    return counted.select(*docs.columns, *[c.alias(f"{prefix}{name}") for name, c in statistics(prefix).items()])
+
+
 @dataclass(frozen=True)
 class Rule:
     """A conjunction of bounds (statistic, at most, bound): statistic <= bound, or > bound."""
@@ -85,9 +94,10 @@ class RuleModel:
 
 
 def fit_rules(sample: DataFrame, trees: int = 20, depth: int = 3, penalty: float = 0.002, seed: int = 7) -> RuleModel:
-    """Fits on ``sample`` (text, label 0/1), which has to be small: it goes to one partition, so that reruns agree. With one label only, none, or nothing that tells them apart, the score is constant."""
-    stats = statistics(F.col("text"))
-    rows = materialize(sample.select("doc_id", "label", *[c.alias(n) for n, c in stats.items()]).coalesce(1).sortWithinPartitions("doc_id", *stats), "statistics")
+    """Fits on ``sample`` (doc_id, text, label 0/1), which has to be small: its statistics are made where its texts lie, and then go to one partition, so that reruns agree. With one label only, none, or nothing that tells them apart, the score is constant."""
+    stats = statistics()
+    rows = materialize(with_statistics(sample, F.col("text")).drop("text"), "statistics")
+    rows = materialize(rows.coalesce(1).sortWithinPartitions("doc_id", *stats), "sorted-statistics")
     n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if ones in (0, n):
         return RuleModel(0.0 if n == 0 else 4.0 if ones else -4.0, ())
@@ -111,10 +121,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int]
     held out; repeated rows score alike; without labels the score is 0.5.
     """
     parts, out = held_out
-    # Word characters, sentence stops and the like are counted over the whole text, however long it is.
     model = fit_rules(labelled_sample(docs, labels, "quality", fold("doc_id", parts) != out, max_rows, id_col, text_col))
-    stats = {f"_{n}": c for n, c in statistics(F.coalesce(F.col(text_col), F.lit(""))).items()}
-    renamed = RuleModel(model.intercept, tuple((Rule(tuple((f"_{n}", a, b) for n, a, b in r.bounds)), w) for r, w in model.weights))
+    renamed = RuleModel(model.intercept, tuple((Rule(tuple((f"_stat_{n}", a, b) for n, a, b in r.bounds)), w) for r, w in model.weights))
     kept = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
-    scored = docs.select(*kept, *[c.alias(n) for n, c in stats.items()]).withColumn("score", renamed.score())
+    scored = with_statistics(docs.select(*kept), F.coalesce(F.col(text_col), F.lit("")), "_stat_").withColumn("score", renamed.score())
     return scored.select(*kept, F.coalesce(fold(id_col, parts) == out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

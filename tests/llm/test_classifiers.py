@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from maskwright.llm import html_text as H
-from maskwright.llm.quality import rules_of, score_quality, statistics
+from maskwright.llm.quality import rules_of, score_quality, with_statistics
 from maskwright.llm.toxicity import score_toxicity
 
 SF = "/root/testdata/sf0.01"
@@ -67,7 +67,7 @@ def test_small_models_score_edges(spark):
 
 
 def test_statistics_and_rules(spark):
-    row = spark.createDataFrame([("Aa bb bb bb, c\nÉ|",)], "t string").select(*[c.alias(n) for n, c in statistics(F.col("t")).items()]).first()
+    row = with_statistics(spark.createDataFrame([("Aa bb bb bb, c\nÉ|",)], "t string"), F.col("t")).first()
     assert row["words"] == 6 and row["repeated"] == pytest.approx(1 / 6) and row["lines"] == pytest.approx(1 / 6) and row["upper"] == pytest.approx(2 / 17)
     text = " Tree 0 (weight 1.0):\n  If (feature 0 <= 1.5)\n   Predict: 0.0\n  Else (feature 0 > 1.5)\n   If (feature 1 <= 0.25)\n    Predict: 1.0\n   Else (feature 1 > 0.25)\n    Predict: 0.0\n"
     assert [r.bounds for r in rules_of(text, ["a", "b"])] == [(("a", True, 1.5),), (("a", False, 1.5),), (("a", False, 1.5), ("b", True, 0.25)), (("a", False, 1.5), ("b", False, 0.25))]
