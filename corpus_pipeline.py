@@ -12,8 +12,8 @@ from maskwright.llm.decontaminate import contaminated
 from maskwright.llm.exact_dedup import exact_dedup
 from maskwright.llm.filters import drop_listed, only_listed
 from maskwright.llm.mixing import mix
+from maskwright.llm.near_copies import near_copies
 from maskwright.llm.quality import score_quality
-from maskwright.llm.simhash import simhash_groups
 from maskwright.llm.storage import materialize
 
 
@@ -35,8 +35,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest id."""
-    others = simhash_groups(docs).where(F.col("doc_id") != F.col("component_id")).select("doc_id")
+    """Of each group of documents linked by at least 0.8 of their five-word shingles the one with the smallest id."""
+    others = near_copies(docs, k=5, share=0.8).where(F.col("node") != F.col("component")).select(F.col("node").alias("doc_id"))
     return drop_listed(docs, materialize(others, "near-copies"), ["doc_id"]).select(*docs.columns)
 
 
@@ -54,12 +54,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", keep_quality),
     ("exact dedup", drop_copies),
-    ("simhash near-dedup", drop_near_copies),
+    ("near-dedup", drop_near_copies),
     ("benchmark decontamination", drop_benchmark),
     ("source mixing", mix_sources),
 ]
 
-#: A classifier that is trained and groups of fingerprints can't be written as SQL.
+#: A classifier that is trained and groups of near copies can't be written as SQL.
 ORACLE_SQL = None
 
 

@@ -17,6 +17,7 @@ from maskwright.llm import simhash
 from maskwright.llm.components import connected_components
 from maskwright.llm.exact_dedup import exact_dedup
 from maskwright.llm.filters import drop_listed, only_listed
+from maskwright.llm.near_copies import near_copies
 from maskwright.llm.sorted_runs import SortedRuns
 from maskwright.llm.substring_dedup import remove_repeats
 from maskwright.llm.wordstream import Words, blocks, sliding_min, utf8
@@ -189,3 +190,39 @@ def test_components(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 200), (None, 3)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(path, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def _shingle_set(text, k=5):
+    w = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").split()
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or {tuple(w)}
+
+
+@pytest.mark.parametrize("stage", [True, False])
+def test_near_copies(spark, stage):
+    """The groups of all pairs at 0.8 or more, as brute force finds them, with few of them within four bits of a fingerprint."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    rows = [(1000, None), (1001, " "), (1002, "One two"), (1003, "one TWO"), (1004, "one two three")]
+    for base in range(12):
+        words = [f"w{base}x{rng.randrange(400)}" for _ in range(rng.choice([40, 120, 300]))]
+        for _ in range(8):
+            copy = list(words)
+            for _ in range(rng.randrange(0, len(words) // 25 + 1)):
+                copy[rng.randrange(len(copy))] = f"n{rng.randrange(10000)}"
+            rows.append((len(rows), " ".join(copy)))
+    sets = {d: _shingle_set(t) for d, t in rows}
+    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    label = {d: d for d in sets}
+    for _ in sets:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    prints = {d: _brute_fingerprint(t) for d, t in rows}
+    assert sum(bin(prints[a] ^ prints[b]).count("1") > 4 for a, b in pairs) > len(pairs) / 3
+    docs = _docs(spark, [*rows, (None, rows[9][1])])
+    if stage:
+        left = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+        assert left == {None, *label.values()}
+    else:
+        got = {r["node"]: r["component"] for r in near_copies(docs.where("doc_id is not null"), rounds=1).collect()}
+        assert {d: got.get(d, d) for d in label} == label
