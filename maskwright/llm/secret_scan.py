@@ -1,6 +1,6 @@
-"""Secrets in text, and how many owners each candidate value has across the corpus.
+"""Secrets in text, and how many owners and documents each candidate value has across the corpus.
 
-A value that many owners have is an example that was copied; one that a single owner has, and that looks random, is likely live.
+A value that many owners or many documents have is an example that was copied; one that a single owner has in few documents, and that looks random, is likely live.
 """
 
 from __future__ import annotations
@@ -30,12 +30,12 @@ def _listed(rows: Column, names: list[str]) -> Column:
     return F.array_join(F.transform(rows, lambda x: F.concat_ws(":", F.element_at(name, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", wide: int = 5) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", wide: int = 5, many: int = 20) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_assign, n_access, n_hex, base (the spans of these kinds), spans (with those that the corpus adds), n_live, n_example.
 
     Matches are leftmost and do not overlap within a kind; then those with too short a value are dropped. Spans are of whole matches, in code points, the end exclusive,
-    by start and then kind. Each value is counted over the corpus, by owner and document (the repository): a value of ``wide`` or more owners is an example, one of
-    a single owner that looks random is live. A long run of token characters that overlaps no base span is added if it is live. Null and empty texts have no
+    by start and then kind. Each value is counted over the corpus, by owner and document (the repository): a value of ``wide`` or more owners, or of ``many`` or more
+    documents, is an example; one of a single owner and fewer documents that looks random is live. A long run of token characters that overlaps no base span is added if it is live. Null and empty texts have no
     spans, a null owner is an owner, repeated rows are each kept and count as one document, an empty table gives no rows, other columns are ignored.
     """
     kinds = [*BASE, OPAQUE]
@@ -48,10 +48,11 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     least = F.element_at(F.array(*[F.lit(k[3]) for k in kinds]), F.col("kind") + 1)
     spans = raw.withColumn("start", start).withColumn("end", F.col("start") + F.col("size")).where(F.length("value") >= least)
     spans = spans.select("k1", "k2", "owner", "kind", "start", "end", "value", F.sha2("value", 256).alias("hash"))
-    # By owner first, so that a value found everywhere is a few rows for each task before it is shuffled.
-    owned = spans.groupBy("hash", "owner").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count("*").alias("owners"))
+    # By document and owner first, so that a value found everywhere is a few rows for each task before it is shuffled.
+    placed = spans.groupBy("hash", "owner", "k1", "k2").agg(F.count("*").alias("n"))
+    owned = placed.groupBy("hash", "owner").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count("*").alias("owners"), F.sum("n").alias("documents"))
     random = (F.size(F.array_distinct(F.split("value", ""))) >= 8) & F.col("value").rlike("[0-9].*[0-9].*[0-9]") & F.col("value").rlike("[A-Za-z].*[A-Za-z].*[A-Za-z]")
-    judged = spans.join(owned, "hash").withColumns({"live": random & (F.col("owners") == 1), "example": F.col("owners") >= wide})
+    judged = spans.join(owned, "hash").withColumns({"live": random & (F.col("owners") == 1) & (F.col("documents") < many), "example": (F.col("owners") >= wide) | (F.col("documents") >= many)})
     row = F.struct("start", "kind", "end", "live", "example")
     by_doc = judged.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(row)).alias("all"))
     extra = len(BASE)

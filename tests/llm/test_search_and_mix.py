@@ -87,6 +87,17 @@ def test_secrets(spark):
     assert scan_secrets(spark.createDataFrame([], "doc_id long, text string, source string")).isEmpty()
 
 
+def test_secrets_by_documents(spark):
+    """A value of one owner is live in few documents, and an example in many; repeated rows and repeats in a text count once."""
+    copied, key = "Zx9Kq2Lm7Pw4Rt8Vb3Nc", "Qa7Ws3Ed9Rf5Tg1Yh8Uj"
+    rows = [(i, f"see {copied} here", "one") for i in range(6)] + [(90, f"key {key} and {key}", "one")] * 7 + [(91, f"key {key}", "one")]
+    rows += [(100 + i, "token=abcdef12", f"o{i % 2}") for i in range(6)]
+    got = {r["doc_id"]: r for r in scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), many=6).collect()}
+    assert got[0]["spans"] == "" and got[0]["n_live"] == 0
+    assert got[90]["n_live"] == 2 and got[91]["spans"] == "opaque:4:24" and got[91]["n_example"] == 0
+    assert got[100]["n_example"] == 1
+
+
 def _sets(text, k=5):
     w = re.findall(r"(?:[0-9a-z]|[^\x00-\x7f])+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set()), w
