@@ -66,3 +66,16 @@ def test_reports(spark):
     ext = spark.createDataFrame([(1, '{"spans":[{"label":"MRN","start":3,"end":"5"},{"category":"NAME","begin":1,"finish":2}]}'), (2, '{"spans":[{"label":"DOG"}]}'), (3, "{}")], "id int, j string")
     reports, rejected = R.normalize_external_spans(ext, "j", R.F.lit(10), ["id"])
     assert {r["id"]: r["masked_text"] for r in reports.collect()} == {1: "[NAME] [MRN]", 3: "[NO_PII_DETECTED]"} and rejected.first()["id"] == 2
+
+
+def test_redaction_at_any_depth(spark):
+    deep = '{"a":' * 40 + '{"name":"Jane ]}"}' + "}" * 40
+    texts = {
+        '{"decoded_values":{"a":{"b":{"c":{"name":"Jane"}}}},"k":1}': '{"decoded_values":"<redacted>","k":1}',
+        '{"artifact":{"context":"ward","records":[{"scope":{"job_id":"j"}}]}}': '{"artifact":"<redacted>"}',
+        f'{{"x":[{{"records": [{deep},[[[[[1]]]]]] , "y":"artifact"}}],"vault_passphrase" : "p\\"q","artifact":12.5}}': '{"x":[{"records":"<redacted>" , "y":"artifact"}],"vault_passphrase":"<redacted>","artifact":"<redacted>"}',
+        '{"artifact":{"a":[1,"Jane': '{"artifact":"<redacted>"', '{"artifact":"Jane': '{"artifact":"<redacted>"', '{"t":"say \\"artifact\\": x"}': '{"t":"say \\"artifact\\": x"}',
+    }
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "j string")
+    got = {r["j"]: r["r"] for r in rows.select("j", R.redact_report_keys(R.F.col("j")).alias("r")).collect()}
+    assert got == {**texts, None: None}
