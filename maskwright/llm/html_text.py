@@ -20,9 +20,13 @@ _UNSEEN = "script style title noscript template textarea select button svg math
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _HOLDERS = frozenset("html body article main nav header footer aside form section div ul ol dl table figure blockquote dialog fieldset details menu".split())
 _BESIDE = frozenset("nav footer aside form dialog menu".split())
+_NAMES = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+# A whole name, or the last part of one. Names that say that something has, or lacks, such a part are of the page's layout.
 _HINT = re.compile(
-    r"(?:class|id|role)\s*=\s*[\"']?[^\"'>]*\b(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|side-?bar|sidebar\w*|footer|masthead|site-header|cookies?|consent|notices?|alert|popup|modal|subscribe|newsletter|share|sharing|social|related|recommended|comments?|replies|respond|disqus|pagination|pager|login|search|complementary|contentinfo|navigation)\b", re.I
+    r"(?!(?:.*[-_])?(?:has|have|no|not|with|without|show|hide|is|page|layout|content)[-_])(?:\w+[-_])*?(?:(?P<talk>comments?|replies|respond|disqus|related|recommended)|ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|side-?bar\w*|footer|masthead|site-header|cookies?|consent|notices?|alert|popup|modal|subscribe|newsletter|share|sharing|social|pagination|pager|login|search|complementary|contentinfo)", re.I
 )
+#: Words from which a block with links on at most a tenth of them outvotes a hint on what it stands in.
+_LONG = 60
 _ATTRIBUTES = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<unseen>{'|'.join(_UNSEEN)})\b{_ATTRIBUTES}>.*?(?:</(?P=unseen)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attributes>{_ATTRIBUTES})>|</?[a-zA-Z][^>]*+(?:>|\Z)",
@@ -33,18 +37,36 @@ _TOKEN = re.compile(
 FIELDS = ["words", "linked", "heading", "item", "article", "beside"]
 
 
+def _hint(attributes: str) -> str:
+    """``talk`` if a name in class, id or role is of comments and the like, which can hold articles; ``part`` if one is of another part beside the main text."""
+    found = [m for names in _NAMES.findall(attributes) for name in "".join(names).split() if (m := _HINT.fullmatch(name))]
+    return "" if not found else "talk" if any(m["talk"] for m in found) else "part"
+
+
 def text_blocks(html: str) -> Iterator[tuple[str, int, int, int, int, int, int]]:
-    """(text, *FIELDS) of each block with words, in page order. Inline elements and line breaks don't end a block, all other tags do."""
+    """(text, *FIELDS) of each block with words, in page order. Inline elements and line breaks don't end a block, all other tags do.
+
+    A hint marks neither a main or article element nor, unless it is of comments and the like, an element that holds one; a long block with few links outvotes it.
+    """
+    void: set[int] = set()
+    for *block, article, beside, hints in list(_blocks(html, void)):
+        hinted = bool(hints - void) and not (block[1] >= _LONG and 10 * block[2] <= block[1])
+        yield (*block, article, int(beside or hinted))
+
+
+def _blocks(html: str, void: set[int]) -> Iterator[tuple]:
+    """The blocks, ``beside`` by tags and comments only, with the elements around them that have another hint; ``void`` gets those that hold main text."""
     parts: list[str] = []
     linked, in_link, mark = 0, False, ""
-    holders: list[tuple[str, bool, bool]] = []
+    holders: list[tuple[str, bool, bool, frozenset[int]]] = []
     article = beside = False
+    hints: frozenset[int] = frozenset()
 
-    def block() -> Iterator[tuple[str, int, int, int, int, int, int]]:
+    def block() -> Iterator[tuple]:
         text = " ".join("".join(parts).split())
         if text:
             n = text.count(" ") + 1
-            yield text, n, min(linked, n), int(mark in ("h1", "h2", "h3", "h4", "h5", "h6")), int(mark in ("li", "dt", "dd", "td", "th")), int(article), int(beside)
+            yield text, n, min(linked, n), int(mark in ("h1", "h2", "h3", "h4", "h5", "h6")), int(mark in ("li", "dt", "dd", "td", "th")), int(article), int(beside), hints
 
     at = 0
     for m in _TOKEN.finditer(html):
@@ -73,11 +95,14 @@ def text_blocks(html: str) -> Iterator[tuple[str, int, int, int, int, int, int]]
             if depth is not None:
                 del holders[depth:]
         elif not m["attributes"].endswith("/"):
-            up_article, up_beside = holders[-1][1:] if holders else (False, False)
-            hint = tag not in ("html", "body") and bool(m["attributes"]) and bool(_HINT.search(m["attributes"]))
-            inside = tag in ("article", "main") or up_article
-            holders.append((tag, inside, up_beside or hint or tag in _BESIDE or (tag == "header" and not up_article)))
-        article, beside = holders[-1][1:] if holders else (False, False)
+            up_article, up_beside, up_hints = holders[-1][1:] if holders else (False, False, frozenset())
+            main = tag in ("article", "main")
+            hint = _hint(m["attributes"]) if m["attributes"] and not main and tag not in ("html", "body") else ""
+            if main and not up_beside:
+                void |= up_hints
+            own = up_hints | {m.start()} if hint == "part" else up_hints
+            holders.append((tag, main or up_article, up_beside or hint == "talk" or tag in _BESIDE or (tag == "header" and not up_article), own))
+        article, beside, hints = holders[-1][1:] if holders else (False, False, frozenset())
     if at < len(html):
         parts.append(unescape(html[at:]))
         linked += len(parts[-1].split()) if in_link else 0

@@ -88,6 +88,18 @@ def test_html(spark):
     assert H.extract_text(pages).count() == 8 and H.extract_text(pages.limit(0)).isEmpty()
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "page no-sidebar", "post has-comments", "search-result-page", "sidebar", "nav search"])
+def test_html_layout_classes(spark, name):
+    """A wrapper's class does not take the article's text away, nor a main or article element's own."""
+    long = "The council met again this morning and talked about the old bridge, which nobody has crossed since the flood of last spring took its middle away. " * 4
+    inner = f"<h1>Bridge</h1><p>{long}</p><p>Then it rained.</p>"
+    ad = "<div class='ad'>Buy two pairs of shoes today and get the third one free.</div>"
+    htmls = [f"<body><div class='{name}'><article>{inner}</article></div>{ad}</body>", f"<body><main class='{name}'>{inner}</main>{ad}</body>", f"<body><article id=x class='{name}'>{inner}</article>{ad}</body>", f"<body><div class='{name}'><p>{long}</p></div>{ad}</body>"]
+    got = {r["page_id"]: r["text"] for r in H.extract_text(spark.createDataFrame(list(enumerate(htmls)), "page_id int, html string")).collect()}
+    whole = f"Bridge\n{long.strip()}\nThen it rained."
+    assert got == {0: whole, 1: whole, 2: whole, 3: long.strip()}
+
+
 @tables
 def test_html_of_all_pages(spark):
     """The article elements of the test pages, taken out by other means."""
