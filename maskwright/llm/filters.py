@@ -2,30 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .names import fresh, quoted
+
 #: Buckets of 32,768 bits; the filter is broadcast, and takes 4 KB for each bucket that has a key, whatever the number of keys.
 BUCKETS = 1024
 
 
-def _marked(rows: DataFrame, listed: DataFrame, keys: list[str], buckets: int) -> DataFrame:
-    """The rows with ``_maybe``: whether their keys can be in ``listed``."""
-    spot = F.pmod(F.xxhash64(*keys), F.lit(buckets * 32768))
-    place, bit = F.bitmap_bucket_number(spot), F.bitmap_bit_position(spot)
-    bitmaps = listed.select(place.alias("_place"), bit.alias("_bit")).groupBy("_place").agg(F.bitmap_construct_agg("_bit").alias("_bitmap"))
-    byte = F.conv(F.hex(F.substring("_bitmap", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+def _spot(keys: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*map(quoted, keys)), F.lit(buckets * 32768))
+
+
+def bitmaps(listed: DataFrame, keys: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """(place, bitmap): the filter of the keys in ``listed``, ``buckets`` rows of 4 KB at most."""
+    spot = _spot(keys, buckets)
+    bits = listed.select(F.bitmap_bucket_number(spot).alias("place"), F.bitmap_bit_position(spot).alias("bit"))
+    return bits.groupBy("place").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+
+
+def merged(filters: DataFrame) -> DataFrame:
+    """One filter for all keys of several."""
+    return filters.groupBy("place").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+
+
+def marked(rows: DataFrame, filter_: DataFrame, keys: list[str], name: str, buckets: int = BUCKETS) -> DataFrame:
+    """The rows with a boolean ``name``: whether their keys can be among those of the filter."""
+    spot = _spot(keys, buckets)
+    place, bitmap = fresh([*rows.columns, name], "place"), fresh([*rows.columns, name], "bitmap")
+    named = filter_.select(F.col("place").alias(place), F.col("bitmap").alias(bitmap))
+    bit = F.bitmap_bit_position(spot)
+    byte = F.conv(F.hex(F.substring(quoted(bitmap), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     maybe = F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
-    return rows.join(F.broadcast(bitmaps), place == F.col("_place"), "left").withColumn("_maybe", maybe).drop("_place", "_bitmap")
+    joined = rows.join(F.broadcast(named), F.bitmap_bucket_number(spot) == F.col(quoted(place)), "left")
+    return joined.select(*map(quoted, rows.columns), maybe.alias(name))
+
+
+def only_marked(rows: DataFrame, filter_: DataFrame, keys: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """The rows whose keys can be among those of the filter."""
+    name = fresh(rows.columns, "maybe")
+    return marked(rows, filter_, keys, name, buckets).where(quoted(name)).drop(name)
 
 
 def only_listed(rows: DataFrame, listed: DataFrame, keys: list[str], buckets: int = BUCKETS) -> DataFrame:
     """The rows whose ``keys`` are in ``listed``, and by chance some others; a join on the keys has to follow. Many keys let more others through."""
-    return _marked(rows, listed, keys, buckets).where("_maybe").drop("_maybe")
+    return only_marked(rows, bitmaps(listed, keys, buckets), keys, buckets)
 
 
 def drop_listed(rows: DataFrame, listed: DataFrame, keys: list[str], buckets: int = BUCKETS) -> DataFrame:
     """The rows whose ``keys`` are not in ``listed``, exactly; null keys are never listed. Only rows that can be listed are shuffled."""
-    marked = _marked(rows, listed, keys, buckets)
-    certain = marked.where(~F.col("_maybe")).drop("_maybe")
-    return certain.unionByName(marked.where("_maybe").drop("_maybe").join(listed.select(*keys), keys, "left_anti"))
+    name = fresh(rows.columns, "maybe")
+    both = marked(rows, bitmaps(listed, keys, buckets), keys, name, buckets)
+    certain, maybe = both.where(~F.col(quoted(name))).drop(name), both.where(quoted(name)).drop(name)
+    return certain.unionByName(maybe.join(listed.select(*map(quoted, keys)), keys, "left_anti"))

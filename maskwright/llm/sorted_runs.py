@@ -1,50 +1,105 @@
-"""A log-structured table: sorted immutable runs of one row per key, merged by aggregation."""
+"""A log-structured table: sorted immutable runs of one row per key, each with a filter, merged in size tiers by aggregation."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import new_path
+from . import filters
+from .storage import materialize, new_path
+
+_LOG = "seq int, run string, level int, added boolean"
 
 
 class SortedRuns:
-    """Runs with a row for each key, sorted by ``key``. ``merge`` says for each other column how equal keys of a batch or of several runs become one row."""
+    """An index of keys in a folder. ``merge`` says for each other column how rows with equal keys, of a batch or of several runs, become one;
+    one of these columns is ``n``, how many rows a key stands for.
+
+    A batch is a memtable: it is reduced to a row for each key, meets the older runs, and is flushed as one more run. ``tier`` runs of a level are
+    merged into one of the next level, so a row is rewritten once for each level. The folder holds the runs, their filters and a log of which
+    of them count, to which each change is appended after its files are whole; ``SortedRuns.open`` reads it back in any later session. A folder
+    has one writer at a time. Runs that were merged are left for readers that still use them.
+    """
+
+    def __init__(self, spark: SparkSession, key: str, merge: dict[str, Column], path: str | None = None, tier: int = 4):
+        self.spark, self.key, self.merge, self.tier = spark, key, merge, tier
+        self.path = path or new_path(spark, f"runs-{key}")
+        self.levels: dict[str, int] = {}
+        self._seq = 0
 
-    def __init__(self, spark: SparkSession, key: str, merge: dict[str, Column], path: str | None = None):
-        self.spark, self.key, self.merge, self.path = spark, key, merge, path or new_path(spark, f"runs-{key}")
-        self.runs: list[str] = []
-        self.schema = None
-        self._written = 0
+    @classmethod
+    def open(cls, spark: SparkSession, key: str, merge: dict[str, Column], path: str, tier: int = 4) -> SortedRuns:
+        """The index that an earlier session left in the folder."""
+        found = cls(spark, key, merge, path, tier)
+        # A row for each run ever written, which grows with the number of batches.
+        for row in spark.read.schema(_LOG).parquet(f"{path}/log").orderBy("seq", "added").collect():
+            found._seq = max(found._seq, row["seq"])
+            if row["added"]:
+                found.levels[row["run"]] = row["level"]
+            else:
+                found.levels.pop(row["run"], None)
+        return found
+
+    def _commit(self, rows: list[tuple[str, int, bool]]) -> None:
+        self._seq += 1
+        log = self.spark.createDataFrame([(self._seq, *row) for row in rows], _LOG)
+        log.coalesce(1).write.mode("append").parquet(f"{self.path}/log")
+        for run, level, added in rows:
+            if added:
+                self.levels[run] = level
+            else:
+                del self.levels[run]
 
     def _merged(self, rows: DataFrame) -> DataFrame:
         return rows.groupBy(self.key).agg(*[how.alias(name) for name, how in self.merge.items()])
 
-    def _write(self, rows: DataFrame) -> str:
-        # The aggregation has dealt the rows by key. Parquet keeps a Bloom filter on the key for each row group, as large as its rows need.
-        path = f"{self.path}/run-{self._written:06d}"
-        bloom = {f"parquet.bloom.filter.enabled#{self.key}": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
-        rows.sortWithinPartitions(self.key).write.options(**bloom).parquet(path)
-        self._written += 1
-        return path
+    def _read(self, runs: list[str]) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.path}/{run}" for run in runs])
+
+    def _write(self, rows: DataFrame, level: int, replaced: list[str]) -> str:
+        run = f"run-{self._seq + 1:06d}"
+        # The aggregation has dealt the rows by key.
+        rows.sortWithinPartitions(self.key).write.parquet(f"{self.path}/{run}")
+        filters.bitmaps(self._read([run]).select(self.key), [self.key]).write.parquet(f"{self.path}/{run}-filter")
+        self._commit([(run, level, True), *((old, self.levels[old], False) for old in replaced)])
+        return run
 
-    def flush(self, batch: DataFrame) -> None:
-        """Adds a batch (key and the merged columns) as one more run."""
-        rows = self._merged(batch)
-        self.schema = rows.schema
-        self.runs.append(self._write(rows))
+    def _filter(self, runs: list[str]) -> DataFrame:
+        return filters.merged(self.spark.read.parquet(*[f"{self.path}/{run}-filter" for run in runs]))
 
     def rows(self) -> DataFrame:
         """All runs merged: a row for each key."""
-        found = self.spark.read.schema(self.schema).parquet(*self.runs)
-        return found if len(self.runs) == 1 else self._merged(found)
-
-    def probe(self, batch: DataFrame, how: str = "inner") -> DataFrame:
-        """A merge join of a batch with all runs; the columns of the runs come with the prefix ``old_``."""
-        old = self.rows().withColumnsRenamed({name: f"old_{name}" for name in self.merge})
-        return batch.join(old.hint("merge"), self.key, how)
-
-    def compact(self) -> None:
-        """Replaces the runs by one."""
-        if len(self.runs) > 1:
-            self.runs = [self._write(self.rows())]
+        return self._merged(self._read(list(self.levels)))
+
+    def probe(self, keys: DataFrame, filter_: DataFrame | None = None, runs: list[str] | None = None) -> DataFrame:
+        """The merged rows of those of the distinct ``keys`` that the runs have: filters of either side thin the other one before a merge join."""
+        runs = list(self.levels) if runs is None else runs
+        maybe = filters.only_marked(keys.select(self.key), self._filter(runs), [self.key])
+        old = filters.only_marked(self._read(runs), filters.bitmaps(keys, [self.key]) if filter_ is None else filter_, [self.key])
+        return self._merged(old).join(maybe.hint("merge"), self.key, "left_semi")
+
+    def add(self, batch: DataFrame) -> DataFrame:
+        """Adds a batch (key and the merged columns). Returns the keys that it repeats: those in it more than once, and those that older runs have."""
+        older = list(self.levels)
+        run = self._write(self._merged(batch), 0, [])
+        rows = self._read([run])
+        repeated = rows.where(F.col("n") > 1).select(self.key)
+        if older:
+            found = self.probe(rows, self._filter([run]), older).select(self.key)
+            repeated = repeated.unionByName(found).distinct()
+        repeated = materialize(repeated, "repeated-keys")
+        self.compact()
+        return repeated
+
+    def compact(self, whole: bool = False) -> None:
+        """Merges the runs of each level that has ``tier`` of them, or all runs."""
+        if whole and len(self.levels) > 1:
+            runs = list(self.levels)
+            self._write(self._merged(self._read(runs)), max(self.levels.values()) + 1, runs)
+            return
+        for level in sorted(set(self.levels.values())):
+            runs = [run for run, at in self.levels.items() if at == level]
+            if len(runs) >= self.tier:
+                self._write(self._merged(self._read(runs)), level + 1, runs)
+                return self.compact()
+

@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 
 from maskwright.llm import simhash
 from maskwright.llm.components import connected_components
-from maskwright.llm.exact_dedup import exact_dedup
+from maskwright.llm.exact_dedup import DigestIndex, exact_dedup
 from maskwright.llm.filters import drop_listed, only_listed
 from maskwright.llm.near_copies import near_copies
 from maskwright.llm.sorted_runs import SortedRuns
-from maskwright.llm.substring_dedup import remove_repeats
+from maskwright.llm.storage import shared_folder
+from maskwright.llm.substring_dedup import PassageIndex, remove_repeats
 from maskwright.llm.wordstream import Words, blocks, sliding_min, utf8
 from maskwright.llm.xxh64 import xxh64_slices
 
@@ -50,16 +51,45 @@ def test_exact(spark, weak):
 
 
 def test_runs_grow_by_batches(spark):
-    runs = SortedRuns(spark, "digest", {"keep_id": F.min("keep_id"), "n": F.sum("n")})
-    one = spark.createDataFrame([("a", 3, 1), ("b", 2, 1), ("a", 9, 1)], "digest string, keep_id long, n long")
-    two = spark.createDataFrame([("a", 1, 1), ("c", 5, 1)], one.schema)
-    runs.flush(one)
-    assert {(r["digest"], r["old_keep_id"]) for r in runs.probe(two.select("digest")).collect()} == {("a", 3)}
-    runs.flush(two)
-    assert len(runs.runs) == 2
-    before = sorted(map(tuple, runs.rows().collect()))
-    runs.compact()
-    assert len(runs.runs) == 1 and sorted(map(tuple, runs.rows().collect())) == before == [("a", 1, 3), ("b", 2, 1), ("c", 5, 1)]
+    merge = {"keep_id": F.min("keep_id"), "n": F.sum("n")}
+    runs = SortedRuns(spark, "digest", merge, tier=2)
+    batches = [[("a", 3, 1), ("b", 2, 1), ("a", 9, 1)], [("a", 1, 1), ("c", 5, 1)], [("d", 7, 1), ("c", 4, 1)], []]
+    frames = [spark.createDataFrame(b, "digest string, keep_id long, n long") for b in batches]
+    repeated = [{r["digest"] for r in runs.add(f).collect()} for f in frames[:2]]
+    assert list(runs.levels.values()) == [1]
+    runs = SortedRuns.open(spark.newSession(), "digest", merge, runs.path, tier=2)
+    repeated += [{r["digest"] for r in runs.add(f).collect()} for f in frames[2:]]
+    assert repeated == [{"a"}, {"a"}, {"c"}, set()]
+    assert list(runs.levels.values()) == [2]
+    want = [("a", 1, 3), ("b", 2, 1), ("c", 4, 2), ("d", 7, 1)]
+    again = SortedRuns.open(spark, "digest", merge, runs.path)
+    assert again.levels == runs.levels and sorted(map(tuple, again.rows().collect())) == want
+    keys = spark.createDataFrame([("c",), ("x",)], "digest string")
+    assert [tuple(r) for r in again.probe(keys).collect()] == [("c", 4, 2)]
+    again.add(frames[0])
+    again.compact(whole=True)
+    assert len(again.levels) == 1 and again.rows().where("digest = 'a'").first()["n"] == 5
+
+
+def test_index_over_sessions(spark):
+    """Three batches in three sessions give what one run over all of them gives."""
+    rng = random.Random(21)
+    vocab = [f"x{i}" for i in range(30)]
+    passages = [" ".join(rng.choice(vocab) for _ in range(20)) for _ in range(4)]
+    rows = [(i, " ".join([rng.choice(passages), *(rng.choice(vocab) for _ in range(10))]) if i % 3 else rng.choice(["a", "b", ""])) for i in range(45)]
+    paths = [f"{shared_folder(spark)}/three-{name}" for name in ("digests", "passages")]
+    for k in range(3):
+        session = spark.newSession()
+        part = _docs(session, rows[15 * k : 15 * k + 15])
+        DigestIndex.create(session, paths[0], again=k > 0).add(part)
+        PassageIndex.create(session, paths[1], 7, 3, again=k > 0).add(part)
+    session = spark.newSession()
+    docs = _docs(session, rows)
+    groups = DigestIndex.create(session, paths[0], again=True).groups(docs).collect()
+    ids = {t: [d for d, u in rows if u == t] for _, t in rows}
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in groups} == {d: (min(ids[t]), len(ids[t]), d == min(ids[t])) for d, t in rows}
+    left = PassageIndex.create(session, paths[1], 7, 3, again=True).remove(docs)
+    assert Counter(map(tuple, left.collect())) == _brute_windows(rows, 7)
 
 
 def test_filters(spark):
