@@ -142,9 +142,9 @@ lists AS (
 each_match AS (SELECT doc_id, owner, kind, unnest(range(1, len(found) + 1)) AS nth, unnest(gaps[:len(found)]) AS gap, unnest(found) AS m, unnest(vals) AS val FROM lists WHERE len(found) > 0),
 placed AS (SELECT *, (sum(length(gap)) OVER o + sum(length(m)) OVER o - length(m))::BIGINT AS start FROM each_match WINDOW o AS (PARTITION BY doc_id, kind ORDER BY nth ROWS UNBOUNDED PRECEDING)),
 spans AS (SELECT p.doc_id, p.owner, p.kind, name, val, start, start + length(m) AS stop FROM placed p JOIN patterns USING (kind) WHERE length(val) >= least),
-owned AS (SELECT val, count(*) AS owners FROM (SELECT DISTINCT val, owner FROM spans) GROUP BY val),
-judged AS (SELECT s.*, owners >= 5 AS example,
-             owners = 1 AND len(list_distinct(regexp_extract_all(val, '(?s).'))) >= 8 AND regexp_matches(val, '[0-9].*[0-9].*[0-9]') AND regexp_matches(val, '[A-Za-z].*[A-Za-z].*[A-Za-z]') AS live
+owned AS (SELECT val, count(DISTINCT coalesce('=' || owner, '')) AS owners, count(DISTINCT doc_id) AS documents FROM spans GROUP BY val),
+judged AS (SELECT s.*, owners >= 5 OR documents >= 20 AS example,
+             owners = 1 AND documents < 20 AND len(list_distinct(regexp_extract_all(val, '(?s).'))) >= 8 AND regexp_matches(val, '[0-9].*[0-9].*[0-9]') AND regexp_matches(val, '[A-Za-z].*[A-Za-z].*[A-Za-z]') AS live
            FROM spans s JOIN owned USING (val)),
 listed AS (SELECT * FROM judged j WHERE kind < 3 OR (live AND NOT EXISTS (SELECT 1 FROM judged b WHERE b.doc_id = j.doc_id AND b.kind < 3 AND b.start < j.stop AND j.start < b.stop))),
 per_doc AS (
