@@ -5,19 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import discard, materialize
 
+#: A node with more than this share of all edges is joined by broadcast: there are at most two such nodes for each share of the edges.
+HOT_SHARE = 1 / 512
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _with_least(edges: DataFrame, n: int) -> DataFrame:
+    """``edges`` (a, b), with ``m``, the smallest b of each a. The edges of a few very large stars stay where they are."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree"))
+    bound = max(n * HOT_SHARE, 64)
+    hot = least.where(F.col("degree") > bound).select("a", "m")  # n / bound rows at most, a thousand
+    marked = edges.join(F.broadcast(hot), "a", "left")
+    rest = marked.where("m IS NULL").drop("m").join(least.where(F.col("degree") <= bound).select("a", "m"), "a")
+    return marked.where("m IS NOT NULL").unionByName(rest)
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = _with_least(both, 2 * n).withColumn("m", F.least("a", "m"))
+    return least.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where(F.col("b") > F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b")))
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
+    moved = _with_least(edges, n).where(F.col("b") > F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.unionByName(edges.groupBy("a").agg(F.min("b").alias("b")))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -25,15 +37,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Loops, repeated edges and either direction are allowed, edges with a null are ignored, no edges give no rows. A round moves each edge's far end to
     the smallest neighbour; as the edges only ever point to smaller nodes, the rounds end in stars, after a number that grows with the
-    logarithm of the longest path. Each round is written to the shared folder; only its row count and checksum reach the driver.
+    logarithm of the longest path. Each round is written to the shared folder, and the one before the last is removed; only its row count and
+    checksum reach the driver.
     """
     now = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now, seen = materialize(now, "edges"), None
+    now, seen, old = materialize(now, "edges"), None, None
     while True:
         mark = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if mark == seen or mark[0] == 0:
             break
-        seen = mark
-        now = materialize(_small_star(_large_star(now)).distinct(), "edges")
+        if old is not None:
+            discard(old)
+        seen, old = mark, now
+        stars = materialize(_large_star(now, mark[0]).distinct(), "stars")
+        now = materialize(_small_star(stars, mark[0]).distinct(), "edges")
+        discard(stars)
     roots = now.select(F.col("b").alias("node")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+    ends = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return ends.unionByName(roots.select("node", F.col("node").alias("component")))

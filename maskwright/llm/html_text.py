@@ -180,16 +180,18 @@ FEATURES = [
 def with_blocks(pages: DataFrame, html_col: str, name: str = "blocks") -> DataFrame:
     """Replaces ``html_col`` by the blocks of its text, named ``name``."""
     others = [f for f in pages.schema if f.name != html_col]
-    names = [f.name for f in others]
-    schema = ", ".join([*(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in others), f"{quoted(name)} array<{_BLOCK_SQL}>"])
+    # Columns go by number on the way, as mapInArrow does not take all names.
+    numbers = [f"c{i}" for i in range(len(others))]
+    schema = ", ".join([*(f"{c} {f.dataType.simpleString()}" for c, f in zip(numbers, others, strict=True)), f"blocks array<{_BLOCK_SQL}>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pages_ = batch.column(len(names)).to_pylist()
-            blocks = [[dict(zip(("text", *FIELDS), b, strict=True)) for b in text_blocks(html or "")] for html in pages_]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(blocks, pa.list_(_BLOCK))], [*names, name])
+            htmls = batch.column(len(numbers)).to_pylist()
+            blocks = [[dict(zip(("text", *FIELDS), b, strict=True)) for b in text_blocks(html or "")] for html in htmls]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(blocks, pa.list_(_BLOCK))], [*numbers, "blocks"])
 
-    return pages.select(*map(quoted, names), quoted(html_col)).mapInArrow(run, schema)
+    named = [F.col(quoted(f.name)).alias(c) for c, f in zip(numbers, others, strict=True)]
+    return pages.select(*named, F.col(quoted(html_col)).alias("html")).mapInArrow(run, schema).toDF(*[f.name for f in others], name)
 
 
 def features(blocks: Column, i: Column) -> dict[str, Column]:

@@ -48,28 +48,44 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs:
     )
 
 
-def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(
+    docs: DataFrame,
+    seed: str = "mix",
+    weights: tuple[int, ...] = (1, 2, 3),
+    max_epochs: int = 3,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source_size, target, taken.
 
-    Each source is put in the order of a keyed SHA-256 of the id; its documents are taken whole as often as the target holds the whole
-    source, and then in that order up to the rest of the budget, which cuts the last document. So a source's taken words are its target
-    rounded to words, and no document exceeds ``max_epochs`` times its size. Prefix sums run in two steps (sums of key ranges, then within
-    a range), so no task holds a source. Null text has size 0, null source is a source of its own, null ids share one key; rows
-    with one id and one size are interchangeable, other ties go by size. Empty tables give no rows; other columns are ignored.
+    Each source is put in the order of a keyed SHA-256 of the id, or of the text where the id is null; its documents are taken whole as often as the
+    target holds the whole source, and then in that order up to the rest of the budget, which cuts the last document. So a source's taken words
+    are its target rounded to words, and no document exceeds ``max_epochs`` times its size. Prefix sums run in two steps (sums of key ranges,
+    then within a range), so no task holds a source. Null text has size 0, null source is a source of its own; rows with one id, or without
+    one and with one text, and one size are interchangeable, other ties go by size. Empty tables give no rows; other columns are ignored;
+    texts are read whole, however long.
     """
-    key = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 256)
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), key.alias("key"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    named = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("\n"), text))
+    key = F.sha2(F.concat(F.lit(f"{seed}:"), named), 256)
+    sized = docs.select(
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), key.alias("key")
+    )
     # Written, so that the texts are read once for the sums and the documents.
     sized = materialize(sized.withColumn("cell", F.substring("key", 1, KEY_DIGITS)), "sized")
     cells = sized.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
     before = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cells.withColumn("offset", F.coalesce(F.sum("cell_size").over(before), F.lit(0))).drop("cell_size")
     goal = targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, max_epochs)
-    plan = offsets.alias("o").join(goal.alias("g"), F.col("o.source").eqNullSafe(F.col("g.source"))).select("o.source", "o.cell", "o.offset", "g.source_size", "g.target")
+    same_source = F.col("o.source").eqNullSafe(F.col("g.source"))
+    plan = offsets.alias("o").join(goal.alias("g"), same_source).select("o.source", "o.cell", "o.offset", "g.source_size", "g.target")
     within = Window.partitionBy("source", "cell").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    joined = placed.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.cell") == F.col("p.cell")))
+    same_cell = F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.cell") == F.col("p.cell"))
+    joined = placed.alias("d").join(plan.alias("p"), same_cell)
     budget = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("long")
     left = budget - epochs * F.col("source_size") - F.col("offset") - F.col("inner")
-    return joined.select("doc_id", "size", "source_size", "target", (epochs * F.col("size") + F.least("size", F.greatest(left, F.lit(0)))).cast("long").alias("taken"))
+    taken = epochs * F.col("size") + F.least("size", F.greatest(left, F.lit(0)))
+    return joined.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))

@@ -74,7 +74,7 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP6_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
-         sha256('mix:' || coalesce(doc_id::VARCHAR, '')) AS key
+         sha256('mix:' || coalesce(doc_id::VARCHAR, chr(10) || coalesce(text, ''))) AS key
   FROM documents
 ), totals AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source

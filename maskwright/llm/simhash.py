@@ -102,38 +102,49 @@ def links(fps: DataFrame, distance: int = 4, dense: int = 512) -> DataFrame:
     """
     if distance not in (2, 4):
         raise ValueError("distance must be 2 or 4")
-    keyed = fps.select("fp", F.explode(_keys(F.col("fp"))).alias("key"))
-    seen = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("least"), F.bit_or("fp").alias("any"), F.bit_and("fp").alias("all"))
+    # Keys are made where the fingerprints lie, so these are spread over all tasks first; adaptive execution would put so small a table into few.
+    spread_out = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keyed = spread_out.select("fp", F.explode(_keys(F.col("fp"))).alias("key"))
+    # The first pass over the keys carries counts alone; only keys of several fingerprints go on.
+    several = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n >= 2"), "several")
+    met = materialize(only_listed(keyed, several, ["key"]).join(several, "key"), "met")
+    bits = [F.min("fp").alias("least"), F.bit_or("fp").alias("any"), F.bit_and("fp").alias("all")]
+    seen = met.groupBy("key").agg(F.first("n").alias("n"), *bits)
     vary = F.col("any").bitwiseXOR(F.col("all"))
     is_high = F.col("key") >= (1 << 32)
     half = F.when(is_high, F.shiftrightunsigned("all", 32)).otherwise(F.col("all").bitwiseAND(F.lit(_LOW)))
     half_varies = F.when(is_high, F.shiftrightunsigned(vary, 32)).otherwise(vary.bitwiseAND(F.lit(_LOW))) != 0
     # Fingerprints that agree in the half all meet in the bucket of its own value; the other 32 have nothing to add.
     useful = half_varies | (half == F.col("key").bitwiseAND(F.lit(_LOW)))
-    buckets = materialize(seen.where((F.col("n") >= 2) & useful).select("key", "n", "least", vary.alias("vary")), "buckets")
-    members = materialize(only_listed(keyed, buckets, ["key"]).join(buckets, "key"), "members")
+    buckets = materialize(seen.where(useful).select("key", "least", vary.alias("vary")), "buckets")
+    members = materialize(met.join(buckets, "key"), "members")
     small = members.where(F.col("n") <= dense).groupBy("key").agg(F.collect_list("fp").alias("fps")).select("fps")
     near = small.mapInArrow(lambda batches: _near(batches, distance), "a bigint, b bigint")
     large = members.where(F.col("n") > dense)
     tight = F.bit_count("vary") <= distance
     stars = large.where(tight).select(F.col("fp").alias("a"), F.col("least").alias("b"))
     spread = large.where(~tight).groupBy("fp").agg(F.bit_or("vary").alias("vary"))
-    bits = F.filter(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(F.getbit("vary", i) == 1, F.call_function("shiftleft", F.lit(1).cast("long"), i))), lambda x: x.isNotNull())
+    one = F.lit(1).cast("long")
+    each = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(F.getbit("vary", i) == 1, F.call_function("shiftleft", one, i)))
     ball = F.concat(F.array(F.lit(0).cast("long")), F.col("bits"))
     if distance == 4:
-        ball = F.concat(ball, F.flatten(F.transform("bits", lambda x: F.transform(F.filter("bits", lambda y: y.bitwiseAND(F.lit(-1)) != x), lambda y: x.bitwiseOR(y)))))
-    points = spread.withColumn("bits", bits).select(F.col("fp").alias("a"), F.explode(F.array_distinct(ball)).alias("m")).select("a", F.col("a").bitwiseXOR(F.col("m")).alias("point"))
+        two = F.transform("bits", lambda x: F.transform(F.filter("bits", lambda y: y != x), lambda y: x.bitwiseOR(y)))
+        ball = F.concat(ball, F.flatten(two))
+    around = spread.withColumn("bits", F.filter(each, lambda x: x.isNotNull())).select(F.col("fp").alias("a"), F.explode(F.array_distinct(ball)).alias("m"))
+    points = around.select("a", F.col("a").bitwiseXOR(F.col("m")).alias("point"))
     shared = points.groupBy("point").agg(F.min("a").alias("b"), F.count("*").alias("n")).where(F.col("n") >= 2)
     through = points.join(shared, "point").select("a", "b")
     return near.unionByName(stars).unionByName(through).where(F.col("a") != F.col("b")).distinct()
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, distance: int = 4, dense: int = 512) -> DataFrame:
+def simhash_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, distance: int = 4, dense: int = 512
+) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hexadecimal digits), component_id, the smallest id that links reach.
 
     Texts with equal fingerprints, or ones that differ in up to ``distance`` bits, are linked. Null, empty and blank texts have the
     fingerprint zero, which is linked like any other. A null id never is a component_id unless its component has no other. Repeated rows are each
-    kept, an empty table gives no rows, other columns are ignored.
+    kept, an empty table gives no rows, other columns are ignored. Texts are read whole; one of n bytes takes some 100 n bytes of its task's memory.
     """
     found = materialize(fingerprints(docs, id_col, text_col, k), "fingerprints")
     distinct = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")

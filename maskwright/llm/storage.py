@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Where it is unset, a local session gets a folder of its own; a cluster is refused."""
+    """The folder named in spark.checkpoint.dir. Where it is unset, a local session gets a folder of its own, which is set there; a cluster is refused."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -28,3 +28,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the files of a table that ``materialize`` wrote and that nothing reads any more."""
+    spark = df.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    ours = shared_folder(spark)
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        if folder.split(":", 1)[-1].lstrip("/").startswith(ours.split(":", 1)[-1].lstrip("/")):
+            path = hadoop(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
