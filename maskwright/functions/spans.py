@@ -32,20 +32,44 @@ class Detector:
     blocked_by: str | None = None
 
 
-def spans(text: Column, pattern: str, group: int = 0, needs: str | None = None) -> Column:
-    """(start, end, value) of each match of ``pattern``, or of its ``group``, which has to end the match; leftmost, not overlapping. No match, or null text: an empty array."""
-    regex = pattern if pattern.startswith("(?i)") else "(?U)" + pattern
-    regex = "(?Ui)" + pattern[4:] if pattern.startswith("(?i)") else regex
-    match = F.lit(regex)
-    parts = F.arrays_zip(F.split(text, regex, -1).alias("gap"), F.regexp_extract_all(text, match, F.lit(0)).alias("whole"), F.regexp_extract_all(text, match, F.lit(group)).alias("value"))
-    parts = F.filter(parts, lambda p: p["whole"].isNotNull())
+#: Marks that a match is put between; texts that have one get another control character in its place, which no pattern tells apart from it.
+_OPEN, _SHUT, _END = "\x01", "\x02", "\x03"
+
+
+def unmarked(text: Column) -> Column:
+    """The text without the marks that ``spans`` uses, of the same length."""
+    return F.when(text.rlike("[\x01-\x03]"), F.translate(text, "\x01\x02\x03", "\x04\x04\x04")).otherwise(text)
+
+
+def _marked_spans(text: Column, pattern: str, group: int, needs: str | None) -> Column:
+    """The spans of a text without marks: one pass puts marks around the matches, and the pieces between marks tell the offsets."""
+    folded = pattern.startswith("(?i)")
+    regex = "(?Ui)" + pattern[4:] if folded else "(?U)" + pattern
+    # Each piece but the first: the whole match, its group, and the text up to the next match.
+    pieces = F.split(F.regexp_replace(text, regex, f"{_OPEN}$0{_SHUT}${group}{_END}"), _OPEN, -1)
+
+    def parts(piece: Column) -> Column:
+        whole = F.substring_index(piece, _SHUT, 1)
+        value = F.substring_index(F.substring_index(piece, _END, 1), _SHUT, -1)
+        return F.struct(F.length(whole).alias("whole"), value.alias("value"), F.length(F.substring_index(piece, _END, -1)).alias("gap"))
 
     def step(state: Column, p: Column) -> Column:
-        end = state["at"] + F.length(p["gap"]) + F.length(p["whole"])
-        return F.struct(end.alias("at"), F.concat(state["found"], F.array(F.struct((end - F.length(p["value"])).alias("start"), end.alias("end"), p["value"].alias("value")))).alias("found"))
+        end = state["at"] + p["whole"]
+        span = F.struct((end - F.length(p["value"])).alias("start"), end.alias("end"), p["value"].alias("value"))
+        return F.struct((end + p["gap"]).alias("at"), F.concat(state["found"], F.array(span)).alias("found"))
+
+    matches = F.transform(F.slice(pieces, 2, F.size(pieces)), parts)
+    start = F.struct(F.length(F.get(pieces, F.lit(0))).alias("at"), F.array().cast(_FOUND).alias("found"))
+    found = F.coalesce(F.aggregate(matches, start, step, lambda s: s["found"]), F.array().cast(_FOUND))
+    return found if needs is None else F.when(text.rlike(needs), found).otherwise(F.array().cast(_FOUND))
+
+
+def spans(text: Column, pattern: str, group: int = 0, needs: str | None = None) -> Column:
+    """(start, end, value) of each match of ``pattern``, or of its ``group``, which has to end the match; leftmost, not overlapping.
 
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("found")), step, lambda s: s["found"])
-    return F.when(text.rlike(needs or regex), found).otherwise(F.array().cast(_FOUND))
+    No match, or null text: an empty array. ``needs`` is a cheap pattern that each text with a match has.
+    """
+    return _marked_spans(unmarked(text), pattern, group, needs)
 
 
 def valid_dea(value: Column) -> Column:
@@ -106,8 +130,9 @@ class Registry:
 def with_spans(df: DataFrame, text_col: str, detectors: Sequence[Detector] | Registry = DEFAULT, out: str = "spans") -> DataFrame:
     """Adds the ordered spans of all detectors. Each detector's matches are a column of their own in a first step, and are merged in a second one, so that no expression is computed twice."""
     detectors = detectors.detectors if isinstance(detectors, Registry) else tuple(detectors)
-    text = F.col(text_col)
-    found = df.withColumns({f"_d{i}": spans(text, d.pattern, d.group, d.needs) for i, d in enumerate(detectors)})
+    text = F.col("_unmarked")
+    clean = df.withColumn("_unmarked", unmarked(F.col(text_col)))
+    found = clean.withColumns({f"_d{i}": _marked_spans(text, d.pattern, d.group, d.needs) for i, d in enumerate(detectors)})
     taken: dict[str, list[Column]] = {}
     parts = []
     for i, d in enumerate(detectors):
@@ -120,7 +145,7 @@ def with_spans(df: DataFrame, text_col: str, detectors: Sequence[Detector] | Reg
             taken.setdefault(d.blocks, []).append(own)
         parts.append(_labelled(own, d.label, i))
     merged = found.withColumn(out, order_spans(F.concat(*parts)) if parts else F.array().cast(SPAN))
-    return merged.drop(*[f"_d{i}" for i in range(len(detectors))])
+    return merged.drop("_unmarked", *[f"_d{i}" for i in range(len(detectors))])
 
 
 def _kept(own: Column, valid: Callable[[Column], Column]) -> Column:

@@ -51,12 +51,16 @@ def count_literals(df: DataFrame, text_col: str, id_cols: Sequence[str], diction
 
 
 def excel_column_name(index: Column) -> Column:
-    """0 to A, 25 to Z, 26 to AA and so on, up to four letters."""
-    name, rest = F.lit(""), index.cast("long")
-    for _ in range(4):
-        name = F.when(rest >= 0, F.concat(F.char(F.lit(65) + rest % 26), name)).otherwise(name)
-        rest = F.floor(rest / 26) - 1
-    return name
+    """0 to A, 25 to Z, 26 to AA and so on: as many letters as the index needs, fourteen for the largest."""
+
+    def letter(state: Column, _: Column) -> Column:
+        rest = state["rest"]
+        more = F.when(rest >= 26, F.call_function("div", rest, F.lit(26)) - 1).otherwise(F.lit(-1).cast("long"))
+        name = F.when(rest >= 0, F.concat(F.char(F.lit(65) + rest % 26), state["name"])).otherwise(state["name"])
+        return F.struct(name.alias("name"), more.cast("long").alias("rest"))
+
+    start = F.struct(F.lit("").alias("name"), index.cast("long").alias("rest"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, letter, lambda s: s["name"])
 
 
 def field_path(row: Column, column: Column, header: Column) -> Column:

@@ -56,23 +56,59 @@ def redaction_summary(images: DataFrame, regions: DataFrame) -> DataFrame:
 def verify_redaction(before: DataFrame, after: DataFrame, regions: DataFrame, fill: int) -> DataFrame:
     """(image_id, verified): every covered pixel has the fill colour and every other one its colour from before.
 
-    ``before`` and ``after`` are runs (image_id, y, x0, x1, colour) that tile each line. Runs of a line are cut at each other's ends, and at those of the covered runs, by one window
-    over all boundaries of that line; a piece where either side is missing fails.
+    ``before`` and ``after`` are runs (image_id, y, x0, x1, colour) that tile each line. Runs of a line are cut at each other's ends, and at those of the covered
+    runs, by one window over all boundaries of that line; a piece where either side is missing fails. Boundaries are dealt by image once, and the sums
+    by place, the windows by line and the verdicts stay where they are.
     """
-    cover = covered_runs(regions).select("image_id", "y", "x0", "x1", F.lit("cover").alias("side"), F.lit(None).cast("long").alias("colour"))
-    sides = [before.select("image_id", "y", "x0", "x1", F.lit("before").alias("side"), F.col("colour").cast("long").alias("colour")), after.select("image_id", "y", "x0", "x1", F.lit("after").alias("side"), F.col("colour").cast("long").alias("colour")), cover]
+    none = F.lit(None).cast("long")
+    sides = [
+        frame.select("image_id", "y", "x0", "x1", F.lit(side).alias("side"), colour.alias("colour"))
+        for frame, side, colour in (
+            (before, "before", F.col("colour").cast("long")),
+            (after, "after", F.col("colour").cast("long")),
+            (covered_runs(regions), "cover", none),
+        )
+    ]
     runs = sides[0].unionByName(sides[1]).unionByName(sides[2])
-    ends = runs.select("image_id", "y", "side", F.explode(F.array(F.struct(F.col("x0").alias("x"), F.col("colour").alias("colour"), F.lit(1).alias("open")), F.struct(F.col("x1").alias("x"), F.col("colour").alias("colour"), F.lit(-1).alias("open")))).alias("e")).select("image_id", "y", "side", "e.*")
-    events = ends.groupBy("image_id", "y", "x").agg(*[F.sum(F.when(F.col("side") == s, F.col("open")).otherwise(0)).alias(s) for s in ("before", "after", "cover")], *[F.max(F.when((F.col("side") == s) & (F.col("open") == 1), F.col("colour"))).alias(f"{s}_colour") for s in ("before", "after")])
+    opens = F.struct(F.col("x0").alias("x"), F.col("colour").alias("colour"), F.lit(1).alias("open"))
+    shuts = F.struct(F.col("x1").alias("x"), F.col("colour").alias("colour"), F.lit(-1).alias("open"))
+    ends = runs.select("image_id", "y", "side", F.explode(F.array(opens, shuts)).alias("e")).select("image_id", "y", "side", "e.*")
+    ends = ends.repartition("image_id")
+    names = ["before", "after", "cover"]
+    is_open = F.col("open") == 1
+    events = ends.groupBy("image_id", "y", "x").agg(
+        *[F.sum(F.when(F.col("side") == s, F.col("open")).otherwise(0)).alias(s) for s in names],
+        *[F.max(F.when((F.col("side") == s) & is_open, F.col("colour"))).alias(f"{s}_colour") for s in names[:2]],
+    )
     line = Window.partitionBy("image_id", "y").orderBy("x")
     so_far = line.rowsBetween(Window.unboundedPreceding, 0)
-    pieces = events.select("image_id", *[F.sum(s).over(so_far).alias(s) for s in ("before", "after", "cover")], *[F.last(f"{s}_colour", ignorenulls=True).over(so_far).alias(f"{s}_colour") for s in ("before", "after")], F.lead("x").over(line).alias("next")).where("next is not null")
-    right = F.when(F.col("cover") > 0, F.col("after_colour") == fill).otherwise(F.col("after_colour") == F.col("before_colour")) & (F.col("before") == 1) & (F.col("after") == 1)
+    pieces = events.select(
+        "image_id",
+        *[F.sum(s).over(so_far).alias(s) for s in names],
+        *[F.last(f"{s}_colour", ignorenulls=True).over(so_far).alias(f"{s}_colour") for s in names[:2]],
+        F.lead("x").over(line).alias("next"),
+    ).where("next is not null")
+    same = F.when(F.col("cover") > 0, F.col("after_colour") == fill).otherwise(F.col("after_colour") == F.col("before_colour"))
+    right = same & (F.col("before") == 1) & (F.col("after") == 1)
     return pieces.groupBy("image_id").agg(F.bool_and(F.coalesce(right, F.lit(False))).alias("verified"))
 
 
 def redaction_batch(manifest: DataFrame, images: DataFrame, regions: DataFrame) -> DataFrame:
     """Per manifest row (item_index, image_id, input_path, output_path): status redacted or failed, a code, and the redacted pixels. One failure does not stop the others."""
-    checked = manifest.join(validate_regions(images, regions), "image_id", "left").join(images.select("image_id", F.lit(True).alias("_known")), "image_id", "left").join(covered_pixels(regions), "image_id", "left")
-    code = F.when(F.col("_known").isNull(), "missing_image").when(F.col("input_path") == F.col("output_path"), "output_is_input").otherwise(F.col("reason"))
-    return checked.select("item_index", "image_id", F.when(code.isNull(), "redacted").otherwise("failed").alias("status"), code.alias("code"), F.when(code.isNull(), F.col("covered")).otherwise(0).cast("long").alias("redacted_pixels"))
+    known = images.select("image_id", F.lit(True).alias("_known"))
+    checked = manifest.join(validate_regions(images, regions), "image_id", "left").join(known, "image_id", "left")
+    checked = checked.join(covered_pixels(regions), "image_id", "left")
+    same = F.col("input_path") == F.col("output_path")
+    code = F.when(F.col("_known").isNull(), "missing_image").when(same, "output_is_input").otherwise(F.col("reason"))
+    status = F.when(code.isNull(), "redacted").otherwise("failed")
+    pixels = F.when(code.isNull(), F.col("covered")).otherwise(0).cast("long")
+    return checked.select("item_index", "image_id", status.alias("status"), code.alias("code"), pixels.alias("redacted_pixels"))
+
+
+def batch_totals(items: DataFrame) -> DataFrame:
+    """One row over a batch's items (status): total_item_count, succeeded_item_count, failed_item_count."""
+    return items.agg(
+        F.count("*").alias("total_item_count"),
+        F.count_if(F.col("status") == "redacted").alias("succeeded_item_count"),
+        F.count_if(F.col("status") == "failed").alias("failed_item_count"),
+    )

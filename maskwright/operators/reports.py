@@ -5,7 +5,7 @@ Checks return the input's ids with ``violations``, an array of short reasons tha
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions.spans import DEFAULT, Detector, Registry, label_counts, with_spans
 from ..functions.text import is_blank, normalize_labels, squash_ws
+from ..sources.scratch import written
 
 # Contract of a hand-over of recognised text.
 CANDIDATE = "PP-OCRv5_mobile_rec"
@@ -23,19 +24,73 @@ HANDOFF_STATUSES = ["deterministic_synthetic_fixture_fallback", "ppocrv5_local_i
 HANDOFF_SCOPE = "printed_text_line_extraction_only"
 TEXT_CONTRACT = "text_only_normalized_input"
 HANDOFF_NON_GOALS = ["visual_redaction", "final_pdf_rewrite_export", "handwriting_recognition", "full_page_detection_or_segmentation", "complete_ocr_pipeline"]
+HANDOFF_KEYS = [
+    "source", "extracted_text", "normalized_text", "ready_for_text_pii_eval", "candidate", "engine", "engine_status",
+    "scope", "privacy_filter_contract", "non_goals",
+]
 KNOWN_FAILURES = ["OCR input path does not exist", "OCR input path must be a file", "mock expected text fixture not found"]
 MISSING_ENGINE = "PaddleOCR is not installed locally"
 # Labels, modes, policies and keys that published summaries may have.
 SUMMARY_LABELS = ["NAME", "MRN", "EMAIL", "PHONE", "ID"]
 MODES = ["text", "mock", "summary_only"]
 PREVIEW_POLICIES = ["redacted_preview_only", "masked-only", "masked_only", "redacted_placeholders_only"]
-REVIEW_SUMMARY_KEYS = "pages page_count row_count metadata_fields metadata_field_count metadata_entry_count artifact_count ocr_required ocr_or_visual_review_required review_required review_required_count reviewed_field_count candidate_count finding_count unsupported_count unsupported_payload_count text_layer_page_count total_items metadata_only_items visual_review_required_items unsupported_items review_required_candidates".split()
-RESPONSE_KEYS = "artifact_record_count decoded_count decoded_value_count audit_event_id returned_event_count total_event_count offset limit imported_record_count skipped_record_count".split()
-SUMMARY_MARKERS = "ocr_output image_bytes visual_redaction pixel_redaction pdf_rewrite pdf_export agent_id controller_step complete_command claim".split()
-HANDOFF_MARKERS = "image_bytes image_bytes_base64 masked_text spans preview previews bbox image pdf_rewrite pdf_export visual_redaction visual_redaction_result pixel_redaction agent_id controller_step complete_command claim raw_text text ocr_output path file_path".split()
+REVIEW_SUMMARY_KEYS = [
+    "pages", "page_count", "row_count", "metadata_fields", "metadata_field_count", "metadata_entry_count",
+    "artifact_count", "ocr_required", "ocr_or_visual_review_required", "review_required", "review_required_count",
+    "reviewed_field_count", "candidate_count", "finding_count", "unsupported_count", "unsupported_payload_count",
+    "text_layer_page_count", "total_items", "metadata_only_items", "visual_review_required_items",
+    "unsupported_items", "review_required_candidates",
+]
+RESPONSE_KEYS = [
+    "artifact_record_count", "decoded_count", "decoded_value_count", "audit_event_id", "returned_event_count",
+    "total_event_count", "offset", "limit", "imported_record_count", "skipped_record_count",
+]
+SUMMARY_MARKERS = [
+    "ocr_output", "image_bytes", "visual_redaction", "pixel_redaction", "pdf_rewrite", "pdf_export", "agent_id",
+    "controller_step", "complete_command", "claim",
+]
+HANDOFF_MARKERS = [
+    "image_bytes", "image_bytes_base64", "masked_text", "spans", "preview", "previews", "bbox", "image",
+    "pdf_rewrite", "pdf_export", "visual_redaction", "visual_redaction_result", "pixel_redaction", "agent_id",
+    "controller_step", "complete_command", "claim", "raw_text", "text", "ocr_output", "path", "file_path",
+]
+BRIDGE_FIELDS = {
+    "ocr_candidate": CANDIDATE,
+    "ocr_engine": ENGINE,
+    "ocr_scope": HANDOFF_SCOPE,
+    "privacy_scope": "text_only_pii_detection",
+    "privacy_filter_engine": "fallback_synthetic_patterns",
+    "privacy_filter_contract": TEXT_CONTRACT,
+}
+QUEUE_VALUES = {
+    "status": ["review_required", "reviewed", "unsupported", "ok", "blocked", "warning", "ocr_or_visual_review_required"],
+    "kind": ["pdf_review", "text_layer", "metadata", "conservative_media", "dicom", "tabular"],
+    "format": [
+        "image", "video", "audio", "fcs", "unknown", "image/jpeg", "image/png", "image/gif", "image/tiff",
+        "application/dicom", "video/mp4", "audio/mpeg", "metadata/json",
+    ],
+    "phi_type": ["Name", "RecordId", "Date", "Location", "Contact", "FreeText", "name", "metadata_identifier"],
+    "action": ["encode", "review", "ignore", "redact", "remove"],
+}
+PDF_SUMMARY_KEYS = [
+    "total_pages", "pages_with_text", "ocr_required_pages", "handwriting_review_required_pages", "candidate_count",
+    "requires_ocr", "status",
+]
+PDF_STATUS_KEYS = ["page", "status", "requires_ocr", "requires_handwriting_review", "candidate_count"]
 HANDOFF_TOP_ONLY = ["extracted_text", "normalized_text", "source"]
-BYTE_KEYS = "mediabytes mediabytesbase64 bytes bytesbase64 filebytes base64 payload payloadbase64 imagebytes audiobytes videobytes".split()
-SECRET_KEYS = "artifact decoded_values records vault_passphrase".split()
+BYTE_KEYS = [
+    "mediabytes", "mediabytesbase64", "bytes", "bytesbase64", "filebytes", "base64", "payload", "payloadbase64",
+    "imagebytes", "audiobytes", "videobytes",
+]
+SECRET_KEYS = ["artifact", "decoded_values", "records", "vault_passphrase"]
+# Contract of a corpus report, and the counts of its two sample notes.
+CORPUS_KEYS = ["engine", "scope", "fixture_count", "total_detected_span_count", "fixtures", "category_counts", "non_goals"]
+FIXTURE_KEYS = ["fixture", "detected_span_count", "category_counts"]
+CORPUS_ENGINE = "fallback_synthetic_patterns"
+CORPUS_SCOPE = "text_only_synthetic_corpus"
+CORPUS_NON_GOALS = ["ocr", "visual_redaction", "image_pixel_redaction", "final_pdf_rewrite_export", "browser_ui", "desktop_ui"]
+CORPUS_RAW_VALUES = ["Jane Example", "MRN-12345", "jane@example.test", "555-111-2222"]
+GOLDEN_COUNTS = {"NAME": 2, "MRN": 2, "EMAIL": 1, "PHONE": 2}
 SENTINELS = ["patient jane example", "mrn-", "jane@example.com", "555-123-4567", "555-", "alice smith"]
 
 
@@ -52,19 +107,25 @@ def _counts_map(counts: Column) -> Column:
 # ---- texts
 
 
-def corpus_report(docs: DataFrame, text_col: str, name_col: str, detectors: Sequence[Detector] | Registry = DEFAULT) -> DataFrame:
+def corpus_report(
+    docs: DataFrame, text_col: str, name_col: str, detectors: Sequence[Detector] | Registry = DEFAULT
+) -> DataFrame:
     """(fixture, label, n): per document and label, with nulls for the totals; documents are named by their place, ``fixture_001`` and on, by the sorted names.
 
-    Places come from sorted ranges of names and their sizes, so that no task sorts all of them.
+    Places come from sorted ranges of names and their sizes, so that no task sorts all of them; the ranges are written, so that all see the same ones.
     """
     names = docs.select(name_col).distinct()
-    ranged = names.repartitionByRange(F.col(name_col)).withColumn("_part", F.spark_partition_id())
+    ranged = written(names.repartitionByRange(F.col(name_col)).withColumn("_part", F.spark_partition_id()), "names")
     places = ranged.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(name_col)))
+    # One row for each range.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    named = places.join(F.broadcast(starts), "_part").select(name_col, F.format_string("fixture_%03d", F.col("_start") + F.col("_nth")).alias("fixture"))
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.format_string("fixture_%03d", F.col("_start") + F.col("_nth"))
+    named = places.join(F.broadcast(starts), "_part").select(name_col, place.alias("fixture"))
     counts = label_counts(docs, text_col, [name_col], detectors)
-    return counts.join(named, name_col).rollup("fixture", "label").agg(F.sum("n").alias("n")).where("fixture is not null or label is null")
+    rolled = counts.join(named, name_col).rollup("fixture", "label").agg(F.sum("n").alias("n"))
+    return rolled.where("fixture is not null or label is null")
 
 
 def corpus_summary(docs: DataFrame, text_col: str, detectors: Sequence[Detector] | Registry = DEFAULT) -> DataFrame:
@@ -110,18 +171,87 @@ def check_text_report(reports: DataFrame, id_cols: Sequence[str], labels: Sequen
     return reports.select(*id_cols, bad.alias("violations"))
 
 
-def check_corpus_report(reports: DataFrame, json_col: str, id_cols: Sequence[str], allowed: Sequence[str], required_non_goals: Sequence[str], labels: Sequence[str] = tuple(P.LABELS)) -> DataFrame:
-    """Violations of corpus reports in JSON: keys outside ``allowed``, labels, counts that don't add up, and missing non-goals."""
-    report = F.col(json_col)
-    counts = F.from_json(F.get_json_object(report, "$.category_counts"), "map<string,bigint>")
-    goals = F.from_json(F.get_json_object(report, "$.non_goals"), "array<string>")
-    total = F.get_json_object(report, "$.total_detected_span_count").try_cast("bigint")
+def _variant_map(v: Column) -> Column:
+    """The members of a JSON object, null for other JSON."""
+    return F.when(json_type(v) == "OBJECT", v.cast("map<string,variant>"))
+
+
+def json_type(v: Column) -> Column:
+    """OBJECT, ARRAY, STRING, BOOLEAN, BIGINT, DECIMAL, DOUBLE or VOID; null for a missing value."""
+    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+
+
+def _member(object_: Column, key: str) -> Column:
+    return F.try_element_at(object_, F.lit(key))
+
+
+def _elements(v: Column) -> Column:
+    """The elements of a JSON array, null for other JSON."""
+    return F.when(json_type(v) == "ARRAY", v.cast("array<variant>"))
+
+
+def _whole(v: Column) -> Column:
+    """A JSON number that is whole and not negative, else null."""
+    number = F.when(json_type(v) == "BIGINT", v.cast("bigint"))
+    return F.when(number >= 0, number)
+
+
+def _bad_counts(v: Column, labels: Sequence[str]) -> Column:
+    """Whether a value is no object of allowed labels with whole counts."""
+    counts = _variant_map(v)
+    wrong = F.exists(F.map_entries(counts), lambda e: ~e["key"].isin(*labels) | _whole(e["value"]).isNull())
+    return F.coalesce(wrong, F.lit(True))
+
+
+def check_corpus_report(
+    reports: DataFrame,
+    json_col: str,
+    id_cols: Sequence[str],
+    labels: Sequence[str] = tuple(P.LABELS),
+    raw_values: Sequence[str] = tuple(CORPUS_RAW_VALUES),
+    golden: bool = False,
+) -> DataFrame:
+    """Violations of corpus reports in JSON: keys, engine, scope, network use, numbers and shapes, counts that don't add up, non-goals, raw values.
+
+    A report of two fixtures, and with ``golden`` any report, has to have the counts of the two sample notes.
+    """
+    report = _variant_map(F.try_parse_json(F.col(json_col)))
+    keys = F.map_keys(report)
+    fixtures, goals = _elements(_member(report, "fixtures")), _elements(_member(report, "non_goals"))
+    n, total = _whole(_member(report, "fixture_count")), _whole(_member(report, "total_detected_span_count"))
+    counts = _variant_map(_member(report, "category_counts"))
+    summed = F.aggregate(F.map_values(counts), F.lit(0).cast("long"), lambda a, v: a + F.coalesce(_whole(v), F.lit(0)))
+    off = total < 4
+    for label, want in GOLDEN_COUNTS.items():
+        off = off | ~F.coalesce(_whole(_member(counts, label)) == want, F.lit(False))
+    is_golden = F.lit(True) if golden else n == 2
+
+    def text(v: Column) -> Column:
+        return F.when(json_type(v) == "STRING", v.cast("string"))
+
+    def bad_fixture(v: Column) -> Column:
+        own = _variant_map(v)
+        extra = F.size(F.array_except(F.map_keys(own), F.array(*map(F.lit, FIXTURE_KEYS)))) > 0
+        parts = text(_member(own, "fixture")).isNull() | _whole(_member(own, "detected_span_count")).isNull()
+        return F.coalesce(extra | parts | _bad_counts(_member(own, "category_counts"), labels), F.lit(True))
+
+    network = _member(report, "network_api_called")
     bad = _violations(
-        keys=F.size(F.array_except(F.json_object_keys(report), F.array(*[F.lit(k) for k in allowed]))) > 0,
-        label=F.exists(F.map_keys(counts), lambda k: ~k.isin(*labels)),
-        counts=F.aggregate(F.map_values(counts), F.lit(0).cast("long"), lambda a, b: a + b) != total,
-        negative=F.exists(F.map_values(counts), lambda v: v < 0) | (total < 0),
-        non_goals=F.size(F.array_except(F.array(*[F.lit(g) for g in required_non_goals]), goals)) > 0,
+        not_an_object=report.isNull(),
+        missing_key=F.size(F.array_except(F.array(*map(F.lit, CORPUS_KEYS)), keys)) > 0,
+        unexpected_key=F.size(F.array_except(keys, F.array(*map(F.lit, [*CORPUS_KEYS, "network_api_called"])))) > 0,
+        network=F.when(F.array_contains(keys, "network_api_called"), F.to_json(network) != "false").otherwise(F.lit(False)),
+        engine=text(_member(report, "engine")) != CORPUS_ENGINE,
+        scope=text(_member(report, "scope")) != CORPUS_SCOPE,
+        fixture_count=(n == 0) | (n != F.size(fixtures)),
+        total=total == 0,
+        category_counts=_bad_counts(_member(report, "category_counts"), labels),
+        counts=summed != total,
+        golden=is_golden & off,
+        non_goals=F.exists(goals, lambda g: ~F.coalesce(text(g).isin(*CORPUS_NON_GOALS), F.lit(False))),
+        required_non_goal=~F.exists(goals, lambda g: F.coalesce(text(g) == "visual_redaction", F.lit(False))),
+        fixtures=F.exists(fixtures, bad_fixture),
+        raw_value=F.exists(F.array(*map(F.lit, raw_values)), lambda x: F.col(json_col).contains(x)),
     )
     return reports.select(*id_cols, bad.alias("violations"))
 
@@ -272,6 +402,31 @@ def check_handoff(df: DataFrame, id_cols: Sequence[str]) -> DataFrame:
     return df.select(*id_cols, bad.alias("violations"))
 
 
+def check_handoff_json(df: DataFrame, json_col: str, id_cols: Sequence[str]) -> DataFrame:
+    """Violations of hand-overs in JSON: missing keys and wrong types, and those of ``check_handoff``."""
+    whole = _variant_map(F.try_parse_json(F.col(json_col)))
+    types = {k: "STRING" for k in HANDOFF_KEYS} | {"ready_for_text_pii_eval": "BOOLEAN", "non_goals": "ARRAY"}
+    wrong = F.lit(False)
+    for key, kind in types.items():
+        wrong = wrong | ~F.coalesce(json_type(_member(whole, key)) == kind, F.lit(False))
+    goals = _elements(_member(whole, "non_goals"))
+    wrong = wrong | F.coalesce(F.exists(goals, lambda g: json_type(g) != "STRING"), F.lit(False))
+    outer = _violations(
+        not_an_object=whole.isNull(),
+        missing_key=F.size(F.array_except(F.array(*map(F.lit, HANDOFF_KEYS)), F.map_keys(whole))) > 0,
+        type=wrong,
+    )
+
+    def read(key: str) -> Column:
+        if key == "non_goals":
+            return F.transform(goals, lambda g: g.try_cast("string"))
+        return _member(whole, key).try_cast("boolean" if types[key] == "BOOLEAN" else "string")
+
+    parts = df.select(*id_cols, outer.alias("_outer"), *[read(k).alias(k) for k in HANDOFF_KEYS])
+    inner = check_handoff(parts, [*id_cols, "_outer"])
+    return inner.select(*id_cols, F.concat("_outer", "violations").alias("violations"))
+
+
 def handoff_readiness(df: DataFrame) -> DataFrame:
     """One row: document_count, ready_document_count, total_char_count, all_ready (with at least one document)."""
     ready = F.col("ready_for_text_pii_eval")
@@ -301,29 +456,129 @@ def text_match(actual: DataFrame, expected: DataFrame, id_col: str, text_col: st
 # ---- what may be shown
 
 
-def safe_handoff_summary(df: DataFrame, json_col: str, id_cols: Sequence[str]) -> DataFrame:
-    """The fixed fields of a hand-over, each only if it has the value that it must have; and whether the text is ready."""
-    at = lambda k: F.get_json_object(json_col, f"$.{k}")
-    fixed = {"candidate": [CANDIDATE], "engine": [ENGINE], "engine_status": [*HANDOFF_STATUSES, REAL_STATUS], "scope": [HANDOFF_SCOPE], "privacy_filter_contract": [TEXT_CONTRACT]}
-    marks = check_markers(df, json_col, [*id_cols, json_col], HANDOFF_MARKERS, HANDOFF_TOP_ONLY)
-    clean = F.size("violations") == 0
-    return marks.select(*id_cols, *[F.when(clean, _one_of(at(k), v)).alias(k) for k, v in fixed.items()], F.when(clean, at("ready_for_text_pii_eval") == "true").alias("ready"))
+def _primitive(v: Column) -> Column:
+    """The value if it is no array or object."""
+    return F.when(~json_type(v).isin("ARRAY", "OBJECT"), v)
 
 
-def safe_review_queue(df: DataFrame, json_col: str, id_cols: Sequence[str], kinds: Sequence[str], statuses: Sequence[str]) -> DataFrame:
-    """(ids, nth, kind, status, confidence, field, note) of a queue in JSON: kinds and statuses of the lists, fields and notes replaced."""
-    entries = F.from_json(json_col, "array<struct<kind:string,status:string,confidence:string,field:string,note:string>>")
-    rows = df.select(*id_cols, F.posexplode(entries).alias("nth", "e"))
-    redacted = lambda k: F.when(F.col(f"e.{k}").isNotNull(), "redacted")
-    return rows.select(*id_cols, "nth", F.coalesce(_one_of(F.col("e.kind"), kinds), F.lit("other")).alias("kind"), F.coalesce(_one_of(F.col("e.status"), statuses), F.lit("other")).alias("status"), F.col("e.confidence").try_cast("double").alias("confidence"), redacted("field").alias("field"), redacted("note").alias("note"))
+def _kept(object_: Column, keys: Sequence[str], good: Callable[[Column], Column]) -> Column:
+    """JSON text of those of the keys whose value ``good`` keeps, in the order of the keys; an empty object if there are none."""
+    entries = [F.struct(F.lit(k).alias("key"), F.to_json(good(_member(object_, k))).alias("value")) for k in keys]
+    shown = F.filter(F.array(*entries), lambda e: e["value"].isNotNull())
+    return F.concat(F.lit("{"), F.array_join(F.transform(shown, lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])), ","), F.lit("}"))
 
 
-def safe_pdf_report(df: DataFrame, json_col: str, id_cols: Sequence[str], keys: Sequence[str] = tuple(REVIEW_SUMMARY_KEYS)) -> DataFrame:
-    """(ids, summary, page_statuses): the summary's allowed keys with numbers, booleans or nulls, and of each page its number, kind and status."""
-    summary = F.get_json_object(json_col, "$.summary")
-    kept = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), F.get_json_object(summary, f"$.{k}").alias("value")) for k in keys]), lambda e: e["value"].rlike(r"^(?:-?[0-9][0-9.eE+-]*|true|false)$"))
-    pages = F.from_json(F.get_json_object(json_col, "$.page_statuses"), "array<struct<page:int,kind:string,status:string>>")
-    return df.select(*id_cols, F.map_from_entries(kept).alias("summary"), pages.alias("page_statuses"))
+def safe_handoff_summary(df: DataFrame, json_col: str, id_cols: Sequence[str]) -> DataFrame:
+    """The fixed fields of a hand-over, each only if it has the value that it must have; whether the text is ready; line and character counts; known non-goals."""
+    whole = _variant_map(F.try_parse_json(F.col(json_col)))
+    fixed = {
+        "candidate": [CANDIDATE],
+        "engine": [ENGINE],
+        "engine_status": [*HANDOFF_STATUSES, REAL_STATUS],
+        "scope": [HANDOFF_SCOPE],
+        "privacy_filter_contract": [TEXT_CONTRACT],
+    }
+    marks = check_markers(df, json_col, [*id_cols, json_col], HANDOFF_MARKERS, HANDOFF_TOP_ONLY)
+    clean = F.size("violations") == 0
+    fields = {k: _one_of(_member(whole, k).try_cast("string"), v) for k, v in fixed.items()}
+    fields["ready"] = F.coalesce(_member(whole, "ready_for_text_pii_eval").try_cast("boolean"), F.lit(False))
+    fields |= {k: _whole(_member(whole, k)) for k in ("line_count", "char_count")}
+    goals = F.transform(_elements(_member(whole, "non_goals")), lambda g: g.try_cast("string"))
+    fields["non_goals"] = F.coalesce(F.filter(goals, lambda g: g.isin(*HANDOFF_NON_GOALS)), F.array().cast("array<string>"))
+    return marks.select(*id_cols, *[F.when(clean, c).alias(k) for k, c in fields.items()])
+
+
+def safe_bridge_summary(df: DataFrame, json_col: str, id_cols: Sequence[str], labels: Sequence[str] = tuple(SUMMARY_LABELS)) -> DataFrame:
+    """What may be shown of a report from recognised text to detected identifiers: fixed fields with their one value, the span count, and counts of allowed labels."""
+    whole = _variant_map(F.try_parse_json(F.col(json_col)))
+    fields = {k: _one_of(_member(whole, k).try_cast("string"), [v]) for k, v in BRIDGE_FIELDS.items()}
+    for key, want in (("ready_for_text_pii_eval", True), ("network_api_called", False)):
+        value = F.when(json_type(_member(whole, key)) == "BOOLEAN", _member(whole, key).cast("boolean"))
+        fields[key] = F.when(value == want, value)
+    fields["detected_span_count"] = _whole(_member(whole, "privacy_filter_detected_span_count"))
+    counts = _variant_map(_member(whole, "privacy_filter_category_counts"))
+    fields["category_counts"] = _kept(counts, labels, lambda v: F.when(_whole(v).isNotNull(), v))
+    return df.select(*id_cols, *[c.alias(k) for k, c in fields.items()])
+
+
+def safe_review_queue(df: DataFrame, json_col: str, id_cols: Sequence[str]) -> DataFrame:
+    """A row for each entry of a report's ``review_queue`` in JSON: (ids, nth) and what may be shown of it.
+
+    Page, confidence and requires_review only if they are a whole number, a number and a boolean; status, kind, format, phi_type and action only with a value of
+    their lists; field, field_ref, reason and message by fixed words in place of what they say. Entries that are no objects have nothing to show.
+    """
+    queue = _elements(_member(_variant_map(F.try_parse_json(F.col(json_col))), "review_queue"))
+    rows = df.select(*id_cols, F.posexplode(queue).alias("nth", "_entry"))
+    entry = _variant_map(F.col("_entry"))
+    confidence, flag, reference = _member(entry, "confidence"), _member(entry, "requires_review"), _variant_map(_member(entry, "field_ref"))
+    numeric = json_type(confidence).isin("BIGINT", "DECIMAL", "DOUBLE")
+    fields = {
+        "page": _whole(_member(entry, "page")),
+        "confidence": F.when(numeric, confidence.try_cast("double")),
+        "requires_review": F.when(json_type(flag) == "BOOLEAN", flag.cast("boolean")),
+    }
+    for key, allowed in QUEUE_VALUES.items():
+        value = _member(entry, key)
+        fields[key] = _one_of(F.when(json_type(value) == "STRING", value.cast("string")), allowed)
+    keys = F.coalesce(F.map_keys(entry), F.array().cast("array<string>"))
+    fields["field"] = F.when(F.array_contains(keys, "field"), "redacted-field")
+    named = F.map_contains_key(reference, "artifact_label") & F.map_contains_key(reference, "metadata_key")
+    fields["field_ref"] = F.when(named, "redacted-artifact/redacted-field")
+    for key in ("reason", "message"):
+        fields[key] = F.when(F.array_contains(keys, key), "redacted-review-note")
+    return rows.select(*id_cols, "nth", *[c.alias(k) for k, c in fields.items()])
+
+
+def safe_review_summary(df: DataFrame, json_col: str, id_cols: Sequence[str], keys: Sequence[str] = tuple(REVIEW_SUMMARY_KEYS)) -> DataFrame:
+    """(ids, summary): the allowed keys of a report's ``summary`` that are numbers, booleans or null, as JSON; null if there is no such object."""
+    summary = _variant_map(_member(_variant_map(F.try_parse_json(F.col(json_col))), "summary"))
+    shown = _kept(summary, keys, lambda v: F.when(~json_type(v).isin("ARRAY", "OBJECT", "STRING"), v))
+    return df.select(*id_cols, F.when(summary.isNotNull(), shown).alias("summary"))
+
+
+def safe_pdf_report(df: DataFrame, json_col: str, id_cols: Sequence[str]) -> DataFrame:
+    """(ids, summary, review_queue, page_statuses, blockers and actionability) of page reports in JSON; no text of a page.
+
+    The summary, the queue's entries and the statuses keep their allowed keys that are no arrays or objects, as JSON. A page is blocked if it asks for recognition, for
+    a look at handwriting (by its flag or its status in any case) or, by either, for a visual review; the report is ready if rewriting is available and no page is.
+    """
+    whole = _variant_map(F.try_parse_json(F.col(json_col)))
+
+    def listed(key: str, keys: Sequence[str]) -> Column:
+        objects = F.filter(_elements(_member(whole, key)), lambda v: json_type(v) == "OBJECT")
+        shown = F.transform(objects, lambda v: _kept(_variant_map(v), keys, _primitive))
+        return F.concat(F.lit("["), F.coalesce(F.array_join(shown, ","), F.lit("")), F.lit("]"))
+
+    statuses = F.coalesce(F.transform(_elements(_member(whole, "page_statuses")), _variant_map), F.array().cast("array<map<string,variant>>"))
+
+    def flag(page: Column, key: str, status: str) -> Column:
+        own = F.coalesce(_member(page, key).try_cast("boolean"), F.lit(False))
+        return own | F.coalesce(F.lower(_member(page, "status").try_cast("string")) == status, F.lit(False))
+
+    def ocr(page: Column) -> Column:
+        return F.coalesce(_member(page, "requires_ocr").try_cast("boolean"), F.lit(False))
+
+    def hand(page: Column) -> Column:
+        return flag(page, "requires_handwriting_review", "handwriting_review_required")
+
+    def visual(page: Column) -> Column:
+        return flag(page, "requires_visual_review", "visual_review_required")
+
+    blocked = F.filter(statuses, lambda p: ocr(p) | hand(p) | visual(p))
+    numbers = F.transform(blocked, lambda p: _whole(_member(p, "page")))
+    n_blocked = F.size(F.array_distinct(F.array_compact(numbers))) + F.size(F.filter(numbers, lambda x: x.isNull()))
+    available = F.coalesce(_member(whole, "rewrite_available").try_cast("boolean"), F.lit(False))
+    return df.select(
+        *id_cols,
+        _kept(_variant_map(_member(whole, "summary")), PDF_SUMMARY_KEYS, _primitive).alias("summary"),
+        listed("review_queue", ["page", "kind", "status"]).alias("review_queue"),
+        listed("page_statuses", PDF_STATUS_KEYS).alias("page_statuses"),
+        F.size(F.filter(statuses, ocr)).cast("long").alias("ocr_pages"),
+        F.size(F.filter(statuses, visual)).cast("long").alias("visual_review_pages"),
+        F.size(F.filter(statuses, hand)).cast("long").alias("handwriting_pages"),
+        n_blocked.cast("long").alias("blocked_pages"),
+        (available & (n_blocked == 0)).alias("rewrite_ready"),
+    )
 
 
 def safe_response_metadata(df: DataFrame, json_col: str, id_cols: Sequence[str], keys: Sequence[str] = tuple(RESPONSE_KEYS)) -> DataFrame:

@@ -6,10 +6,13 @@ of insertion. A record is identified by its scope (job, artifact, field path), t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, scope_key
+from ..sources.scratch import written
 
 SCOPE = ["job_id", "artifact_id", "field_path"]
 IDENTITY = ["phi_type", "original_value"]
@@ -92,7 +95,7 @@ def export_subset(vault: DataFrame, ids: DataFrame, contexts: DataFrame) -> tupl
     return known.join(good, "request_id", "left_semi").select("request_id", "ordinal", "record_id", *RECORD, "token"), rejected
 
 
-def _first_wins(rows: DataFrame, write: object) -> DataFrame:
+def _first_wins(rows: DataFrame, write: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Of rows with ``ord``, ``id`` and ``record``, those that a scan in order would keep, if it drops a row whose id or record a kept row has.
 
     Each round keeps the undecided rows that are first both for their id and their record, and drops those that share either with a kept row. Without conflicts
@@ -110,11 +113,11 @@ def _first_wins(rows: DataFrame, write: object) -> DataFrame:
             return kept.select("ord")
 
 
-def import_snapshot(vault: DataFrame, snapshot: DataFrame, write: object = lambda df: df) -> DataFrame:
+def import_snapshot(vault: DataFrame, snapshot: DataFrame, write: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
     """The rows of ``snapshot`` (ord, id, scope, type, value, token) with ``outcome`` imported or duplicate and the ``token`` they get.
 
     A row is a duplicate if its id or record is in the vault or in a kept row before it; an imported value that is known takes the known token, else that of the
-    first kept row. ``write`` materialises the rounds, for long chains of conflicts.
+    first kept row. ``write`` materialises each round, by default as a table in the shared folder, so that a round does not run those before it again.
     """
     record = F.to_json(F.struct(*RECORD), {"ignoreNullFields": "false"})
     seen = snapshot.withColumn("record", record)

@@ -320,16 +320,6 @@ def text_report_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 TEXT_REPORT_SQL = """SELECT event_id, array_to_string(list_filter([CASE WHEN event_id % 7 = 0 THEN 'span_count' END, CASE WHEN event_id % 5 = 0 THEN 'label' END, CASE WHEN event_id % 3 = 0 THEN 'order' END, CASE WHEN event_id % 5 = 0 THEN 'category_counts' END, CASE WHEN event_id % 11 = 0 THEN 'masked_text' END], lambda x: x IS NOT NULL), ',') AS violations FROM events"""
 
 
-def corpus_report_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("event_id")
-    j = F.concat(F.lit('{"category_counts":{"NAME":'), (n % 4).cast("string"), F.lit(',"MRN":2},"total_detected_span_count":'), F.lit("4"), F.when(n % 6 == 0, ',"raw":1').otherwise(F.lit("")), F.lit(',"non_goals":["a"'), F.when(n % 5 > 0, ',"b"').otherwise(F.lit("")), F.lit("]}"))
-    e = table(spark, sf_dir, "events").select("event_id", j.alias("j"))
-    return R.check_corpus_report(e, "j", ["event_id"], ["category_counts", "total_detected_span_count", "non_goals"], ["a", "b"]).withColumn("violations", F.array_join("violations", ","))
-
-
-CORPUS_CHECK_SQL = """SELECT event_id, array_to_string(list_filter([CASE WHEN event_id % 6 = 0 THEN 'keys' END, CASE WHEN event_id % 4 <> 2 THEN 'counts' END, CASE WHEN event_id % 5 = 0 THEN 'non_goals' END], lambda x: x IS NOT NULL), ',') AS violations FROM events"""
-
-
 def leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("note of MRN-7 "), F.col("p_name"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("see /var/tmp/"), F.col("p_brand"))).otherwise(F.concat(F.col("p_name"), F.lit(" report.PDF"))).alias("t"))
     return R.check_leaks(p, ["t"], ["p_partkey"]).withColumn("violations", F.array_join("violations", ","))
@@ -350,14 +340,6 @@ def byte_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.reject_byte_payload(table(spark, sf_dir, "events").select("event_id", j.alias("j")), "j")[1]
 
 
-def redacted_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = F.concat(F.lit('{"id":'), F.col("event_id"), F.lit(',"records":[{"a":["x"]}],"in":{"artifact":"s\\"x","k":'), F.col("props"), F.lit("}}"))
-    return table(spark, sf_dir, "events").select("event_id", R.redact_report_keys(j).alias("json"))
-
-
-REDACTED_SQL = """SELECT event_id, '{"id":' || event_id || ',"records":"<redacted>","in":{"artifact":"<redacted>","k":' || props || '}}' AS json FROM events"""
-
-
 def external_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("event_id")
     j = F.concat(F.lit('{"entities":[{"type":"NAME","begin":'), (n % 40).cast("string"), F.lit(',"stop":"50"},{"label":"'), F.when(n % 10 == 0, "DOG").otherwise("MRN"), F.lit('","start":7,"end":"x"}]}'))
@@ -385,31 +367,6 @@ def privacy_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 PRIVACY_SQL = """SELECT event_id, CASE WHEN ok THEN 'text' END AS mode, CASE WHEN ok THEN 'e1' END AS engine, CASE WHEN ok THEN 'masked_only' END AS preview_policy, CASE WHEN ok THEN event_id END AS input_char_count, CASE WHEN ok THEN 1 END AS detected_span_count, CASE WHEN ok THEN '{"NAME":1}' END AS category_counts FROM (SELECT event_id, event_id % 5 > 0 AND event_id % 7 > 0 AS ok FROM events)"""
 
 
-def handoff_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = R.handoff(_turns(spark, sf_dir), "text", ["conv_id", "turn"])[0].withColumn("engine", F.when(F.col("turn") % 2 == 0, F.col("engine")).otherwise("secret engine"))
-    j = S.to_report_json(rows, ["candidate", "engine", "engine_status", "scope", "ready_for_text_pii_eval"], "j")
-    return R.safe_handoff_summary(j, "j", ["conv_id", "turn"]).groupBy("engine", "candidate", "ready").agg(F.count("*").alias("n"))
-
-
-HANDOFF_SUMMARY_SQL = r"""SELECT CASE WHEN turn % 2 = 0 THEN 'PP-OCRv5-mobile-bounded-spike' END AS engine, 'PP-OCRv5_mobile_rec' AS candidate, true AS ready, count(*) AS n FROM (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY ALL) WHERE regexp_matches(text, '\S') GROUP BY 1"""
-
-
-def safe_review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = F.concat(F.lit('[{"kind":"'), F.col("event_type"), F.lit('","status":"open","confidence":"0.5","field":"f"},{"kind":"click","status":"?","note":"n"}]'))
-    return R.safe_review_queue(table(spark, sf_dir, "events").select("event_id", j.alias("j")), "j", ["event_id"], ["click", "error"], ["open"])
-
-
-QUEUE_SQL = """SELECT event_id, 0 AS nth, CASE WHEN event_type IN ('click', 'error') THEN event_type ELSE 'other' END AS kind, 'open' AS status, 0.5::DOUBLE AS confidence, 'redacted' AS field, NULL AS note FROM events UNION ALL SELECT event_id, 1, 'click', 'other', NULL, NULL, 'redacted' FROM events"""
-
-
-def safe_pdf_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = F.concat(F.lit('{"summary":{"pages":'), F.col("event_id"), F.lit(',"name":"x","ocr_required":true,"page_count":"9 pages"},"page_statuses":[{"page":1,"status":"ok","text":"raw"}]}'))
-    return R.safe_pdf_report(table(spark, sf_dir, "events").select("event_id", j.alias("j")), "j", ["event_id"]).select("event_id", F.to_json("summary").alias("summary"), F.to_json("page_statuses").alias("page_statuses"))
-
-
-PDF_SQL = """SELECT event_id, '{"pages":"' || event_id || '","ocr_required":"true"}' AS summary, '[{"page":1,"status":"ok"}]' AS page_statuses FROM events"""
-
-
 def response_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = F.concat(F.lit('{"event_count":'), F.col("event_id"), F.lit(',"limit":[1],"offset":3,"events":[{}]}'))
     return R.safe_response_metadata(table(spark, sf_dir, "events").select("event_id", j.alias("j")), "j", ["event_id"]).select("event_id", "total_event_count", "limit", "offset")
@@ -426,20 +383,13 @@ MANIFEST_SQL = """SELECT s_suppkey, 'document-1' AS document_id, 2 AS page_count
 UNION ALL SELECT s_suppkey, 'bad_document', 0, NULL FROM supplier WHERE s_suppkey % 6 = 0 OR s_suppkey % 5 = 0"""
 
 
-def file_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ext = F.element_at(F.array(*[F.lit(x) for x in ("a.CSV", "b.xlsx", "x.dicom", "case-portable.json", "meta.json", "n.txt")]), (F.col("p_partkey") % 6 + 1).cast("int"))
-    return S.classify_files(table(spark, sf_dir, "part").select(F.concat_ws("/", F.col("p_partkey"), ext).alias("path"), (F.col("p_partkey") * 20000).alias("length"))).groupBy("kind", "reason").agg(F.count("*").alias("n"))
-
-
-KINDS_SQL = """SELECT ['csv', 'xlsx', 'dicom', 'portable', 'media_metadata', NULL][p_partkey % 6 + 1] AS kind, CASE WHEN p_partkey % 6 = 5 THEN 'unsupported' WHEN p_partkey * 20000 > 10485760 THEN 'too_large' END AS reason, count(*) AS n FROM part GROUP BY ALL"""
-
 QUERIES = {
     "page_status": page_status, "page_candidates": page_candidates, "document_summary": document_summary, "clean_gate": clean_gate, "page_blockers": page_blockers, "page_actionability": page_actionability,
     "dicom_phi": dicom_phi, "dicom_private_policy": dicom_private_policy, "dicom_uid_remap": dicom_remap, "dicom_summary": dicom_summary, "media_candidates": media_candidates, "media_summary": media_summary, "media_rejected": media_rejected,
     "keyword_replace": keyword_replace, "media_queue": media_queue, "region_validation": region_validation, "region_coverage": region_coverage, "redaction_verify": redaction_verify, "redaction_batch": redaction_batch, "region_json": region_json,
     "ocr_quality": ocr_quality, "ocr_documents": ocr_documents, "handoff_check": handoff_check, "handoff_readiness": handoff_readiness, "text_match": text_match, "ocr_bridge": ocr_bridge, "text_report_violations": text_report_check,
-    "corpus_report_violations": corpus_report_check, "leak_check": leak_check, "marker_check": marker_check, "byte_payloads": byte_payloads, "redacted_json": redacted_json, "external_spans": external_spans, "failure_classes": failure_classes,
-    "privacy_summaries": privacy_summaries, "handoff_summaries": handoff_summaries, "safe_review_queue": safe_review_queue, "safe_pdf_reports": safe_pdf_reports, "response_metadata": response_metadata, "manifest_pages": manifest_pages, "file_kinds": file_kinds,
+    "leak_check": leak_check, "marker_check": marker_check, "byte_payloads": byte_payloads, "external_spans": external_spans, "failure_classes": failure_classes,
+    "privacy_summaries": privacy_summaries, "response_metadata": response_metadata, "manifest_pages": manifest_pages,
 }
 ORACLES = {
     "page_status": f"WITH {_PAGES} SELECT artifact, page_number, CASE WHEN k > 0 THEN 'text_layer_present' WHEN hand THEN 'handwriting_review_required' ELSE 'ocr_required' END AS status FROM kinds", "page_candidates": PAGE_CANDIDATES_SQL, "document_summary": _DOC_SUMMARY,
@@ -448,8 +398,8 @@ ORACLES = {
     "keyword_replace": KEYWORD_SQL, "media_queue": MEDIA_QUEUE_SQL, "region_validation": f"WITH {_REGIONS} SELECT * FROM v", "region_coverage": COVERAGE_SQL, "redaction_verify": "SELECT o_orderkey AS image_id, o_orderkey % 10 > 0 AND o_orderkey % 12 > 0 AS verified FROM orders", "redaction_batch": BATCH_SQL,
     "region_json": """SELECT s_suppkey AS image_id, NULL::INT AS "index", 'not_a_filled_array' AS reason FROM supplier WHERE s_suppkey % 10 = 0 UNION ALL SELECT s_suppkey, 1, 'bad_region' FROM supplier WHERE s_suppkey % 10 > 0 AND s_suppkey % 4 = 0""",
     "ocr_quality": OCR_QUALITY_SQL, "ocr_documents": OCR_DOCUMENTS_SQL, "handoff_check": HANDOFF_SQL, "handoff_readiness": READINESS_SQL, "text_match": "SELECT DISTINCT conv_id || '-' || turn AS id, turn <> 1 AND turn < 3 AS matched FROM conversations",
-    "ocr_bridge": "SELECT doc_id, 1 AS EMAIL, 1 AS MRN, 1 AS NAME, 0 AS PHONE, 3 AS detected_span_count FROM documents WHERE doc_id % 7 > 0", "text_report_violations": TEXT_REPORT_SQL, "corpus_report_violations": CORPUS_CHECK_SQL,
+    "ocr_bridge": "SELECT doc_id, 1 AS EMAIL, 1 AS MRN, 1 AS NAME, 0 AS PHONE, 3 AS detected_span_count FROM documents WHERE doc_id % 7 > 0", "text_report_violations": TEXT_REPORT_SQL, 
     "leak_check": "SELECT p_partkey, ['sentinel', 'path_like', 'filename_like'][p_partkey % 3 + 1] AS violations FROM part", "marker_check": MARKER_SQL, "byte_payloads": "SELECT event_id, 'byte_payload' AS reason FROM events WHERE event_id % 6 = 0 OR event_id % 5 = 0",
-    "redacted_json": REDACTED_SQL, "external_spans": EXTERNAL_SQL, "failure_classes": FAILURE_SQL, "privacy_summaries": PRIVACY_SQL, "handoff_summaries": HANDOFF_SUMMARY_SQL, "safe_review_queue": QUEUE_SQL, "safe_pdf_reports": PDF_SQL,
-    "response_metadata": """SELECT event_id, event_id::VARCHAR AS total_event_count, NULL AS "limit", '3' AS "offset" FROM events""", "manifest_pages": MANIFEST_SQL, "file_kinds": KINDS_SQL,
+    "external_spans": EXTERNAL_SQL, "failure_classes": FAILURE_SQL, "privacy_summaries": PRIVACY_SQL, 
+    "response_metadata": """SELECT event_id, event_id::VARCHAR AS total_event_count, NULL AS "limit", '3' AS "offset" FROM events""", "manifest_pages": MANIFEST_SQL,
 }

@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 DERIVED = """concat('Patient Jane Example MRN-', doc_id, ' age ', doc_id % 130, ' fax 555-222-', lpad(cast(doc_id % 10000 as string), 4, '0'), '; seen 2024-0', doc_id % 9 + 1, '-1', doc_id % 10,
  ' SSN 123-45-', lpad(cast(doc_id % 10000 as string), 4, '0'), ' passport ', 100000000 + doc_id, ' insurance ID ABC', 1000000 + doc_id, ' DEA AB', 1234500 + doc_id % 100,
  ' at facility North Valley Hospital, NPI 12345', 67000 + doc_id % 1000, ', license plate ABC-', doc_id % 9000 + 1000, ' vin 1HGCM82633A', 100000 + doc_id % 900000, ' DL D', 1000000 + doc_id % 9000000,
- ' web https://example', doc_id % 7, '.org/a zip ', 10000 + doc_id % 90000, '; ', doc_id % 900 + 1, ' Oak Street; ID ', doc_id, '. ', coalesce(text, ''))"""
+ CASE WHEN doc_id % 4 > 0 THEN concat(' web https://example', doc_id % 7, '.org/a') ELSE '' END, CASE WHEN doc_id % 6 = 1 THEN ' and http://b.example.com/x?y=1' ELSE '' END, ' zip ', 10000 + doc_id % 90000, '; ', doc_id % 900 + 1, ' Oak Street; ID ', doc_id, '. ', coalesce(text, ''))"""
 
 
 def _derived(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,13 +74,25 @@ def text_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", "summary.input_char_count", "summary.detected_span_count", F.to_json("summary.category_counts").alias("category_counts"), F.sha2("masked_text", 256).alias("masked_sha256"))
 
 
-def corpus_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans by document and label with totals, of the derived texts' NAME, MRN and SSN."""
-    return R.corpus_report(_derived(spark, sf_dir).withColumn("name", F.lpad(F.col("doc_id").cast("string"), 12, "0")), "text", "name", S.Registry().only("NAME", "MRN", "SSN"))
+#: Texts with no, one or two identifiers of each kind.
+VARIED = """concat(CASE WHEN doc_id % 3 > 0 THEN 'Patient Jane Example. ' ELSE '' END, CASE WHEN doc_id % 5 > 1 THEN concat('MRN-', doc_id, ' ') ELSE '' END,
+ CASE WHEN doc_id % 5 = 4 THEN 'then MRN 777 ' ELSE '' END, CASE WHEN doc_id % 7 = 2 THEN 'SSN 123-45-6789 and 987-65-4321 ' ELSE '' END, coalesce(text, ''))"""
 
 
-CORPUS_REPORT_SQL = """
-WITH found AS (SELECT doc_id, unnest(['NAME', 'MRN', 'SSN']) AS label FROM documents),
+def corpus_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans by document and label with totals, of the varied texts' NAME, MRN and SSN."""
+    name = F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("name")
+    docs = table(spark, sf_dir, "documents").select(F.expr(VARIED).alias("text"), name)
+    return R.corpus_report(docs, "text", "name", S.Registry().only("NAME", "MRN", "SSN"))
+
+
+# The patterns are found between characters that are no letters, digits or hyphens, so that RE2 needs no look-around.
+CORPUS_REPORT_SQL = f"""
+WITH texts AS (SELECT doc_id, regexp_replace(' ' || {VARIED} || ' ', '([^A-Za-z0-9-])', '\\1\\1', 'g') AS t FROM documents),
+found AS (
+  SELECT doc_id, 'NAME' AS label, unnest(regexp_extract_all(t, '[^A-Za-z0-9]Patient\\s+[A-Z][a-z]+\\s+[A-Z][a-z]+[^A-Za-z]')) AS v FROM texts
+  UNION ALL SELECT doc_id, 'MRN', unnest(regexp_extract_all(t, '[^A-Za-z0-9]MRN[-\\s]+[0-9]+[^A-Za-z0-9]')) FROM texts
+  UNION ALL SELECT doc_id, 'SSN', unnest(regexp_extract_all(t, '[^A-Za-z0-9-][0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}[^A-Za-z0-9-]')) FROM texts),
 named AS (SELECT doc_id, 'fixture_' || CASE WHEN n < 1000 THEN lpad(n::VARCHAR, 3, '0') ELSE n::VARCHAR END AS fixture FROM (SELECT doc_id, row_number() OVER (ORDER BY lpad(doc_id::VARCHAR, 12, '0')) AS n FROM documents))
 SELECT fixture, label, count(*) AS n FROM found JOIN named USING (doc_id) GROUP BY ROLLUP (fixture, label)"""
 
@@ -141,8 +153,9 @@ def safe_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SAFE_STEMS_SQL = r"""SELECT p_partkey, regexp_replace(substr(regexp_replace(lower(s), '[^a-z0-9]+', '-', 'g'), 1, 64), '-+$', '') AS lower, regexp_replace(substr(regexp_replace(s, '[^A-Za-z0-9]+', '_', 'g'), 1, 64), '_+$', '') AS cased,
  CASE WHEN p_partkey < 26 THEN chr((65 + p_partkey)::INT) WHEN p_partkey < 702 THEN chr((64 + p_partkey // 26)::INT) || chr((65 + p_partkey % 26)::INT)
+      WHEN p_partkey >= 18278 THEN chr((65 + (p_partkey - 18278) // 17576)::INT) || chr((65 + (p_partkey - 18278) // 676 % 26)::INT) || chr((65 + (p_partkey - 18278) // 26 % 26)::INT) || chr((65 + (p_partkey - 18278) % 26)::INT)
       ELSE chr((64 + (p_partkey - 26) // 676)::INT) || chr((65 + (p_partkey // 26 - 1) % 26)::INT) || chr((65 + p_partkey % 26)::INT) END AS letters, 'csv' AS kind
-FROM (SELECT p_partkey, p_name || ' ' || p_type || '#' || p_partkey || '..tar' AS s FROM part WHERE p_partkey < 18278)"""
+FROM (SELECT p_partkey, p_name || ' ' || p_type || '#' || p_partkey || '..tar' AS s FROM part)"""
 
 _DERIVED_LABELS = {
     "NAME": _label_sql("Patient\\s+([A-Z][a-z]+\\s+[A-Z][a-z]+)"),
@@ -156,7 +169,8 @@ _DERIVED_LABELS = {
     "LICENSE_PLATE": _label_sql("license\\s+plate\\s+([A-Z0-9]{2,4}-[A-Z0-9]{2,4})[^A-Za-z0-9-]"),
     "VIN": _label_sql("vin\\s+([A-HJ-NPR-Z0-9]{17})[^A-Za-z0-9-]"),
     "DRIVER_LICENSE": _label_sql("DL\\s+([A-Z][0-9]{7,8})[^A-Za-z0-9-]"),
-    "URL": r"SELECT doc_id, 'https://example' || doc_id % 7 || '.org/a' AS value, 1::BIGINT AS n FROM documents",
+    # Characters between words are doubled there.
+    "URL": _label_sql("(https?::////[a-z0-9.]+//[a-z0-9?=]+)\\s"),
     "ADDRESS": _label_sql("\\s([0-9]{1,6}\\s+Oak\\s+Street);"),
     "MRN": _label_sql("(MRN-[0-9]+)"),
     "NPI": _label_sql("NPI\\s+([0-9]{10})[^0-9]", keep="list_sum(list_transform(range(1, 16), lambda i: CASE WHEN i % 2 = 0 THEN (2 * ('80840' || value)[i]::INT) // 10 + (2 * ('80840' || value)[i]::INT) % 10 ELSE ('80840' || value)[i]::INT END)) % 10 = 0"),

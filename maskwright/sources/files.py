@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import is_blank
+from .scratch import written
 
 MAX_TEXT_BYTES = 1 << 20
-MAX_TEXT_FILES = 100
 MAX_ARTIFACT_BYTES = 10 << 20
 
 
@@ -50,29 +50,54 @@ def file_inventory(spark: SparkSession, path: str, glob: str = "*") -> DataFrame
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path).select("path", "length")
 
 
-def read_text_corpus(spark: SparkSession, path: str, max_bytes: int = MAX_TEXT_BYTES, max_files: int | None = MAX_TEXT_FILES) -> tuple[DataFrame, DataFrame]:
-    """(texts: path, text; rejected: path, reason) of the ``*.txt`` files under a folder. Files over ``max_bytes`` are rejected before they are read; with ``max_files``, files past that many by name are rejected."""
+def read_text_corpus(
+    spark: SparkSession, path: str, max_bytes: int = MAX_TEXT_BYTES, max_files: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(texts: path, text; rejected: path, reason) of the ``*.txt`` files under a folder.
+
+    Files over ``max_bytes`` are rejected before they are read. With ``max_files``, files past that many by name are rejected: names are put in sorted ranges, and
+    only the sizes of the ranges are seen together.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", True)
     listed = files.load(path).select("path", "length")
     content = files.load(path).where(F.col("length") <= max_bytes).select("path", "content")
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
     rows = listed.join(content.select("path", text.alias("text"), F.lit(True).alias("_read")), "path", "left")
-    reason = F.when(F.col("_read").isNull(), "too_large").when(F.col("text").isNull(), "not_utf8").when(is_blank(F.col("text")), "blank")
-    rows = rows.withColumn("reason", reason).drop("_read")
+    reason = F.when(F.col("_read").isNull(), "too_large").when(F.col("text").isNull(), "not_utf8")
+    rows = rows.withColumn("reason", reason.when(is_blank(F.col("text")), "blank")).drop("_read")
     if max_files is not None:
-        over = listed.orderBy("path").offset(max_files).select("path", F.lit("too_many_files").alias("_over"))
-        rows = rows.join(over, "path", "left").withColumn("reason", F.coalesce("_over", "reason")).drop("_over")
+        ranged = written(listed.select("path").repartitionByRange("path").withColumn("_part", F.spark_partition_id()), "names")
+        before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        starts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+        starts = starts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+        nth = F.row_number().over(Window.partitionBy("_part").orderBy("path")) + F.col("_start")
+        over = ranged.join(F.broadcast(starts), "_part").withColumn("_nth", nth).where(F.col("_nth") > max_files)
+        rows = rows.join(over.select("path", F.lit("too_many_files").alias("_over")), "path", "left")
+        rows = rows.withColumn("reason", F.coalesce("_over", "reason")).drop("_over")
     return rows.where("reason is null").select("path", "text"), rows.where("reason is not null").select("path", "reason")
 
 
 def verify_artifacts(manifest: DataFrame, inventory: DataFrame, max_bytes: int = MAX_ARTIFACT_BYTES) -> DataFrame:
     """One row over a manifest (path) and an inventory (path, length): artifact_count, existing, missing, oversized, blank, duplicate_paths. Paths are not shown."""
-    named = manifest.groupBy("path").agg(F.count("*").alias("n")).join(inventory.groupBy("path").agg(F.max("length").alias("length")), "path", "left")
+    sizes = inventory.groupBy("path").agg(F.max("length").alias("length"))
+    named = manifest.groupBy("path").agg(F.count("*").alias("n")).join(sizes, "path", "left")
     blank = is_blank(F.col("path"))
     return named.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("artifact_count"), F.count_if(~blank & F.col("length").isNotNull()).alias("existing"), F.count_if(~blank & F.col("length").isNull()).alias("missing"),
-        F.count_if(F.col("length") > max_bytes).alias("oversized"), F.count_if(blank).alias("blank"), F.count_if(~blank & (F.col("n") > 1)).alias("duplicate_paths"),
-    )
+        F.coalesce(F.sum("n"), F.lit(0)).alias("artifact_count"),
+        F.count_if(~blank & F.col("length").isNotNull()).alias("existing"),
+        F.count_if(~blank & F.col("length").isNull()).alias("missing"),
+        F.count_if(F.col("length") > max_bytes).alias("oversized"),
+        F.count_if(blank).alias("blank"),
+        F.count_if(~blank & (F.col("n") > 1)).alias("duplicate_paths"),
+    )
+
+
+def artifact_rows(manifest: DataFrame, inventory: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """(index, exists, byte_len, within_max_bytes) of a manifest (index, path), without the paths. With a limit, a missing file is not within it; without one nothing is said of it."""
+    sizes = inventory.groupBy("path").agg(F.max("length").alias("length"))
+    within = F.lit(None).cast("boolean") if max_bytes is None else F.coalesce(F.col("length") <= max_bytes, F.lit(False))
+    exists = F.col("length").isNotNull()
+    return manifest.join(sizes, "path", "left").select("index", exists.alias("exists"), F.col("length").alias("byte_len"), within.alias("within_max_bytes"))
 
 
 def explode_manifest(df: DataFrame, json_col: str, id_cols: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -90,20 +115,46 @@ def explode_manifest(df: DataFrame, json_col: str, id_cols: Sequence[str]) -> tu
     return pages, each.select(*id_cols, "document_id", F.size("d.pages").alias("page_count")), judged.where("reason is not null").select(*id_cols, "reason")
 
 
-def classify_file(path: Column) -> Column:
-    """The kind of a file by its name, null for others. Portable mappings are told by their names before plain JSON."""
-    low = F.lower(path)
-    base = F.regexp_extract(low, r"([^/\\]*)$", 1)
-    return (
-        F.when(low.endswith(".csv"), "csv").when(low.endswith(".xlsx"), "xlsx").when(low.endswith(".pdf"), "pdf").when(low.endswith(".dcm") | low.endswith(".dicom"), "dicom").when(low.endswith(".ppm"), "ppm").when(low.endswith(".png"), "png")
-        .when(base.rlike(r"portable[^/\\]*\.json$"), "portable").when(low.endswith(".json"), "media_metadata")
-    )
+#: Names and ends of names of portable mappings, which are told apart from other JSON by them.
+PORTABLE_NAMES = ("portable-artifact.json",)
+PORTABLE_ENDS = (".portable.json", "-portable.json")
+#: Kinds whose files have to be UTF-8.
+TEXT_KINDS = ("csv", "portable", "media_metadata")
 
 
-def classify_files(inventory: DataFrame, max_bytes: int = MAX_ARTIFACT_BYTES) -> DataFrame:
-    """(path, kind, reason) of an inventory (path, length): reason is unsupported or too_large, else null."""
-    kind = classify_file(F.col("path"))
-    return inventory.select("path", kind.alias("kind"), F.when(kind.isNull(), "unsupported").when(F.col("length") > max_bytes, "too_large").alias("reason"))
+def classify_file(path: Column, portable_names: Sequence[str] = PORTABLE_NAMES, portable_ends: Sequence[str] = PORTABLE_ENDS) -> Column:
+    """The kind of a file by its name, in any case; null for others."""
+    low = F.lower(path)
+    base = F.regexp_extract(low, r"([^/\\]*)$", 1)
+    portable = base.isin(*portable_names)
+    for end in portable_ends:
+        portable = portable | base.endswith(end)
+    kinds = {"csv": "csv", "xlsx": "xlsx", "pdf": "pdf", "dcm": "dicom", "dicom": "dicom", "ppm": "ppm", "png": "png", "json": "media_metadata"}
+    kind = F.when(portable, "portable")
+    for extension, name in kinds.items():
+        kind = kind.when(low.endswith(f".{extension}"), name)
+    return kind
+
+
+def classify_files(
+    inventory: DataFrame,
+    max_bytes: int = MAX_ARTIFACT_BYTES,
+    portable_names: Sequence[str] = PORTABLE_NAMES,
+    portable_ends: Sequence[str] = PORTABLE_ENDS,
+    checksum: bool = False,
+) -> DataFrame:
+    """(path, kind, reason) of an inventory (path, length): reason is unsupported, too_large or not_utf8, else null.
+
+    With a column ``content`` files of text kinds have to be UTF-8, and ``checksum`` adds ``sha256``; files over ``max_bytes`` are neither read nor summed.
+    """
+    kind = classify_file(F.col("path"), portable_names, portable_ends)
+    reason = F.when(kind.isNull(), "unsupported").when(F.col("length") > max_bytes, "too_large")
+    columns = [F.col("path"), kind.alias("kind")]
+    if "content" in inventory.columns:
+        reason = reason.when(kind.isin(*TEXT_KINDS) & ~F.is_valid_utf8(F.col("content").cast("string")), "not_utf8")
+        if checksum:
+            columns.append(F.when(F.col("length") <= max_bytes, F.sha2("content", 256)).alias("sha256"))
+    return inventory.select(*columns, reason.alias("reason"))
 
 
 def write_snapshot(records: DataFrame, path: str, key: str | None = None, mode: str = "error") -> None:
@@ -121,8 +172,3 @@ def read_snapshot(spark: SparkSession, path: str, key: str | None = None) -> Dat
 def to_report_json(df: DataFrame, columns: Sequence[str], out: str = "json") -> DataFrame:
     """Adds the columns as a JSON object in their order; maps that the reports make are key-sorted."""
     return df.withColumn(out, F.to_json(F.struct(*columns), {"pretty": "true", "ignoreNullFields": "false"}))
-
-
-def in_order(df: DataFrame, column: str) -> DataFrame:
-    """Adds ``ordinal``, from 1, within ``column`` groups by path."""
-    return df.withColumn("ordinal", F.row_number().over(Window.partitionBy(column).orderBy("path")))

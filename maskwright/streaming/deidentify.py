@@ -4,19 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.spans import DEFAULT, Detector, Registry, category_counts, mask, with_spans
 from ..operators.vault import ensure_mappings
+from ..sources.scratch import written
 
-VAULT_SCHEMA = "batch bigint, seq bigint, id string, job_id string, artifact_id string, field_path string, phi_type string, original_value string, token string"
+VAULT_SCHEMA = (
+    "batch bigint, part int, seq bigint, id string, job_id string, artifact_id string, field_path string, phi_type string, "
+    "original_value string, token string"
+)
 
 
 def read_text_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """(path, text) of the text files that arrive in a folder, each file one row."""
-    stream = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "*.txt").option("maxFilesPerTrigger", files_per_batch).load(path)
+    """(path, text) of the text files that arrive in a folder or the folders in it, each file one row."""
+    options = {"wholetext": True, "pathGlobFilter": "*.txt", "recursiveFileLookup": True, "maxFilesPerTrigger": files_per_batch}
+    stream = spark.readStream.format("text").options(**options).load(path)
     return stream.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
@@ -24,32 +29,46 @@ def deidentify_stream(texts: DataFrame, text_col: str = "text", detectors: Seque
     """Masked text and label counts of each row; stateless, so it works on a stream and on a table alike."""
     others = [c for c in texts.columns if c != text_col]
     found = with_spans(texts, text_col, detectors, "_spans")
-    return found.select(*others, mask(F.col(text_col), F.col("_spans")).alias("masked_text"), category_counts(F.col("_spans")).alias("category_counts"))
+    masked, counts = mask(F.col(text_col), F.col("_spans")), category_counts(F.col("_spans"))
+    return found.select(*others, masked.alias("masked_text"), counts.alias("category_counts"))
 
 
 def write_masked(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Appends masked rows as JSON; takes what is there and stops, so it can be run on a schedule."""
-    return stream.withColumn("category_counts", F.to_json("category_counts")).writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    shown = stream.withColumn("category_counts", F.to_json("category_counts")).writeStream.format("json")
+    return shown.option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def grow_vault(candidates: DataFrame, vault_path: str, checkpoint: str, key: str) -> StreamingQuery:
-    """Adds the new mapping records of each micro-batch of candidates to a table partitioned by batch.
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
 
-    A batch overwrites its own partition and looks only at those before it, so a batch that is run again after a failure changes nothing.
+
+def grow_vault(candidates: DataFrame, vault_path: str, checkpoint: str, key: str, parts: int = 64) -> StreamingQuery:
+    """Adds the new mapping records of each micro-batch of candidates to a table partitioned by batch and by a hash of type and value, in ``parts`` parts.
+
+    All records of a value are in one part, so a batch reads only the parts that its own values are in, and only those values of them reach a join. A batch
+    overwrites its own partition and looks only at those before it, so a batch that is run again after a failure changes nothing.
     """
 
+    def part() -> Column:
+        return F.pmod(F.xxhash64("phi_type", "original_value"), F.lit(parts)).cast("int")
+
     def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
-            vault = spark.read.schema(VAULT_SCHEMA).parquet(vault_path).where(F.col("batch") < number)
-        except Exception as missing:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            vault = spark.createDataFrame([], VAULT_SCHEMA)
+        values = written(batch.select("phi_type", "original_value").distinct(), "values")
+        vault = spark.createDataFrame([], VAULT_SCHEMA)
+        if _exists(spark, vault_path):
+            hit = [r[0] for r in values.select(part()).distinct().collect()]  # ``parts`` rows at most
+            old = spark.read.schema(VAULT_SCHEMA).parquet(vault_path)
+            old = old.where((F.col("batch") < number) & F.col("part").isin(hit))
+            vault = old.join(values, ["phi_type", "original_value"], "left_semi")
         new = ensure_mappings(batch, vault, key)
         # Partitions of the batch count up in bit 33, which leaves room for 128 of them and 2 ** 33 rows in each below the batch number.
         seq = F.lit(number).cast("bigint") * (1 << 40) + F.monotonically_increasing_id() % (1 << 40)
-        rows = new.coalesce(128).select(seq.alias("seq"), "id", "job_id", "artifact_id", "field_path", "phi_type", "original_value", "token")
-        rows.write.mode("overwrite").parquet(f"{vault_path}/batch={number}")
+        names = ["id", "job_id", "artifact_id", "field_path", "phi_type", "original_value", "token"]
+        rows = new.coalesce(128).select(seq.alias("seq"), *names, part().alias("part"))
+        rows.write.mode("overwrite").partitionBy("part").parquet(f"{vault_path}/batch={number}")
 
-    return candidates.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    grown = candidates.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    return grown.trigger(availableNow=True).start()
