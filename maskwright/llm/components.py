@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from .storage import discard, materialize
 
-#: A node with more than this share of all edges is joined by broadcast: there are at most two such nodes for each share of the edges.
+#: A node with more than this share of all edges is joined by broadcast: there are at most two such nodes for each share
+#: of the edges.
 HOT_SHARE = 1 / 512
 
 
 def _with_least(edges: DataFrame, n: int) -> DataFrame:
-    """``edges`` (a, b), with ``m``, the smallest b of each a. The edges of a few very large stars stay where they are."""
+    """``edges`` (a, b), with ``m``, the smallest b of each a. The edges of a few very large stars stay where they are.
+    """
     least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree"))
     bound = max(n * HOT_SHARE, 64)
     hot = least.where(F.col("degree") > bound).select("a", "m")  # n / bound rows at most, a thousand
@@ -33,14 +35,17 @@ def _small_star(edges: DataFrame, n: int) -> DataFrame:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) for each node of ``edges`` (a, b: values of one ordered type): the smallest node reachable from it.
+    """(node, component) for each node of ``edges`` (a, b: values of one ordered type): the smallest node reachable from
+    it.
 
-    Loops, repeated edges and either direction are allowed, edges with a null are ignored, no edges give no rows. A round moves each edge's far end to
-    the smallest neighbour; as the edges only ever point to smaller nodes, the rounds end in stars, after a number that grows with the
-    logarithm of the longest path. Each round is written to the shared folder, and the one before the last is removed; only its row count and
-    checksum reach the driver.
+    Loops, repeated edges and either direction are allowed, edges with a null are ignored, no edges give no rows. A
+    round moves each edge's far end to the smallest neighbour; as the edges only ever point to smaller nodes, the rounds
+    end in stars, after a number that grows with the logarithm of the longest path. Each round is written to the shared
+    folder, and the one before the last is removed; only its row count and checksum reach the driver.
     """
-    now = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    now = edges.where(F.col("a") != F.col("b")).select(
+        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
+    ).distinct()
     now, seen, old = materialize(now, "edges"), None, None
     while True:
         mark = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()

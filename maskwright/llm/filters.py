@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .names import fresh, quoted
 
-#: Buckets of 32,768 bits; the filter is broadcast, and takes 4 KB for each bucket that has a key, whatever the number of keys.
+#: Buckets of 32,768 bits; the filter is broadcast, and takes 4 KB for each bucket that has a key, whatever the number
+#: of keys.
 BUCKETS = 1024
 
 
@@ -46,12 +47,16 @@ def only_marked(rows: DataFrame, filter_: DataFrame, keys: list[str], buckets: i
 
 
 def only_listed(rows: DataFrame, listed: DataFrame, keys: list[str], buckets: int = BUCKETS) -> DataFrame:
-    """The rows whose ``keys`` are in ``listed``, and by chance some others; a join on the keys has to follow. Many keys let more others through."""
+    """The rows whose ``keys`` are in ``listed``, and by chance some others; a join on the keys has to follow. Many keys
+    let more others through.
+    """
     return only_marked(rows, bitmaps(listed, keys, buckets), keys, buckets)
 
 
 def drop_listed(rows: DataFrame, listed: DataFrame, keys: list[str], buckets: int = BUCKETS) -> DataFrame:
-    """The rows whose ``keys`` are not in ``listed``, exactly; null keys are never listed. Only rows that can be listed are shuffled."""
+    """The rows whose ``keys`` are not in ``listed``, exactly; null keys are never listed. Only rows that can be listed
+    are shuffled.
+    """
     name = fresh(rows.columns, "maybe")
     both = marked(rows, bitmaps(listed, keys, buckets), keys, name, buckets)
     certain, maybe = both.where(~F.col(quoted(name))).drop(name), both.where(quoted(name)).drop(name)

@@ -1,7 +1,7 @@
 """The labelled table of the text-block classifier: small pages in fragments, each marked 1 if its blocks are main text.
 
-Twelve layouts are filled with text of four languages. Class names are neutral in most of them, and misleading in some; articles hold short
-paragraphs, lists of links and quotations, and adverts and comments can be as long as paragraphs.
+Twelve layouts are filled with text of four languages. Class names are neutral in most of them, and misleading in some;
+articles hold short paragraphs, lists of links and quotations, and adverts and comments can be as long as paragraphs.
 """
 
 from __future__ import annotations
@@ -140,7 +140,9 @@ def _links(texts: tuple[str, ...], between: str = " ") -> str:
 
 
 def _list(texts: tuple[str, ...], linked: bool = True) -> str:
-    return "<ul>" + "".join(f"<li><a href='/{i}'>{t}</a></li>" if linked else f"<li>{t}</li>" for i, t in enumerate(texts)) + "</ul>"
+    return "<ul>" + "".join(
+        f"<li><a href='/{i}'>{t}</a></li>" if linked else f"<li>{t}</li>" for i, t in enumerate(texts)
+    ) + "</ul>"
 
 
 def _story(w: Words, turn: int) -> str:
@@ -155,7 +157,9 @@ def _story(w: Words, turn: int) -> str:
         f"<h2>{w.more[1]}</h2><p>{long[1]} <a href='/m'>{w.more[2]}</a></p>",
         f"<table><tr><td>{w.items[0]}</td><td>12 mm</td></tr></table>",
     ]
-    return "".join([*parts, extra[turn % len(extra)], f"<p>{long[3]}</p>", extra[(turn + 2) % len(extra)], f"<p>{short[2]}</p>"])
+    return "".join(
+        [*parts, extra[turn % len(extra)], f"<p>{long[3]}</p>", extra[(turn + 2) % len(extra)], f"<p>{short[2]}</p>"]
+    )
 
 
 def _comments(w: Words, open_: str = "<p>", close: str = "</p>") -> str:
@@ -178,7 +182,10 @@ def _article_short(w: Words, t: int) -> Page:
     return [
         (f"<body><nav>{_links(w.menu)}</nav><div class='x1'><p>{w.advert[1]}</p></div>", 0),
         (f"<article><h1>{w.title}</h1><p>{w.short[t % 5]}</p><p>{w.short[(t + 1) % 5]}</p></article>", 1),
-        (f"<div class='x2'>{_comments(w)}</div><div class='x3'>{_list(w.more)}</div><footer>{w.footer}</footer></body>", 0),
+        (
+            f"<div class='x2'>{_comments(w)}</div><div class='x3'>{_list(w.more)}</div><footer>{w.footer}</footer></body>",
+            0,
+        ),
     ]
 
 
@@ -226,7 +233,10 @@ def _divs(w: Words, t: int) -> Page:
 
 def _divs_named(w: Words, t: int) -> Page:
     return [
-        (f"<body><div id='nav'>{_links(w.menu, ' | ')}</div><div class='{('werbung', 'publicidad', 'advert')[t % 3]}'><p>{w.advert[1]}</p></div>", 0),
+        (
+            f"<body><div id='nav'>{_links(w.menu, ' | ')}</div><div class='{('werbung', 'publicidad', 'advert')[t % 3]}'><p>{w.advert[1]}</p></div>",
+            0,
+        ),
         (f"<div class='text'>{_story(w, t)}</div>", 1),
         (f"<div class='{('kommentare', 'comentarios', 'commentaires', 'comments')[t % 4]}'>{_comments(w)}</div>", 0),
         (f"<div class='sidebar'><p>{w.long[0]}</p></div><div class='footer'>{w.footer}</div></body>", 0),
@@ -236,16 +246,25 @@ def _divs_named(w: Words, t: int) -> Page:
 def _foreign(w: Words, t: int) -> Page:
     """Names in no list, beside an article element."""
     return [
-        (f"<body><div class='obere-leiste'>{_links(w.menu)}</div><div class='reclame'><p>{w.advert[t % 2]}</p></div>", 0),
+        (
+            f"<body><div class='obere-leiste'>{_links(w.menu)}</div><div class='reclame'><p>{w.advert[t % 2]}</p></div>",
+            0,
+        ),
         (f"<div class='inhalt'><article>{_story(w, t)}</article></div>", 1),
-        (f"<div class='leserbriefe'><h3>{w.menu[1]}</h3>{_comments(w, '<div>', '</div>')}</div><div>{w.footer}</div></body>", 0),
+        (
+            f"<div class='leserbriefe'><h3>{w.menu[1]}</h3>{_comments(w, '<div>', '</div>')}</div><div>{w.footer}</div></body>",
+            0,
+        ),
     ]
 
 
 def _plain(w: Words, t: int) -> Page:
     return [
         (f"<body><p>{_links(w.menu, ' | ')}</p>", 0),
-        (f"<h1>{w.title}</h1><p>{w.long[0]} {w.long[1]}</p><p>{w.long[1]}</p><p>{w.long[2]} <a href='/q'>{w.more[0]}</a></p>", 1),
+        (
+            f"<h1>{w.title}</h1><p>{w.long[0]} {w.long[1]}</p><p>{w.long[1]}</p><p>{w.long[2]} <a href='/q'>{w.more[0]}</a></p>",
+            1,
+        ),
         (f"<p><a href='/z'>{w.more[1]}</a></p></body>", 0),
     ]
 
@@ -258,7 +277,9 @@ def _table(w: Words, t: int) -> Page:
 
 
 def _unclosed(w: Words, t: int) -> Page:
-    return [(f"<body><nav>{_links(w.menu)}</nav>", 0), (f"<article><h1>{w.title}</h1><p>{w.long[t % 3]}<p>{w.short[0]}", 1)]
+    return [
+        (f"<body><nav>{_links(w.menu)}</nav>", 0), (f"<article><h1>{w.title}</h1><p>{w.long[t % 3]}<p>{w.short[0]}", 1)
+    ]
 
 
 def _no_text(w: Words, t: int) -> Page:

@@ -1,4 +1,6 @@
-"""Main text of HTML pages: flat text blocks, classified by a decision tree on their own and their neighbours' word counts and link densities."""
+"""Main text of HTML pages: flat text blocks, classified by a decision tree on their own and their neighbours' word
+counts and link densities.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +17,8 @@ from pyspark.sql import functions as F
 from .html_labels import labelled_pages
 from .names import fresh, quoted
 
-# Elements whose content is never text of the page, elements that stand inside a line of text, elements that hold
+# Elements whose content is never text of the page, elements that stand inside a line of text, elements
+# that hold
 # blocks, and those of them that hold something beside the main text.
 _UNSEEN = [
     "script", "style", "title", "noscript", "template", "textarea", "select", "button",
@@ -32,7 +35,8 @@ _HOLDERS = frozenset([
 ])
 _BESIDE = frozenset(["nav", "footer", "aside", "form", "dialog", "menu"])
 
-# Words of class, id and role names. Of reader comments, which can hold articles of their own; of other parts beside the
+# Words of class, id and role names. Of reader comments, which can hold articles of their own; of other
+# parts beside the
 # main text; that may go along with either; and that say that something has, or lacks, such a part.
 _TALK = frozenset([
     "comment", "comments", "replies", "reply", "respond", "disqus", "discussion",
@@ -64,8 +68,10 @@ _TOKEN = re.compile(
 _HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 _ITEMS = ("li", "dt", "dd", "td", "th")
 
-#: Fields of a block: its words and those of them in links; whether it is a heading or an item; whether it stands in an article or main
-#: element, or in a menu, footer, form and the like; what names of the elements around it say (2: a part beside the main text, 1: a
+#: Fields of a block: its words and those of them in links; whether it is a heading or an item; whether it stands in an
+#: article or main
+#: element, or in a menu, footer, form and the like; what names of the elements around it say (2: a part beside the main
+#: text, 1: a
 #: word of such a name); and whether the page has an article or main element, and the block is not in it.
 FIELDS = ["words", "linked", "heading", "item", "article", "beside", "hint", "elsewhere"]
 
@@ -110,7 +116,9 @@ class _Holder:
 
 
 def text_blocks(html: str) -> list[tuple[str, int, int, int, int, int, int, int, int]]:
-    """(text, *FIELDS) of each block with words, in page order. Inline elements and line breaks don't end a block, all other tags do."""
+    """(text, *FIELDS) of each block with words, in page order. Inline elements and line breaks don't end a block, all
+    other tags do.
+    """
     found: list[tuple[str, int, int, int, int, _Holder | None]] = []
     parts: list[str] = []
     linked, in_link, mark = 0, False, ""
@@ -182,16 +190,25 @@ def with_blocks(pages: DataFrame, html_col: str, name: str = "blocks") -> DataFr
     others = [f for f in pages.schema if f.name != html_col]
     # Columns go by number on the way, as mapInArrow does not take all names.
     numbers = [f"c{i}" for i in range(len(others))]
-    schema = ", ".join([*(f"{c} {f.dataType.simpleString()}" for c, f in zip(numbers, others, strict=True)), f"blocks array<{_BLOCK_SQL}>"])
+    schema = ", ".join(
+        [
+            *(f"{c} {f.dataType.simpleString()}" for c, f in zip(numbers, others, strict=True)),
+            f"blocks array<{_BLOCK_SQL}>",
+        ]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             htmls = batch.column(len(numbers)).to_pylist()
             blocks = [[dict(zip(("text", *FIELDS), b, strict=True)) for b in text_blocks(html or "")] for html in htmls]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(blocks, pa.list_(_BLOCK))], [*numbers, "blocks"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.array(blocks, pa.list_(_BLOCK))], [*numbers, "blocks"]
+            )
 
     named = [F.col(quoted(f.name)).alias(c) for c, f in zip(numbers, others, strict=True)]
-    return pages.select(*named, F.col(quoted(html_col)).alias("html")).mapInArrow(run, schema).toDF(*[f.name for f in others], name)
+    return pages.select(*named, F.col(quoted(html_col)).alias("html")).mapInArrow(run, schema).toDF(
+        *[f.name for f in others], name
+    )
 
 
 def features(blocks: Column, i: Column) -> dict[str, Column]:
@@ -243,7 +260,9 @@ def labelled_blocks(spark: SparkSession, pages: list[list[tuple[str, int]]]) ->
     seen = with_blocks(spark.createDataFrame(rows, "page int, html string").coalesce(1), "html")
     each = seen.select("page", "blocks", F.explode(F.sequence(F.lit(0), F.size("blocks") - 1)).alias("nth"))
     table = each.select("page", "nth", *[c.alias(n) for n, c in features(F.col("blocks"), F.col("nth")).items()])
-    return table.join(F.broadcast(spark.createDataFrame(labels, "page int, nth int, label int")), ["page", "nth"]).drop("nth")
+    return table.join(
+        F.broadcast(spark.createDataFrame(labels, "page int, nth int, label int")), ["page", "nth"]
+    ).drop("nth")
 
 
 def fit_tree(spark: SparkSession, pages: list[list[tuple[str, int]]] | None = None, depth: int = 10) -> str:
@@ -257,10 +276,11 @@ def fit_tree(spark: SparkSession, pages: list[list[tuple[str, int]]] | None = No
 def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """The columns of ``pages`` without ``html_col``, and ``text`` and ``n_chars`` in place of or after them.
 
-    Text of the blocks that the tree takes for main text, in page order, joined by newlines; character references are decoded, and white space
-    within a block is one space. Null and empty html, and pages without main text, give an empty text. Unclosed and stray tags are tolerated: an
-    end tag closes the nearest open element of its name or nothing. Repeated rows are each kept; an empty table gives no rows. A page is read
-    whole, and takes some 20 bytes of its task's memory for each byte.
+    Text of the blocks that the tree takes for main text, in page order, joined by newlines; character references are
+    decoded, and white space within a block is one space. Null and empty html, and pages without main text, give an
+    empty text. Unclosed and stray tags are tolerated: an end tag closes the nearest open element of its name or
+    nothing. Repeated rows are each kept; an empty table gives no rows. A page is read whole, and takes some 20 bytes of
+    its task's memory for each byte.
     """
     tree = tree_of(fit_tree(pages.sparkSession))
     kept = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]

@@ -12,11 +12,19 @@ def fold(id_col: str, parts: int) -> Column:
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, use: Column, max_rows: int, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str,
+    use: Column,
+    max_rows: int,
+    id_col: str = "doc_id",
+    text_col: str = "text"
 ) -> DataFrame:
-    """(doc_id, text, label) of up to ``max_rows`` documents for each label, 0 and 1, that ``use`` allows: those with the smallest hash of the id.
+    """(doc_id, text, label) of up to ``max_rows`` documents for each label, 0 and 1, that ``use`` allows: those with
+    the smallest hash of the id.
 
-    Only the ids and labels, 2 * ``max_rows`` at most, are broadcast, so the documents are not shuffled. Null ids, texts and labels are left out.
+    Only the ids and labels, 2 * ``max_rows`` at most, are broadcast, so the documents are not shuffled. Null ids, texts
+    and labels are left out.
     """
     named = labels.select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("label"))
     known = named.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & use).distinct()

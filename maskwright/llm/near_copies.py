@@ -1,8 +1,9 @@
-"""Near copies by the Jaccard similarity of word shingles: bands of MinHashes propose pairs, whole sets of shingles confirm them.
+"""Near copies by the Jaccard similarity of word shingles: bands of MinHashes propose pairs, whole sets of shingles
+confirm them.
 
 SimHash within four bits finds one in twelve of the pairs at a similarity of 0.8, so these have a search of their own.
-Linked documents form groups. Pairs that are in one group already are not compared, so a large group costs a comparison for each document with
-its buckets' hubs; all other pairs that share a bucket are compared.
+Linked documents form groups. Pairs that are in one group already are not compared, so a large group costs a comparison
+for each document with its buckets' hubs; all other pairs that share a bucket are compared.
 """
 
 from __future__ import annotations
@@ -25,14 +26,18 @@ _FACTORS = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS), np.
 
 
 def _shingles(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """For a block of texts the distinct hashes of their ``k``-word shingles, text by text, and how many each has: all words are one shingle of a shorter text, 0 is that of a text without words."""
+    """For a block of texts the distinct hashes of their ``k``-word shingles, text by text, and how many each has: all
+    words are one shingle of a shorter text, 0 is that of a text without words.
+    """
     words = Words(lowered(data[off[0] : off[-1]]), off - off[0])
     n, each = words.last - words.first, words.hashes()
     rows, hashes = [np.flatnonzero(n == 0)], [np.zeros((n == 0).sum(), np.uint64)]
     for size in range(1, k + 1):
         h = grams(each, size)
         row = np.repeat(np.arange(len(n)), n)[: len(h)]
-        own = np.flatnonzero((np.arange(len(h)) + size <= words.last[row]) & ((n[row] == size) if size < k else (n[row] >= k)))
+        own = np.flatnonzero(
+            (np.arange(len(h)) + size <= words.last[row]) & ((n[row] == size) if size < k else (n[row] >= k))
+        )
         rows.append(row[own])
         hashes.append(mix(h[own] + np.uint64(size)))
     row, h = np.concatenate(rows), np.concatenate(hashes)
@@ -50,7 +55,9 @@ def _bands(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     for band in range(BANDS):
         key = np.full(len(n), band + 1, np.uint64)
         for j in range(band * ROWS, (band + 1) * ROWS):
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(h * _FACTORS[0, j] + _FACTORS[1, j], first))
+            key = mix(
+                key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(h * _FACTORS[0, j] + _FACTORS[1, j], first)
+            )
         keys[:, band] = key
     return keys
 
@@ -64,8 +71,12 @@ def _mapped(docs: DataFrame, k: int, banded: bool) -> DataFrame:
             for a, b in blocks(off):
                 h, n = _shingles(data, off[a : b + 1], k)
                 flat, sizes = (_bands(h, n).ravel(), np.full(len(n), BANDS)) if banded else (h, n)
-                found = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int32()), found], ["doc_id", "n", "found"])
+                found = pa.ListArray.from_arrays(
+                    pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat.view(np.int64))
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), pa.array(n, pa.int32()), found], ["doc_id", "n", "found"]
+                )
 
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n int, found array<bigint>")
 
@@ -76,7 +87,9 @@ def _alike(shared: Column, n: Column, m: Column, share: float) -> Column:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
     """Those of the pairs (a, b) whose sets are alike."""
-    one, two = sets.select(F.col("doc_id").alias("a"), F.col("found").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("found").alias("y"))
+    one, two = sets.select(F.col("doc_id").alias("a"), F.col("found").alias("x")), sets.select(
+        F.col("doc_id").alias("b"), F.col("found").alias("y")
+    )
     alike = _alike(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"), share)
     return pairs.join(one, "a").join(two, "b").where(alike).select("a", "b")
 
@@ -85,36 +98,51 @@ def _open(members: DataFrame, edges: DataFrame) -> DataFrame:
     """The members, with their group, of buckets whose members are in several groups."""
     groups = connected_components(edges).select(F.col("node").alias("doc_id"), "component")
     grouped = members.join(groups, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    several = grouped.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
+    several = grouped.groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high")
+    ).where("low != high").select("key")
     return materialize(grouped.join(several, "key", "left_semi"), "open-buckets")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, share: float = 0.8, rounds: int = 2) -> DataFrame:
+def near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, share: float = 0.8, rounds: int = 2
+) -> DataFrame:
     """(node, component) for each document that has a near copy: its id and the smallest id that links reach.
 
-    Two documents are linked if their sets of ``k``-word shingles, of the text with A-Z lower-cased, have a Jaccard similarity of at least ``share`` and
-    a band in common, which pairs that similar lack by chance once in 150,000 at 0.8. Sets are compared whole, by 64-bit hashes. A text of fewer words has
-    one shingle, all its words; null, empty and blank texts are alike. Ids are taken to be unique; documents with a null id are not looked at.
+    Two documents are linked if their sets of ``k``-word shingles, of the text with A-Z lower-cased, have a Jaccard
+    similarity of at least ``share`` and a band in common, which pairs that similar lack by chance once in 150,000 at
+    0.8. Sets are compared whole, by 64-bit hashes. A text of fewer words has one shingle, all its words; null, empty
+    and blank texts are alike. Ids are taken to be unique; documents with a null id are not looked at.
     """
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    texts = docs.select(
+        F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")
+    ).where("doc_id is not null")
     keyed = materialize(_mapped(texts, k, True), "bands").select("doc_id", "n", F.explode("found").alias("key"))
     buckets = materialize(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "buckets")
     members = materialize(only_listed(keyed, buckets, ["key"]).join(buckets, "key", "left_semi"), "members")
     named = materialize(members.select("doc_id").distinct(), "candidates")
-    sets = materialize(_mapped(only_listed(texts, named, ["doc_id"]).join(named, "doc_id", "left_semi"), k, False), "shingles").select("doc_id", "found")
+    sets = materialize(
+        _mapped(only_listed(texts, named, ["doc_id"]).join(named, "doc_id", "left_semi"), k, False), "shingles"
+    ).select("doc_id", "found")
     close = F.least("n", "m") >= F.lit(share) * F.greatest("n", "m") - 1e-9  # no other sizes can be alike
     ordered = [F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")]
     edges, left = None, members
     for nth in range(rounds + 1):
         if nth < rounds:
             # All members with one hub, the same in all of a document's buckets if it can be.
-            hubs = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(nth)), "doc_id", "n")).alias("hub")).select("key", F.col("hub.doc_id").alias("b"), F.col("hub.n").alias("m"))
+            hubs = left.groupBy("key").agg(
+                F.min(F.struct(F.xxhash64("doc_id", F.lit(nth)), "doc_id", "n")).alias("hub")
+            ).select("key", F.col("hub.doc_id").alias("b"), F.col("hub.n").alias("m"))
             pairs = left.join(hubs, "key").where((F.col("doc_id") != F.col("b")) & close)
         else:
             # All pairs of different groups: members outside a bucket's largest group with all others.
             sizes = left.groupBy("key", "component").agg(F.count("*").alias("c"))
-            largest = sizes.groupBy("key").agg(F.max(F.struct("c", "component")).alias("most")).select("key", F.col("most.component").alias("most"))
-            outside = left.join(largest, "key").where("component != most").select("key", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
+            largest = sizes.groupBy("key").agg(F.max(F.struct("c", "component")).alias("most")).select(
+                "key", F.col("most.component").alias("most")
+            )
+            outside = left.join(largest, "key").where("component != most").select(
+                "key", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other")
+            )
             pairs = left.join(outside, "key").where((F.col("component") != F.col("other")) & close)
         found = _confirmed(materialize(pairs.select(*ordered).distinct(), "pairs"), sets, share)
         edges = materialize(found if edges is None else edges.unionByName(found), "links")

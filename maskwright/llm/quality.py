@@ -1,7 +1,8 @@
 """Quality of text by a sparse ensemble of rules.
 
-Statistics of a text are native expressions. A random forest on a labelled sample proposes rules: each path from a root to a node is a conjunction of
-bounds on statistics. A logistic regression with an L1 penalty gives most rules the weight zero; the rest become one Spark expression.
+Statistics of a text are native expressions. A random forest on a labelled sample proposes rules: each path from a root
+to a node is a conjunction of bounds on statistics. A logistic regression with an L1 penalty gives most rules the weight
+zero; the rest become one Spark expression.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ def counts(text: Column, words: Column) -> dict[str, Column]:
         return F.size(of).cast("double")
 
     # White space before the first word or after the last one leaves an empty part.
-    empty = (F.element_at(words, 1) == "").cast("int") + ((F.size(words) > 1) & (F.element_at(words, -1) == "")).cast("int")
+    empty = (F.element_at(words, 1) == "").cast("int") + (
+        (F.size(words) > 1) & (F.element_at(words, -1) == "")
+    ).cast("int")
     return {
         "n_chars": F.length(text).cast("double"),
         "n_solid": F.length(F.array_join(words, "")).cast("double"),
@@ -64,7 +67,8 @@ def statistics(prefix: str = "") -> dict[str, Column]:
 def with_statistics(docs: DataFrame, text: Column, prefix: str = "") -> DataFrame:
     """Adds the statistics, under names that start with ``prefix``, which no column of ``docs`` may do.
 
-    Generators hold the words and the counts, so that the optimizer does not put them in place of their names and count once for each rule.
+    Generators hold the words and the counts, so that the optimizer does not put them in place of their names and count
+    once for each rule.
     """
     own = [*map(quoted, docs.columns)]
     whole, parts = fresh(docs.columns, f"{prefix}text"), fresh(docs.columns, f"{prefix}parts")
@@ -120,8 +124,8 @@ class RuleModel:
 def fit_rules(sample: DataFrame, trees: int = 20, depth: int = 3, penalty: float = 0.002, seed: int = 7) -> RuleModel:
     """Fits on ``sample`` (doc_id, text, label 0/1), which has to be small.
 
-    Its statistics are made where its texts lie, and then go to one partition, so that reruns agree. With one label only, none, or nothing
-    that tells them apart, the score is constant.
+    Its statistics are made where its texts lie, and then go to one partition, so that reruns agree. With one label
+    only, none, or nothing that tells them apart, the score is constant.
     """
     stats = statistics()
     rows = materialize(with_statistics(sample, F.col("text")).drop("text"), "statistics")
@@ -132,13 +136,20 @@ def fit_rules(sample: DataFrame, trees: int = 20, depth: int = 3, penalty: float
     names = list(stats)
     vectors = VectorAssembler(inputCols=names, outputCol="features").transform(rows.coalesce(1))
     forest = RandomForestClassifier(
-        labelCol="label", numTrees=trees, maxDepth=depth, featureSubsetStrategy="onethird", minInstancesPerNode=3, seed=seed
+        labelCol="label",
+        numTrees=trees,
+        maxDepth=depth,
+        featureSubsetStrategy="onethird",
+        minInstancesPerNode=3,
+        seed=seed
     ).fit(vectors)
     rules = rules_of(forest.toDebugString, names)
     if not rules:
         return RuleModel(log(ones / (n - ones)), ())
     marked = rows.coalesce(1).select("label", *[r.column().cast("double").alias(f"r{i}") for i, r in enumerate(rules)])
-    lasso = LogisticRegression(labelCol="label", elasticNetParam=1.0, regParam=penalty, maxIter=100, standardization=False)
+    lasso = LogisticRegression(
+        labelCol="label", elasticNetParam=1.0, regParam=penalty, maxIter=100, standardization=False
+    )
     both = VectorAssembler(inputCols=[f"r{i}" for i in range(len(rules))], outputCol="features").transform(marked)
     fitted = lasso.fit(both.select("label", "features"))
     weights = zip(rules, fitted.coefficients.toArray(), strict=True)
@@ -156,10 +167,10 @@ def score_quality(
 ) -> DataFrame:
     """The columns of ``docs`` with ``held_out``, ``score`` and ``predicted`` in place of or after them.
 
-    Labels (``quality``) of documents whose CRC-32 of the id modulo ``held_out[0]`` is not ``held_out[1]`` are learned from, up to ``max_rows``
-    for each label. A score depends on the whole text alone, however long; null counts as empty, and empty texts are scored as texts whose
-    statistics are zero. Rows with a null id are scored and not held out; repeated rows score alike; without labels the score is 0.5; an
-    empty table gives no rows.
+    Labels (``quality``) of documents whose CRC-32 of the id modulo ``held_out[0]`` is not ``held_out[1]`` are learned
+    from, up to ``max_rows`` for each label. A score depends on the whole text alone, however long; null counts as
+    empty, and empty texts are scored as texts whose statistics are zero. Rows with a null id are scored and not held
+    out; repeated rows score alike; without labels the score is 0.5; an empty table gives no rows.
     """
     parts, out = held_out
     sample = labelled_sample(docs, labels, "quality", fold("doc_id", parts) != out, max_rows, id_col, text_col)
@@ -171,7 +182,9 @@ def score_quality(
     renamed = [(Rule(tuple((f"{prefix}{n}", a, b) for n, a, b in r.bounds)), w) for r, w in model.weights]
     text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
     score = RuleModel(model.intercept, tuple(renamed)).score()
-    scored = with_statistics(docs.select(*map(quoted, kept)), text, prefix).select(*map(quoted, kept), score.alias("score"))
+    scored = with_statistics(docs.select(*map(quoted, kept)), text, prefix).select(
+        *map(quoted, kept), score.alias("score")
+    )
     is_out = F.coalesce(fold(id_col, parts) == out, F.lit(False))
     predicted = (F.col("score") >= threshold).cast("int")
     return scored.select(*map(quoted, kept), is_out.alias("held_out"), "score", predicted.alias("predicted"))

@@ -44,7 +44,8 @@ def _fingerprints(data: np.ndarray, off: np.ndarray, k: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4) -> DataFrame:
-    """(doc_id, fp): the 64-bit fingerprint as a signed long, of the ``k``-word shingles of the text with A-Z lower-cased, repeats counted.
+    """(doc_id, fp): the 64-bit fingerprint as a signed long, of the ``k``-word shingles of the text with A-Z
+    lower-cased, repeats counted.
 
     A text of fewer words has one shingle, all its words; null, empty and blank texts have the fingerprint zero.
     """
@@ -57,10 +58,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+        run, f"doc_id {kind}, fp bigint"
+    )
 
 
-# Each half of a fingerprint meets every half within two bits of it: of the halves of two fingerprints that differ in up to five bits, one
+# Each half of a fingerprint meets every half within two bits of it: of the halves of two fingerprints that differ in up
+# to five bits, one
 # pair differs in up to two, and then shares a value that is at most one bit from either.
 _BALL = [0] + [1 << i for i in range(32)]
 _LOW = (1 << 32) - 1
@@ -74,7 +78,9 @@ def _keys(fp: Column) -> Column:
 
 
 def _near(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
-    """For each list of fingerprints, edges that connect those within ``distance`` bits: each to the first of its part of the list."""
+    """For each list of fingerprints, edges that connect those within ``distance`` bits: each to the first of its part
+    of the list.
+    """
     for batch in batches:
         col = batch.column(0)
         values, off = col.flatten().to_numpy().view(np.uint64), col.offsets.to_numpy() - col.offsets[0].as_py()
@@ -93,16 +99,19 @@ def _near(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Recor
 
 
 def links(fps: DataFrame, distance: int = 4, dense: int = 512) -> DataFrame:
-    """Edges (a, b) over distinct fingerprints (column fp) whose connected parts are those of all pairs within ``distance`` bits.
-
-    Fingerprints meet in a bucket for each value within one bit of either half. Buckets of up to ``dense`` fingerprints compare all
-    of them, which is work in proportion to their number. In a larger bucket of fingerprints that differ only in ``distance`` bits,
-    all link to the smallest; members of any other larger bucket link to the points within distance / 2 of them, over the bits in which the bucket
-    varies: two of them share such a point exactly if they are within ``distance``. So no bucket makes all of its pairs.
+    """Edges (a, b) over distinct fingerprints (column fp) whose connected parts are those of all pairs within
+    ``distance`` bits.
+
+    Fingerprints meet in a bucket for each value within one bit of either half. Buckets of up to ``dense`` fingerprints
+    compare all of them, which is work in proportion to their number. In a larger bucket of fingerprints that differ
+    only in ``distance`` bits, all link to the smallest; members of any other larger bucket link to the points within
+    distance / 2 of them, over the bits in which the bucket varies: two of them share such a point exactly if they are
+    within ``distance``. So no bucket makes all of its pairs.
     """
     if distance not in (2, 4):
         raise ValueError("distance must be 2 or 4")
-    # Keys are made where the fingerprints lie, so these are spread over all tasks first; adaptive execution would put so small a table into few.
+    # Keys are made where the fingerprints lie, so these are spread over all tasks first; adaptive execution would put
+    # so small a table into few.
     spread_out = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keyed = spread_out.select("fp", F.explode(_keys(F.col("fp"))).alias("key"))
     # The first pass over the keys carries counts alone; only keys of several fingerprints go on.
@@ -125,12 +134,17 @@ def links(fps: DataFrame, distance: int = 4, dense: int = 512) -> DataFrame:
     stars = large.where(tight).select(F.col("fp").alias("a"), F.col("least").alias("b"))
     spread = large.where(~tight).groupBy("fp").agg(F.bit_or("vary").alias("vary"))
     one = F.lit(1).cast("long")
-    each = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(F.getbit("vary", i) == 1, F.call_function("shiftleft", one, i)))
+    each = F.transform(
+        F.sequence(F.lit(0), F.lit(63)),
+        lambda i: F.when(F.getbit("vary", i) == 1, F.call_function("shiftleft", one, i)),
+    )
     ball = F.concat(F.array(F.lit(0).cast("long")), F.col("bits"))
     if distance == 4:
         two = F.transform("bits", lambda x: F.transform(F.filter("bits", lambda y: y != x), lambda y: x.bitwiseOR(y)))
         ball = F.concat(ball, F.flatten(two))
-    around = spread.withColumn("bits", F.filter(each, lambda x: x.isNotNull())).select(F.col("fp").alias("a"), F.explode(F.array_distinct(ball)).alias("m"))
+    around = spread.withColumn("bits", F.filter(each, lambda x: x.isNotNull())).select(
+        F.col("fp").alias("a"), F.explode(F.array_distinct(ball)).alias("m")
+    )
     points = around.select("a", F.col("a").bitwiseXOR(F.col("m")).alias("point"))
     shared = points.groupBy("point").agg(F.min("a").alias("b"), F.count("*").alias("n")).where(F.col("n") >= 2)
     through = points.join(shared, "point").select("a", "b")
@@ -140,11 +154,13 @@ def links(fps: DataFrame, distance: int = 4, dense: int = 512) -> DataFrame:
 def simhash_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, distance: int = 4, dense: int = 512
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fingerprint (16 hexadecimal digits), component_id, the smallest id that links reach.
+    """One row per row of ``docs``: doc_id, fingerprint (16 hexadecimal digits), component_id, the smallest id that
+    links reach.
 
-    Texts with equal fingerprints, or ones that differ in up to ``distance`` bits, are linked. Null, empty and blank texts have the
-    fingerprint zero, which is linked like any other. A null id never is a component_id unless its component has no other. Repeated rows are each
-    kept, an empty table gives no rows, other columns are ignored. Texts are read whole; one of n bytes takes some 100 n bytes of its task's memory.
+    Texts with equal fingerprints, or ones that differ in up to ``distance`` bits, are linked. Null, empty and blank
+    texts have the fingerprint zero, which is linked like any other. A null id never is a component_id unless its
+    component has no other. Repeated rows are each kept, an empty table gives no rows, other columns are ignored. Texts
+    are read whole; one of n bytes takes some 100 n bytes of its task's memory.
     """
     found = materialize(fingerprints(docs, id_col, text_col, k), "fingerprints")
     distinct = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
@@ -152,4 +168,6 @@ def simhash_groups(
     rooted = distinct.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = rooted.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(least, "component").select("fp", "component_id")
-    return found.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return found.join(named, "fp").select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    )

@@ -1,4 +1,6 @@
-"""A log-structured table: sorted immutable runs of one row per key, each with a filter, merged in size tiers by aggregation."""
+"""A log-structured table: sorted immutable runs of one row per key, each with a filter, merged in size tiers by
+aggregation.
+"""
 
 from __future__ import annotations
 
@@ -12,13 +14,14 @@ _LOG = "seq int, run string, level int, added boolean"
 
 
 class SortedRuns:
-    """An index of keys in a folder. ``merge`` says for each other column how rows with equal keys, of a batch or of several runs, become one;
-    one of these columns is ``n``, how many rows a key stands for.
-
-    A batch is a memtable: it is reduced to a row for each key, meets the older runs, and is flushed as one more run. ``tier`` runs of a level are
-    merged into one of the next level, so a row is rewritten once for each level. The folder holds the runs, their filters and a log of which
-    of them count, to which each change is appended after its files are whole; ``SortedRuns.open`` reads it back in any later session. A folder
-    has one writer at a time. Runs that were merged are left for readers that still use them.
+    """An index of keys in a folder. ``merge`` says for each other column how rows with equal keys, of a batch or of
+    several runs, become one; one of these columns is ``n``, how many rows a key stands for.
+
+    A batch is a memtable: it is reduced to a row for each key, meets the older runs, and is flushed as one more run.
+    ``tier`` runs of a level are merged into one of the next level, so a row is rewritten once for each level. The
+    folder holds the runs, their filters and a log of which of them count, to which each change is appended after its
+    files are whole; ``SortedRuns.open`` reads it back in any later session. A folder has one writer at a time. Runs
+    that were merged are left for readers that still use them.
     """
 
     def __init__(self, spark: SparkSession, key: str, merge: dict[str, Column], path: str | None = None, tier: int = 4):
@@ -72,14 +75,20 @@ class SortedRuns:
         return self._merged(self._read(list(self.levels)))
 
     def probe(self, keys: DataFrame, filter_: DataFrame | None = None, runs: list[str] | None = None) -> DataFrame:
-        """The merged rows of those of the distinct ``keys`` that the runs have: filters of either side thin the other one before a merge join."""
+        """The merged rows of those of the distinct ``keys`` that the runs have: filters of either side thin the other
+        one before a merge join.
+        """
         runs = list(self.levels) if runs is None else runs
         maybe = filters.only_marked(keys.select(self.key), self._filter(runs), [self.key])
-        old = filters.only_marked(self._read(runs), filters.bitmaps(keys, [self.key]) if filter_ is None else filter_, [self.key])
+        old = filters.only_marked(
+            self._read(runs), filters.bitmaps(keys, [self.key]) if filter_ is None else filter_, [self.key]
+        )
         return self._merged(old).join(maybe.hint("merge"), self.key, "left_semi")
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Adds a batch (key and the merged columns). Returns the keys that it repeats: those in it more than once, and those that older runs have."""
+        """Adds a batch (key and the merged columns). Returns the keys that it repeats: those in it more than once, and
+        those that older runs have.
+        """
         older = list(self.levels)
         run = self._write(self._merged(batch), 0, [])
         rows = self._read([run])

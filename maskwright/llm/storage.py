@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Where it is unset, a local session gets a folder of its own, which is set there; a cluster is refused."""
+    """The folder named in spark.checkpoint.dir. Where it is unset, a local session gets a folder of its own, which is
+    set there; a cluster is refused.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -24,7 +26,9 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes a frame as a Parquet table in the shared folder and reads it back, so that nothing after it depends on lost tasks."""
+    """Writes a frame as a Parquet table in the shared folder and reads it back, so that nothing after it depends on
+    lost tasks.
+    """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,11 +1,12 @@
 """Removal of repeated passages by a log-structured index of window fingerprints.
 
-A window is ``window`` consecutive words of one document. Its fingerprint is the smallest hash of its ``gram``-word parts, so that neighbouring windows
-mostly share one, and equal windows always do: a document is cut into pieces, each a run of windows with one fingerprint, and only the
-pieces (one for about every thirteen words) enter the index. The fingerprints of a batch meet older runs in a merge join behind the runs' filters,
-and are flushed as an immutable run sorted by fingerprint; runs are compacted in size tiers. Pieces whose fingerprint a batch repeats are
-verified by 128-bit digests of their exact words: first whole pieces, and then the single windows of the pieces that differ, which stand where
-repeated passages begin and end.
+A window is ``window`` consecutive words of one document. Its fingerprint is the smallest hash of its ``gram``-word
+parts, so that neighbouring windows mostly share one, and equal windows always do: a document is cut into pieces, each a
+run of windows with one fingerprint, and only the pieces (one for about every thirteen words) enter the index. The
+fingerprints of a batch meet older runs in a merge join behind the runs' filters, and are flushed as an immutable run
+sorted by fingerprint; runs are compacted in size tiers. Pieces whose fingerprint a batch repeats are verified by
+128-bit digests of their exact words: first whole pieces, and then the single windows of the pieces that differ, which
+stand where repeated passages begin and end.
 """
 
 from __future__ import annotations
@@ -31,11 +32,15 @@ PIECE = 31
 def _digests(text: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """BLAKE2b of each slice, as two 64-bit numbers."""
     slices = zip(start.tolist(), end.tolist(), strict=True)
-    return np.frombuffer(b"".join([blake2b(text[a:b], digest_size=16).digest() for a, b in slices]), np.int64).reshape(-1, 2)
+    return np.frombuffer(
+        b"".join([blake2b(text[a:b], digest_size=16).digest() for a, b in slices]), np.int64
+    ).reshape(-1, 2)
 
 
 def _pieces(data: np.ndarray, off: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Of the texts of a block: each piece's row, first word, number of windows, fingerprint, digest, and whether a window occurs in it twice."""
+    """Of the texts of a block: each piece's row, first word, number of windows, fingerprint, digest, and whether a
+    window occurs in it twice.
+    """
     words = Words(data, off)
     h = words.hashes()
     full = grams(h, window)
@@ -65,7 +70,9 @@ def _pieces(data: np.ndarray, off: np.ndarray, window: int, gram: int) -> tuple[
 
 
 def fingerprints(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """``texts`` has k1, k2, text. One row per piece: v (fingerprint), k1, k2, first, size, c1 and c2 (digest of its words), weight (2 if it repeats itself)."""
+    """``texts`` has k1, k2, text. One row per piece: v (fingerprint), k1, k2, first, size, c1 and c2 (digest of its
+    words), weight (2 if it repeats itself).
+    """
     names = ["v", "k1", "k2", "first", "size", "c1", "c2", "weight"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +93,9 @@ _PIECE = ("first", "size", "v", "single", "k1", "k2")
 
 
 def _windows(texts: DataFrame, window: int) -> DataFrame:
-    """``texts`` has text and pieces (first, size, v, single, k1, k2). One row per window of a piece: v, d1, d2 (digest), k1, k2, first, single."""
+    """``texts`` has text and pieces (first, size, v, single, k1, k2). One row per window of a piece: v, d1, d2
+    (digest), k1, k2, first, single.
+    """
     names = ["v", "d1", "d2", "k1", "k2", "first", "single"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,8 +123,12 @@ def _windows(texts: DataFrame, window: int) -> DataFrame:
     return texts.select("text", "pieces").mapInArrow(run, schema)
 
 
-def _cut(data: np.ndarray, off: np.ndarray, ranges: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the texts of a block without the words in their ranges (first << 32 | words): words, words removed, bytes and offsets of what is left."""
+def _cut(data: np.ndarray, off: np.ndarray, ranges: np.ndarray, lo: np.ndarray) -> tuple[
+    np.ndarray, np.ndarray, np.ndarray, np.ndarray
+]:
+    """Of the texts of a block without the words in their ranges (first << 32 | words): words, words removed, bytes and
+    offsets of what is left.
+    """
     words = Words(data, off)
     change = np.zeros(len(words.start) + 1, np.int64)
     begin = (ranges >> 32) + np.repeat(words.first, np.diff(lo))
@@ -155,8 +168,15 @@ def remove_ranges(docs: DataFrame) -> DataFrame:
             values = ranges.values.to_numpy()
             for a, b in blocks(off):
                 n, removed, left, bounds = _cut(data, off[a : b + 1], values[lo[a] : lo[b]], lo[a : b + 1])
-                text = pa.Array.from_buffers(pa.string(), b - a, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(left)])
-                cols = [batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(removed.astype(np.int64)), text]
+                text = pa.Array.from_buffers(
+                    pa.string(), b - a, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(left)]
+                )
+                cols = [
+                    batch.column(0).slice(a, b - a),
+                    pa.array(n.astype(np.int64)),
+                    pa.array(removed.astype(np.int64)),
+                    text,
+                ]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_removed", "text"])
 
     schema = f"doc_id {kind}, n_words bigint, n_removed bigint, text string"
@@ -164,15 +184,20 @@ def remove_ranges(docs: DataFrame) -> DataFrame:
 
 
 def _repeated_ranges(texts: DataFrame, pieces: DataFrame, hits: DataFrame, window: int) -> DataFrame:
-    """Ranges of words to remove: k1, k2, first, words. ``pieces`` are those of ``texts``; ``hits`` has the fingerprints (v) that occur again."""
+    """Ranges of words to remove: k1, k2, first, words. ``pieces`` are those of ``texts``; ``hits`` has the fingerprints
+    (v) that occur again.
+    """
     met = materialize(only_listed(pieces, hits, ["v"]).join(hits, "v", "left_semi"), "hit-pieces")
     one = F.min(F.struct("k1", "k2", "first", "size")).alias("one")
     whole = met.groupBy("v", "c1", "c2").agg(F.count("*").alias("n"), F.max("weight").alias("weight"), one)
     whole = materialize(whole, "whole-pieces")
     same = whole.where(F.col("n") >= 2).select("v", "c1", "c2")
     ranges = met.join(same, ["v", "c1", "c2"]).select("k1", "k2", "first", (F.col("size") + window - 1).alias("words"))
-    # Where a piece stands alone among others with its fingerprint, or repeats itself: one of each of them is taken apart.
-    kinds = whole.groupBy("v").agg(F.count("*").alias("kinds"), F.min("n").alias("rarest"), F.max("weight").alias("most"))
+    # Where a piece stands alone among others with its fingerprint, or repeats itself: one of each of them is taken
+    # apart.
+    kinds = whole.groupBy("v").agg(
+        F.count("*").alias("kinds"), F.min("n").alias("rarest"), F.max("weight").alias("most")
+    )
     mixed = kinds.where((F.col("rarest") == 1) & ((F.col("kinds") >= 2) | (F.col("most") >= 2))).select("v")
     apart = whole.join(mixed, "v").select("one.*", "v", (F.col("n") == 1).alias("single"))
     listed = materialize(apart.groupBy("k1", "k2").agg(F.collect_list(F.struct(*_PIECE)).alias("pieces")), "apart")
@@ -180,7 +205,9 @@ def _repeated_ranges(texts: DataFrame, pieces: DataFrame, hits: DataFrame, windo
     windows = materialize(_windows(holders, window), "windows")
     counted = windows.groupBy("v", "d1", "d2").agg(F.count("*").alias("n"), F.max("single").alias("any"))
     again = counted.where((F.col("n") >= 2) & F.col("any")).select("v", "d1", "d2")
-    found = windows.where("single").join(again, ["v", "d1", "d2"]).select("k1", "k2", "first", F.lit(window).alias("words"))
+    found = windows.where("single").join(again, ["v", "d1", "d2"]).select(
+        "k1", "k2", "first", F.lit(window).alias("words")
+    )
     return ranges.unionByName(found)
 
 
@@ -215,7 +242,9 @@ class PassageIndex:
             hits.write.mode("append").parquet(f"{self.runs.path}/hits")
 
     def remove(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """One row per row of ``docs``, which holds all documents that were added so far: doc_id, n_words, n_removed, text."""
+        """One row per row of ``docs``, which holds all documents that were added so far: doc_id, n_words, n_removed,
+        text.
+        """
         spark, keyed = self.runs.spark, self._keyed(docs, id_col, text_col)
         hits = materialize(spark.read.parquet(f"{self.runs.path}/hits").distinct(), "hits")
         found = _repeated_ranges(keyed, spark.read.parquet(f"{self.runs.path}/pieces/*"), hits, self.window)
@@ -225,7 +254,9 @@ class PassageIndex:
         keys, none = ["k1", "k2"], F.array().cast("array<bigint>")
         both = marked(keyed, bitmaps(ranges, keys), keys, "maybe")
         whole = both.where("not maybe").drop("maybe").withColumn("ranges", none)
-        cut = both.where("maybe").drop("maybe").join(ranges, keys, "left").withColumn("ranges", F.coalesce("ranges", none))
+        cut = both.where("maybe").drop("maybe").join(ranges, keys, "left").withColumn(
+            "ranges", F.coalesce("ranges", none)
+        )
         return remove_ranges(whole.unionByName(cut))
 
 
@@ -234,10 +265,11 @@ def remove_repeats(
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, text, the words that are left joined by single spaces.
 
-    A word goes if a window of ``window`` words that covers it occurs anywhere else too, in the same document or another one; windows are judged on
-    the input. So of a repeated passage no copy stays. Null, empty and shorter texts keep all words; a row that is there twice repeats itself; null
-    ids are taken as they are; an empty table gives no rows; other columns are ignored. Texts are read whole; one of n bytes takes some 60 n bytes
-    of its task's memory. Documents enter the index in ``batches`` batches.
+    A word goes if a window of ``window`` words that covers it occurs anywhere else too, in the same document or another
+    one; windows are judged on the input. So of a repeated passage no copy stays. Null, empty and shorter texts keep all
+    words; a row that is there twice repeats itself; null ids are taken as they are; an empty table gives no rows; other
+    columns are ignored. Texts are read whole; one of n bytes takes some 60 n bytes of its task's memory. Documents
+    enter the index in ``batches`` batches.
     """
     index = PassageIndex.create(docs.sparkSession, None, window, gram)
     index.add(docs, id_col, text_col, batches)

@@ -45,7 +45,9 @@ def _ngrams(data: np.ndarray, off: np.ndarray, sizes: Sizes) -> Iterator[tuple[n
 
 
 def _counts(sample: DataFrame, sizes: Sizes) -> DataFrame:
-    """(apart, h, toxic, clean): how many of the texts with each label have each n-gram. ``sample`` has text, label, apart."""
+    """(apart, h, toxic, clean): how many of the texts with each label have each n-gram. ``sample`` has text, label,
+    apart.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,7 +69,9 @@ def _counts(sample: DataFrame, sizes: Sizes) -> DataFrame:
                     for apart, clean, toxic in ((False, n[0], n[1]), (True, n[2], n[3])):
                         some = np.flatnonzero(clean + toxic)
                         columns = [np.full(len(some), apart), h[start[some]].view(np.int64), toxic[some], clean[some]]
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["apart", "h", "toxic", "clean"])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(c) for c in columns], ["apart", "h", "toxic", "clean"]
+                        )
 
     found = sample.select("text", F.col("label").cast("long"), F.col("apart").cast("int")).mapInArrow(
         run, "apart boolean, h bigint, toxic bigint, clean bigint"
@@ -140,7 +144,9 @@ def _vectors(sample: DataFrame, features: Features, ratios: np.ndarray) -> DataF
     return sample.select("text", "label").mapInArrow(listed, schema)
 
 
-def _fitted(sample: DataFrame, counts: DataFrame, sizes: Sizes, min_texts: int, min_ratio: float, penalty: float) -> Model:
+def _fitted(
+    sample: DataFrame, counts: DataFrame, sizes: Sizes, min_texts: int, min_ratio: float, penalty: float
+) -> Model:
     """A model from ``sample`` (text, label) and the ``counts`` (h, toxic, clean) of its n-grams."""
     sums = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("ones")).first()
     if sums["ones"] in (0, sums["n"]):
@@ -160,12 +166,16 @@ def _fitted(sample: DataFrame, counts: DataFrame, sizes: Sizes, min_texts: int,
     # The rarer label weighs more, by the root of its share: half-way between the sample's shares and equal ones.
     weight = F.when(F.col("label") == 1, sqrt((sums["n"] - sums["ones"]) / sums["ones"])).otherwise(1.0)
     rows = materialize(_vectors(sample, features, ratios), "vectors").withColumn("weight", weight)
-    model = LogisticRegression(labelCol="label", weightCol="weight", regParam=penalty, maxIter=50, standardization=False).fit(rows)
+    model = LogisticRegression(
+        labelCol="label", weightCol="weight", regParam=penalty, maxIter=50, standardization=False
+    ).fit(rows)
     return Model(features, model.coefficients.toArray() * ratios, float(model.intercept))
 
 
 def _cut(scores: np.ndarray, labels: np.ndarray, care: float = 20.0) -> float:
-    """The log-odds above which texts are best taken for toxic: recall plus ``care`` times the share of others left alone is largest."""
+    """The log-odds above which texts are best taken for toxic: recall plus ``care`` times the share of others left
+    alone is largest.
+    """
     order = np.argsort(-scores, kind="stable")
     s, y = scores[order], labels[order]
     recall, alone = np.cumsum(y) / y.sum(), 1 - np.cumsum(1 - y) / (1 - y).sum()
@@ -178,11 +188,16 @@ def fit(
 ) -> Model:
     """A model from ``sample`` (doc_id, text, label 0/1), which has to be small.
 
-    An n-gram is a feature if at least ``min_texts`` texts have it and its log-count ratio is at least ``min_ratio`` away from zero, however many do.
-    Two models are fitted: one without a quarter of the rows, on which the cut between the labels is found, and one of all rows, whose
-    intercept moves half-way to that cut; the other half stays as a margin for texts that are not toxic. With under thirty rows of a label in that quarter the intercept stays as it is.
+    An n-gram is a feature if at least ``min_texts`` texts have it and its log-count ratio is at least ``min_ratio``
+    away from zero, however many do. Two models are fitted: one without a quarter of the rows, on which the cut between
+    the labels is found, and one of all rows, whose intercept moves half-way to that cut; the other half stays as a
+    margin for texts that are not toxic. With under thirty rows of a label in that quarter the intercept stays as it is.
     """
-    sample = sample.select("text", F.col("label").cast("int").alias("label"), (F.crc32(F.col("doc_id").cast("string")) % 32 < 8).alias("apart"))
+    sample = sample.select(
+        "text",
+        F.col("label").cast("int").alias("label"),
+        (F.crc32(F.col("doc_id").cast("string")) % 32 < 8).alias("apart"),
+    )
     sample = materialize(sample, "labelled")
     parts = materialize(_counts(sample, sizes), "ngram-counts")
     whole = parts.groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
@@ -208,10 +223,11 @@ def score_toxicity(
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 
-    Labels (``toxic``) of documents whose CRC-32 of the id modulo ``held_out[0]`` is not ``held_out[1]`` are learned from, up to ``max_rows``
-    for each label. A score depends on the whole text alone; null counts as empty, and empty texts have the score of a text without features.
-    Rows with a null id are scored and not held out; repeated rows score alike; without labels the score is 0.5. A text of n bytes takes some
-    60 n bytes of its task's memory. Other columns are ignored.
+    Labels (``toxic``) of documents whose CRC-32 of the id modulo ``held_out[0]`` is not ``held_out[1]`` are learned
+    from, up to ``max_rows`` for each label. A score depends on the whole text alone; null counts as empty, and empty
+    texts have the score of a text without features. Rows with a null id are scored and not held out; repeated rows
+    score alike; without labels the score is 0.5. A text of n bytes takes some 60 n bytes of its task's memory. Other
+    columns are ignored.
     """
     parts, out = held_out
     model = fit(labelled_sample(docs, labels, "toxic", fold("doc_id", parts) != out, max_rows, id_col, text_col))

@@ -14,8 +14,9 @@ PREFIX_BYTES = 4
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
-    """(host, path). The host follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, with A-Z lower-cased; the path then goes
-    up to ``?``, ``#`` or the end. Null, or no ``://``: both empty."""
+    """(host, path). The host follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, with A-Z lower-cased; the
+    path then goes up to ``?``, ``#`` or the end. Null, or no ``://``: both empty.
+    """
     at = F.instr(url, "://")
     rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
     rest = F.coalesce(rest, F.lit(""))
@@ -31,20 +32,24 @@ def _digest(host: Column, path: Column) -> Column:
 def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
     """The columns of ``pages`` with ``host``, ``path``, ``rule`` and ``verdict`` in place of or after them.
 
-    ``rules`` has host, path and verdict. A rule fits its host and all subdomains when the URL's path starts with the rule's path. The
-    longest rule (host and path together) wins; of equally long ones the longer host, then the smaller verdict. Rules without
-    a host never fit. With no fitting rule, ``rule`` is null and the verdict is ``default``.
+    ``rules`` has host, path and verdict. A rule fits its host and all subdomains when the URL's path starts with the
+    rule's path. The longest rule (host and path together) wins; of equally long ones the longer host, then the smaller
+    verdict. Rules without a host never fit. With no fitting rule, ``rule`` is null and the verdict is ``default``.
 
-    Distinct (host, path) pairs are expanded into host suffixes and path prefixes (only of the numbers of labels and of the lengths that some
-    rule has, so that a long URL has few), joined to the rules on the first bytes of a SHA-256 digest, and confirmed on the whole digest. Null,
-    empty and malformed URLs have an empty host and fit nothing; repeated rows are each kept; an empty rule table gives the default; an empty
-    table gives no rows.
+    Distinct (host, path) pairs are expanded into host suffixes and path prefixes (only of the numbers of labels and of
+    the lengths that some rule has, so that a long URL has few), joined to the rules on the first bytes of a SHA-256
+    digest, and confirmed on the whole digest. Null, empty and malformed URLs have an empty host and fit nothing;
+    repeated rows are each kept; an empty rule table gives the default; an empty table gives no rows.
     """
     host, path = split_url(F.col(quoted(url_col)))
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     split = pages.select(*map(quoted, kept), host.alias("host"), path.alias("path"))
     known = (
-        rules.select(F.lower("host").alias("r_host"), F.coalesce("path", F.lit("")).alias("r_path"), F.col("verdict").alias("r_verdict"))
+        rules.select(
+            F.lower("host").alias("r_host"),
+            F.coalesce("path", F.lit("")).alias("r_path"),
+            F.col("verdict").alias("r_verdict"),
+        )
         .where(F.coalesce(F.col("r_host"), F.lit("")) != "")
         .distinct()
     )
@@ -82,6 +87,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
         F.col("r_verdict").alias("verdict"),
         F.concat("r_host", "r_path").alias("rule"),
     )
-    best = hits.groupBy("host", "path").agg(F.min(order).alias("best")).select("host", "path", "best.rule", "best.verdict")
+    best = hits.groupBy("host", "path").agg(F.min(order).alias("best")).select(
+        "host", "path", "best.rule", "best.verdict"
+    )
     verdict = F.coalesce("verdict", F.lit(default)).alias("verdict")
     return split.join(best, ["host", "path"], "left").select(*map(quoted, kept), "host", "path", "rule", verdict)

@@ -25,7 +25,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 # Odd multipliers of two unrelated polynomial hashes, by level (bytes of a word, words of a window).
-_BASES = {"byte": 0x9E3779B97F4A7C15, "word": 0xC2B2AE3D27D4EB4F, "byte2": 0xD6E8FEB86659FD93, "word2": 0xA0761D6478BD642F}
+_BASES = {
+    "byte": 0x9E3779B97F4A7C15, "word": 0xC2B2AE3D27D4EB4F, "byte2": 0xD6E8FEB86659FD93, "word2": 0xA0761D6478BD642F
+}
 _POWERS: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -61,7 +63,9 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         col = pc.fill_null(col, "")
     width = np.int64 if pa.types.is_large_string(col.type) else np.int32
     _, offsets, data = col.buffers()
-    off = np.frombuffer(offsets, width)[col.offset : col.offset + len(col) + 1].astype(np.int64) if len(col) else np.zeros(1, np.int64)
+    off = np.frombuffer(offsets, width)[
+        col.offset : col.offset + len(col) + 1
+    ].astype(np.int64) if len(col) else np.zeros(1, np.int64)
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), off
 
 

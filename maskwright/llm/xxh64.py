@@ -5,7 +5,10 @@ from __future__ import annotations
 import numpy as np
 
 # The five primes of XXH64.
-_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+_P1, _P2, _P3, _P4, _P5 = (
+    np.uint64(p)
+    for p in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+)
 _MASK = (1 << 64) - 1
 
 
@@ -28,7 +31,10 @@ def xxh64_slices(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int
     live = np.flatnonzero(size >= 32)
     if len(live):
         p, e = pos[live].copy(), end[live]
-        acc = [np.full(len(live), v & _MASK, np.uint64) for v in (seed + int(_P1) + int(_P2), seed + int(_P2), seed, seed - int(_P1))]
+        acc = [
+            np.full(len(live), v & _MASK, np.uint64)
+            for v in (seed + int(_P1) + int(_P2), seed + int(_P2), seed, seed - int(_P1))
+        ]
         on = np.arange(len(live))
         while len(on):
             for j in range(4):

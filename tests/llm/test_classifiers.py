@@ -32,7 +32,10 @@ def test_quality_held_out(spark):
     row = scored.where("doc_id = 3").first()
     assert row["held_out"] == (zlib.crc32(b"3") % 4 == 2) and set(docs.columns) <= set(scored.columns)
     # Labels of held-out documents change nothing.
-    flipped = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, 1 - F.col("quality")).otherwise(F.col("quality")))
+    flipped = labels.withColumn(
+        "quality",
+        F.when(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, 1 - F.col("quality")).otherwise(F.col("quality")),
+    )
     assert score_quality(docs, flipped).select("doc_id", "score").exceptAll(scored.select("doc_id", "score")).isEmpty()
 
 
@@ -47,31 +50,46 @@ EDGE = [(None, "a b"), (1, None), (2, ""), (3, "  \n"), (4, "word " * 30000), (5
 
 
 def test_edge_texts(spark):
-    docs = spark.createDataFrame([(d, t, 0.5, True, 1) for d, t in EDGE], "doc_id long, text string, score double, held_out boolean, words int")
+    docs = spark.createDataFrame(
+        [(d, t, 0.5, True, 1) for d, t in EDGE], "doc_id long, text string, score double, held_out boolean, words int"
+    )
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for scored in (score_quality(docs, labels), score_toxicity(docs, labels)):
         assert [r["score"] for r in scored.collect()] == [0.5] * len(EDGE)
-    one = spark.createDataFrame([(i, 1, 1) for i in range(1, 5)] + [(None, 0, 0), (9, None, None)], "doc_id long, quality int, toxic int")
+    one = spark.createDataFrame(
+        [(i, 1, 1) for i in range(1, 5)] + [(None, 0, 0), (9, None, None)], "doc_id long, quality int, toxic int"
+    )
     for scored in (score_quality(docs, one), score_toxicity(docs, one)):
         assert all(r["score"] > 0.9 and r["predicted"] == 1 for r in scored.collect())
     assert score_quality(docs.limit(0), one).isEmpty() and score_toxicity(docs.limit(0), one).isEmpty()
 
 
 def test_small_models_score_edges(spark):
-    texts = [(i, f"plain words number {i} go here and there." if i % 2 else f"BAD!! WORDS!! {i}!! idiot") for i in range(60)]
+    texts = [
+        (i, f"plain words number {i} go here and there." if i % 2 else f"BAD!! WORDS!! {i}!! idiot") for i in range(60)
+    ]
     docs = spark.createDataFrame([*texts, *EDGE], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
     for scored, good in ((score_quality(docs, labels), 1), (score_toxicity(docs, labels), 0)):
         rows = scored.join(spark.createDataFrame(texts[10:], "doc_id long, text2 string"), "doc_id").collect()
         assert all(r["predicted"] == (good if r["doc_id"] % 2 else 1 - good) for r in rows)
-        assert scored.count() == len(texts) + len(EDGE) and scored.where("score is null or score < 0 or score > 1").isEmpty()
+        assert scored.count() == len(texts) + len(EDGE) and scored.where(
+            "score is null or score < 0 or score > 1"
+        ).isEmpty()
 
 
 def test_statistics_and_rules(spark):
     row = with_statistics(spark.createDataFrame([("Aa bb bb bb, c\nÉ|",)], "t string"), F.col("t")).first()
-    assert row["words"] == 6 and row["repeated"] == pytest.approx(1 / 6) and row["lines"] == pytest.approx(1 / 6) and row["upper"] == pytest.approx(2 / 17)
+    assert row["words"] == 6 and row["repeated"] == pytest.approx(1 / 6) and row["lines"] == pytest.approx(
+        1 / 6
+    ) and row["upper"] == pytest.approx(2 / 17)
     text = " Tree 0 (weight 1.0):\n  If (feature 0 <= 1.5)\n   Predict: 0.0\n  Else (feature 0 > 1.5)\n   If (feature 1 <= 0.25)\n    Predict: 1.0\n   Else (feature 1 > 0.25)\n    Predict: 0.0\n"
-    assert [r.bounds for r in rules_of(text, ["a", "b"])] == [(("a", True, 1.5),), (("a", False, 1.5),), (("a", False, 1.5), ("b", True, 0.25)), (("a", False, 1.5), ("b", False, 0.25))]
+    assert [r.bounds for r in rules_of(text, ["a", "b"])] == [
+        (("a", True, 1.5),),
+        (("a", False, 1.5),),
+        (("a", False, 1.5), ("b", True, 0.25)),
+        (("a", False, 1.5), ("b", False, 0.25)),
+    ]
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav><!-- <p>no</p> -->
@@ -81,7 +99,19 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 
 def test_html(spark):
-    pages = spark.createDataFrame([(1, "u", PAGE, "t"), (2, "u", None, "t"), (3, "u", "", "t"), (4, "u", "<nav>Menu", "t"), (5, "u", "<<p>a</p", "t"), (5, "u", "<<p>a</p", "t"), (6, "u", "<article>" + "<p>word</p>" * 20000, "t"), (7, "u", "<a " + "'" * 5001, "t")], "page_id long, url string, html string, text string")
+    pages = spark.createDataFrame(
+        [
+            (1, "u", PAGE, "t"),
+            (2, "u", None, "t"),
+            (3, "u", "", "t"),
+            (4, "u", "<nav>Menu", "t"),
+            (5, "u", "<<p>a</p", "t"),
+            (5, "u", "<<p>a</p", "t"),
+            (6, "u", "<article>" + "<p>word</p>" * 20000, "t"),
+            (7, "u", "<a " + "'" * 5001, "t"),
+        ],
+        "page_id long, url string, html string, text string",
+    )
     got = {r["page_id"]: r for r in H.extract_text(pages).collect()}
     assert got[1]["text"] == "Head & tail\nOne bold line here next.\nShort.\nLast <one>"
     assert got[2]["text"] == got[3]["text"] == got[4]["text"] == "" and got[2]["n_chars"] == 0
@@ -98,7 +128,10 @@ def _texts(spark, htmls):
     return {r["page_id"]: r["text"] for r in H.extract_text(pages).collect()}
 
 
-@pytest.mark.parametrize("name", ["content has-sidebar", "page no-sidebar", "post has-comments", "search-result-page", "sidebar", "nav search"])
+@pytest.mark.parametrize(
+    "name",
+    ["content has-sidebar", "page no-sidebar", "post has-comments", "search-result-page", "sidebar", "nav search"],
+)
 def test_html_layout_classes(spark, name):
     """A wrapper's class does not take the article's text away, nor a main or article element's own."""
     inner = f"<h1>Bridge</h1><p>{LONG}</p><p>Then it rained.</p>"
@@ -130,15 +163,22 @@ def test_html_names_do_not_decide(spark):
 
 
 def test_html_tree(spark):
-    """Word counts and link densities of a block and of both neighbours are in the tree, and it holds for a language that it has not seen."""
+    """Word counts and link densities of a block and of both neighbours are in the tree, and it holds for a language
+    that it has not seen.
+    """
     text = H.fit_tree(spark)
     used = {name for i, name in enumerate(H.FEATURES) if f"(feature {i} " in text}
     assert {"words", "density", "before_words", "after_words"} <= used and used & {"before_density", "after_density"}
     wrong = n = 0
     for words in L.LANGUAGES:
-        pages = {own: [L.LAYOUTS[k](w, t) for k in L.LAYOUTS for w in L.LANGUAGES if (w is words) == own for t in range(4)] for own in (True, False)}
+        pages = {
+            own: [L.LAYOUTS[k](w, t) for k in L.LAYOUTS for w in L.LANGUAGES if (w is words) == own for t in range(4)]
+            for own in (True, False)
+        }
         tree = H.tree_of(H.fit_tree(spark, pages[False]))
-        rows = H.labelled_blocks(spark, pages[True]).select("label", tree({f: F.col(f) for f in H.FEATURES}).alias("p")).collect()
+        rows = H.labelled_blocks(spark, pages[True]).select(
+            "label", tree({f: F.col(f) for f in H.FEATURES}).alias("p")
+        ).collect()
         wrong, n = wrong + sum(r["label"] != r["p"] for r in rows), n + len(rows)
     assert wrong <= 0.02 * n
 
@@ -149,7 +189,12 @@ def test_html_of_all_pages(spark):
     import html
     import re
 
-    for r in H.extract_text(spark.read.parquet(f"{SF}/pages.parquet")).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect():
+    for r in H.extract_text(spark.read.parquet(f"{SF}/pages.parquet")).join(
+        spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id"
+    ).collect():
         body = re.search(r"<article>(.*?)(?:</article>|$)", r["html"], re.S)[1]
-        parts = [" ".join(html.unescape(b.replace("<br>", " ")).split()) for b in re.split(r"</?(?:h1|p)>", re.sub("</?b>", "", body))]
+        parts = [
+            " ".join(html.unescape(b.replace("<br>", " ")).split())
+            for b in re.split(r"</?(?:h1|p)>", re.sub("</?b>", "", body))
+        ]
         assert r["text"] == "\n".join(p for p in parts if p)

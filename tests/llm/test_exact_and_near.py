@@ -32,7 +32,16 @@ def _docs(spark, rows, parts=3):
     return spark.createDataFrame([(d, t, 1, "x", "y") for d, t in rows], DOCS).repartition(parts)
 
 
-EDGE = [(100, None), (101, ""), (102, " \n"), (103, "same text"), (103, "same text"), (104, "same text"), (None, "same text"), (None, "alone")]
+EDGE = [
+    (100, None),
+    (101, ""),
+    (102, " \n"),
+    (103, "same text"),
+    (103, "same text"),
+    (104, "same text"),
+    (None, "same text"),
+    (None, "alone"),
+]
 
 
 @pytest.mark.parametrize("weak", [False, True])
@@ -76,7 +85,15 @@ def test_index_over_sessions(spark):
     rng = random.Random(21)
     vocab = [f"x{i}" for i in range(30)]
     passages = [" ".join(rng.choice(vocab) for _ in range(20)) for _ in range(4)]
-    rows = [(i, " ".join([rng.choice(passages), *(rng.choice(vocab) for _ in range(10))]) if i % 3 else rng.choice(["a", "b", ""])) for i in range(45)]
+    rows = [
+        (
+            i,
+            " ".join([rng.choice(passages), *(rng.choice(vocab) for _ in range(10))])
+            if i % 3
+            else rng.choice(["a", "b", ""]),
+        )
+        for i in range(45)
+    ]
     paths = [f"{shared_folder(spark)}/three-{name}" for name in ("digests", "passages")]
     for k in range(3):
         session = spark.newSession()
@@ -87,7 +104,9 @@ def test_index_over_sessions(spark):
     docs = _docs(session, rows)
     groups = DigestIndex.create(session, paths[0], again=True).groups(docs).collect()
     ids = {t: [d for d, u in rows if u == t] for _, t in rows}
-    assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in groups} == {d: (min(ids[t]), len(ids[t]), d == min(ids[t])) for d, t in rows}
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in groups} == {
+        d: (min(ids[t]), len(ids[t]), d == min(ids[t])) for d, t in rows
+    }
     left = PassageIndex.create(session, paths[1], 7, 3, again=True).remove(docs)
     assert Counter(map(tuple, left.collect())) == _brute_windows(rows, 7)
 
@@ -124,8 +143,12 @@ def test_repeats(spark, seed):
     for i in range(60):
         w = []
         for _ in range(rng.randrange(0, 5)):
-            w += rng.choice(passages) if rng.random() < 0.5 else [rng.choice([*vocab, f"u{rng.randrange(10000)}"]) for _ in range(rng.randrange(1, 30))]
-        w += ["are"] * rng.randrange(width, 120) * (rng.random() < 0.1) + ["p", "q"] * rng.randrange(width, 60) * (rng.random() < 0.1)
+            w += rng.choice(passages) if rng.random() < 0.5 else [
+                rng.choice([*vocab, f"u{rng.randrange(10000)}"]) for _ in range(rng.randrange(1, 30))
+            ]
+        w += ["are"] * rng.randrange(width, 120) * (rng.random() < 0.1) + ["p", "q"] * rng.randrange(width, 60) * (
+            rng.random() < 0.1
+        )
         rows.append((i, rng.choice([" ", "\n", "  \t"]).join(w)))
     rows += EDGE + [rows[3], rows[3], (200, rows[5][1])]
     got = Counter(tuple(r) for r in remove_repeats(_docs(spark, rows), width, gram).collect())
@@ -134,7 +157,12 @@ def test_repeats(spark, seed):
 
 def test_repeats_of_production_width(spark):
     long = " ".join(f"w{i % 997}" for i in range(3000))
-    rows = [(1, long), (2, "x " + " ".join(f"w{i}" for i in range(34)) + " y"), (3, " ".join(f"w{i}" for i in range(35))), (4, None)]
+    rows = [
+        (1, long),
+        (2, "x " + " ".join(f"w{i}" for i in range(34)) + " y"),
+        (3, " ".join(f"w{i}" for i in range(35))),
+        (4, None),
+    ]
     got = {r["doc_id"]: r["n_removed"] for r in remove_repeats(_docs(spark, rows)).collect()}
     assert got == {d: n for (d, _, n, _), _ in _brute_windows(rows, 35).items()} and got[2] == 0 and got[3] == 35
     assert remove_repeats(_docs(spark, [])).isEmpty()
@@ -185,7 +213,11 @@ def test_links(spark, dense, distance):
     values = {rng.getrandbits(64) for _ in range(40)}
     for base in list(values)[:5]:
         for _ in range(25):
-            values.add(base ^ sum(1 << b for b in rng.sample(rng.choice([range(64), range(10), range(28, 40)]), rng.randrange(1, 7))))
+            values.add(
+                base ^ sum(
+                    1 << b for b in rng.sample(rng.choice([range(64), range(10), range(28, 40)]), rng.randrange(1, 7))
+                )
+            )
     values |= {0, (1 << 64) - 1, 1 << 63, 15}
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
     edges = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), distance, dense)
@@ -202,7 +234,9 @@ def test_links(spark, dense, distance):
 def test_simhash_groups(spark):
     rng = random.Random(9)
     base = [rng.choice("abcdefghij") + str(rng.randrange(50)) for _ in range(300)]
-    rows = EDGE + [(i, " ".join(base[:-1] + [f"t{i % 4}"])) for i in range(20, 40)] + [(i, " ".join(rng.sample(base, 30))) for i in range(50, 60)] + [(61, "One"), (62, "one TWO three four five")]
+    rows = EDGE + [(i, " ".join(base[:-1] + [f"t{i % 4}"])) for i in range(20, 40)] + [
+        (i, " ".join(rng.sample(base, 30))) for i in range(50, 60)
+    ] + [(61, "One"), (62, "one TWO three four five")]
     got = simhash.simhash_groups(_docs(spark, rows)).collect()
     prints = {v: _brute_fingerprint(v) for _, v in rows}
     assert all(len(r["fingerprint"]) == 16 for r in got)
@@ -212,13 +246,17 @@ def test_simhash_groups(spark):
         if d is not None:
             p = parts[prints[t]]
             least[p] = min(d, least.get(p, d))
-    assert Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in got) == Counter((d, f"{prints[t]:016x}", least.get(parts[prints[t]])) for d, t in rows)
+    assert Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in got) == Counter(
+        (d, f"{prints[t]:016x}", least.get(parts[prints[t]])) for d, t in rows
+    )
     assert simhash.simhash_groups(_docs(spark, [])).isEmpty()
 
 
 def test_components(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 200), (None, 3)]
-    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(path, "a long, b long")).collect()}
+    got = {
+        r["node"]: r["component"] for r in connected_components(spark.createDataFrame(path, "a long, b long")).collect()
+    }
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
@@ -229,7 +267,9 @@ def _shingle_set(text, k=5):
 
 @pytest.mark.parametrize("stage", [True, False])
 def test_near_copies(spark, stage):
-    """The groups of all pairs at 0.8 or more, as brute force finds them, with few of them within four bits of a fingerprint."""
+    """The groups of all pairs at 0.8 or more, as brute force finds them, with few of them within four bits of a
+    fingerprint.
+    """
     import corpus_pipeline
 
     rng = random.Random(11)

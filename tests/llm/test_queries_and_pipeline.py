@@ -48,15 +48,24 @@ def test_query(spark, duck, name):
     columns = sorted(df.columns)
     quoted = ", ".join(f'"{c}"' for c in columns)
     assert sorted(duck.sql(queries.ORACLES[name]).columns) == columns
-    assert _plain(df.select(*columns).collect()) == _plain(duck.sql(f"SELECT {quoted} FROM ({queries.ORACLES[name]})").fetchall())
+    assert _plain(df.select(*columns).collect()) == _plain(
+        duck.sql(f"SELECT {quoted} FROM ({queries.ORACLES[name]})").fetchall()
+    )
 
 
 def _groups(rows):
-    """Each document's smallest fellow by brute force: five-word shingles, 0.8 of them or fingerprints within four bits."""
+    """Each document's smallest fellow by brute force: five-word shingles, 0.8 of them or fingerprints within four bits.
+    """
     sets = {d: _shingle_set(t) for d, t in rows.items()}
     prints = {d: _brute_fingerprint(t, 5) for d, t in rows.items()}
     label = {d: d for d in rows}
-    pairs = [(a, b) for a in rows for b in rows if a < b and ((prints[a] ^ prints[b]).bit_count() <= 4 or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9)]
+    pairs = [
+        (a, b)
+        for a in rows
+        for b in rows if a < b and (
+            (prints[a] ^ prints[b]).bit_count() <= 4 or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9
+        )
+    ]
     for _ in rows:
         old = dict(label)
         for a, b in pairs:
@@ -67,10 +76,17 @@ def _groups(rows):
 
 
 def test_pipeline(spark):
-    """Each stage's rows from those before it, by other means; the classifier's by the labels that it did not learn from."""
+    """Each stage's rows from those before it, by other means; the classifier's by the labels that it did not learn
+    from.
+    """
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = {r["doc_id"]: r for r in docs.collect()}
-    held = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").where("crc32(cast(doc_id as string)) % 4 = 2 and quality is not null").collect()}
+    held = {
+        r["doc_id"]: r["quality"]
+        for r in spark.read.parquet(f"{SF}/labels.parquet").where(
+            "crc32(cast(doc_id as string)) % 4 = 2 and quality is not null"
+        ).collect()
+    }
     good = {r["doc_id"] for r in corpus_pipeline.keep_quality(spark, docs, SF).collect()}
     judged = [(d in good) == (q == 1) for d, q in held.items() if d in rows]
     assert not judged or sum(judged) >= 0.8 * len(judged)
@@ -94,7 +110,27 @@ def test_pipeline(spark):
 
 
 #: Names that operators and stages use within, as columns of the input.
-CLASHES = ["node", "row", "maybe", "place", "bitmap", "stat_words", "stat_text", "blocks", "k1", "k2", "digest", "keep_id", "ranges", "score", "labels", "fp", "component", "a.b", "nodE"]
+CLASHES = [
+    "node",
+    "row",
+    "maybe",
+    "place",
+    "bitmap",
+    "stat_words",
+    "stat_text",
+    "blocks",
+    "k1",
+    "k2",
+    "digest",
+    "keep_id",
+    "ranges",
+    "score",
+    "labels",
+    "fp",
+    "component",
+    "a.b",
+    "nodE",
+]
 
 
 def _clashing(spark, rows, schema):
@@ -111,8 +147,20 @@ def test_stages_keep_columns_and_edges(spark):
     item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 200").first()["text"]
     near = text[7].replace("w", "W", 1) + " more"
     rows = [(i, text[i]) for i in range(30)] + [(40, None), (41, ""), (42, text[3]), (43, text[3]), (43, text[3])]
-    rows += [(None, "no id here at all"), (None, "no id here at all"), (None, near), (44, near + " x"), (None, f"a {item} b"), (45, f"c {item} d"), (46, "long " * 300_000)]
-    docs = _clashing(spark, [(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    rows += [
+        (None, "no id here at all"),
+        (None, "no id here at all"),
+        (None, near),
+        (44, near + " x"),
+        (None, f"a {item} b"),
+        (45, f"c {item} d"),
+        (46, "long " * 300_000),
+    ]
+    docs = _clashing(
+        spark,
+        [(d, t, "en", "s", 1) for d, t in rows],
+        "doc_id long, text string, lang string, source string, n_chars long",
+    )
     extra = [c for c in docs.columns if c in CLASHES]
 
     def left(stage):
@@ -132,14 +180,34 @@ def test_stages_keep_columns_and_edges(spark):
 
 
 def test_operators_ignore_or_keep_clashing_columns(spark):
-    docs = _clashing(spark, [(1, "some words of a text", "s"), (None, None, None), (1, "some words of a text", "s")], "doc_id long, text string, source string")
+    docs = _clashing(
+        spark,
+        [(1, "some words of a text", "s"), (None, None, None), (1, "some words of a text", "s")],
+        "doc_id long, text string, source string",
+    )
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     items = _clashing(spark, [(7, "some words of a text")], "item_id long, text string")
     scored = score_quality(docs, labels)
-    assert set(docs.columns) <= set(scored.columns) and all(r["stat_words"] == "<stat_words>" and r["a.b"] == "<a.b>" for r in scored.collect())
-    for found in (score_toxicity(docs, labels), remove_repeats(docs), exact_dedup(docs), mix(docs), scan_secrets(docs), simhash_groups(docs)):
+    assert set(docs.columns) <= set(scored.columns) and all(
+        r["stat_words"] == "<stat_words>" and r["a.b"] == "<a.b>" for r in scored.collect()
+    )
+    for found in (
+        score_toxicity(docs, labels),
+        remove_repeats(docs),
+        exact_dedup(docs),
+        mix(docs),
+        scan_secrets(docs),
+        simhash_groups(docs),
+    ):
         assert found.count() == 3
     assert contaminated(docs, items).count() == 2
-    pages = _clashing(spark, [(1, "http://a.org/x", "<p>one</p>"), (None, None, None)], "page_id long, url string, html string")
-    for found in (extract_text(pages), filter_urls(pages, spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string"))):
-        assert found.count() == 2 and all(r["blocks"] == "<blocks>" and r["labels"] == "<labels>" for r in found.collect())
+    pages = _clashing(
+        spark, [(1, "http://a.org/x", "<p>one</p>"), (None, None, None)], "page_id long, url string, html string"
+    )
+    for found in (
+        extract_text(pages),
+        filter_urls(pages, spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")),
+    ):
+        assert found.count() == 2 and all(
+            r["blocks"] == "<blocks>" and r["labels"] == "<labels>" for r in found.collect()
+        )
