@@ -1,7 +1,9 @@
-"""A corpus pipeline: low quality, copies, near copies and benchmark items go, and the sources of what is left are mixed.
+"""A corpus pipeline: low quality, copies, near copies and benchmark items go, and the sources of what is left are
+mixed.
 
-Every stage works on all rows of its input, whose columns may have any names. A document is known by its id and a hash of its text, so rows
-without an id are judged like all others; of rows that are repeated with id and text one stays. Null texts count as empty.
+Every stage works on all rows of its input, whose columns may have any names. A document is known by its id and a hash
+of its text, so rows without an id are judged like all others; of rows that are repeated with id and text one stays.
+Null texts count as empty.
 """
 
 from __future__ import annotations
@@ -24,11 +26,15 @@ from maskwright.llm.storage import materialize
 def _node() -> Column:
     """What a document is known by; those without an id come last."""
     none = F.col("doc_id").isNull()
-    return F.struct(none.alias("none"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
+    return F.struct(
+        none.alias("none"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash")
+    )
 
 
 def _drop(docs: DataFrame, name: str, others: DataFrame) -> DataFrame:
-    """``docs``, whose documents are known by the column ``name``, without those that ``others`` lists and without repeats."""
+    """``docs``, whose documents are known by the column ``name``, without those that ``others`` lists and without
+    repeats.
+    """
     rest = drop_listed(docs, others, [name])
     repeated = materialize(docs.groupBy(quoted(name)).count().where("count > 1").select(quoted(name)), "repeated")
     once = only_listed(rest, repeated, [name]).join(repeated, name, "left_semi").dropDuplicates([name])
@@ -56,16 +62,22 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id.
 
-    Documents are linked if the SimHash fingerprints of their five-word shingles differ in at most four bits (operator 10), or if they share at least
-    0.8 of these shingles, which most such pairs do with more bits between them.
+    Documents are linked if the SimHash fingerprints of their five-word shingles differ in at most four bits (operator
+    10), or if they share at least 0.8 of these shingles, which most such pairs do with more bits between them.
     """
     name = fresh(docs.columns, "node")
     nodes = docs.select(_node().alias("node"), "text")
-    close = simhash_groups(nodes, "node", "text", k=5).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    alike = near_copies(nodes, "node", "text", k=5, share=0.8).select(F.col("node").alias("a"), F.col("component").alias("b"))
+    close = simhash_groups(nodes, "node", "text", k=5).select(
+        F.col("doc_id").alias("a"), F.col("component_id").alias("b")
+    )
+    alike = near_copies(nodes, "node", "text", k=5, share=0.8).select(
+        F.col("node").alias("a"), F.col("component").alias("b")
+    )
     groups = connected_components(close.unionByName(alike))
     others = groups.where(F.col("node") != F.col("component")).select(F.col("node").alias(name))
-    return _drop(docs.withColumn(name, _node()), name, materialize(others, "near-copies")).select(*map(quoted, docs.columns))
+    return _drop(
+        docs.withColumn(name, _node()), name, materialize(others, "near-copies")
+    ).select(*map(quoted, docs.columns))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,6 +32,28 @@ MRN = r"(?i)\bMRN[- ]?(?:\d+|[A-Z]\d{8})\b"
 ID = r"(?i)\bID[- ]?(?:\d+|[A-Z]\d{8})\b"
 
 #: Labels that a report may carry.
-LABELS = ["NAME", "MRN", "EMAIL", "PHONE", "FAX", "ID", "DATE", "ADDRESS", "SSN", "PASSPORT", "ZIP", "INSURANCE_ID", "DEA_NUMBER", "AGE", "FACILITY", "NPI", "LICENSE_PLATE", "VIN", "DRIVER_LICENSE", "IP_ADDRESS", "URL"]
+LABELS = [
+    "NAME",
+    "MRN",
+    "EMAIL",
+    "PHONE",
+    "FAX",
+    "ID",
+    "DATE",
+    "ADDRESS",
+    "SSN",
+    "PASSPORT",
+    "ZIP",
+    "INSURANCE_ID",
+    "DEA_NUMBER",
+    "AGE",
+    "FACILITY",
+    "NPI",
+    "LICENSE_PLATE",
+    "VIN",
+    "DRIVER_LICENSE",
+    "IP_ADDRESS",
+    "URL",
+]
 #: Labels of the evidence report, of the bridge and of the published summary.
 EVIDENCE_LABELS = ["EMAIL", "MRN", "NAME", "PHONE"]

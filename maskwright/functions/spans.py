@@ -1,7 +1,7 @@
 """Identifier spans in text as native expressions.
 
-A span is a struct (label, start, end, ord): offsets in code points, the end exclusive; ``ord`` is the place of its detector, which
-orders spans with equal offsets.
+A span is a struct (label, start, end, ord): offsets in code points, the end exclusive; ``ord`` is the place of its
+detector, which orders spans with equal offsets.
 """
 
 from __future__ import annotations
@@ -20,8 +20,10 @@ _FOUND = "array<struct<start:int,end:int,value:string>>"
 
 @dataclass(frozen=True)
 class Detector:
-    """A label, its pattern and the group that is the identifier. ``needs`` is a cheap pattern that a text with a match has; ``valid`` checks the
-    identifier, a column of text; ``blocked_by`` and ``blocks`` name sets of ranges in which a match may not start."""
+    """A label, its pattern and the group that is the identifier. ``needs`` is a cheap pattern that a text with a match
+    has; ``valid`` checks the identifier, a column of text; ``blocked_by`` and ``blocks`` name sets of ranges in
+    which a match may not start.
+    """
 
     label: str
     pattern: str
@@ -32,7 +34,8 @@ class Detector:
     blocked_by: str | None = None
 
 
-#: Marks that a match is put between; texts that have one get another control character in its place, which no pattern tells apart from it.
+#: Marks that a match is put between; texts that have one get another control character in its place, which no pattern
+#: tells apart from it.
 _OPEN, _SHUT, _END = "\x01", "\x02", "\x03"
 
 
@@ -42,7 +45,9 @@ def unmarked(text: Column) -> Column:
 
 
 def _marked_spans(text: Column, pattern: str, group: int, needs: str | None) -> Column:
-    """The spans of a text without marks: one pass puts marks around the matches, and the pieces between marks tell the offsets."""
+    """The spans of a text without marks: one pass puts marks around the matches, and the pieces between marks tell the
+    offsets.
+    """
     folded = pattern.startswith("(?i)")
     regex = "(?Ui)" + pattern[4:] if folded else "(?U)" + pattern
     # Each piece but the first: the whole match, its group, and the text up to the next match.
@@ -51,7 +56,11 @@ def _marked_spans(text: Column, pattern: str, group: int, needs: str | None) ->
     def parts(piece: Column) -> Column:
         whole = F.substring_index(piece, _SHUT, 1)
         value = F.substring_index(F.substring_index(piece, _END, 1), _SHUT, -1)
-        return F.struct(F.length(whole).alias("whole"), value.alias("value"), F.length(F.substring_index(piece, _END, -1)).alias("gap"))
+        return F.struct(
+            F.length(whole).alias("whole"),
+            value.alias("value"),
+            F.length(F.substring_index(piece, _END, -1)).alias("gap"),
+        )
 
     def step(state: Column, p: Column) -> Column:
         end = state["at"] + p["whole"]
@@ -65,7 +74,8 @@ def _marked_spans(text: Column, pattern: str, group: int, needs: str | None) ->
 
 
 def spans(text: Column, pattern: str, group: int = 0, needs: str | None = None) -> Column:
-    """(start, end, value) of each match of ``pattern``, or of its ``group``, which has to end the match; leftmost, not overlapping.
+    """(start, end, value) of each match of ``pattern``, or of its ``group``, which has to end the match; leftmost, not
+    overlapping.
 
     No match, or null text: an empty array. ``needs`` is a cheap pattern that each text with a match has.
     """
@@ -115,24 +125,34 @@ DEFAULT: tuple[Detector, ...] = (
 
 
 class Registry:
-    """The default detectors and a user's own, which come after them. A validator is a function from a column to a column, so no Python runs on rows."""
+    """The default detectors and a user's own, which come after them. A validator is a function from a column to a
+    column, so no Python runs on rows.
+    """
 
     def __init__(self, detectors: Sequence[Detector] = DEFAULT):
         self.detectors = tuple(detectors)
 
-    def add(self, label: str, pattern: str, group: int = 0, valid: Callable[[Column], Column] | None = None) -> Registry:
+    def add(
+        self, label: str, pattern: str, group: int = 0, valid: Callable[[Column], Column] | None = None
+    ) -> Registry:
         return Registry((*self.detectors, Detector(label, pattern, group, valid=valid)))
 
     def only(self, *labels: str) -> Registry:
         return Registry([d for d in self.detectors if d.label in labels])
 
 
-def with_spans(df: DataFrame, text_col: str, detectors: Sequence[Detector] | Registry = DEFAULT, out: str = "spans") -> DataFrame:
-    """Adds the ordered spans of all detectors. Each detector's matches are a column of their own in a first step, and are merged in a second one, so that no expression is computed twice."""
+def with_spans(
+    df: DataFrame, text_col: str, detectors: Sequence[Detector] | Registry = DEFAULT, out: str = "spans"
+) -> DataFrame:
+    """Adds the ordered spans of all detectors. Each detector's matches are a column of their own in a first step, and
+    are merged in a second one, so that no expression is computed twice.
+    """
     detectors = detectors.detectors if isinstance(detectors, Registry) else tuple(detectors)
     text = F.col("_unmarked")
     clean = df.withColumn("_unmarked", unmarked(F.col(text_col)))
-    found = clean.withColumns({f"_d{i}": _marked_spans(text, d.pattern, d.group, d.needs) for i, d in enumerate(detectors)})
+    found = clean.withColumns(
+        {f"_d{i}": _marked_spans(text, d.pattern, d.group, d.needs) for i, d in enumerate(detectors)}
+    )
     taken: dict[str, list[Column]] = {}
     parts = []
     for i, d in enumerate(detectors):
@@ -157,50 +177,114 @@ def _outside(own: Column, other: Column) -> Column:
 
 
 def _labelled(own: Column, label: str, nth: int) -> Column:
-    return F.transform(own, lambda s: F.struct(F.lit(label).alias("label"), s["start"].alias("start"), s["end"].alias("end"), F.lit(nth).alias("ord")))
+    return F.transform(
+        own,
+        lambda s: F.struct(
+            F.lit(label).alias("label"), s["start"].alias("start"), s["end"].alias("end"), F.lit(nth).alias("ord")
+        ),
+    )
 
 
 def order_spans(found: Column) -> Column:
     """By start, end and detector."""
-    keyed = F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["ord"].alias("ord"), s["label"].alias("label")))
-    return F.transform(F.array_sort(keyed), lambda s: F.struct(s["label"].alias("label"), s["start"].alias("start"), s["end"].alias("end"), s["ord"].alias("ord")))
+    keyed = F.transform(
+        found,
+        lambda s: F.struct(
+            s["start"].alias("start"), s["end"].alias("end"), s["ord"].alias("ord"), s["label"].alias("label")
+        ),
+    )
+    return F.transform(
+        F.array_sort(keyed),
+        lambda s: F.struct(
+            s["label"].alias("label"), s["start"].alias("start"), s["end"].alias("end"), s["ord"].alias("ord")
+        ),
+    )
 
 
 def category_counts(found: Column) -> Column:
     """Label to number of spans, overlapping ones too, sorted by label."""
     labels = F.array_sort(F.array_distinct(F.transform(found, lambda s: s["label"])))
-    return F.map_from_entries(F.transform(labels, lambda x: F.struct(x.alias("key"), F.size(F.filter(found, lambda s: s["label"] == x)).cast("long").alias("value"))))
+    return F.map_from_entries(
+        F.transform(
+            labels,
+            lambda x: F.struct(
+                x.alias("key"), F.size(F.filter(found, lambda s: s["label"] == x)).cast("long").alias("value")
+            ),
+        )
+    )
 
 
 def mask(text: Column, found: Column) -> Column:
-    """Replaces spans by ``[LABEL]`` from left to right; a span that starts before the end of the last one replaced is left out."""
+    """Replaces spans by ``[LABEL]`` from left to right; a span that starts before the end of the last one replaced is
+    left out.
+    """
     state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
         piece = F.concat(s["out"], text.substr(s["at"] + 1, x["start"] - s["at"]), F.lit("["), x["label"], F.lit("]"))
         skip = x["start"] < s["at"]
-        return F.struct(F.when(skip, s["at"]).otherwise(x["end"]).alias("at"), F.when(skip, s["out"]).otherwise(piece).alias("out"))
+        return F.struct(
+            F.when(skip, s["at"]).otherwise(x["end"]).alias("at"), F.when(skip, s["out"]).otherwise(piece).alias("out")
+        )
 
     return F.aggregate(found, state, step, lambda s: F.concat(s["out"], text.substr(s["at"] + 1, F.length(text))))
 
 
-def text_report(df: DataFrame, text_col: str, id_cols: Sequence[str], detectors: Sequence[Detector] | Registry = DEFAULT) -> DataFrame:
-    """One report per row: ids, summary (input_char_count, detected_span_count, category_counts), masked_text, spans with a redacted preview, metadata."""
+def text_report(
+    df: DataFrame, text_col: str, id_cols: Sequence[str], detectors: Sequence[Detector] | Registry = DEFAULT
+) -> DataFrame:
+    """One report per row: ids, summary (input_char_count, detected_span_count, category_counts), masked_text, spans
+    with a redacted preview, metadata.
+    """
     found = with_spans(df.select(*id_cols, text_col), text_col, detectors, "_spans")
     counted = found.withColumn("_masked", mask(F.col(text_col), F.col("_spans")))
-    preview = F.transform("_spans", lambda s: F.struct(s["label"].alias("label"), s["start"].alias("start"), s["end"].alias("end"), F.lit("<redacted>").alias("preview")))
+    preview = F.transform(
+        "_spans",
+        lambda s: F.struct(
+            s["label"].alias("label"),
+            s["start"].alias("start"),
+            s["end"].alias("end"),
+            F.lit("<redacted>").alias("preview"),
+        ),
+    )
     return counted.select(
         *id_cols,
-        F.struct(F.length(text_col).cast("long").alias("input_char_count"), F.size("_spans").cast("long").alias("detected_span_count"), category_counts(F.col("_spans")).alias("category_counts")).alias("summary"),
+        F.struct(
+            F.length(text_col).cast("long").alias("input_char_count"),
+            F.size("_spans").cast("long").alias("detected_span_count"),
+            category_counts(F.col("_spans")).alias("category_counts"),
+        ).alias("summary"),
         F.col("_masked").alias("masked_text"), preview.alias("spans"),
-        F.struct(F.lit("fallback_synthetic_patterns").alias("engine"), F.lit(False).alias("network_api_called"), F.lit("redacted_placeholders_only").alias("preview_policy")).alias("metadata"),
+        F.struct(
+            F.lit("fallback_synthetic_patterns").alias("engine"),
+            F.lit(False).alias("network_api_called"),
+            F.lit("redacted_placeholders_only").alias("preview_policy"),
+        ).alias("metadata"),
     )
 
 
-def label_counts(df: DataFrame, text_col: str, by: Sequence[str], detectors: Sequence[Detector] | Registry = DEFAULT) -> DataFrame:
+def label_counts(
+    df: DataFrame, text_col: str, by: Sequence[str], detectors: Sequence[Detector] | Registry = DEFAULT
+) -> DataFrame:
     """(by, label, n): spans by the given columns and label."""
     found = with_spans(df.select(*by, text_col), text_col, detectors, "_spans")
-    return found.select(*by, F.explode("_spans.label").alias("label")).groupBy(*by, "label").agg(F.count("*").alias("n"))
-
-
-__all__ = ["DEFAULT", "Detector", "Registry", "category_counts", "label_counts", "mask", "order_spans", "spans", "text_report", "valid_age", "valid_dea", "valid_npi", "with_spans"]
+    return found.select(*by, F.explode("_spans.label").alias("label")).groupBy(*by, "label").agg(
+        F.count("*").alias("n")
+    )
+
+
+__all__ = [
+    "DEFAULT",
+    "Detector",
+    "Registry",
+    "category_counts",
+    "label_counts",
+    "mask",
+    "order_spans",
+    "spans",
+    "text_report",
+    "valid_age",
+    "valid_dea",
+    "valid_npi",
+    "with_spans",
+]

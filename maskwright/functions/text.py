@@ -28,7 +28,9 @@ def normalize_labels(c: Column) -> Column:
 def text_metrics(c: Column) -> Column:
     """(line_count, char_count): lines that are not blank, and characters after squashing."""
     lines = F.filter(F.split(c, r"\r\n|[\n\r\x0B\f\x1C-\x1E\u0085\u2028\u2029]"), lambda x: ~is_blank(x))
-    return F.struct(F.size(lines).cast("long").alias("line_count"), F.length(squash_ws(c)).cast("long").alias("char_count"))
+    return F.struct(
+        F.size(lines).cast("long").alias("line_count"), F.length(squash_ws(c)).cast("long").alias("char_count")
+    )
 
 
 def guard_text(df: DataFrame, text_col: str, max_bytes: int = MAX_TEXT_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -41,13 +43,28 @@ def guard_text(df: DataFrame, text_col: str, max_bytes: int = MAX_TEXT_BYTES) ->
 
 def count_literal(text: Column, phrase: Column) -> Column:
     """How often a phrase occurs, not overlapping."""
-    return F.when(F.length(phrase) > 0, ((F.length(text) - F.length(F.replace(text, phrase, F.lit("")))) / F.length(phrase)).cast("long")).otherwise(F.lit(0).cast("long"))
-
-
-def count_literals(df: DataFrame, text_col: str, id_cols: Sequence[str], dictionary: dict[str, Sequence[str]]) -> DataFrame:
-    """(ids, category, n) for each category of fixed phrases that occurs in a text. The dictionary is part of the expression, so nothing is joined."""
-    totals = [F.struct(F.lit(k).alias("category"), sum((count_literal(F.col(text_col), F.lit(p)) for p in phrases), F.lit(0).cast("long")).alias("n")) for k, phrases in sorted(dictionary.items())]
-    return df.select(*id_cols, F.explode(F.filter(F.array(*totals), lambda x: x["n"] > 0)).alias("x")).select(*id_cols, "x.category", "x.n")
+    return F.when(
+        F.length(phrase) > 0,
+        ((F.length(text) - F.length(F.replace(text, phrase, F.lit("")))) / F.length(phrase)).cast("long"),
+    ).otherwise(F.lit(0).cast("long"))
+
+
+def count_literals(
+    df: DataFrame, text_col: str, id_cols: Sequence[str], dictionary: dict[str, Sequence[str]]
+) -> DataFrame:
+    """(ids, category, n) for each category of fixed phrases that occurs in a text. The dictionary is part of the
+    expression, so nothing is joined.
+    """
+    totals = [
+        F.struct(
+            F.lit(k).alias("category"),
+            sum((count_literal(F.col(text_col), F.lit(p)) for p in phrases), F.lit(0).cast("long")).alias("n"),
+        )
+        for k, phrases in sorted(dictionary.items())
+    ]
+    return df.select(
+        *id_cols, F.explode(F.filter(F.array(*totals), lambda x: x["n"] > 0)).alias("x")
+    ).select(*id_cols, "x.category", "x.n")
 
 
 def excel_column_name(index: Column) -> Column:
@@ -64,7 +81,14 @@ def excel_column_name(index: Column) -> Column:
 
 
 def field_path(row: Column, column: Column, header: Column) -> Column:
-    return F.concat(F.lit("rows/"), row.cast("string"), F.lit("/columns/"), column.cast("string"), F.lit("/"), F.replace(header, F.lit("/"), F.lit("_")))
+    return F.concat(
+        F.lit("rows/"),
+        row.cast("string"),
+        F.lit("/columns/"),
+        column.cast("string"),
+        F.lit("/"),
+        F.replace(header, F.lit("/"), F.lit("_")),
+    )
 
 
 def media_path(label: Column, key: Column) -> Column:
@@ -88,15 +112,29 @@ def scope_key(job: Column, artifact: Column, path: Column) -> Column:
 def dicom_output_name(source: Column) -> Column:
     """``dicom-output`` with the source's extension only if that is ``.dcm`` in any case."""
     base = F.regexp_extract(source, r"([^/\\]*)$", 1)
-    return F.when(base.rlike(r"(?i)[^.]\.dcm$"), F.concat(F.lit("dicom-output"), F.lower(F.substring(base, -4, 4)))).otherwise("dicom-output")
-
-
-def safe_stem(path: Column, lower: bool = True, sep: str = "-", keep: str = "", suffixes: Sequence[str] = (), default: str | None = "output", max_chars: int = 64) -> Column:
-    """A file stem of ASCII letters and digits (and ``keep``): the last path segment without a suffix or extension, other runs as ``sep``, cut to ``max_chars``, no ``sep`` at the ends; ``default`` if nothing is left."""
+    return F.when(
+        base.rlike(r"(?i)[^.]\.dcm$"), F.concat(F.lit("dicom-output"), F.lower(F.substring(base, -4, 4)))
+    ).otherwise("dicom-output")
+
+
+def safe_stem(
+    path: Column,
+    lower: bool = True,
+    sep: str = "-",
+    keep: str = "",
+    suffixes: Sequence[str] = (),
+    default: str | None = "output",
+    max_chars: int = 64,
+) -> Column:
+    """A file stem of ASCII letters and digits (and ``keep``): the last path segment without a suffix or extension,
+    other runs as ``sep``, cut to ``max_chars``, no ``sep`` at the ends; ``default`` if nothing is left.
+    """
     base = F.regexp_extract(path, r"([^/\\]*)$", 1)
     stem = F.regexp_replace(base, r"\.[^.]*$", "")
     for suffix in suffixes:
-        stem = F.when(F.endswith(F.lower(base), F.lit(suffix)), F.substring(base, F.lit(1), F.length(base) - len(suffix))).otherwise(stem)
+        stem = F.when(
+            F.endswith(F.lower(base), F.lit(suffix)), F.substring(base, F.lit(1), F.length(base) - len(suffix))
+        ).otherwise(stem)
     stem = F.lower(stem) if lower else stem
     escaped = "".join("\\" + c for c in keep)
     stem = F.regexp_replace(stem, rf"[^A-Za-z0-9{escaped}]+", sep)

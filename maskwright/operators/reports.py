@@ -23,12 +23,20 @@ REAL_STATUS = "local_paddleocr_execution"
 HANDOFF_STATUSES = ["deterministic_synthetic_fixture_fallback", "ppocrv5_local_inference"]
 HANDOFF_SCOPE = "printed_text_line_extraction_only"
 TEXT_CONTRACT = "text_only_normalized_input"
-HANDOFF_NON_GOALS = ["visual_redaction", "final_pdf_rewrite_export", "handwriting_recognition", "full_page_detection_or_segmentation", "complete_ocr_pipeline"]
+HANDOFF_NON_GOALS = [
+    "visual_redaction",
+    "final_pdf_rewrite_export",
+    "handwriting_recognition",
+    "full_page_detection_or_segmentation",
+    "complete_ocr_pipeline",
+]
 HANDOFF_KEYS = [
     "source", "extracted_text", "normalized_text", "ready_for_text_pii_eval", "candidate", "engine", "engine_status",
     "scope", "privacy_filter_contract", "non_goals",
 ]
-KNOWN_FAILURES = ["OCR input path does not exist", "OCR input path must be a file", "mock expected text fixture not found"]
+KNOWN_FAILURES = [
+    "OCR input path does not exist", "OCR input path must be a file", "mock expected text fixture not found"
+]
 MISSING_ENGINE = "PaddleOCR is not installed locally"
 # Labels, modes, policies and keys that published summaries may have.
 SUMMARY_LABELS = ["NAME", "MRN", "EMAIL", "PHONE", "ID"]
@@ -49,6 +57,7 @@ SUMMARY_MARKERS = [
     "ocr_output", "image_bytes", "visual_redaction", "pixel_redaction", "pdf_rewrite", "pdf_export", "agent_id",
     "controller_step", "complete_command", "claim",
 ]
+# image_bytes_base64 is the form that byte payloads of this library have.
 HANDOFF_MARKERS = [
     "image_bytes", "image_bytes_base64", "masked_text", "spans", "preview", "previews", "bbox", "image",
     "pdf_rewrite", "pdf_export", "visual_redaction", "visual_redaction_result", "pixel_redaction", "agent_id",
@@ -63,7 +72,9 @@ BRIDGE_FIELDS = {
     "privacy_filter_contract": TEXT_CONTRACT,
 }
 QUEUE_VALUES = {
-    "status": ["review_required", "reviewed", "unsupported", "ok", "blocked", "warning", "ocr_or_visual_review_required"],
+    "status": [
+        "review_required", "reviewed", "unsupported", "ok", "blocked", "warning", "ocr_or_visual_review_required"
+    ],
     "kind": ["pdf_review", "text_layer", "metadata", "conservative_media", "dicom", "tabular"],
     "format": [
         "image", "video", "audio", "fcs", "unknown", "image/jpeg", "image/png", "image/gif", "image/tiff",
@@ -84,11 +95,15 @@ BYTE_KEYS = [
 ]
 SECRET_KEYS = ["artifact", "decoded_values", "records", "vault_passphrase"]
 # Contract of a corpus report, and the counts of its two sample notes.
-CORPUS_KEYS = ["engine", "scope", "fixture_count", "total_detected_span_count", "fixtures", "category_counts", "non_goals"]
+CORPUS_KEYS = [
+    "engine", "scope", "fixture_count", "total_detected_span_count", "fixtures", "category_counts", "non_goals"
+]
 FIXTURE_KEYS = ["fixture", "detected_span_count", "category_counts"]
 CORPUS_ENGINE = "fallback_synthetic_patterns"
 CORPUS_SCOPE = "text_only_synthetic_corpus"
-CORPUS_NON_GOALS = ["ocr", "visual_redaction", "image_pixel_redaction", "final_pdf_rewrite_export", "browser_ui", "desktop_ui"]
+CORPUS_NON_GOALS = [
+    "ocr", "visual_redaction", "image_pixel_redaction", "final_pdf_rewrite_export", "browser_ui", "desktop_ui"
+]
 CORPUS_RAW_VALUES = ["Jane Example", "MRN-12345", "jane@example.test", "555-111-2222"]
 GOLDEN_COUNTS = {"NAME": 2, "MRN": 2, "EMAIL": 1, "PHONE": 2}
 SENTINELS = ["patient jane example", "mrn-", "jane@example.com", "555-123-4567", "555-", "alice smith"]
@@ -110,9 +125,11 @@ def _counts_map(counts: Column) -> Column:
 def corpus_report(
     docs: DataFrame, text_col: str, name_col: str, detectors: Sequence[Detector] | Registry = DEFAULT
 ) -> DataFrame:
-    """(fixture, label, n): per document and label, with nulls for the totals; documents are named by their place, ``fixture_001`` and on, by the sorted names.
+    """(fixture, label, n): per document and label, with nulls for the totals; documents are named by their place,
+    ``fixture_001`` and on, by the sorted names.
 
-    Places come from sorted ranges of names and their sizes, so that no task sorts all of them; the ranges are written, so that all see the same ones.
+    Places come from sorted ranges of names and their sizes, so that no task sorts all of them; the ranges are written,
+    so that all see the same ones.
     """
     names = docs.select(name_col).distinct()
     ranged = written(names.repartitionByRange(F.col(name_col)).withColumn("_part", F.spark_partition_id()), "names")
@@ -133,39 +150,77 @@ def corpus_summary(docs: DataFrame, text_col: str, detectors: Sequence[Detector]
     found = with_spans(docs.select(text_col), text_col, detectors, "_spans")
     totals = docs.agg(F.count("*").alias("document_count"))
     by_label = found.select(F.explode("_spans.label").alias("label")).groupBy("label").agg(F.count("*").alias("n"))
-    counts = by_label.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_detected_span_count"), _counts_map(F.collect_list(F.struct("label", "n"))).alias("category_counts"))
+    counts = by_label.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_detected_span_count"),
+        _counts_map(F.collect_list(F.struct("label", "n"))).alias("category_counts"),
+    )
     return totals.crossJoin(F.broadcast(counts))
 
 
-def normalize_external_spans(df: DataFrame, json_col: str, n_chars: Column, id_cols: Sequence[str], labels: Sequence[str] = tuple(P.LABELS)) -> tuple[DataFrame, DataFrame]:
-    """(reports, rejected) from another detector's JSON: ``spans``, else ``entities``, with label, type or category, start or begin, and end, finish or stop. A number that is none is 0; an unknown label rejects the row."""
+def normalize_external_spans(
+    df: DataFrame, json_col: str, n_chars: Column, id_cols: Sequence[str], labels: Sequence[str] = tuple(P.LABELS)
+) -> tuple[DataFrame, DataFrame]:
+    """(reports, rejected) from another detector's JSON: ``spans``, else ``entities``, with label, type or category,
+    start or begin, and end, finish or stop. A number that is none is 0; an unknown label rejects the row.
+    """
     one = "array<struct<label:string,type:string,category:string,start:string,begin:string,end:string,finish:string,stop:string>>"
-    raw = F.coalesce(F.from_json(F.get_json_object(json_col, "$.spans"), one), F.from_json(F.get_json_object(json_col, "$.entities"), one), F.array().cast(one))
+    raw = F.coalesce(
+        F.from_json(F.get_json_object(json_col, "$.spans"), one),
+        F.from_json(F.get_json_object(json_col, "$.entities"), one),
+        F.array().cast(one),
+    )
     named = lambda x, *keys: F.coalesce(*[F.when(x[k] != "", x[k]) for k in keys], F.lit("UNKNOWN"))
     number = lambda x, *keys: F.coalesce(F.coalesce(*[x[k] for k in keys]).try_cast("int"), F.lit(0))
-    shaped = F.transform(raw, lambda x: F.struct(number(x, "start", "begin").alias("start"), number(x, "end", "finish", "stop").alias("end"), named(x, "label", "type", "category").alias("label")))
+    shaped = F.transform(
+        raw,
+        lambda x: F.struct(
+            number(x, "start", "begin").alias("start"),
+            number(x, "end", "finish", "stop").alias("end"),
+            named(x, "label", "type", "category").alias("label"),
+        ),
+    )
     rows = df.select(*id_cols, n_chars.cast("long").alias("input_char_count"), F.array_sort(shaped).alias("spans"))
     bad = F.exists("spans", lambda s: ~s["label"].isin(*labels))
     names = F.array_sort(F.array_distinct(F.col("spans.label")))
-    counts = F.map_from_entries(F.transform(names, lambda k: F.struct(k, F.size(F.filter("spans", lambda s: s["label"] == k)).cast("long"))))
-    masked = F.when(F.size("spans") == 0, "[NO_PII_DETECTED]").otherwise(F.array_join(F.transform("spans", lambda s: F.concat(F.lit("["), s["label"], F.lit("]"))), " "))
-    reports = rows.where(~bad).select(*id_cols, "input_char_count", F.size("spans").cast("long").alias("detected_span_count"), counts.alias("category_counts"), masked.alias("masked_text"), "spans")
+    counts = F.map_from_entries(
+        F.transform(names, lambda k: F.struct(k, F.size(F.filter("spans", lambda s: s["label"] == k)).cast("long")))
+    )
+    masked = F.when(F.size("spans") == 0, "[NO_PII_DETECTED]").otherwise(
+        F.array_join(F.transform("spans", lambda s: F.concat(F.lit("["), s["label"], F.lit("]"))), " ")
+    )
+    reports = rows.where(~bad).select(
+        *id_cols,
+        "input_char_count",
+        F.size("spans").cast("long").alias("detected_span_count"),
+        counts.alias("category_counts"),
+        masked.alias("masked_text"),
+        "spans",
+    )
     return reports, rows.where(bad).select(*id_cols, F.lit("unsupported_label").alias("reason"))
 
 
 def check_text_report(reports: DataFrame, id_cols: Sequence[str], labels: Sequence[str] = tuple(P.LABELS)) -> DataFrame:
-    """Violations of reports with input_char_count, detected_span_count, category_counts (map), masked_text and spans (label, start, end): spans have to be in order and apart."""
+    """Violations of reports with input_char_count, detected_span_count, category_counts (map), masked_text and spans
+    (label, start, end): spans have to be in order and apart.
+    """
     spans, counts = F.col("spans"), F.col("category_counts")
-    step = lambda s, x: F.struct((s["ok"] & (x["start"] >= s["at"]) & (x["start"] >= 0) & (x["end"] > x["start"])).alias("ok"), x["end"].alias("at"))
+    step = lambda s, x: F.struct(
+        (s["ok"] & (x["start"] >= s["at"]) & (x["start"] >= 0) & (x["end"] > x["start"])).alias("ok"),
+        x["end"].alias("at"),
+    )
     ordered = F.aggregate(spans, F.struct(F.lit(True).alias("ok"), F.lit(0).alias("at")), step, lambda s: s["ok"])
     per_label = lambda k: F.size(F.filter(spans, lambda s: s["label"] == k)).cast("long")
     bad = _violations(
         negative_count=(F.col("input_char_count") < 0) | (F.col("detected_span_count") < 0),
         span_count=F.col("detected_span_count") != F.size(spans),
-        label=F.exists(spans, lambda s: ~s["label"].isin(*labels)) | F.exists(F.map_keys(counts), lambda k: ~k.isin(*labels)),
+        label=F.exists(spans, lambda s: ~s["label"].isin(*labels)) | F.exists(
+            F.map_keys(counts), lambda k: ~k.isin(*labels)
+        ),
         order=~ordered,
         past_end=F.exists(spans, lambda s: s["end"] > F.col("input_char_count")),
-        category_counts=F.exists(F.map_entries(counts), lambda e: e["value"] != per_label(e["key"])) | (F.aggregate(F.map_values(counts), F.lit(0).cast("long"), lambda a, b: a + b) != F.size(spans)),
+        category_counts=F.exists(F.map_entries(counts), lambda e: e["value"] != per_label(e["key"])) | (
+            F.aggregate(F.map_values(counts), F.lit(0).cast("long"), lambda a, b: a + b) != F.size(spans)
+        ),
         masked_text=is_blank(F.col("masked_text")),
     )
     return reports.select(*id_cols, bad.alias("violations"))
@@ -211,7 +266,8 @@ def check_corpus_report(
     raw_values: Sequence[str] = tuple(CORPUS_RAW_VALUES),
     golden: bool = False,
 ) -> DataFrame:
-    """Violations of corpus reports in JSON: keys, engine, scope, network use, numbers and shapes, counts that don't add up, non-goals, raw values.
+    """Violations of corpus reports in JSON: keys, engine, scope, network use, numbers and shapes, counts that don't add
+    up, non-goals, raw values.
 
     A report of two fixtures, and with ``golden`` any report, has to have the counts of the two sample notes.
     """
@@ -240,7 +296,9 @@ def check_corpus_report(
         not_an_object=report.isNull(),
         missing_key=F.size(F.array_except(F.array(*map(F.lit, CORPUS_KEYS)), keys)) > 0,
         unexpected_key=F.size(F.array_except(keys, F.array(*map(F.lit, [*CORPUS_KEYS, "network_api_called"])))) > 0,
-        network=F.when(F.array_contains(keys, "network_api_called"), F.to_json(network) != "false").otherwise(F.lit(False)),
+        network=F.when(
+            F.array_contains(keys, "network_api_called"), F.to_json(network) != "false"
+        ).otherwise(F.lit(False)),
         engine=text(_member(report, "engine")) != CORPUS_ENGINE,
         scope=text(_member(report, "scope")) != CORPUS_SCOPE,
         fixture_count=(n == 0) | (n != F.size(fixtures)),
@@ -256,7 +314,9 @@ def check_corpus_report(
     return reports.select(*id_cols, bad.alias("violations"))
 
 
-def check_leaks(df: DataFrame, columns: Sequence[str], id_cols: Sequence[str], sentinels: Sequence[str] = tuple(SENTINELS)) -> DataFrame:
+def check_leaks(
+    df: DataFrame, columns: Sequence[str], id_cols: Sequence[str], sentinels: Sequence[str] = tuple(SENTINELS)
+) -> DataFrame:
     """Violations of text or JSON columns that hold a sentinel (in any case), a path or a file name."""
     text = F.concat_ws("\n", *columns)
     bad = _violations(
@@ -272,33 +332,51 @@ def json_keys(report: Column) -> Column:
     return F.regexp_extract_all(report, F.lit(r'"((?:[^"\\]|\\.)*)"\s*:'), F.lit(1))
 
 
-def check_markers(df: DataFrame, json_col: str, id_cols: Sequence[str], markers: Sequence[str] = tuple(SUMMARY_MARKERS), top_only: Sequence[str] = ()) -> DataFrame:
-    """Violations of JSON with a marker key at any depth, a key of ``top_only`` below the top, or a network call anywhere."""
+def check_markers(
+    df: DataFrame,
+    json_col: str,
+    id_cols: Sequence[str],
+    markers: Sequence[str] = tuple(SUMMARY_MARKERS),
+    top_only: Sequence[str] = (),
+) -> DataFrame:
+    """Violations of JSON with a marker key at any depth, a key of ``top_only`` below the top, or a network call
+    anywhere.
+    """
     keys, top = json_keys(F.col(json_col)), F.json_object_keys(json_col)
     times = lambda arr, k: F.size(F.filter(arr, lambda x: x == k))
     bad = _violations(
         not_an_object=top.isNull(),
         marker=F.arrays_overlap(keys, F.array(*[F.lit(m) for m in markers])),
-        below_top=F.exists(F.array(*[F.lit(k) for k in top_only]), lambda k: times(keys, k) > times(top, k)) if top_only else F.lit(False),
+        below_top=F.exists(
+            F.array(*[F.lit(k) for k in top_only]), lambda k: times(keys, k) > times(top, k)
+        ) if top_only else F.lit(False),
         network=F.col(json_col).rlike(r'"network_api_called"\s*:\s*true'),
     )
     return df.select(*id_cols, bad.alias("violations"))
 
 
 def reject_byte_payload(df: DataFrame, json_col: str) -> tuple[DataFrame, DataFrame]:
-    """Rows whose JSON has no byte payload, by its keys at the top and the keys of its metadata entries, and the others without the JSON."""
+    """Rows whose JSON has no byte payload, by its keys at the top and the keys of its metadata entries, and the others
+    without the JSON.
+    """
     plain = lambda k: F.lower(F.regexp_replace(k, "[-_]", "")).isin(*BYTE_KEYS)
     entries = F.from_json(F.get_json_object(json_col, "$.metadata"), "array<struct<key:string>>")
-    bad = F.coalesce(F.exists(F.json_object_keys(json_col), plain), F.lit(False)) | F.coalesce(F.exists(entries, lambda e: F.coalesce(plain(e["key"]), F.lit(False))), F.lit(False))
+    bad = F.coalesce(F.exists(F.json_object_keys(json_col), plain), F.lit(False)) | F.coalesce(
+        F.exists(entries, lambda e: F.coalesce(plain(e["key"]), F.lit(False))), F.lit(False)
+    )
     return df.where(~bad), df.where(bad).drop(json_col).withColumn("reason", F.lit("byte_payload"))
 
 
 def redact_report_keys(report: Column, keys: Sequence[str] = tuple(SECRET_KEYS)) -> Column:
-    """JSON text with the values of the keys replaced whole by ``"<redacted>"`` wherever they are, however deep they nest. A value that does not end is replaced to the end of the text."""
+    """JSON text with the values of the keys replaced whole by ``"<redacted>"`` wherever they are, however deep they
+    nest. A value that does not end is replaced to the end of the text.
+    """
     text = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
     named = rf'"({"|".join(keys)})"\s*+:'
     # A key, a string, a bracket, or a run of other characters; a lone quote opens a string that does not end.
-    tokens = F.regexp_extract_all(report, F.lit(rf'(?s){named}\s*+|{text}|[\[{{]|[\]}}]|[^\[\]{{}}",]++|,|".*'), F.lit(0))
+    tokens = F.regexp_extract_all(
+        report, F.lit(rf'(?s){named}\s*+|{text}|[\[{{]|[\]}}]|[^\[\]{{}}",]++|,|".*'), F.lit(0)
+    )
     # wait: a value has to begin; depth: brackets open in the value being replaced, -1 outside of one.
     now = lambda depth, wait, out: F.struct(depth.cast("int").alias("depth"), wait.alias("wait"), out.alias("out"))
     no = F.lit(False)
@@ -306,17 +384,32 @@ def redact_report_keys(report: Column, keys: Sequence[str] = tuple(SECRET_KEYS))
     def step(s: Column, t: Column) -> Column:
         up, down, depth = t.rlike(r"^[\[{]$"), t.rlike(r"^[\]}]$"), s["depth"]
         key = t.rlike(rf"^{named}\s*+$")
-        inside = now(F.when(up, depth + 1).when(down & (depth == 1), F.lit(-1)).when(down, depth - 1).otherwise(depth), no, s["out"])
-        begins = F.when(up, now(F.lit(1), no, s["out"])).when(down | (t == ","), now(F.lit(-1), no, F.concat(s["out"], F.array(t)))).otherwise(now(F.lit(-1), no, s["out"]))
-        shown = F.when(key, F.concat(F.lit('"'), F.regexp_extract(t, rf"^{named}", 1), F.lit('":"<redacted>"'))).otherwise(t)
-        return F.when(depth > 0, inside).when(s["wait"], begins).otherwise(now(F.lit(-1), key, F.concat(s["out"], F.array(shown))))
-
-    return F.array_join(F.aggregate(tokens, now(F.lit(-1), no, F.array().cast("array<string>")), step, lambda s: s["out"]), "")
+        inside = now(
+            F.when(up, depth + 1).when(down & (depth == 1), F.lit(-1)).when(down, depth - 1).otherwise(depth),
+            no,
+            s["out"],
+        )
+        begins = F.when(up, now(F.lit(1), no, s["out"])).when(
+            down | (t == ","), now(F.lit(-1), no, F.concat(s["out"], F.array(t)))
+        ).otherwise(now(F.lit(-1), no, s["out"]))
+        shown = F.when(
+            key, F.concat(F.lit('"'), F.regexp_extract(t, rf"^{named}", 1), F.lit('":"<redacted>"'))
+        ).otherwise(t)
+        return F.when(depth > 0, inside).when(s["wait"], begins).otherwise(
+            now(F.lit(-1), key, F.concat(s["out"], F.array(shown)))
+        )
+
+    return F.array_join(
+        F.aggregate(tokens, now(F.lit(-1), no, F.array().cast("array<string>")), step, lambda s: s["out"]), ""
+    )
 
 
 def safe_identifier(c: Column) -> Column:
-    """The text if it is 1 to 128 ASCII letters, digits, ``.``, ``_``, ``:`` and ``-`` and holds no sentinel, else null."""
-    ok = c.rlike(r"^[A-Za-z0-9._:-]{1,128}$") & ~F.exists(F.array(*[F.lit(s) for s in SENTINELS]), lambda s: F.lower(c).contains(s))
+    """The text if it is 1 to 128 ASCII letters, digits, ``.``, ``_``, ``:`` and ``-`` and holds no sentinel, else null.
+    """
+    ok = c.rlike(r"^[A-Za-z0-9._:-]{1,128}$") & ~F.exists(
+        F.array(*[F.lit(s) for s in SENTINELS]), lambda s: F.lower(c).contains(s)
+    )
     return F.when(ok, c)
 
 
@@ -325,7 +418,8 @@ def _one_of(c: Column, allowed: Sequence[str]) -> Column:
 
 
 def safe_privacy_summary(df: DataFrame, json_col: str, id_cols: Sequence[str]) -> DataFrame:
-    """What may be shown of a report in JSON, nested or flat; null fields throughout if anything in it is not allowed."""
+    """What may be shown of a report in JSON, nested or flat; null fields throughout if anything in it is not allowed.
+    """
     at = lambda part, k: F.get_json_object(json_col, f"$.{part}.{k}") if part else F.get_json_object(json_col, f"$.{k}")
     has = lambda k: F.get_json_object(json_col, f"$.{k}").isNotNull()
     nested = lambda part, k: F.when(has(part), at(part, k)).otherwise(at("", k))
@@ -338,9 +432,15 @@ def safe_privacy_summary(df: DataFrame, json_col: str, id_cols: Sequence[str]) -
         "preview_policy": _one_of(nested("metadata", "preview_policy"), PREVIEW_POLICIES),
         "input_char_count": whole(nested("summary", "input_char_count")),
         "detected_span_count": whole(nested("summary", "detected_span_count")),
-        "category_counts": F.when(~F.exists(F.map_keys(counts), lambda k: ~k.isin(*SUMMARY_LABELS)) & ~F.exists(F.map_values(counts), lambda v: v.isNull() | (v < 0)), counts),
+        "category_counts": F.when(
+            ~F.exists(F.map_keys(counts), lambda k: ~k.isin(*SUMMARY_LABELS))
+            & ~F.exists(F.map_values(counts), lambda v: v.isNull() | (v < 0)),
+            counts,
+        ),
     }
-    good = (F.size("violations") == 0) & F.coalesce(at("", "artifact") == "privacy_filter_report", F.lit(True)) & (nested("metadata", "network_api_called") == "false")
+    good = (F.size("violations") == 0) & F.coalesce(at("", "artifact") == "privacy_filter_report", F.lit(True)) & (
+        nested("metadata", "network_api_called") == "false"
+    )
     for c in fields.values():
         good = good & c.isNotNull()
     return marks.select(*id_cols, *[F.when(good, c).alias(n) for n, c in fields.items()])
@@ -353,19 +453,32 @@ def ocr_batch_quality(items: DataFrame) -> DataFrame:
     """One row over items (status, engine_status, line_count, normalized_char_count)."""
     ok = F.col("status") == "succeeded"
     total = items.agg(
-        F.count("*").alias("input_count"), F.count_if(ok).alias("succeeded_count"), F.count_if(~ok).alias("failed_count"),
-        F.coalesce(F.sum(F.when(ok, F.col("line_count"))), F.lit(0)).alias("total_line_count"), F.coalesce(F.sum(F.when(ok, F.col("normalized_char_count"))), F.lit(0)).alias("total_normalized_char_count"),
-        F.coalesce(F.bool_and(ok & (F.col("engine_status") == REAL_STATUS)), F.lit(False)).alias("real_model_quality_verified"),
+        F.count("*").alias("input_count"),
+        F.count_if(ok).alias("succeeded_count"),
+        F.count_if(~ok).alias("failed_count"),
+        F.coalesce(F.sum(F.when(ok, F.col("line_count"))), F.lit(0)).alias("total_line_count"),
+        F.coalesce(F.sum(F.when(ok, F.col("normalized_char_count"))), F.lit(0)).alias("total_normalized_char_count"),
+        F.coalesce(
+            F.bool_and(ok & (F.col("engine_status") == REAL_STATUS)), F.lit(False)
+        ).alias("real_model_quality_verified"),
     )
-    by = items.where(ok).groupBy("engine_status").agg(F.count("*").alias("n")).agg(_counts_map(F.collect_list(F.struct("engine_status", "n"))).alias("engine_status_counts"))
+    by = items.where(ok).groupBy("engine_status").agg(F.count("*").alias("n")).agg(
+        _counts_map(F.collect_list(F.struct("engine_status", "n"))).alias("engine_status_counts")
+    )
     return total.crossJoin(F.broadcast(by))
 
 
 def ocr_document_summary(specs: DataFrame, items: DataFrame) -> DataFrame:
-    """Per document of the manifest (document_id, page_count): succeeded_count and failed_count, also for those without pages."""
-    done = items.groupBy("document_id").agg(F.count_if(F.col("status") == "succeeded").alias("s"), F.count_if(F.col("status") != "succeeded").alias("f"))
+    """Per document of the manifest (document_id, page_count): succeeded_count and failed_count, also for those without
+    pages.
+    """
+    done = items.groupBy("document_id").agg(
+        F.count_if(F.col("status") == "succeeded").alias("s"), F.count_if(F.col("status") != "succeeded").alias("f")
+    )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
-    return specs.join(done, "document_id", "left").select("document_id", "page_count", zero("s").alias("succeeded_count"), zero("f").alias("failed_count"))
+    return specs.join(done, "document_id", "left").select(
+        "document_id", "page_count", zero("s").alias("succeeded_count"), zero("f").alias("failed_count")
+    )
 
 
 def failure_class(stderr: Column, returncode: Column) -> Column:
@@ -373,16 +486,36 @@ def failure_class(stderr: Column, returncode: Column) -> Column:
     lines = F.transform(F.split(F.coalesce(stderr, F.lit("")), r"\r?\n"), lambda x: F.trim(x))
     known = F.filter(lines, lambda x: x.isin(*KNOWN_FAILURES) | x.startswith(MISSING_ENGINE))
     first = F.get(known, F.lit(0))
-    return F.coalesce(F.when(first.startswith(MISSING_ENGINE), MISSING_ENGINE).otherwise(first), F.when(returncode != 0, "OCR runner failed").otherwise("OCR runner emitted invalid JSON"))
+    return F.coalesce(
+        F.when(first.startswith(MISSING_ENGINE), MISSING_ENGINE).otherwise(first),
+        F.when(returncode != 0, "OCR runner failed").otherwise("OCR runner emitted invalid JSON"),
+    )
 
 
 def handoff(df: DataFrame, text_col: str, id_cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(hand-overs, rejected): recognised text with the fixed fields; texts without words are rejected."""
     normal = squash_ws(F.col(text_col))
-    rows = df.select(*id_cols, F.regexp_replace(text_col, r"(?U)^\s+|\s+$", "").alias("extracted_text"), normal.alias("normalized_text"))
+    rows = df.select(
+        *id_cols,
+        F.regexp_replace(text_col, r"(?U)^\s+|\s+$", "").alias("extracted_text"),
+        normal.alias("normalized_text"),
+    )
     bad = F.coalesce(F.col("normalized_text") == "", F.lit(True))
-    fixed = {"candidate": CANDIDATE, "engine": ENGINE, "engine_status": FIXTURE_STATUS, "scope": HANDOFF_SCOPE, "privacy_filter_contract": TEXT_CONTRACT}
-    good = rows.where(~bad).withColumns({"source": F.lit("<redacted>"), "ready_for_text_pii_eval": F.lit(True), **{k: F.lit(v) for k, v in fixed.items()}, "non_goals": F.array(*[F.lit(g) for g in HANDOFF_NON_GOALS])})
+    fixed = {
+        "candidate": CANDIDATE,
+        "engine": ENGINE,
+        "engine_status": FIXTURE_STATUS,
+        "scope": HANDOFF_SCOPE,
+        "privacy_filter_contract": TEXT_CONTRACT,
+    }
+    good = rows.where(~bad).withColumns(
+        {
+            "source": F.lit("<redacted>"),
+            "ready_for_text_pii_eval": F.lit(True),
+            **{k: F.lit(v) for k, v in fixed.items()},
+            "non_goals": F.array(*[F.lit(g) for g in HANDOFF_NON_GOALS]),
+        }
+    )
     return good, rows.where(bad).select(*id_cols, F.lit("empty_text").alias("reason"))
 
 
@@ -430,14 +563,31 @@ def check_handoff_json(df: DataFrame, json_col: str, id_cols: Sequence[str]) ->
 def handoff_readiness(df: DataFrame) -> DataFrame:
     """One row: document_count, ready_document_count, total_char_count, all_ready (with at least one document)."""
     ready = F.col("ready_for_text_pii_eval")
-    return df.agg(F.count("*").alias("document_count"), F.count_if(ready).alias("ready_document_count"), F.coalesce(F.sum(F.length("normalized_text")), F.lit(0)).alias("total_char_count"), F.coalesce(F.bool_and(ready), F.lit(False)).alias("all_ready"))
+    return df.agg(
+        F.count("*").alias("document_count"),
+        F.count_if(ready).alias("ready_document_count"),
+        F.coalesce(F.sum(F.length("normalized_text")), F.lit(0)).alias("total_char_count"),
+        F.coalesce(F.bool_and(ready), F.lit(False)).alias("all_ready"),
+    )
 
 
-def ocr_to_privacy(df: DataFrame, text_col: str, id_col: str, labels: Sequence[str] = tuple(SUMMARY_LABELS), detectors: Sequence[Detector] | Registry = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """(counts by id and label, rejected ids) of recognised text: labels' punctuation is normalised first; a document with a label outside ``labels`` is rejected."""
-    found = with_spans(df.select(id_col, normalize_labels(F.col(text_col)).alias("_text")), "_text", detectors, "_spans").select(id_col, F.col("_spans.label").alias("_labels"))
+def ocr_to_privacy(
+    df: DataFrame,
+    text_col: str,
+    id_col: str,
+    labels: Sequence[str] = tuple(SUMMARY_LABELS),
+    detectors: Sequence[Detector] | Registry = DEFAULT,
+) -> tuple[DataFrame, DataFrame]:
+    """(counts by id and label, rejected ids) of recognised text: labels' punctuation is normalised first; a document
+    with a label outside ``labels`` is rejected.
+    """
+    found = with_spans(
+        df.select(id_col, normalize_labels(F.col(text_col)).alias("_text")), "_text", detectors, "_spans"
+    ).select(id_col, F.col("_spans.label").alias("_labels"))
     bad = F.exists("_labels", lambda x: ~x.isin(*labels))
-    counts = found.where(~bad).select(id_col, F.explode("_labels").alias("label")).groupBy(id_col, "label").agg(F.count("*").alias("n"))
+    counts = found.where(~bad).select(id_col, F.explode("_labels").alias("label")).groupBy(id_col, "label").agg(
+        F.count("*").alias("n")
+    )
     return counts, found.where(bad).select(id_col, F.lit("unsupported_label").alias("reason"))
 
 
@@ -449,7 +599,9 @@ def evidence_counts(counts: DataFrame, id_col: str, labels: Sequence[str] = tupl
 
 def text_match(actual: DataFrame, expected: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, matched): equal after squashing white space; an expected text without an actual one does not match."""
-    both = expected.select(id_col, squash_ws(F.col(text_col)).alias("_e")).join(actual.select(id_col, squash_ws(F.col(text_col)).alias("_a")), id_col, "left")
+    both = expected.select(id_col, squash_ws(F.col(text_col)).alias("_e")).join(
+        actual.select(id_col, squash_ws(F.col(text_col)).alias("_a")), id_col, "left"
+    )
     return both.select(id_col, F.coalesce(F.col("_a") == F.col("_e"), F.lit(False)).alias("matched"))
 
 
@@ -462,14 +614,22 @@ def _primitive(v: Column) -> Column:
 
 
 def _kept(object_: Column, keys: Sequence[str], good: Callable[[Column], Column]) -> Column:
-    """JSON text of those of the keys whose value ``good`` keeps, in the order of the keys; an empty object if there are none."""
+    """JSON text of those of the keys whose value ``good`` keeps, in the order of the keys; an empty object if there are
+    none.
+    """
     entries = [F.struct(F.lit(k).alias("key"), F.to_json(good(_member(object_, k))).alias("value")) for k in keys]
     shown = F.filter(F.array(*entries), lambda e: e["value"].isNotNull())
-    return F.concat(F.lit("{"), F.array_join(F.transform(shown, lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])), ","), F.lit("}"))
+    return F.concat(
+        F.lit("{"),
+        F.array_join(F.transform(shown, lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])), ","),
+        F.lit("}"),
+    )
 
 
 def safe_handoff_summary(df: DataFrame, json_col: str, id_cols: Sequence[str]) -> DataFrame:
-    """The fixed fields of a hand-over, each only if it has the value that it must have; whether the text is ready; line and character counts; known non-goals."""
+    """The fixed fields of a hand-over, each only if it has the value that it must have; whether the text is ready; line
+    and character counts; known non-goals.
+    """
     whole = _variant_map(F.try_parse_json(F.col(json_col)))
     fixed = {
         "candidate": [CANDIDATE],
@@ -484,12 +644,18 @@ def safe_handoff_summary(df: DataFrame, json_col: str, id_cols: Sequence[str]) -
     fields["ready"] = F.coalesce(_member(whole, "ready_for_text_pii_eval").try_cast("boolean"), F.lit(False))
     fields |= {k: _whole(_member(whole, k)) for k in ("line_count", "char_count")}
     goals = F.transform(_elements(_member(whole, "non_goals")), lambda g: g.try_cast("string"))
-    fields["non_goals"] = F.coalesce(F.filter(goals, lambda g: g.isin(*HANDOFF_NON_GOALS)), F.array().cast("array<string>"))
+    fields["non_goals"] = F.coalesce(
+        F.filter(goals, lambda g: g.isin(*HANDOFF_NON_GOALS)), F.array().cast("array<string>")
+    )
     return marks.select(*id_cols, *[F.when(clean, c).alias(k) for k, c in fields.items()])
 
 
-def safe_bridge_summary(df: DataFrame, json_col: str, id_cols: Sequence[str], labels: Sequence[str] = tuple(SUMMARY_LABELS)) -> DataFrame:
-    """What may be shown of a report from recognised text to detected identifiers: fixed fields with their one value, the span count, and counts of allowed labels."""
+def safe_bridge_summary(
+    df: DataFrame, json_col: str, id_cols: Sequence[str], labels: Sequence[str] = tuple(SUMMARY_LABELS)
+) -> DataFrame:
+    """What may be shown of a report from recognised text to detected identifiers: fixed fields with their one value,
+    the span count, and counts of allowed labels.
+    """
     whole = _variant_map(F.try_parse_json(F.col(json_col)))
     fields = {k: _one_of(_member(whole, k).try_cast("string"), [v]) for k, v in BRIDGE_FIELDS.items()}
     for key, want in (("ready_for_text_pii_eval", True), ("network_api_called", False)):
@@ -504,13 +670,16 @@ def safe_bridge_summary(df: DataFrame, json_col: str, id_cols: Sequence[str], la
 def safe_review_queue(df: DataFrame, json_col: str, id_cols: Sequence[str]) -> DataFrame:
     """A row for each entry of a report's ``review_queue`` in JSON: (ids, nth) and what may be shown of it.
 
-    Page, confidence and requires_review only if they are a whole number, a number and a boolean; status, kind, format, phi_type and action only with a value of
-    their lists; field, field_ref, reason and message by fixed words in place of what they say. Entries that are no objects have nothing to show.
+    Page, confidence and requires_review only if they are a whole number, a number and a boolean; status, kind, format,
+    phi_type and action only with a value of their lists; field, field_ref, reason and message by fixed words in place
+    of what they say. Entries that are no objects have nothing to show.
     """
     queue = _elements(_member(_variant_map(F.try_parse_json(F.col(json_col))), "review_queue"))
     rows = df.select(*id_cols, F.posexplode(queue).alias("nth", "_entry"))
     entry = _variant_map(F.col("_entry"))
-    confidence, flag, reference = _member(entry, "confidence"), _member(entry, "requires_review"), _variant_map(_member(entry, "field_ref"))
+    confidence, flag, reference = _member(entry, "confidence"), _member(entry, "requires_review"), _variant_map(
+        _member(entry, "field_ref")
+    )
     numeric = json_type(confidence).isin("BIGINT", "DECIMAL", "DOUBLE")
     fields = {
         "page": _whole(_member(entry, "page")),
@@ -529,18 +698,24 @@ def safe_review_queue(df: DataFrame, json_col: str, id_cols: Sequence[str]) -> D
     return rows.select(*id_cols, "nth", *[c.alias(k) for k, c in fields.items()])
 
 
-def safe_review_summary(df: DataFrame, json_col: str, id_cols: Sequence[str], keys: Sequence[str] = tuple(REVIEW_SUMMARY_KEYS)) -> DataFrame:
-    """(ids, summary): the allowed keys of a report's ``summary`` that are numbers, booleans or null, as JSON; null if there is no such object."""
+def safe_review_summary(
+    df: DataFrame, json_col: str, id_cols: Sequence[str], keys: Sequence[str] = tuple(REVIEW_SUMMARY_KEYS)
+) -> DataFrame:
+    """(ids, summary): the allowed keys of a report's ``summary`` that are numbers, booleans or null, as JSON; null if
+    there is no such object.
+    """
     summary = _variant_map(_member(_variant_map(F.try_parse_json(F.col(json_col))), "summary"))
     shown = _kept(summary, keys, lambda v: F.when(~json_type(v).isin("ARRAY", "OBJECT", "STRING"), v))
     return df.select(*id_cols, F.when(summary.isNotNull(), shown).alias("summary"))
 
 
 def safe_pdf_report(df: DataFrame, json_col: str, id_cols: Sequence[str]) -> DataFrame:
-    """(ids, summary, review_queue, page_statuses, blockers and actionability) of page reports in JSON; no text of a page.
+    """(ids, summary, review_queue, page_statuses, blockers and actionability) of page reports in JSON; no text of a
+    page.
 
-    The summary, the queue's entries and the statuses keep their allowed keys that are no arrays or objects, as JSON. A page is blocked if it asks for recognition, for
-    a look at handwriting (by its flag or its status in any case) or, by either, for a visual review; the report is ready if rewriting is available and no page is.
+    The summary, the queue's entries and the statuses keep their allowed keys that are no arrays or objects, as JSON. A
+    page is blocked if it asks for recognition, for a look at handwriting (by its flag or its status in any case) or, by
+    either, for a visual review; the report is ready if rewriting is available and no page is.
     """
     whole = _variant_map(F.try_parse_json(F.col(json_col)))
 
@@ -549,7 +724,10 @@ def safe_pdf_report(df: DataFrame, json_col: str, id_cols: Sequence[str]) -> Dat
         shown = F.transform(objects, lambda v: _kept(_variant_map(v), keys, _primitive))
         return F.concat(F.lit("["), F.coalesce(F.array_join(shown, ","), F.lit("")), F.lit("]"))
 
-    statuses = F.coalesce(F.transform(_elements(_member(whole, "page_statuses")), _variant_map), F.array().cast("array<map<string,variant>>"))
+    statuses = F.coalesce(
+        F.transform(_elements(_member(whole, "page_statuses")), _variant_map),
+        F.array().cast("array<map<string,variant>>"),
+    )
 
     def flag(page: Column, key: str, status: str) -> Column:
         own = F.coalesce(_member(page, key).try_cast("boolean"), F.lit(False))
@@ -581,8 +759,14 @@ def safe_pdf_report(df: DataFrame, json_col: str, id_cols: Sequence[str]) -> Dat
     )
 
 
-def safe_response_metadata(df: DataFrame, json_col: str, id_cols: Sequence[str], keys: Sequence[str] = tuple(RESPONSE_KEYS)) -> DataFrame:
-    """The allowed keys of a response that are no arrays or objects; event_count stands in for a missing total_event_count."""
-    plain = lambda k: F.when(~F.get_json_object(json_col, f"$.{k}").rlike(r"^[\[{]"), F.get_json_object(json_col, f"$.{k}"))
+def safe_response_metadata(
+    df: DataFrame, json_col: str, id_cols: Sequence[str], keys: Sequence[str] = tuple(RESPONSE_KEYS)
+) -> DataFrame:
+    """The allowed keys of a response that are no arrays or objects; event_count stands in for a missing
+    total_event_count.
+    """
+    plain = lambda k: F.when(
+        ~F.get_json_object(json_col, f"$.{k}").rlike(r"^[\[{]"), F.get_json_object(json_col, f"$.{k}")
+    )
     total = F.coalesce(plain("total_event_count"), F.when(plain("event_count").rlike("^-?[0-9]"), plain("event_count")))
     return df.select(*id_cols, *[(total if k == "total_event_count" else plain(k)).alias(k) for k in keys])

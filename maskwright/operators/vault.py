@@ -1,7 +1,8 @@
 """The mapping vault: tokens, upsert, decode, export, import and the audit trail.
 
-``vault`` has seq, id, job_id, artifact_id, field_path, phi_type, token, original_value, created_at; ``audit`` has seq, id, kind, actor, detail, recorded_at. ``seq`` is the order
-of insertion. A record is identified by its scope (job, artifact, field path), type and value; a token by type and value.
+``vault`` has seq, id, job_id, artifact_id, field_path, phi_type, token, original_value, created_at; ``audit`` has seq,
+id, kind, actor, detail, recorded_at. ``seq`` is the order of insertion. A record is identified by its scope (job,
+artifact, field path), type and value; a token by type and value.
 """
 
 from __future__ import annotations
@@ -18,12 +19,19 @@ SCOPE = ["job_id", "artifact_id", "field_path"]
 IDENTITY = ["phi_type", "original_value"]
 RECORD = [*SCOPE, *IDENTITY]
 # The phrase that stands for an event's detail, by kind.
-SAFE_DETAIL = {"encode": "encoded mapping", "decode": "decode event", "export": "portable export event", "import": "portable import event"}
+SAFE_DETAIL = {
+    "encode": "encoded mapping",
+    "decode": "decode event",
+    "export": "portable export event",
+    "import": "portable import event",
+}
 MAX_PAGE = 100
 
 
 def token(key: str | Column, phi_type: Column, value: Column) -> Column:
-    """``tok-`` and 32 hexadecimal digits of a keyed SHA-256: the same for a type and value wherever it is computed. The key comes from the caller's configuration."""
+    """``tok-`` and 32 hexadecimal digits of a keyed SHA-256: the same for a type and value wherever it is computed. The
+    key comes from the caller's configuration.
+    """
     key = F.lit(key) if isinstance(key, str) else key
     return F.concat(F.lit("tok-"), F.substring(F.sha2(F.concat_ws("\x1f", key, phi_type, value), 256), 1, 32))
 
@@ -31,7 +39,14 @@ def token(key: str | Column, phi_type: Column, value: Column) -> Column:
 def record_id(key: str, *scope: Column) -> Column:
     """A UUID-shaped name of a record, from its identity."""
     h = F.sha2(F.concat_ws("\x1f", F.lit(f"{key}:record"), *scope), 256)
-    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
+    return F.concat_ws(
+        "-",
+        F.substring(h, 1, 8),
+        F.substring(h, 9, 4),
+        F.substring(h, 13, 4),
+        F.substring(h, 17, 4),
+        F.substring(h, 21, 12),
+    )
 
 
 def _first(vault: DataFrame) -> DataFrame:
@@ -40,9 +55,11 @@ def _first(vault: DataFrame) -> DataFrame:
 
 
 def ensure_mappings(candidates: DataFrame, vault: DataFrame, key: str) -> DataFrame:
-    """The records to append for ``candidates`` (scope, type, value): none for a record that is there, the known token for a known value, a keyed one otherwise.
+    """The records to append for ``candidates`` (scope, type, value): none for a record that is there, the known token
+    for a known value, a keyed one otherwise.
 
-    Candidates are reduced to distinct records before anything is joined, so a value that fills a third of a table is one row.
+    Candidates are reduced to distinct records before anything is joined, so a value that fills a third of a table is
+    one row.
     """
     wanted = candidates.select(*RECORD).distinct()
     new = wanted.join(vault.select(*RECORD), RECORD, "left_anti")
@@ -53,7 +70,11 @@ def ensure_mappings(candidates: DataFrame, vault: DataFrame, key: str) -> DataFr
 
 def audit_encode(new: DataFrame, actor: str) -> DataFrame:
     """One event for each new record."""
-    return new.select(F.lit("encode").alias("kind"), F.lit(actor).alias("actor"), F.concat(F.lit("encoded mapping "), scope_key(*[F.col(c) for c in SCOPE])).alias("detail"))
+    return new.select(
+        F.lit("encode").alias("kind"),
+        F.lit(actor).alias("actor"),
+        F.concat(F.lit("encoded mapping "), scope_key(*[F.col(c) for c in SCOPE])).alias("detail"),
+    )
 
 
 def duplicate_ids(ids: DataFrame, request: str = "request_id", record: str = "record_id") -> DataFrame:
@@ -62,75 +83,137 @@ def duplicate_ids(ids: DataFrame, request: str = "request_id", record: str = "re
 
 
 def validate_decode(requests: DataFrame, ids: DataFrame) -> DataFrame:
-    """(request_id, reason): null for a good request. ``requests`` has request_id, output_target, justification; ``ids`` request_id, ordinal, record_id. Reasons in order of precedence."""
-    counts = ids.groupBy("request_id", "record_id").agg(F.count("*").alias("n")).groupBy("request_id").agg(F.count("*").alias("ids"), F.max("n").alias("most"))
+    """(request_id, reason): null for a good request. ``requests`` has request_id, output_target, justification; ``ids``
+    request_id, ordinal, record_id. Reasons in order of precedence.
+    """
+    counts = ids.groupBy("request_id", "record_id").agg(F.count("*").alias("n")).groupBy("request_id").agg(
+        F.count("*").alias("ids"), F.max("n").alias("most")
+    )
     reason = (
-        F.when(F.coalesce(F.col("ids"), F.lit(0)) == 0, "empty_scope").when(F.col("most") > 1, "duplicate_record_id").when(is_blank(F.col("output_target")), "missing_output_target").when(is_blank(F.col("justification")), "missing_justification")
+        F.when(F.coalesce(F.col("ids"), F.lit(0)) == 0, "empty_scope").when(F.col("most") > 1, "duplicate_record_id").when(
+            is_blank(F.col("output_target")), "missing_output_target"
+        ).when(is_blank(F.col("justification")), "missing_justification")
     )
     return requests.join(counts, "request_id", "left").select("request_id", reason.alias("reason"))
 
 
 def decode(vault: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(values, failed): request_id, ordinal, record_id, token, original_value of requests all of whose ids are known; request_id and the number of unknown ids of the others."""
+    """(values, failed): request_id, ordinal, record_id, token, original_value of requests all of whose ids are known;
+    request_id and the number of unknown ids of the others.
+    """
     known = vault.select(F.col("id").alias("record_id"), "token", "original_value", "phi_type", *SCOPE)
     found = ids.join(known, "record_id", "left")
     failed = found.where(F.col("token").isNull()).groupBy("request_id").agg(F.count("*").alias("unknown_ids"))
-    return found.join(failed, "request_id", "left_anti").select("request_id", "ordinal", "record_id", "token", "original_value"), failed
+    return found.join(failed, "request_id", "left_anti").select(
+        "request_id", "ordinal", "record_id", "token", "original_value"
+    ), failed
 
 
 def audit_decode(requests: DataFrame, values: DataFrame) -> DataFrame:
-    """One event for each decoded request, with target, reason, count and ids in their order. The list is as long as the request."""
-    ids = values.groupBy("request_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "record_id"))), lambda x: x["record_id"]), ",").alias("ids"), F.count("*").alias("n"))
-    detail = F.concat(F.lit("decode to "), F.col("output_target"), F.lit(" because "), F.col("justification"), F.lit("; records "), F.col("n").cast("string"), F.lit(": "), F.col("ids"))
-    return requests.join(ids, "request_id").select("request_id", F.lit("decode").alias("kind"), "actor", detail.alias("detail"))
+    """One event for each decoded request, with target, reason, count and ids in their order. The list is as long as the
+    request.
+    """
+    ids = values.groupBy("request_id").agg(
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "record_id"))), lambda x: x["record_id"]), ","
+        ).alias("ids"),
+        F.count("*").alias("n"),
+    )
+    detail = F.concat(
+        F.lit("decode to "),
+        F.col("output_target"),
+        F.lit(" because "),
+        F.col("justification"),
+        F.lit("; records "),
+        F.col("n").cast("string"),
+        F.lit(": "),
+        F.col("ids"),
+    )
+    return requests.join(ids, "request_id").select(
+        "request_id", F.lit("decode").alias("kind"), "actor", detail.alias("detail")
+    )
 
 
 def export_subset(vault: DataFrame, ids: DataFrame, contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(records, rejected) of portable exports; ``contexts`` has request_id and context. Rejected have a reason: blank_context, empty, duplicate_record_id or unknown_record_id."""
+    """(records, rejected) of portable exports; ``contexts`` has request_id and context. Rejected have a reason:
+    blank_context, empty, duplicate_record_id or unknown_record_id.
+    """
     known = ids.join(vault.withColumnRenamed("id", "record_id"), "record_id", "left")
-    per = known.groupBy("request_id", "record_id").agg(F.count("*").alias("n"), F.count_if(F.col("token").isNull()).alias("missing")).groupBy("request_id").agg(F.max("n").alias("most"), F.sum("missing").alias("missing"))
-    reason = F.when(is_blank(F.col("context")), "blank_context").when(F.col("most").isNull(), "empty").when(F.col("most") > 1, "duplicate_record_id").when(F.col("missing") > 0, "unknown_record_id")
-    rejected = contexts.join(per, "request_id", "left").select("request_id", reason.alias("reason")).where("reason is not null")
+    per = known.groupBy("request_id", "record_id").agg(
+        F.count("*").alias("n"), F.count_if(F.col("token").isNull()).alias("missing")
+    ).groupBy("request_id").agg(F.max("n").alias("most"), F.sum("missing").alias("missing"))
+    reason = F.when(is_blank(F.col("context")), "blank_context").when(F.col("most").isNull(), "empty").when(
+        F.col("most") > 1, "duplicate_record_id"
+    ).when(F.col("missing") > 0, "unknown_record_id")
+    rejected = contexts.join(per, "request_id", "left").select("request_id", reason.alias("reason")).where(
+        "reason is not null"
+    )
     good = contexts.select("request_id").join(rejected, "request_id", "left_anti")
-    return known.join(good, "request_id", "left_semi").select("request_id", "ordinal", "record_id", *RECORD, "token"), rejected
+    return known.join(good, "request_id", "left_semi").select(
+        "request_id", "ordinal", "record_id", *RECORD, "token"
+    ), rejected
 
 
 def _first_wins(rows: DataFrame, write: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Of rows with ``ord``, ``id`` and ``record``, those that a scan in order would keep, if it drops a row whose id or record a kept row has.
+    """Of rows with ``ord``, ``id`` and ``record``, those that a scan in order would keep, if it drops a row whose id or
+    record a kept row has.
 
-    Each round keeps the undecided rows that are first both for their id and their record, and drops those that share either with a kept row. Without conflicts
-    one round is all; the number of rounds is the longest chain of conflicts. ``write`` materialises a frame.
+    Each round keeps the undecided rows that are first both for their id and their record, and drops those that share
+    either with a kept row. Without conflicts one round is all; the number of rounds is the longest chain of conflicts.
+    ``write`` materialises a frame.
     """
     undecided, kept = rows, None
     while True:
-        ranked = undecided.withColumns({"_by_id": F.min("ord").over(Window.partitionBy("id")), "_by_record": F.min("ord").over(Window.partitionBy("record"))})
+        ranked = undecided.withColumns(
+            {
+                "_by_id": F.min("ord").over(Window.partitionBy("id")),
+                "_by_record": F.min("ord").over(Window.partitionBy("record")),
+            }
+        )
         ranked = write(ranked)
-        first = ranked.where((F.col("ord") == F.col("_by_id")) & (F.col("ord") == F.col("_by_record"))).select("ord", "id", "record")
+        first = ranked.where(
+            (F.col("ord") == F.col("_by_id")) & (F.col("ord") == F.col("_by_record"))
+        ).select("ord", "id", "record")
         kept = first if kept is None else kept.unionByName(first)
-        undecided = ranked.select("ord", "id", "record").join(first.select("id"), "id", "left_anti").join(first.select("record"), "record", "left_anti").select("ord", "id", "record")
+        undecided = ranked.select("ord", "id", "record").join(first.select("id"), "id", "left_anti").join(
+            first.select("record"), "record", "left_anti"
+        ).select("ord", "id", "record")
         undecided = write(undecided)
         if undecided.isEmpty():
             return kept.select("ord")
 
 
-def import_snapshot(vault: DataFrame, snapshot: DataFrame, write: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
-    """The rows of ``snapshot`` (ord, id, scope, type, value, token) with ``outcome`` imported or duplicate and the ``token`` they get.
+def import_snapshot(
+    vault: DataFrame, snapshot: DataFrame, write: Callable[[DataFrame], DataFrame] = written
+) -> DataFrame:
+    """The rows of ``snapshot`` (ord, id, scope, type, value, token) with ``outcome`` imported or duplicate and the
+    ``token`` they get.
 
-    A row is a duplicate if its id or record is in the vault or in a kept row before it; an imported value that is known takes the known token, else that of the
-    first kept row. ``write`` materialises each round, by default as a table in the shared folder, so that a round does not run those before it again.
+    A row is a duplicate if its id or record is in the vault or in a kept row before it; an imported value that is known
+    takes the known token, else that of the first kept row. ``write`` materialises each round, by default as a table in
+    the shared folder, so that a round does not run those before it again.
     """
     record = F.to_json(F.struct(*RECORD), {"ignoreNullFields": "false"})
     seen = snapshot.withColumn("record", record)
-    fresh = seen.select("ord", "id", "record").join(vault.select("id"), "id", "left_anti").join(vault.select(record.alias("record")), "record", "left_anti").select("ord", "id", "record")
+    fresh = seen.select("ord", "id", "record").join(vault.select("id"), "id", "left_anti").join(
+        vault.select(record.alias("record")), "record", "left_anti"
+    ).select("ord", "id", "record")
     kept = _first_wins(fresh, write).withColumn("_kept", F.lit(True))
-    marked = snapshot.join(kept, "ord", "left").withColumn("outcome", F.when(F.col("_kept"), "imported").otherwise("duplicate")).drop("_kept")
+    marked = snapshot.join(kept, "ord", "left").withColumn(
+        "outcome", F.when(F.col("_kept"), "imported").otherwise("duplicate")
+    ).drop("_kept")
     first_here = marked.where("outcome = 'imported'").groupBy(*IDENTITY).agg(F.min_by("token", "ord").alias("own"))
-    return marked.join(_first(vault), IDENTITY, "left").join(first_here, IDENTITY, "left").withColumn("token", F.coalesce("known", "own", "token")).drop("known", "own")
+    return marked.join(_first(vault), IDENTITY, "left").join(first_here, IDENTITY, "left").withColumn(
+        "token", F.coalesce("known", "own", "token")
+    ).drop("known", "own")
 
 
 def import_counts(imported: DataFrame) -> DataFrame:
     """One row: imported_records, duplicate_records."""
-    return imported.agg(F.count_if(F.col("outcome") == "imported").alias("imported_records"), F.count_if(F.col("outcome") == "duplicate").alias("duplicate_records"))
+    return imported.agg(
+        F.count_if(F.col("outcome") == "imported").alias("imported_records"),
+        F.count_if(F.col("outcome") == "duplicate").alias("duplicate_records"),
+    )
 
 
 def inspect_snapshot(snapshot: DataFrame, preview: bool = False) -> DataFrame:
@@ -138,8 +221,12 @@ def inspect_snapshot(snapshot: DataFrame, preview: bool = False) -> DataFrame:
     return snapshot.select("id", *SCOPE, "phi_type") if preview else snapshot.agg(F.count("*").alias("record_count"))
 
 
-def audit_page(events: DataFrame, kind: str | None = None, actor: str | None = None, limit: int = MAX_PAGE, offset: int = 0) -> DataFrame:
-    """A page of events, newest first, each with total_matching_events, has_more and next_offset. ``limit`` is at most 100; 0 is refused."""
+def audit_page(
+    events: DataFrame, kind: str | None = None, actor: str | None = None, limit: int = MAX_PAGE, offset: int = 0
+) -> DataFrame:
+    """A page of events, newest first, each with total_matching_events, has_more and next_offset. ``limit`` is at most
+    100; 0 is refused.
+    """
     if limit <= 0 or offset < 0:
         raise ValueError("limit must be positive and offset not negative")
     limit = min(limit, MAX_PAGE)
@@ -149,7 +236,9 @@ def audit_page(events: DataFrame, kind: str | None = None, actor: str | None = N
     total = chosen.agg(F.count("*").alias("total_matching_events"))
     page = chosen.orderBy(F.col("seq").desc()).offset(offset).limit(limit)
     more = F.col("total_matching_events") > offset + limit
-    return page.crossJoin(F.broadcast(total)).withColumns({"has_more": more, "next_offset": F.when(more, F.lit(offset + limit).cast("long"))})
+    return page.crossJoin(F.broadcast(total)).withColumns(
+        {"has_more": more, "next_offset": F.when(more, F.lit(offset + limit).cast("long"))}
+    )
 
 
 def sanitize_audit(events: DataFrame) -> DataFrame:
@@ -160,7 +249,9 @@ def sanitize_audit(events: DataFrame) -> DataFrame:
 
 def audit_caption(total: Column, offset: Column, returned: Column) -> Column:
     empty = (returned == 0) | (total == 0) | (offset >= total)
-    return F.when(empty, F.format_string("Audit events page: showing 0 of %d from offset %d", total, offset)).otherwise(F.format_string("Audit events page: showing %d-%d of %d", offset + 1, F.least(offset + returned, total), total))
+    return F.when(empty, F.format_string("Audit events page: showing 0 of %d from offset %d", total, offset)).otherwise(
+        F.format_string("Audit events page: showing %d-%d of %d", offset + 1, F.least(offset + returned, total), total)
+    )
 
 
 def decode_summary(values: DataFrame) -> DataFrame:
@@ -169,13 +260,22 @@ def decode_summary(values: DataFrame) -> DataFrame:
 
 
 def chain(events: DataFrame, by: str = "stream") -> DataFrame:
-    """Events with ``hash``: the digest of the event and of the digests before it, by stream and seq, for evidence of later changes.
+    """Events with ``hash``: the digest of the event and of the digests before it, by stream and seq, for evidence of
+    later changes.
 
-    Each event's own digest covers its fields; ``hash`` covers its own digest and the one before it, so a change, a loss or a swap shows at the place where it was made.
+    Each event's own digest covers its fields; ``hash`` covers its own digest and the one before it, so a change, a loss
+    or a swap shows at the place where it was made.
     """
-    own = F.sha2(F.concat_ws("\x1f", F.col("seq").cast("string"), "id", "kind", "actor", "detail", F.col("recorded_at").cast("string")), 256)
+    own = F.sha2(
+        F.concat_ws(
+            "\x1f", F.col("seq").cast("string"), "id", "kind", "actor", "detail", F.col("recorded_at").cast("string")
+        ),
+        256,
+    )
     order = Window.partitionBy(by).orderBy("seq")
-    return events.withColumn("_own", own).withColumn("hash", F.sha2(F.concat_ws("\x1f", F.lag("_own", 1, "").over(order), "_own"), 256)).drop("_own")
+    return events.withColumn("_own", own).withColumn(
+        "hash", F.sha2(F.concat_ws("\x1f", F.lag("_own", 1, "").over(order), "_own"), 256)
+    ).drop("_own")
 
 
 def verify_chain(events: DataFrame, by: str = "stream") -> DataFrame:

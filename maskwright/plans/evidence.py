@@ -30,14 +30,20 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.read_table(spark, path)
 
 
-CSV_SQL = """SELECT s_suppkey::VARCHAR AS s_suppkey, CASE WHEN s_suppkey % 3 > 0 THEN 'say "' || s_name || '",' || chr(10) || 'then ' || s_suppkey END AS "a note",
+CSV_SQL = """SELECT s_suppkey::VARCHAR AS s_suppkey, CASE WHEN s_suppkey % 3 > 0 THEN 'say "' || s_name || '",' ||
+ chr(10) || 'then ' || s_suppkey END AS "a note",
  s_acctbal::VARCHAR AS s_acctbal FROM supplier"""
 
 
 def _note_files(spark: SparkSession, sf_dir: str) -> str:
     """A folder with a text file for each supplier: some blank, some too large, the others with an e-mail address."""
     k = F.col("s_suppkey")
-    line = F.concat(F.lit("Patient Jane Example mail s"), k, F.lit("@example.com, phone 555-123-"), F.lpad((k % 10000).cast("string"), 4, "0"))
+    line = F.concat(
+        F.lit("Patient Jane Example mail s"),
+        k,
+        F.lit("@example.com, phone 555-123-"),
+        F.lpad((k % 10000).cast("string"), 4, "0"),
+    )
     value = F.when(k % 11 == 0, "  ").when(k % 13 == 0, F.repeat(F.lit("long "), 100)).otherwise(line)
     path = scratch(spark, "notes")
     rows = table(spark, sf_dir, "supplier").select(k.alias("key"), value.alias("value"))
@@ -58,29 +64,42 @@ def text_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NOTES = """notes AS (SELECT s_suppkey AS key, s_suppkey % 11 = 0 AS blank, s_suppkey % 13 = 0 AS large,
- 'Patient Jane Example mail s' || s_suppkey || '@example.com, phone 555-123-' || lpad((s_suppkey % 10000)::VARCHAR, 4, '0') AS line FROM supplier)"""
+ 'Patient Jane Example mail s' || s_suppkey || '@example.com, phone 555-123-' || lpad((s_suppkey % 10000)::VARCHAR, 4,
+ '0') AS line FROM supplier)"""
 CORPUS_SQL = f"WITH {_NOTES} SELECT key, CASE WHEN blank THEN 'blank' WHEN large THEN 'too_large' ELSE line END AS found FROM notes"
 
 
 def masked_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files as a stream: masked in micro-batches, written, and read back."""
-    masked = D.deidentify_stream(D.read_text_stream(spark, _note_files(spark, sf_dir)), "text", P.Registry().only("EMAIL", "SSN"))
+    masked = D.deidentify_stream(
+        D.read_text_stream(spark, _note_files(spark, sf_dir)), "text", P.Registry().only("EMAIL", "SSN")
+    )
     out = scratch(spark, "masked")
     D.write_masked(masked, out, scratch(spark, "masked-progress")).awaitTermination()
     rows = spark.read.schema("path string, masked_text string, category_counts string").json(out)
-    return rows.select(_key(F.col("path")).alias("key"), F.rtrim(F.rtrim("masked_text", F.lit("\n"))).alias("masked"), "category_counts")
+    return rows.select(
+        _key(F.col("path")).alias("key"),
+        F.rtrim(F.rtrim("masked_text", F.lit("\n"))).alias("masked"),
+        "category_counts",
+    )
 
 
-MASKED_SQL = rf"""WITH {_NOTES} SELECT key, CASE WHEN blank THEN '' WHEN large THEN rtrim(repeat('long ', 100)) ELSE regexp_replace(line, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}', '[EMAIL]', 'g') END AS masked,
- CASE WHEN blank OR large THEN '{{}}' ELSE '{{"EMAIL":' || len(regexp_extract_all(line, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}')) || '}}' END AS category_counts FROM notes"""
+MASKED_SQL = rf"""WITH {_NOTES} SELECT key, CASE WHEN blank THEN '' WHEN large THEN rtrim(repeat('long ', 100)) ELSE
+ regexp_replace(line, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}', '[EMAIL]', 'g') END AS masked,
+ CASE WHEN blank OR large THEN '{{}}' ELSE '{{"EMAIL":' || len(regexp_extract_all(line,
+ '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}')) || '}}' END AS category_counts FROM notes"""
 
 
 def streamed_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mappings of orders' clerks and customers that a stream adds to a vault; a value keeps its token over micro-batches."""
+    """Mappings of orders' clerks and customers that a stream adds to a vault; a value keeps its token over
+    micro-batches.
+    """
     o = table(spark, sf_dir, "orders")
     value = F.concat(F.lit("c"), F.col("o_custkey") % 50)
     cells = o.select(
-        F.lit("job").alias("job_id"), F.lit("orders").alias("artifact_id"), F.concat(F.lit("rows/"), F.col("o_orderkey")).alias("field_path"),
+        F.lit("job").alias("job_id"),
+        F.lit("orders").alias("artifact_id"),
+        F.concat(F.lit("rows/"), F.col("o_orderkey")).alias("field_path"),
         F.lit("CUSTOMER").alias("phi_type"), value.alias("original_value"),
     )
     path, vault = scratch(spark, "cells"), scratch(spark, "vault")
@@ -88,21 +107,32 @@ def streamed_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(cells.schema).option("maxFilesPerTrigger", 1).parquet(path)
     D.grow_vault(stream, vault, scratch(spark, "vault-progress"), "key").awaitTermination()
     rows = spark.read.schema(D.VAULT_SCHEMA).parquet(vault)
-    return rows.groupBy("original_value").agg(F.count("*").alias("records"), F.countDistinct("token").alias("tokens"), F.countDistinct("field_path").alias("paths"))
+    return rows.groupBy("original_value").agg(
+        F.count("*").alias("records"),
+        F.countDistinct("token").alias("tokens"),
+        F.countDistinct("field_path").alias("paths"),
+    )
 
 
-STREAMED_SQL = """SELECT 'c' || o_custkey % 50 AS original_value, count(*) AS records, 1::BIGINT AS tokens, count(DISTINCT o_orderkey) AS paths FROM orders GROUP BY 1"""
+STREAMED_SQL = """SELECT 'c' || o_custkey % 50 AS original_value, count(*) AS records, 1::BIGINT AS tokens,
+ count(DISTINCT o_orderkey) AS paths FROM orders GROUP BY 1"""
 
 
 def snapshot_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mapping records written with encrypted values and read back; how many values could be read without the key."""
     c = table(spark, sf_dir, "customer")
-    records = c.select(F.concat(F.lit("rec-"), F.col("c_custkey")).alias("id"), F.col("c_name").alias("original_value"), F.lit("tok").alias("token"))
+    records = c.select(
+        F.concat(F.lit("rec-"), F.col("c_custkey")).alias("id"),
+        F.col("c_name").alias("original_value"),
+        F.lit("tok").alias("token"),
+    )
     path = scratch(spark, "snapshot")
     S.write_snapshot(records, path, key="0123456789abcdef")
     raw = spark.read.parquet(path).select("id", F.col("original_value").alias("stored"))
     opened = S.read_snapshot(spark, path, key="0123456789abcdef")
-    return opened.join(raw, "id").select("id", "original_value", "token", (F.col("stored") == F.col("original_value")).alias("in_clear"))
+    return opened.join(raw, "id").select(
+        "id", "original_value", "token", (F.col("stored") == F.col("original_value")).alias("in_clear")
+    )
 
 
 SNAPSHOT_SQL = "SELECT 'rec-' || c_custkey AS id, c_name AS original_value, 'tok' AS token, false AS in_clear FROM customer"
@@ -111,27 +141,50 @@ SNAPSHOT_SQL = "SELECT 'rec-' || c_custkey AS id, c_name AS original_value, 'tok
 def file_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kinds and reasons of files by name, size and content."""
     k = F.col("p_partkey")
-    names = ["a.CSV", "b.xlsx", "x.dicom", "case-portable.json", "portable-notes.json", "n.txt", "Portable-Artifact.JSON", "no.portable.json", "s.pdf", "i.ppm", "j.png"]
+    names = [
+        "a.CSV",
+        "b.xlsx",
+        "x.dicom",
+        "case-portable.json",
+        "portable-notes.json",
+        "n.txt",
+        "Portable-Artifact.JSON",
+        "no.portable.json",
+        "s.pdf",
+        "i.ppm",
+        "j.png",
+    ]
     name = F.element_at(F.array(*map(F.lit, names)), (k % len(names) + 1).cast("int"))
     content = F.when(k % 3 == 0, F.unhex(F.lit("fffe"))).otherwise(F.col("p_name").cast("binary"))
-    files = table(spark, sf_dir, "part").select(F.concat_ws("/", k, name).alias("path"), (k * 20000).alias("length"), content.alias("content"))
+    files = table(spark, sf_dir, "part").select(
+        F.concat_ws("/", k, name).alias("path"), (k * 20000).alias("length"), content.alias("content")
+    )
     found = S.classify_files(files, checksum=True)
-    return found.groupBy("kind", "reason").agg(F.count("*").alias("n"), F.count("sha256").alias("summed"), F.min("sha256").alias("least_sha256"))
+    return found.groupBy("kind", "reason").agg(
+        F.count("*").alias("n"), F.count("sha256").alias("summed"), F.min("sha256").alias("least_sha256")
+    )
 
 
-KINDS_SQL = """SELECT kind, CASE WHEN kind IS NULL THEN 'unsupported' WHEN p_partkey * 20000 > 10485760 THEN 'too_large' WHEN kind IN ('csv', 'portable', 'media_metadata') AND p_partkey % 3 = 0 THEN 'not_utf8' END AS reason, count(*) AS n,
- count(*) FILTER (p_partkey * 20000 <= 10485760) AS summed, min(sha256(CASE WHEN p_partkey % 3 = 0 THEN unhex('fffe') ELSE p_name::BLOB END)) FILTER (p_partkey * 20000 <= 10485760) AS least_sha256
-FROM (SELECT *, ['csv', 'xlsx', 'dicom', 'portable', 'media_metadata', NULL, 'portable', 'portable', 'pdf', 'ppm', 'png'][p_partkey % 11 + 1] AS kind FROM part) GROUP BY ALL"""
+KINDS_SQL = """SELECT kind, CASE WHEN kind IS NULL THEN 'unsupported' WHEN p_partkey * 20000 > 10485760 THEN
+ 'too_large' WHEN kind IN ('csv', 'portable', 'media_metadata') AND p_partkey % 3 = 0 THEN 'not_utf8' END AS reason,
+ count(*) AS n,
+ count(*) FILTER (p_partkey * 20000 <= 10485760) AS summed, min(sha256(CASE WHEN p_partkey % 3 = 0 THEN unhex('fffe')
+ ELSE p_name::BLOB END)) FILTER (p_partkey * 20000 <= 10485760) AS least_sha256
+FROM (SELECT *, ['csv', 'xlsx', 'dicom', 'portable', 'media_metadata', NULL, 'portable', 'portable', 'pdf', 'ppm',
+ 'png'][p_partkey % 11 + 1] AS kind FROM part) GROUP BY ALL"""
 
 
 def artifact_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each entry of a manifest of orders against an inventory of those that are there."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("index"), F.concat(F.lit("/in/"), F.col("o_orderkey")).alias("path"))
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("index"), F.concat(F.lit("/in/"), F.col("o_orderkey")).alias("path")
+    )
     there = o.where(F.col("index") % 4 > 0).select("path", (F.col("index") % 1000).alias("length"))
     return S.artifact_rows(o, there, max_bytes=500)
 
 
-ARTIFACT_ROWS_SQL = """SELECT o_orderkey AS "index", o_orderkey % 4 > 0 AS "exists", CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 1000 END AS byte_len, o_orderkey % 4 > 0 AND o_orderkey % 1000 <= 500 AS within_max_bytes FROM orders"""
+ARTIFACT_ROWS_SQL = """SELECT o_orderkey AS "index", o_orderkey % 4 > 0 AS "exists", CASE WHEN o_orderkey % 4 > 0 THEN
+ o_orderkey % 1000 END AS byte_len, o_orderkey % 4 > 0 AND o_orderkey % 1000 <= 500 AS within_max_bytes FROM orders"""
 
 # ---- predicates and names
 
@@ -141,7 +194,9 @@ def run_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, n = table(spark, sf_dir, "events"), F.col("event_id")
     state = F.element_at(F.array(*map(F.lit, ["open", "claimed", "done", "failed"])), (n % 4 + 1).cast("int"))
     rows = e.select("user_id", T.is_open(state).alias("open"), T.is_partial_failure(n % 3).alias("partial"))
-    return rows.groupBy("user_id").agg(F.count_if("open").alias("open_tasks"), F.count_if("partial").alias("partial_failures"))
+    return rows.groupBy("user_id").agg(
+        F.count_if("open").alias("open_tasks"), F.count_if("partial").alias("partial_failures")
+    )
 
 
 RUN_STATES_SQL = "SELECT user_id, count(*) FILTER (event_id % 4 < 2) AS open_tasks, count(*) FILTER (event_id % 3 > 0) AS partial_failures FROM events GROUP BY user_id"
@@ -150,38 +205,54 @@ RUN_STATES_SQL = "SELECT user_id, count(*) FILTER (event_id % 4 < 2) AS open_tas
 def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neutral names of imaging outputs, and stems with other separators, suffixes, kept characters and no default."""
     k = F.col("p_partkey")
-    name = F.concat(F.lit("/in/"), F.col("p_name"), F.element_at(F.array(*map(F.lit, [".dcm", ".DCM", ".dcm.txt", "-portable.json"])), (k % 4 + 1).cast("int")))
+    name = F.concat(
+        F.lit("/in/"),
+        F.col("p_name"),
+        F.element_at(F.array(*map(F.lit, [".dcm", ".DCM", ".dcm.txt", "-portable.json"])), (k % 4 + 1).cast("int")),
+    )
     source = F.when(k % 9 == 0, "/in/?.csv").otherwise(name)
     stem = safe_stem(source, lower=False, sep="_", keep="-", suffixes=["-portable.json"], default=None, max_chars=20)
-    return table(spark, sf_dir, "part").select("p_partkey", dicom_output_name(source).alias("output"), stem.alias("stem"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", dicom_output_name(source).alias("output"), stem.alias("stem")
+    )
 
 
-OUTPUT_SQL = """SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 'dicom-output' WHEN p_partkey % 4 < 2 THEN 'dicom-output.dcm' ELSE 'dicom-output' END AS output,
- CASE WHEN p_partkey % 9 > 0 THEN rtrim(substr(regexp_replace(p_name || CASE WHEN p_partkey % 4 = 2 THEN '.dcm' ELSE '' END, '[^A-Za-z0-9-]+', '_', 'g'), 1, 20), '_') END AS stem FROM part"""
+OUTPUT_SQL = """SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 'dicom-output' WHEN p_partkey % 4 < 2 THEN
+ 'dicom-output.dcm' ELSE 'dicom-output' END AS output,
+ CASE WHEN p_partkey % 9 > 0 THEN rtrim(substr(regexp_replace(p_name || CASE WHEN p_partkey % 4 = 2 THEN '.dcm' ELSE
+ '' END, '[^A-Za-z0-9-]+', '_', 'g'), 1, 20), '_') END AS stem FROM part"""
 
 
 def burned_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.burned_in(_elements(spark, sf_dir))
 
 
-BURNED_SQL = """SELECT l_orderkey AS artifact_id, bool_or((l_partkey + l_linenumber) % 8 = 6 AND l_partkey % 2 = 0) AS burned_in_suspected FROM lineitem GROUP BY l_orderkey"""
+BURNED_SQL = """SELECT l_orderkey AS artifact_id, bool_or((l_partkey + l_linenumber) % 8 = 6 AND l_partkey % 2 = 0) AS
+ burned_in_suspected FROM lineitem GROUP BY l_orderkey"""
 
 
 def batch_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.batch_totals(redaction_batch(spark, sf_dir))
 
 
-BATCH_TOTALS_SQL = f"""SELECT count(*) AS total_item_count, count(*) FILTER (status = 'redacted') AS succeeded_item_count, count(*) FILTER (status = 'failed') AS failed_item_count FROM ({BATCH_SQL})"""
+BATCH_TOTALS_SQL = f"""SELECT count(*) AS total_item_count, count(*) FILTER (status = 'redacted') AS
+ succeeded_item_count, count(*) FILTER (status = 'failed') AS failed_item_count FROM ({BATCH_SQL})"""
 
 
 def import_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A snapshot with conflicts of its own: every third row repeats the id of the row before it, and every third one its record."""
+    """A snapshot with conflicts of its own: every third row repeats the id of the row before it, and every third one
+    its record.
+    """
     k = F.col("c_custkey")
     g, place = F.floor(k / 3), k % 3
     ids = F.concat(F.lit("new-"), F.when(place == 1, k - 1).otherwise(k))
     value = F.concat(F.lit("v"), F.when(place == 2, k - 1).otherwise(k))
     snapshot = table(spark, sf_dir, "customer").select(
-        k.alias("ord"), ids.alias("id"), F.lit("job-0").alias("job_id"), F.lit("a").alias("artifact_id"), F.concat(F.lit("rows/"), g).alias("field_path"),
+        k.alias("ord"),
+        ids.alias("id"),
+        F.lit("job-0").alias("job_id"),
+        F.lit("a").alias("artifact_id"),
+        F.concat(F.lit("rows/"), g).alias("field_path"),
         F.lit("CUSTOMER").alias("phi_type"), value.alias("original_value"), F.concat(F.lit("tok-"), k).alias("token"),
     )
     vault = snapshot.limit(0).withColumn("seq", F.lit(0).cast("long"))
@@ -189,8 +260,11 @@ def import_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # A row at place 1 has the id of place 0 and is dropped; one at place 2 has the record of the dropped row, so it stays.
-CONFLICTS_SQL = """WITH s AS (SELECT c_custkey AS ord, c_custkey % 3 AS place, EXISTS (SELECT 1 FROM customer p WHERE p.c_custkey = c.c_custkey - 1) AS has_before FROM customer c)
-SELECT ord, 'new-' || CASE WHEN place = 1 THEN ord - 1 ELSE ord END AS id, CASE WHEN place = 1 AND has_before THEN 'duplicate' ELSE 'imported' END AS outcome, 'tok-' || CASE WHEN place = 1 AND has_before AND EXISTS (SELECT 1 FROM customer x WHERE x.c_custkey = ord + 1) THEN ord + 1 ELSE ord END AS token FROM s"""
+CONFLICTS_SQL = """WITH s AS (SELECT c_custkey AS ord, c_custkey % 3 AS place, EXISTS (SELECT 1 FROM customer p WHERE
+ p.c_custkey = c.c_custkey - 1) AS has_before FROM customer c)
+SELECT ord, 'new-' || CASE WHEN place = 1 THEN ord - 1 ELSE ord END AS id, CASE WHEN place = 1 AND has_before THEN
+ 'duplicate' ELSE 'imported' END AS outcome, 'tok-' || CASE WHEN place = 1 AND has_before AND EXISTS (SELECT 1 FROM
+ customer x WHERE x.c_custkey = ord + 1) THEN ord + 1 ELSE ord END AS token FROM s"""
 
 # ---- detectors
 
@@ -199,12 +273,16 @@ def phone_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phone numbers with extensions, short and overlong, and plain, in texts made from each document."""
     found = P.with_spans(_phones(spark, sf_dir), "text", P.Registry().only("FAX", "PHONE"))
     value = F.col("text").substr(F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
-    rows = found.select("doc_id", "text", F.explode("spans").alias("s")).select("doc_id", F.col("s.label").alias("label"), value.alias("value"))
+    rows = found.select("doc_id", "text", F.explode("spans").alias("s")).select(
+        "doc_id", F.col("s.label").alias("label"), value.alias("value")
+    )
     return rows.groupBy("doc_id", "label", "value").agg(F.count("*").alias("n"))
 
 
-_PHONE_TEXT = """concat('Call 555-123-', lpad(cast(doc_id % 10000 as string), 4, '0'), ' x', doc_id % 900 + 10, '; or (555) 222-', lpad(cast(doc_id % 7000 as string), 4, '0'), ' ext. ', doc_id % 90 + 1,
- '; or 555-444-1111 x 12345', doc_id % 10, CASE WHEN doc_id % 2 = 0 THEN '; or 555-777-8888' ELSE '' END, CASE WHEN doc_id % 5 = 0 THEN '; fax 555-999-0000 x12' ELSE '' END, '; end')"""
+_PHONE_TEXT = """concat('Call 555-123-', lpad(cast(doc_id % 10000 as string), 4, '0'), ' x', doc_id % 900 + 10,
+ '; or (555) 222-', lpad(cast(doc_id % 7000 as string), 4, '0'), ' ext. ', doc_id % 90 + 1,
+ '; or 555-444-1111 x 12345', doc_id % 10, CASE WHEN doc_id % 2 = 0 THEN '; or 555-777-8888' ELSE '' END, CASE WHEN
+ doc_id % 5 = 0 THEN '; fax 555-999-0000 x12' ELSE '' END, '; end')"""
 
 
 def _phones(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,50 +290,75 @@ def _phones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PHONES_SQL = rf"""WITH t AS (SELECT doc_id, {_PHONE_TEXT.replace("as string", "as varchar")} AS text FROM documents)
-SELECT doc_id, CASE WHEN starts_with(v, 'fax ') THEN 'FAX' ELSE 'PHONE' END AS label, regexp_replace(v, '^fax ', '') AS value, count(*) AS n
-FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?:fax )?(?:[0-9]{{3}}-[0-9]{{3}}-[0-9]{{4}}|\([0-9]{{3}}\) [0-9]{{3}}-[0-9]{{4}})(?: (?:x|ext\.) ?[0-9]+)?')) AS v FROM t) GROUP BY ALL"""
+SELECT doc_id, CASE WHEN starts_with(v, 'fax ') THEN 'FAX' ELSE 'PHONE' END AS label, regexp_replace(v, '^fax ', '')
+ AS value, count(*) AS n
+FROM (SELECT doc_id, unnest(regexp_extract_all(text,
+ '(?:fax )?(?:[0-9]{{3}}-[0-9]{{3}}-[0-9]{{4}}|\([0-9]{{3}}\) [0-9]{{3}}-[0-9]{{4}})(?: (?:x|ext\.) ?[0-9]+)?')) AS v
+ FROM t) GROUP BY ALL"""
 
 
 def passports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Letters with eight digits, but not those that a record number or an id is made of."""
     found = P.with_spans(_passport_texts(spark, sf_dir), "text", P.Registry().only("PASSPORT"))
     value = F.col("text").substr(F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
-    return found.select("doc_id", "text", F.explode("spans").alias("s")).select("doc_id", F.col("s.start").cast("long").alias("at"), value.alias("value"))
+    return found.select("doc_id", "text", F.explode("spans").alias("s")).select(
+        "doc_id", F.col("s.start").cast("long").alias("at"), value.alias("value")
+    )
 
 
-_PASSPORT_TEXT = """concat('seen X', 10000000 + doc_id, ' MRN-Y', 20000000 + doc_id, ' ID Z', 30000000 + doc_id, CASE WHEN doc_id % 3 = 0 THEN concat(', A', 40000000 + doc_id) ELSE '' END, ' AB12345678 C123456789')"""
+_PASSPORT_TEXT = """concat('seen X', 10000000 + doc_id, ' MRN-Y', 20000000 + doc_id, ' ID Z', 30000000 + doc_id, CASE
+ WHEN doc_id % 3 = 0 THEN concat(', A', 40000000 + doc_id) ELSE '' END, ' AB12345678 C123456789')"""
 
 
 def _passport_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.expr(_PASSPORT_TEXT).alias("text"))
 
 
-PASSPORTS_SQL = rf"""WITH t AS (SELECT doc_id, {_PASSPORT_TEXT} AS text FROM documents), w AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS value FROM t)
-SELECT doc_id, (instr(text, value) - 1)::BIGINT AS "at", value FROM w WHERE regexp_full_match(value, '[A-Z][0-9]{{8}}') AND NOT contains(text, 'MRN-' || value) AND NOT contains(text, 'ID ' || value)"""
+PASSPORTS_SQL = rf"""WITH t AS (SELECT doc_id, {_PASSPORT_TEXT} AS text FROM documents), w AS (SELECT doc_id, text,
+ unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS value FROM t)
+SELECT doc_id, (instr(text, value) - 1)::BIGINT AS "at", value FROM w WHERE regexp_full_match(value,
+ '[A-Z][0-9]{{8}}') AND NOT contains(text, 'MRN-' || value) AND NOT contains(text, 'ID ' || value)"""
 
 
 def text_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole reports of texts with none to several e-mail addresses and social security numbers."""
     report = P.text_report(_mailed(spark, sf_dir), "text", ["doc_id"], P.Registry().only("EMAIL", "SSN"))
-    ends = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["label"], s["start"], s["end"], s["preview"])), ",")
+    ends = F.array_join(
+        F.transform("spans", lambda s: F.concat_ws(":", s["label"], s["start"], s["end"], s["preview"])), ","
+    )
     return report.select(
-        "doc_id", "summary.input_char_count", "summary.detected_span_count", F.to_json("summary.category_counts").alias("category_counts"),
-        F.sha2("masked_text", 256).alias("masked_sha256"), F.regexp_count(ends, F.lit("<redacted>")).cast("long").alias("previews"),
+        "doc_id",
+        "summary.input_char_count",
+        "summary.detected_span_count",
+        F.to_json("summary.category_counts").alias("category_counts"),
+        F.sha2("masked_text", 256).alias("masked_sha256"),
+        F.regexp_count(ends, F.lit("<redacted>")).cast("long").alias("previews"),
         "metadata.engine", "metadata.network_api_called",
     )
 
 
-_MAIL_TEXT = """concat(CASE WHEN doc_id % 3 > 0 THEN concat('to a', doc_id, '@example.com ') ELSE '' END, CASE WHEN doc_id % 4 = 1 THEN 'SSN 123-45-6789, 987-65-4321 ' ELSE '' END, lang)"""
+_MAIL_TEXT = """concat(CASE WHEN doc_id % 3 > 0 THEN concat('to a', doc_id, '@example.com ') ELSE '' END, CASE WHEN
+ doc_id % 4 = 1 THEN 'SSN 123-45-6789, 987-65-4321 ' ELSE '' END, lang)"""
 
 
 def _mailed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.expr(f"concat({_MAIL_TEXT}, ' ', coalesce(text, ''))").alias("text"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.expr(f"concat({_MAIL_TEXT}, ' ', coalesce(text, ''))").alias("text")
+    )
 
 
-REPORT_ROWS_SQL = rf"""WITH t AS (SELECT doc_id, concat({_MAIL_TEXT}, ' ', coalesce(text, '')) AS text FROM documents),
-n AS (SELECT *, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}')) AS e, len(regexp_extract_all(regexp_replace(' ' || text || ' ', '([^A-Za-z0-9-])', '\1\1', 'g'), '[^A-Za-z0-9-][0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}[^A-Za-z0-9-]')) AS s FROM t)
-SELECT doc_id, length(text) AS input_char_count, e + s AS detected_span_count, '{{' || concat_ws(',', CASE WHEN e > 0 THEN '"EMAIL":' || e END, CASE WHEN s > 0 THEN '"SSN":' || s END) || '}}' AS category_counts,
- sha256(substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}', '[EMAIL]', 'g'), '(^|[^A-Za-z0-9-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}([^A-Za-z0-9-]|$)', '\1[SSN]\2', 'g'), '(^|[^A-Za-z0-9-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}([^A-Za-z0-9-]|$)', '\1[SSN]\2', 'g'), '^', ''), 1)) AS masked_sha256,
+REPORT_ROWS_SQL = rf"""WITH t AS (SELECT doc_id, concat({_MAIL_TEXT}, ' ', coalesce(text, '')) AS text FROM
+ documents),
+n AS (SELECT *, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}')) AS e,
+ len(regexp_extract_all(regexp_replace(' ' || text || ' ', '([^A-Za-z0-9-])', '\1\1', 'g'),
+ '[^A-Za-z0-9-][0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}[^A-Za-z0-9-]')) AS s FROM t)
+SELECT doc_id, length(text) AS input_char_count, e + s AS detected_span_count, '{{' || concat_ws(',', CASE WHEN e > 0
+ THEN '"EMAIL":' || e END, CASE WHEN s > 0 THEN '"SSN":' || s END) || '}}' AS category_counts,
+ sha256(substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+ '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}', '[EMAIL]', 'g'),
+ '(^|[^A-Za-z0-9-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}([^A-Za-z0-9-]|$)', '\1[SSN]\2', 'g'),
+ '(^|[^A-Za-z0-9-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}([^A-Za-z0-9-]|$)', '\1[SSN]\2', 'g'), '^', ''), 1)) AS
+ masked_sha256,
  e + s AS previews, 'fallback_synthetic_patterns' AS engine, false AS network_api_called FROM n"""
 
 # ---- reports in JSON, made from events
@@ -271,108 +374,200 @@ def corpus_report_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixture = '{"fixture":"fixture_001","detected_span_count":4,"category_counts":{"NAME":2}}'
     rows = _events_json(
         spark, sf_dir,
-        '{"engine":"', F.when(n % 7 == 0, "other").otherwise("fallback_synthetic_patterns"), '","scope":"text_only_synthetic_corpus","fixture_count":',
-        F.when(n % 5 == 0, "3").when(n % 5 == 1, '"2"').when(n % 5 == 2, "2").otherwise("1"), ',"total_detected_span_count":7,"fixtures":[', fixture, F.when(n % 5 == 2, f",{fixture}").otherwise(F.lit("")),
-        '],"category_counts":{"NAME":2,"MRN":2,"EMAIL":', F.when(n % 3 == 0, "2").otherwise("1"), ',"PHONE":2}', F.when(n % 11 > 0, ',"non_goals":["ocr","visual_redaction"]').otherwise(',"non_goals":["ocr","x"]'),
-        F.when(n % 6 == 0, ',"raw":1').otherwise(F.lit("")), F.when(n % 13 == 0, ',"network_api_called":true').otherwise(F.lit("")), "}",
+        '{"engine":"',
+        F.when(n % 7 == 0, "other").otherwise("fallback_synthetic_patterns"),
+        '","scope":"text_only_synthetic_corpus","fixture_count":',
+        F.when(n % 5 == 0, "3").when(n % 5 == 1, '"2"').when(n % 5 == 2, "2").otherwise("1"),
+        ',"total_detected_span_count":7,"fixtures":[',
+        fixture,
+        F.when(n % 5 == 2, f",{fixture}").otherwise(F.lit("")),
+        '],"category_counts":{"NAME":2,"MRN":2,"EMAIL":',
+        F.when(n % 3 == 0, "2").otherwise("1"),
+        ',"PHONE":2}',
+        F.when(n % 11 > 0, ',"non_goals":["ocr","visual_redaction"]').otherwise(',"non_goals":["ocr","x"]'),
+        F.when(n % 6 == 0, ',"raw":1').otherwise(F.lit("")),
+        F.when(n % 13 == 0, ',"network_api_called":true').otherwise(F.lit("")),
+        "}",
     )
     return R.check_corpus_report(rows, "j", ["event_id"]).withColumn("violations", F.array_join("violations", ","))
 
 
-CORPUS_CHECK_SQL = """SELECT event_id, concat_ws(',', CASE WHEN n % 6 = 0 THEN 'unexpected_key' END, CASE WHEN n % 13 = 0 THEN 'network' END, CASE WHEN n % 7 = 0 THEN 'engine' END, CASE WHEN n % 5 < 2 THEN 'fixture_count' END,
- CASE WHEN n % 3 = 0 THEN 'counts' END, CASE WHEN n % 5 IN (1, 2) AND n % 3 = 0 THEN 'golden' END, CASE WHEN n % 11 = 0 THEN 'non_goals' END, CASE WHEN n % 11 = 0 THEN 'required_non_goal' END) AS violations FROM (SELECT event_id, event_id AS n FROM events)"""
+CORPUS_CHECK_SQL = """SELECT event_id, concat_ws(',', CASE WHEN n % 6 = 0 THEN 'unexpected_key' END, CASE WHEN n % 13
+ = 0 THEN 'network' END, CASE WHEN n % 7 = 0 THEN 'engine' END, CASE WHEN n % 5 < 2 THEN 'fixture_count' END,
+ CASE WHEN n % 3 = 0 THEN 'counts' END, CASE WHEN n % 5 IN (1, 2) AND n % 3 = 0 THEN 'golden' END, CASE WHEN n % 11 =
+ 0 THEN 'non_goals' END, CASE WHEN n % 11 = 0 THEN 'required_non_goal' END) AS violations FROM (SELECT event_id,
+ event_id AS n FROM events)"""
 
 
 def handoff_json_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hand-overs of conversation turns in JSON, some without a key, some with a wrong type, some that don't agree with themselves."""
+    """Hand-overs of conversation turns in JSON, some without a key, some with a wrong type, some that don't agree with
+    themselves.
+    """
     n = F.col("conv_id") + F.col("turn")
     turns = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
     good = R.handoff(turns, "text", ["conv_id", "turn"])[0]
     whole = good.select("conv_id", "turn", F.to_json(F.struct(*R.HANDOFF_KEYS)).alias("j"))
-    j = F.when(n % 5 == 0, F.replace("j", F.lit('"scope":"printed_text_line_extraction_only",'), F.lit(""))).otherwise(F.col("j"))
-    j = F.when(n % 7 == 0, F.replace(j, F.lit('"ready_for_text_pii_eval":true'), F.lit('"ready_for_text_pii_eval":"true"'))).otherwise(j)
+    j = F.when(
+        n % 5 == 0, F.replace("j", F.lit('"scope":"printed_text_line_extraction_only",'), F.lit(""))
+    ).otherwise(F.col("j"))
+    j = F.when(
+        n % 7 == 0, F.replace(j, F.lit('"ready_for_text_pii_eval":true'), F.lit('"ready_for_text_pii_eval":"true"'))
+    ).otherwise(j)
     bent = whole.select("conv_id", "turn", F.when(n % 11 == 0, "[]").otherwise(j).alias("j"))
-    return R.check_handoff_json(bent, "j", ["conv_id", "turn"]).select("conv_id", "turn", F.array_join(F.slice("violations", 1, 2), ",").alias("violations"))
+    return R.check_handoff_json(bent, "j", ["conv_id", "turn"]).select(
+        "conv_id", "turn", F.array_join(F.slice("violations", 1, 2), ",").alias("violations")
+    )
 
 
-HANDOFF_JSON_SQL = r"""SELECT conv_id, turn, CASE WHEN n % 11 = 0 THEN 'not_an_object,missing_key' WHEN n % 5 = 0 THEN 'missing_key,type' WHEN n % 7 = 0 THEN 'type' ELSE '' END AS violations
-FROM (SELECT conv_id, turn, conv_id + turn AS n, min(text) AS text FROM conversations GROUP BY ALL) WHERE regexp_matches(text, '\S')"""
+HANDOFF_JSON_SQL = r"""SELECT conv_id, turn, CASE WHEN n % 11 = 0 THEN 'not_an_object,missing_key' WHEN n % 5 = 0 THEN
+ 'missing_key,type' WHEN n % 7 = 0 THEN 'type' ELSE '' END AS violations
+FROM (SELECT conv_id, turn, conv_id + turn AS n, min(text) AS text FROM conversations GROUP BY ALL) WHERE
+ regexp_matches(text, '\S')"""
 
 
 def handoff_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("event_id")
     rows = _events_json(
-        spark, sf_dir, '{"candidate":"PP-OCRv5_mobile_rec","engine":"', F.when(n % 2 == 0, R.ENGINE).otherwise("secret engine"), '","scope":"printed_text_line_extraction_only","ready_for_text_pii_eval":true,"line_count":', n % 9,
-        ',"char_count":', F.when(n % 3 == 0, '"many"').otherwise("12"), ',"non_goals":["visual_redaction","made up"]', F.when(n % 5 == 0, ',"raw_text":"x"').otherwise(F.lit("")), "}",
+        spark,
+        sf_dir,
+        '{"candidate":"PP-OCRv5_mobile_rec","engine":"',
+        F.when(n % 2 == 0, R.ENGINE).otherwise("secret engine"),
+        '","scope":"printed_text_line_extraction_only","ready_for_text_pii_eval":true,"line_count":',
+        n % 9,
+        ',"char_count":',
+        F.when(n % 3 == 0, '"many"').otherwise("12"),
+        ',"non_goals":["visual_redaction","made up"]',
+        F.when(n % 5 == 0, ',"raw_text":"x"').otherwise(F.lit("")),
+        "}",
     )
     return R.safe_handoff_summary(rows, "j", ["event_id"]).withColumn("non_goals", F.array_join("non_goals", ","))
 
 
-HANDOFF_SUMMARY_SQL = """SELECT event_id, CASE WHEN ok THEN 'PP-OCRv5_mobile_rec' END AS candidate, CASE WHEN ok AND event_id % 2 = 0 THEN 'PP-OCRv5-mobile-bounded-spike' END AS engine, NULL AS engine_status,
- CASE WHEN ok THEN 'printed_text_line_extraction_only' END AS scope, NULL AS privacy_filter_contract, CASE WHEN ok THEN true END AS ready, CASE WHEN ok THEN event_id % 9 END AS line_count, CASE WHEN ok AND event_id % 3 > 0 THEN 12 END AS char_count,
+HANDOFF_SUMMARY_SQL = """SELECT event_id, CASE WHEN ok THEN 'PP-OCRv5_mobile_rec' END AS candidate, CASE WHEN ok AND
+ event_id % 2 = 0 THEN 'PP-OCRv5-mobile-bounded-spike' END AS engine, NULL AS engine_status,
+ CASE WHEN ok THEN 'printed_text_line_extraction_only' END AS scope, NULL AS privacy_filter_contract, CASE WHEN ok
+ THEN true END AS ready, CASE WHEN ok THEN event_id % 9 END AS line_count, CASE WHEN ok AND event_id % 3 > 0 THEN 12
+ END AS char_count,
  CASE WHEN ok THEN 'visual_redaction' END AS non_goals FROM (SELECT event_id, event_id % 5 > 0 AS ok FROM events)"""
 
 
 def bridge_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("event_id")
     rows = _events_json(
-        spark, sf_dir, '{"ocr_candidate":"PP-OCRv5_mobile_rec","ocr_engine":"', F.when(n % 3 == 0, "x").otherwise(R.ENGINE), '","privacy_scope":"text_only_pii_detection","network_api_called":', F.when(n % 7 == 0, "true").otherwise("false"),
-        ',"ready_for_text_pii_eval":true,"privacy_filter_detected_span_count":', F.when(n % 5 == 0, "-1").otherwise(n.cast("string")), ',"privacy_filter_category_counts":{"NAME":', n % 4, ',"SSN":2,"MRN":"3"},"note":"Jane"}',
+        spark,
+        sf_dir,
+        '{"ocr_candidate":"PP-OCRv5_mobile_rec","ocr_engine":"',
+        F.when(n % 3 == 0, "x").otherwise(R.ENGINE),
+        '","privacy_scope":"text_only_pii_detection","network_api_called":',
+        F.when(n % 7 == 0, "true").otherwise("false"),
+        ',"ready_for_text_pii_eval":true,"privacy_filter_detected_span_count":',
+        F.when(n % 5 == 0, "-1").otherwise(n.cast("string")),
+        ',"privacy_filter_category_counts":{"NAME":',
+        n % 4,
+        ',"SSN":2,"MRN":"3"},"note":"Jane"}',
     )
     return R.safe_bridge_summary(rows, "j", ["event_id"])
 
 
-BRIDGE_SQL = """SELECT event_id, 'PP-OCRv5_mobile_rec' AS ocr_candidate, CASE WHEN event_id % 3 > 0 THEN 'PP-OCRv5-mobile-bounded-spike' END AS ocr_engine, NULL AS ocr_scope, 'text_only_pii_detection' AS privacy_scope, NULL AS privacy_filter_engine, NULL AS privacy_filter_contract,
- true AS ready_for_text_pii_eval, CASE WHEN event_id % 7 > 0 THEN false END AS network_api_called, CASE WHEN event_id % 5 > 0 THEN event_id END AS detected_span_count, '{"NAME":' || event_id % 4 || '}' AS category_counts FROM events"""
+BRIDGE_SQL = """SELECT event_id, 'PP-OCRv5_mobile_rec' AS ocr_candidate, CASE WHEN event_id % 3 > 0 THEN
+ 'PP-OCRv5-mobile-bounded-spike' END AS ocr_engine, NULL AS ocr_scope, 'text_only_pii_detection' AS privacy_scope,
+ NULL AS privacy_filter_engine, NULL AS privacy_filter_contract,
+ true AS ready_for_text_pii_eval, CASE WHEN event_id % 7 > 0 THEN false END AS network_api_called, CASE WHEN event_id
+ % 5 > 0 THEN event_id END AS detected_span_count, '{"NAME":' || event_id % 4 || '}' AS category_counts FROM events"""
 
 
 def safe_review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("event_id")
     rows = _events_json(
-        spark, sf_dir, '{"review_queue":[{"page":', F.when(n % 3 == 0, '"1"').otherwise((n % 40).cast("string")), ',"confidence":0.5,"status":"', F.when(n % 2 == 0, "ok").otherwise("my note"), '","kind":"metadata","field":"Jane","reason":"Jane said",',
-        '"field_ref":{"artifact_label":"a","metadata_key":"b"}},7,{"format":"audio","phi_type":"Name","action":"', F.when(n % 5 == 0, "drop").otherwise("redact"), '","requires_review":true,"field_ref":{"artifact_label":"a"}}]}',
+        spark,
+        sf_dir,
+        '{"review_queue":[{"page":',
+        F.when(n % 3 == 0, '"1"').otherwise((n % 40).cast("string")),
+        ',"confidence":0.5,"status":"',
+        F.when(n % 2 == 0, "ok").otherwise("my note"),
+        '","kind":"metadata","field":"Jane","reason":"Jane said",',
+        '"field_ref":{"artifact_label":"a","metadata_key":"b"}},7,{"format":"audio","phi_type":"Name","action":"',
+        F.when(n % 5 == 0, "drop").otherwise("redact"),
+        '","requires_review":true,"field_ref":{"artifact_label":"a"}}]}',
     )
     return R.safe_review_queue(rows, "j", ["event_id"])
 
 
-QUEUE_SQL = """SELECT event_id, 0 AS nth, CASE WHEN event_id % 3 > 0 THEN event_id % 40 END AS page, 0.5::DOUBLE AS confidence, NULL::BOOLEAN AS requires_review, CASE WHEN event_id % 2 = 0 THEN 'ok' END AS status, 'metadata' AS kind, NULL AS format, NULL AS phi_type, NULL AS action,
- 'redacted-field' AS field, 'redacted-artifact/redacted-field' AS field_ref, 'redacted-review-note' AS reason, NULL AS message FROM events
+QUEUE_SQL = """SELECT event_id, 0 AS nth, CASE WHEN event_id % 3 > 0 THEN event_id % 40 END AS page, 0.5::DOUBLE AS
+ confidence, NULL::BOOLEAN AS requires_review, CASE WHEN event_id % 2 = 0 THEN 'ok' END AS status, 'metadata' AS kind,
+ NULL AS format, NULL AS phi_type, NULL AS action,
+ 'redacted-field' AS field, 'redacted-artifact/redacted-field' AS field_ref, 'redacted-review-note' AS reason, NULL AS
+ message FROM events
 UNION ALL SELECT event_id, 1, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM events
-UNION ALL SELECT event_id, 2, NULL, NULL, true, NULL, NULL, 'audio', 'Name', CASE WHEN event_id % 5 > 0 THEN 'redact' END, NULL, NULL, NULL, NULL FROM events"""
+UNION ALL SELECT event_id, 2, NULL, NULL, true, NULL, NULL, 'audio', 'Name', CASE WHEN event_id % 5 > 0 THEN 'redact'
+ END, NULL, NULL, NULL, NULL FROM events"""
 
 
 def safe_review_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("event_id")
-    rows = _events_json(spark, sf_dir, '{"summary":', F.when(n % 4 == 0, '"Jane"').otherwise(F.concat(F.lit('{"pages":'), n, F.lit(',"name":1,"review_required":true,"page_count":"9","row_count":null}'))), "}")
+    rows = _events_json(
+        spark,
+        sf_dir,
+        '{"summary":',
+        F.when(n % 4 == 0, '"Jane"').otherwise(
+            F.concat(
+                F.lit('{"pages":'), n, F.lit(',"name":1,"review_required":true,"page_count":"9","row_count":null}')
+            )
+        ),
+        "}",
+    )
     return R.safe_review_summary(rows, "j", ["event_id"])
 
 
-REVIEW_SUMMARY_SQL = """SELECT event_id, CASE WHEN event_id % 4 > 0 THEN '{"pages":' || event_id || ',"row_count":null,"review_required":true}' END AS summary FROM events"""
+REVIEW_SUMMARY_SQL = """SELECT event_id, CASE WHEN event_id % 4 > 0 THEN '{"pages":' || event_id ||
+ ',"row_count":null,"review_required":true}' END AS summary FROM events"""
 
 
 def safe_pdf_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("event_id")
     rows = _events_json(
-        spark, sf_dir, '{"summary":{"total_pages":', n % 9, ',"name":"x","status":"done","requires_ocr":[1]},"review_queue":[{"page":1,"kind":"k","status":"s","text":"raw"},"Jane"],"rewrite_available":true,"page_statuses":[{"page":1,"status":"',
-        F.when(n % 3 == 0, "Handwriting_Review_Required").otherwise("ok"), '","text":"raw"},{"page":2,"requires_ocr":', F.when(n % 2 == 0, "true").otherwise("false"), '},{"requires_visual_review":', F.when(n % 5 == 0, "true").otherwise("false"), "}]}",
+        spark,
+        sf_dir,
+        '{"summary":{"total_pages":',
+        n % 9,
+        ',"name":"x","status":"done","requires_ocr":[1]},"review_queue":[{"page":1,"kind":"k","status":"s","text":"raw"},"Jane"],"rewrite_available":true,"page_statuses":[{"page":1,"status":"',
+        F.when(n % 3 == 0, "Handwriting_Review_Required").otherwise("ok"),
+        '","text":"raw"},{"page":2,"requires_ocr":',
+        F.when(n % 2 == 0, "true").otherwise("false"),
+        '},{"requires_visual_review":',
+        F.when(n % 5 == 0, "true").otherwise("false"),
+        "}]}",
     )
     return R.safe_pdf_report(rows, "j", ["event_id"])
 
 
-PDF_SQL = """SELECT event_id, '{"total_pages":' || n % 9 || ',"status":"done"}' AS summary, '[{"page":1,"kind":"k","status":"s"}]' AS review_queue,
- '[{"page":1,"status":"' || CASE WHEN n % 3 = 0 THEN 'Handwriting_Review_Required' ELSE 'ok' END || '"},{"page":2,"requires_ocr":' || (n % 2 = 0) || '},{}]' AS page_statuses,
- (n % 2 = 0)::BIGINT AS ocr_pages, (n % 5 = 0)::BIGINT AS visual_review_pages, (n % 3 = 0)::BIGINT AS handwriting_pages, (n % 2 = 0)::BIGINT + (n % 5 = 0)::BIGINT + (n % 3 = 0)::BIGINT AS blocked_pages,
+PDF_SQL = """SELECT event_id, '{"total_pages":' || n % 9 || ',"status":"done"}' AS summary,
+ '[{"page":1,"kind":"k","status":"s"}]' AS review_queue,
+ '[{"page":1,"status":"' || CASE WHEN n % 3 = 0 THEN 'Handwriting_Review_Required' ELSE 'ok' END ||
+ '"},{"page":2,"requires_ocr":' || (n % 2 = 0) || '},{}]' AS page_statuses,
+ (n % 2 = 0)::BIGINT AS ocr_pages, (n % 5 = 0)::BIGINT AS visual_review_pages, (n % 3 = 0)::BIGINT AS
+ handwriting_pages, (n % 2 = 0)::BIGINT + (n % 5 = 0)::BIGINT + (n % 3 = 0)::BIGINT AS blocked_pages,
  n % 2 > 0 AND n % 5 > 0 AND n % 3 > 0 AS rewrite_ready FROM (SELECT event_id, event_id AS n FROM events)"""
 
 
 def redacted_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of secret keys at any depth, which nest up to seven levels."""
     deep = '[{"a":["x",{"b":{"c":[[{"v":"SECRET"}]]}}]}]'
-    rows = _events_json(spark, sf_dir, '{"id":', F.col("event_id"), f',"records":{deep},"in":{{"l":[{{"artifact":"s\\"x","k":', F.col("props"), ',"decoded_values":{"y":{"z":{"w":[1]}}}}]}}')
+    rows = _events_json(
+        spark,
+        sf_dir,
+        '{"id":',
+        F.col("event_id"),
+        f',"records":{deep},"in":{{"l":[{{"artifact":"s\\"x","k":',
+        F.col("props"),
+        ',"decoded_values":{"y":{"z":{"w":[1]}}}}]}}',
+    )
     return rows.select("event_id", R.redact_report_keys(F.col("j")).alias("json"))
 
 
-REDACTED_SQL = """SELECT event_id, '{"id":' || event_id || ',"records":"<redacted>","in":{"l":[{"artifact":"<redacted>","k":' || props || ',"decoded_values":"<redacted>"}]}}' AS json FROM events"""
+REDACTED_SQL = """SELECT event_id, '{"id":' || event_id ||
+ ',"records":"<redacted>","in":{"l":[{"artifact":"<redacted>","k":' || props || ',"decoded_values":"<redacted>"}]}}'
+ AS json FROM events"""
 
 QUERIES = {
     "csv_round_trip": csv_round_trip,

@@ -16,7 +16,9 @@ MAX_ARTIFACT_BYTES = 10 << 20
 
 
 def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """A CSV table with a header row, every column text. A row with too many or too few cells fails the read. Without ``columns`` the header is read first."""
+    """A CSV table with a header row, every column text. A row with too many or too few cells fails the read. Without
+    ``columns`` the header is read first.
+    """
     options = {"header": True, "multiLine": True, "inferSchema": False, "escape": '"', "enforceSchema": False}
     if columns is None:
         columns = spark.read.options(**options).csv(path).columns
@@ -26,28 +28,45 @@ def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = N
 
 def write_table(df: DataFrame, path: str, mode: str = "error") -> None:
     """Columns as text under a header, null as empty, lines end in a newline."""
-    df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns]).write.mode(mode).options(header=True, nullValue="", emptyValue="", escape='"', lineSep="\n").csv(path)
+    df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns]).write.mode(mode).options(
+        header=True, nullValue="", emptyValue="", escape='"', lineSep="\n"
+    ).csv(path)
 
 
 def select_sheet(cells: DataFrame) -> DataFrame:
-    """Per artifact the first sheet with a cell that is not blank, else the first sheet, and the number of sheets. ``cells`` has artifact, sheet_index, sheet_name, row, col, value."""
-    sheets = cells.groupBy("artifact", "sheet_index").agg(F.min("sheet_name").alias("sheet_name"), F.bool_or(~is_blank(F.col("value"))).alias("filled"))
+    """Per artifact the first sheet with a cell that is not blank, else the first sheet, and the number of sheets.
+    ``cells`` has artifact, sheet_index, sheet_name, row, col, value.
+    """
+    sheets = cells.groupBy("artifact", "sheet_index").agg(
+        F.min("sheet_name").alias("sheet_name"), F.bool_or(~is_blank(F.col("value"))).alias("filled")
+    )
     best = F.min(F.struct((~F.col("filled")).cast("int").alias("empty"), "sheet_index", "sheet_name")).alias("best")
-    return sheets.groupBy("artifact").agg(best, F.count("*").alias("total_sheets")).select("artifact", "best.sheet_index", "best.sheet_name", "total_sheets")
+    return sheets.groupBy("artifact").agg(best, F.count("*").alias("total_sheets")).select(
+        "artifact", "best.sheet_index", "best.sheet_name", "total_sheets"
+    )
 
 
 def cells_to_rows(cells: DataFrame) -> DataFrame:
-    """(artifact, row_index, row): the chosen sheet's rows below its first one, as maps from the first row's values to cells. A header row is as wide as its table, and a row is one group."""
+    """(artifact, row_index, row): the chosen sheet's rows below its first one, as maps from the first row's values to
+    cells. A header row is as wide as its table, and a row is one group.
+    """
     chosen = cells.join(select_sheet(cells).select("artifact", "sheet_index"), ["artifact", "sheet_index"], "left_semi")
     heads = chosen.where(F.col("row") == 0).select("artifact", "col", F.col("value").alias("header"))
     body = chosen.where(F.col("row") > 0).join(heads, ["artifact", "col"])
-    entries = F.transform(F.array_sort(F.collect_list(F.struct("col", "header", "value"))), lambda e: F.struct(e["header"].alias("key"), e["value"].alias("value")))
-    return body.groupBy("artifact", "row").agg(F.map_from_entries(entries).alias("cells")).select("artifact", (F.col("row") - 1).alias("row_index"), "cells")
+    entries = F.transform(
+        F.array_sort(F.collect_list(F.struct("col", "header", "value"))),
+        lambda e: F.struct(e["header"].alias("key"), e["value"].alias("value")),
+    )
+    return body.groupBy("artifact", "row").agg(F.map_from_entries(entries).alias("cells")).select(
+        "artifact", (F.col("row") - 1).alias("row_index"), "cells"
+    )
 
 
 def file_inventory(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, length) of the files under a folder; contents are not read."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path).select("path", "length")
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).option(
+        "recursiveFileLookup", True
+    ).load(path).select("path", "length")
 
 
 def read_text_corpus(
@@ -55,8 +74,8 @@ def read_text_corpus(
 ) -> tuple[DataFrame, DataFrame]:
     """(texts: path, text; rejected: path, reason) of the ``*.txt`` files under a folder.
 
-    Files over ``max_bytes`` are rejected before they are read. With ``max_files``, files past that many by name are rejected: names are put in sorted ranges, and
-    only the sizes of the ranges are seen together.
+    Files over ``max_bytes`` are rejected before they are read. With ``max_files``, files past that many by name are
+    rejected: names are put in sorted ranges, and only the sizes of the ranges are seen together.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", True)
     listed = files.load(path).select("path", "length")
@@ -66,7 +85,9 @@ def read_text_corpus(
     reason = F.when(F.col("_read").isNull(), "too_large").when(F.col("text").isNull(), "not_utf8")
     rows = rows.withColumn("reason", reason.when(is_blank(F.col("text")), "blank")).drop("_read")
     if max_files is not None:
-        ranged = written(listed.select("path").repartitionByRange("path").withColumn("_part", F.spark_partition_id()), "names")
+        ranged = written(
+            listed.select("path").repartitionByRange("path").withColumn("_part", F.spark_partition_id()), "names"
+        )
         before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
         starts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
         starts = starts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
@@ -74,11 +95,15 @@ def read_text_corpus(
         over = ranged.join(F.broadcast(starts), "_part").withColumn("_nth", nth).where(F.col("_nth") > max_files)
         rows = rows.join(over.select("path", F.lit("too_many_files").alias("_over")), "path", "left")
         rows = rows.withColumn("reason", F.coalesce("_over", "reason")).drop("_over")
-    return rows.where("reason is null").select("path", "text"), rows.where("reason is not null").select("path", "reason")
+    return rows.where("reason is null").select("path", "text"), rows.where("reason is not null").select(
+        "path", "reason"
+    )
 
 
 def verify_artifacts(manifest: DataFrame, inventory: DataFrame, max_bytes: int = MAX_ARTIFACT_BYTES) -> DataFrame:
-    """One row over a manifest (path) and an inventory (path, length): artifact_count, existing, missing, oversized, blank, duplicate_paths. Paths are not shown."""
+    """One row over a manifest (path) and an inventory (path, length): artifact_count, existing, missing, oversized,
+    blank, duplicate_paths. Paths are not shown.
+    """
     sizes = inventory.groupBy("path").agg(F.max("length").alias("length"))
     named = manifest.groupBy("path").agg(F.count("*").alias("n")).join(sizes, "path", "left")
     blank = is_blank(F.col("path"))
@@ -93,26 +118,42 @@ def verify_artifacts(manifest: DataFrame, inventory: DataFrame, max_bytes: int =
 
 
 def artifact_rows(manifest: DataFrame, inventory: DataFrame, max_bytes: int | None = None) -> DataFrame:
-    """(index, exists, byte_len, within_max_bytes) of a manifest (index, path), without the paths. With a limit, a missing file is not within it; without one nothing is said of it."""
+    """(index, exists, byte_len, within_max_bytes) of a manifest (index, path), without the paths. With a limit, a
+    missing file is not within it; without one nothing is said of it.
+    """
     sizes = inventory.groupBy("path").agg(F.max("length").alias("length"))
-    within = F.lit(None).cast("boolean") if max_bytes is None else F.coalesce(F.col("length") <= max_bytes, F.lit(False))
+    within = F.lit(None).cast("boolean") if max_bytes is None else F.coalesce(
+        F.col("length") <= max_bytes, F.lit(False)
+    )
     exists = F.col("length").isNotNull()
-    return manifest.join(sizes, "path", "left").select("index", exists.alias("exists"), F.col("length").alias("byte_len"), within.alias("within_max_bytes"))
+    return manifest.join(sizes, "path", "left").select(
+        "index", exists.alias("exists"), F.col("length").alias("byte_len"), within.alias("within_max_bytes")
+    )
 
 
 def explode_manifest(df: DataFrame, json_col: str, id_cols: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pages, documents, rejected) of manifests in JSON: documents are named ``document-n`` by their place; a manifest with anything amiss is rejected whole."""
+    """(pages, documents, rejected) of manifests in JSON: documents are named ``document-n`` by their place; a manifest
+    with anything amiss is rejected whole.
+    """
     shape = "struct<documents:array<struct<document_id:string,pages:array<struct<page_number:string,image_path:string>>>>>"
     parsed = df.withColumn("m", F.from_json(json_col, shape))
     docs = F.col("m.documents")
-    bad_id = lambda d: F.coalesce(~F.regexp_replace(d["document_id"], r"(?U)^\s+|\s+$", "").rlike(r"^[^\x00-\x1F\x7F]{1,128}$"), F.lit(True))
+    bad_id = lambda d: F.coalesce(
+        ~F.regexp_replace(d["document_id"], r"(?U)^\s+|\s+$", "").rlike(r"^[^\x00-\x1F\x7F]{1,128}$"), F.lit(True)
+    )
     bad_page = lambda p: ~F.coalesce(p["page_number"].rlike("^0*[1-9][0-9]*$") & (p["image_path"] != ""), F.lit(False))
     bad_doc = lambda d: bad_id(d) | d["pages"].isNull() | F.coalesce(F.exists(d["pages"], bad_page), F.lit(False))
     reason = F.when(docs.isNull(), "no_documents").when(F.exists(docs, bad_doc), "bad_document")
     judged = parsed.withColumn("reason", reason)
-    each = judged.where("reason is null").select(*id_cols, F.posexplode("m.documents").alias("nth", "d")).withColumn("document_id", F.concat(F.lit("document-"), (F.col("nth") + 1).cast("string")))
-    pages = each.select(*id_cols, "document_id", F.explode("d.pages").alias("p")).select(*id_cols, "document_id", F.col("p.page_number").cast("int").alias("page_number"), "p.image_path")
-    return pages, each.select(*id_cols, "document_id", F.size("d.pages").alias("page_count")), judged.where("reason is not null").select(*id_cols, "reason")
+    each = judged.where("reason is null").select(*id_cols, F.posexplode("m.documents").alias("nth", "d")).withColumn(
+        "document_id", F.concat(F.lit("document-"), (F.col("nth") + 1).cast("string"))
+    )
+    pages = each.select(*id_cols, "document_id", F.explode("d.pages").alias("p")).select(
+        *id_cols, "document_id", F.col("p.page_number").cast("int").alias("page_number"), "p.image_path"
+    )
+    return pages, each.select(
+        *id_cols, "document_id", F.size("d.pages").alias("page_count")
+    ), judged.where("reason is not null").select(*id_cols, "reason")
 
 
 #: Names and ends of names of portable mappings, which are told apart from other JSON by them.
@@ -122,14 +163,25 @@ PORTABLE_ENDS = (".portable.json", "-portable.json")
 TEXT_KINDS = ("csv", "portable", "media_metadata")
 
 
-def classify_file(path: Column, portable_names: Sequence[str] = PORTABLE_NAMES, portable_ends: Sequence[str] = PORTABLE_ENDS) -> Column:
+def classify_file(
+    path: Column, portable_names: Sequence[str] = PORTABLE_NAMES, portable_ends: Sequence[str] = PORTABLE_ENDS
+) -> Column:
     """The kind of a file by its name, in any case; null for others."""
     low = F.lower(path)
     base = F.regexp_extract(low, r"([^/\\]*)$", 1)
     portable = base.isin(*portable_names)
     for end in portable_ends:
         portable = portable | base.endswith(end)
-    kinds = {"csv": "csv", "xlsx": "xlsx", "pdf": "pdf", "dcm": "dicom", "dicom": "dicom", "ppm": "ppm", "png": "png", "json": "media_metadata"}
+    kinds = {
+        "csv": "csv",
+        "xlsx": "xlsx",
+        "pdf": "pdf",
+        "dcm": "dicom",
+        "dicom": "dicom",
+        "ppm": "ppm",
+        "png": "png",
+        "json": "media_metadata",
+    }
     kind = F.when(portable, "portable")
     for extension, name in kinds.items():
         kind = kind.when(low.endswith(f".{extension}"), name)
@@ -145,7 +197,8 @@ def classify_files(
 ) -> DataFrame:
     """(path, kind, reason) of an inventory (path, length): reason is unsupported, too_large or not_utf8, else null.
 
-    With a column ``content`` files of text kinds have to be UTF-8, and ``checksum`` adds ``sha256``; files over ``max_bytes`` are neither read nor summed.
+    With a column ``content`` files of text kinds have to be UTF-8, and ``checksum`` adds ``sha256``; files over
+    ``max_bytes`` are neither read nor summed.
     """
     kind = classify_file(F.col("path"), portable_names, portable_ends)
     reason = F.when(kind.isNull(), "unsupported").when(F.col("length") > max_bytes, "too_large")
@@ -160,13 +213,17 @@ def classify_files(
 def write_snapshot(records: DataFrame, path: str, key: str | None = None, mode: str = "error") -> None:
     """Mapping records as Parquet, with the value encrypted (AES-GCM) if a key of 16, 24 or 32 bytes is given."""
     if key is not None:
-        records = records.withColumn("original_value", F.base64(F.aes_encrypt(F.col("original_value").cast("binary"), F.lit(key), F.lit("GCM"))))
+        records = records.withColumn(
+            "original_value", F.base64(F.aes_encrypt(F.col("original_value").cast("binary"), F.lit(key), F.lit("GCM")))
+        )
     records.write.mode(mode).parquet(path)
 
 
 def read_snapshot(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
     records = spark.read.parquet(path)
-    return records if key is None else records.withColumn("original_value", F.aes_decrypt(F.unbase64("original_value"), F.lit(key), F.lit("GCM")).cast("string"))
+    return records if key is None else records.withColumn(
+        "original_value", F.aes_decrypt(F.unbase64("original_value"), F.lit(key), F.lit("GCM")).cast("string")
+    )
 
 
 def to_report_json(df: DataFrame, columns: Sequence[str], out: str = "json") -> DataFrame:

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; where that is unset, a local session gets a folder of its own and a cluster is refused."""
+    """A new path in the folder that spark.checkpoint.dir names; where that is unset, a local session gets a folder of
+    its own and a cluster is refused.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):

@@ -20,12 +20,16 @@ VAULT_SCHEMA = (
 
 def read_text_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """(path, text) of the text files that arrive in a folder or the folders in it, each file one row."""
-    options = {"wholetext": True, "pathGlobFilter": "*.txt", "recursiveFileLookup": True, "maxFilesPerTrigger": files_per_batch}
+    options = {
+        "wholetext": True, "pathGlobFilter": "*.txt", "recursiveFileLookup": True, "maxFilesPerTrigger": files_per_batch
+    }
     stream = spark.readStream.format("text").options(**options).load(path)
     return stream.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def deidentify_stream(texts: DataFrame, text_col: str = "text", detectors: Sequence[Detector] | Registry = DEFAULT) -> DataFrame:
+def deidentify_stream(
+    texts: DataFrame, text_col: str = "text", detectors: Sequence[Detector] | Registry = DEFAULT
+) -> DataFrame:
     """Masked text and label counts of each row; stateless, so it works on a stream and on a table alike."""
     others = [c for c in texts.columns if c != text_col]
     found = with_spans(texts, text_col, detectors, "_spans")
@@ -45,10 +49,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def grow_vault(candidates: DataFrame, vault_path: str, checkpoint: str, key: str, parts: int = 64) -> StreamingQuery:
-    """Adds the new mapping records of each micro-batch of candidates to a table partitioned by batch and by a hash of type and value, in ``parts`` parts.
+    """Adds the new mapping records of each micro-batch of candidates to a table partitioned by batch and by a hash of
+    type and value, in ``parts`` parts.
 
-    All records of a value are in one part, so a batch reads only the parts that its own values are in, and only those values of them reach a join. A batch
-    overwrites its own partition and looks only at those before it, so a batch that is run again after a failure changes nothing.
+    All records of a value are in one part, so a batch reads only the parts that its own values are in, and only those
+    values of them reach a join. A batch overwrites its own partition and looks only at those before it, so a batch that
+    is run again after a failure changes nothing.
     """
 
     def part() -> Column:
@@ -64,7 +70,8 @@ def grow_vault(candidates: DataFrame, vault_path: str, checkpoint: str, key: str
             old = old.where((F.col("batch") < number) & F.col("part").isin(hit))
             vault = old.join(values, ["phi_type", "original_value"], "left_semi")
         new = ensure_mappings(batch, vault, key)
-        # Partitions of the batch count up in bit 33, which leaves room for 128 of them and 2 ** 33 rows in each below the batch number.
+        # Partitions of the batch count up in bit 33, which leaves room for 128 of them and 2 ** 33 rows in each below
+        # the batch number.
         seq = F.lit(number).cast("bigint") * (1 << 40) + F.monotonically_increasing_id() % (1 << 40)
         names = ["id", "job_id", "artifact_id", "field_path", "phi_type", "original_value", "token"]
         rows = new.coalesce(128).select(seq.alias("seq"), *names, part().alias("part"))

@@ -8,8 +8,21 @@ from maskwright.operators import reports as R
 
 
 def test_pages(spark):
-    pages = spark.createDataFrame([("a", "x.pdf", 1, "Alice Smith"), ("a", "x.pdf", 2, ""), ("h", "handwritten.pdf", 1, None), ("c", "c.pdf", 1, "ClinicNote")], "artifact string, source_name string, page_number int, text string")
-    assert {(r[0], r[1]): r[2] for r in D.page_status(pages).collect()} == {("a", 1): "text_layer_present", ("a", 2): "ocr_required", ("h", 1): "handwriting_review_required", ("c", 1): "text_layer_present"}
+    pages = spark.createDataFrame(
+        [
+            ("a", "x.pdf", 1, "Alice Smith"),
+            ("a", "x.pdf", 2, ""),
+            ("h", "handwritten.pdf", 1, None),
+            ("c", "c.pdf", 1, "ClinicNote"),
+        ],
+        "artifact string, source_name string, page_number int, text string",
+    )
+    assert {(r[0], r[1]): r[2] for r in D.page_status(pages).collect()} == {
+        ("a", 1): "text_layer_present",
+        ("a", 2): "ocr_required",
+        ("h", 1): "handwriting_review_required",
+        ("c", 1): "text_layer_present",
+    }
     cands = D.page_candidates(pages).collect()
     assert [(c["value"], c["confidence"], c["decision"]) for c in cands] == [("Alice Smith", 1, "needs_review")]
     assert {r[0]: r[1] for r in D.clean_export_gate(pages).collect()} == {"a": False, "h": False, "c": True}
@@ -17,55 +30,109 @@ def test_pages(spark):
 
 def test_headers(spark):
     rows = [("i", "", 0x10, 0x10, "PatientName", "PN", "Ann"), ("i", "", 0x10, 0x20, "PatientID", "LO", "7"), ("i", "0008,1115[0]", 0x20, 0x0E, "SeriesInstanceUID", "UI", "2.25.1"), ("i", "", 0x20, 0x0E, "SeriesInstanceUID", "UI", "2.25.1"),
+            # fmt: skip
+            # fmt: skip
+            # fmt: skip
+            # fmt: skip
+            # fmt: skip
+            # fmt: skip
             ("i", "", 0x11, 0x1010, "Private", "LO", None), ("i", "0011,1010[0]", 0x08, 0x18, "SOPInstanceUID", "UI", "2.25.2"), ("i", "", 0x28, 0x301, "BurnedInAnnotation", "CS", "YES")]
-    e = spark.createDataFrame(rows, "artifact_id string, item_path string, group int, element int, keyword string, vr string, value string")
+    e = spark.createDataFrame(
+        rows, "artifact_id string, item_path string, group int, element int, keyword string, vr string, value string"
+    )
     s = X.dicom_summary(e, "review_required").first()
-    assert (s["encoded_tags"], s["review_required_tags"], s["remapped_uids"], s["burned_in_suspected"], s["total_tags"]) == (2, 1, 3, True, 3)
+    assert (
+        s["encoded_tags"], s["review_required_tags"], s["remapped_uids"], s["burned_in_suspected"], s["total_tags"]
+    ) == (2, 1, 3, True, 3)
     assert X.apply_private_policy(e, "remove").count() == 5 and X.dicom_private(e).first()["value"] == "<non-text>"
     uids = {r["value"] for r in X.remap_uids(e, "k").where("keyword = 'SeriesInstanceUID'").collect()}
     assert len(uids) == 1 and uids.pop().startswith("tok-")
 
 
 def test_media(spark):
-    md = spark.createDataFrame([("m", "fcs", k, "v", False, False) for k in ("$FIL", "$SMNO", "$SRC", "$OP", "$DATE", "CUSTOM_NOTE")] + [("u", "fcs", "$FIL", "v", False, True), (" ", "fcs", "k", "v", False, False)], "artifact_label string, format string, key string, value string, requires_visual_review boolean, unsupported boolean")
+    md = spark.createDataFrame(
+        [("m", "fcs", k, "v", False, False) for k in ("$FIL", "$SMNO", "$SRC", "$OP", "$DATE", "CUSTOM_NOTE")]
+        + [("u", "fcs", "$FIL", "v", False, True), (" ", "fcs", "k", "v", False, False)],
+        "artifact_label string, format string, key string, value string, requires_visual_review boolean, unsupported boolean",
+    )
     good, bad = M.guard_label(md)
     assert bad.count() == 1
-    assert sorted(r["phi_type"] for r in M.media_candidates(good).collect()) == sorted([*M.FCS_TYPES.values(), "metadata_identifier"])
+    assert sorted(r["phi_type"] for r in M.media_candidates(good).collect()) == sorted(
+        [*M.FCS_TYPES.values(), "metadata_identifier"]
+    )
     s = M.media_summary(good).first()
     assert (s["total_items"], s["unsupported_items"], s["review_required_candidates"]) == (2, 1, 6)
-    changed, counts = M.replace_keywords(good, spark.createDataFrame([("m", "$OP", "a/b")], "artifact_label string, key string, value string"))
+    changed, counts = M.replace_keywords(
+        good, spark.createDataFrame([("m", "$OP", "a/b")], "artifact_label string, key string, value string")
+    )
     c = counts.where("artifact_label = 'm'").first()
-    assert c["rewritten_keys"] == 1 and c["bytes_after"] - c["bytes_before"] == 3 and changed.where("value = 'a/b'").count() == 1
+    assert c["rewritten_keys"] == 1 and c["bytes_after"] - c["bytes_before"] == 3 and changed.where(
+        "value = 'a/b'"
+    ).count() == 1
 
 
 def test_regions(spark):
     images = spark.createDataFrame([(1, 3, 2), (2, 3, 2), (3, 3, 2)], "image_id long, width long, height long")
-    regions = spark.createDataFrame([(1, 0, 0, 2, 1), (1, 1, 0, 2, 1), (2, 1, 0, 1, 2), (3, 2, 0, 2, 1)], "image_id long, x long, y long, w long, h long")
-    got = {r["image_id"]: (r["redacted_regions"], r["redacted_pixels"], r["unchanged_pixels"]) for r in I.redaction_summary(images, regions).collect()}
+    regions = spark.createDataFrame(
+        [(1, 0, 0, 2, 1), (1, 1, 0, 2, 1), (2, 1, 0, 1, 2), (3, 2, 0, 2, 1)],
+        "image_id long, x long, y long, w long, h long",
+    )
+    got = {
+        r["image_id"]: (r["redacted_regions"], r["redacted_pixels"], r["unchanged_pixels"])
+        for r in I.redaction_summary(images, regions).collect()
+    }
     assert got[1] == (2, 3, 3) and got[2] == (1, 2, 4)
     assert {r[0]: r[1] for r in I.validate_regions(images, regions).collect()} == {1: None, 2: None, 3: "out_of_bounds"}
-    good, bad = I.parse_regions(spark.createDataFrame([(1, '[{"x":0,"y":0,"width":2,"height":1},{"x":-1,"y":0,"width":1,"height":1}]'), (2, "nope")], "image_id int, j string"), "j")
+    good, bad = I.parse_regions(
+        spark.createDataFrame(
+            [(1, '[{"x":0,"y":0,"width":2,"height":1},{"x":-1,"y":0,"width":1,"height":1}]'), (2, "nope")],
+            "image_id int, j string",
+        ),
+        "j",
+    )
     assert good.count() == 1 and {(r[0], r[1]) for r in bad.collect()} == {(1, 1), (2, None)}
 
 
 def test_verification(spark):
     before = spark.createDataFrame([(1, 0, 0, 3, 5)], "image_id long, y long, x0 long, x1 long, colour long")
     region = spark.createDataFrame([(1, 1, 0, 1, 1)], "image_id long, x long, y long, w long, h long")
-    for runs, want in (([(1, 0, 0, 1, 5), (1, 0, 1, 2, 0), (1, 0, 2, 3, 5)], True), ([(1, 0, 0, 1, 5), (1, 0, 1, 3, 0)], False), ([(1, 0, 0, 3, 5)], False), ([(1, 0, 0, 1, 5), (1, 0, 1, 2, 0)], False)):
+    for runs, want in (
+        ([(1, 0, 0, 1, 5), (1, 0, 1, 2, 0), (1, 0, 2, 3, 5)], True),
+        ([(1, 0, 0, 1, 5), (1, 0, 1, 3, 0)], False),
+        ([(1, 0, 0, 3, 5)], False),
+        ([(1, 0, 0, 1, 5), (1, 0, 1, 2, 0)], False),
+    ):
         after = spark.createDataFrame(runs, before.schema)
         assert I.verify_redaction(before, after, region, 0).first()["verified"] is want
 
 
 def test_reports(spark):
-    j = spark.createDataFrame([(1, '{"a":{"b":[{"claim":1}]}}'), (2, '{"t":"\\"claim\\":"}'), (3, '{"x":{"network_api_called": true}}'), (4, "no")], "id int, j string")
+    j = spark.createDataFrame(
+        [
+            (1, '{"a":{"b":[{"claim":1}]}}'),
+            (2, '{"t":"\\"claim\\":"}'),
+            (3, '{"x":{"network_api_called": true}}'),
+            (4, "no"),
+        ],
+        "id int, j string",
+    )
     got = {r["id"]: r["violations"] for r in R.check_markers(j, "j", ["id"]).collect()}
     assert got[1] == ["marker"] and got[2] == [] and got[3] == ["network"] and "not_an_object" in got[4]
     texts = spark.createDataFrame([(1, " a \n b "), (2, "  ")], "id int, text string")
     good, bad = R.handoff(texts, "text", ["id"])
     assert R.check_handoff(good, ["id"]).first()["violations"] == [] and bad.first()["id"] == 2
-    ext = spark.createDataFrame([(1, '{"spans":[{"label":"MRN","start":3,"end":"5"},{"category":"NAME","begin":1,"finish":2}]}'), (2, '{"spans":[{"label":"DOG"}]}'), (3, "{}")], "id int, j string")
+    ext = spark.createDataFrame(
+        [
+            (1, '{"spans":[{"label":"MRN","start":3,"end":"5"},{"category":"NAME","begin":1,"finish":2}]}'),
+            (2, '{"spans":[{"label":"DOG"}]}'),
+            (3, "{}"),
+        ],
+        "id int, j string",
+    )
     reports, rejected = R.normalize_external_spans(ext, "j", R.F.lit(10), ["id"])
-    assert {r["id"]: r["masked_text"] for r in reports.collect()} == {1: "[NAME] [MRN]", 3: "[NO_PII_DETECTED]"} and rejected.first()["id"] == 2
+    assert {r["id"]: r["masked_text"] for r in reports.collect()} == {
+        1: "[NAME] [MRN]", 3: "[NO_PII_DETECTED]"
+    } and rejected.first()["id"] == 2
 
 
 def test_redaction_at_any_depth(spark):
@@ -74,7 +141,9 @@ def test_redaction_at_any_depth(spark):
         '{"decoded_values":{"a":{"b":{"c":{"name":"Jane"}}}},"k":1}': '{"decoded_values":"<redacted>","k":1}',
         '{"artifact":{"context":"ward","records":[{"scope":{"job_id":"j"}}]}}': '{"artifact":"<redacted>"}',
         f'{{"x":[{{"records": [{deep},[[[[[1]]]]]] , "y":"artifact"}}],"vault_passphrase" : "p\\"q","artifact":12.5}}': '{"x":[{"records":"<redacted>" , "y":"artifact"}],"vault_passphrase":"<redacted>","artifact":"<redacted>"}',
-        '{"artifact":{"a":[1,"Jane': '{"artifact":"<redacted>"', '{"artifact":"Jane': '{"artifact":"<redacted>"', '{"t":"say \\"artifact\\": x"}': '{"t":"say \\"artifact\\": x"}',
+        '{"artifact":{"a":[1,"Jane': '{"artifact":"<redacted>"',
+        '{"artifact":"Jane': '{"artifact":"<redacted>"',
+        '{"t":"say \\"artifact\\": x"}': '{"t":"say \\"artifact\\": x"}',
     }
     rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "j string")
     got = {r["j"]: r["r"] for r in rows.select("j", R.redact_report_keys(R.F.col("j")).alias("r")).collect()}

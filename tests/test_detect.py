@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 from maskwright.functions import patterns as P
 from maskwright.functions import spans as S
 
-# Texts and the label counts that they must give; labels that are not named are not checked, unless the last item says that they must be absent.
+# Texts and the label counts that they must give; labels that are not named are not checked, unless the last item says
+# that they must be absent.
+# Example texts and the spans that they have to give.
 CASES = [
     ("Patient Jane Example has MRN-12345. Follow-up call can use 555-111-2222.", {"NAME": 1, "MRN": 1, "PHONE": 1}),
-    ("Patient John Sample contact card: john.sample@example.test and 555-333-4444. MRN 67890.", {"NAME": 1, "EMAIL": 1, "PHONE": 1, "MRN": 1}),
+    (
+        "Patient John Sample contact card: john.sample@example.test and 555-333-4444. MRN 67890.",
+        {"NAME": 1, "EMAIL": 1, "PHONE": 1, "MRN": 1},
+    ),
     ("Patient Jane Example fax 555-222-3333 and fax: (555) 444-5555.", {"FAX": 2, "PHONE": 0}),
     ("Phone 555-222-3333. fax 555-222-333333. ID555-222-3333", {"FAX": 0}),
     ("Please fax 555-123-4567 x890 today.", {"FAX": 1, "PHONE": 0}),
@@ -24,10 +29,19 @@ CASES = [
     ("Patient Jane Example insurance ID ABC1234567 and member number MBR-7654321.", {"INSURANCE_ID": 2}),
     ("Patient Jane Example DEA AB1234563 for MRN-12345.", {"DEA_NUMBER": 1}),
     ("Patient Jane Example DEA AB1234564 for MRN-12345.", {"DEA_NUMBER": 0}),
-    ("Patient Jane Example age 87 at facility North Valley Hospital, NPI 1234567893, license plate ABC-1234.", {"AGE": 1, "FACILITY": 1, "NPI": 1, "LICENSE_PLATE": 1}),
-    ("Age 130 is out of scope; North Valley Hospital lacks facility context; NPI 1234567890 fails checksum; ABC-1234 lacks plate context.", {"AGE": 0, "FACILITY": 0, "NPI": 0, "LICENSE_PLATE": 0}),
+    (
+        "Patient Jane Example age 87 at facility North Valley Hospital, NPI 1234567893, license plate ABC-1234.",
+        {"AGE": 1, "FACILITY": 1, "NPI": 1, "LICENSE_PLATE": 1},
+    ),
+    (
+        "Age 130 is out of scope; North Valley Hospital lacks facility context; NPI 1234567890 fails checksum; ABC-1234 lacks plate context.",
+        {"AGE": 0, "FACILITY": 0, "NPI": 0, "LICENSE_PLATE": 0},
+    ),
     ("Patient Jane Example passport X12345678 reference AX12345678 and X123456789", {"PASSPORT": 1}),
-    ("Patient Jane Example MRN X12345678 and ID X12345678; passport X12345678; X12345678", {"MRN": 1, "ID": 1, "PASSPORT": 2}),
+    (
+        "Patient Jane Example MRN X12345678 and ID X12345678; passport X12345678; X12345678",
+        {"MRN": 1, "ID": 1, "PASSPORT": 2},
+    ),
     ("Patient Jane Example lives at 123456789 Main Street", {"PASSPORT": 0}),
     ("", {}),
     (None, {}),
@@ -37,7 +51,9 @@ CASES = [
 @pytest.fixture(scope="module")
 def found(spark):
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(CASES)], "id int, text string")
-    rows = S.with_spans(df, "text").withColumn("masked", S.mask(F.col("text"), F.col("spans"))).withColumn("counts", S.category_counts(F.col("spans")))
+    rows = S.with_spans(df, "text").withColumn("masked", S.mask(F.col("text"), F.col("spans"))).withColumn(
+        "counts", S.category_counts(F.col("spans"))
+    )
     return {r["id"]: r for r in rows.collect()}
 
 
@@ -50,7 +66,9 @@ def test_cases(found):
 
 def test_extension_spans(found):
     text = CASES[5][0]
-    assert [text[s["start"] : s["end"]] for s in found[5]["spans"] if s["label"] == "PHONE"] == ["555-123-4567 x890", "(555) 222-3333 ext. 44"]
+    assert [text[s["start"] : s["end"]] for s in found[5]["spans"] if s["label"] == "PHONE"] == [
+        "555-123-4567 x890", "(555) 222-3333 ext. 44"
+    ]
 
 
 def _python_spans(text: str, pattern: str, group: int) -> list[tuple[int, int]]:
@@ -61,14 +79,18 @@ def _python_spans(text: str, pattern: str, group: int) -> list[tuple[int, int]]:
 def test_spans_equal_python(spark):
     """Offsets of every pattern without a look-behind on a group agree with a Python loop on mixed texts."""
     rng = random.Random(5)
-    words = " ".join(t for t, _ in CASES if t).split() + ["ünïcode", "𝒳", "\n", "12345", "A12345678", "555-123-4567", "a@b.co"]
+    words = " ".join(t for t, _ in CASES if t).split() + [
+        "ünïcode", "𝒳", "\n", "12345", "A12345678", "555-123-4567", "a@b.co"
+    ]
     texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 40))) for _ in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     plain = [d for d in S.DEFAULT if d.label not in ("PASSPORT", "ZIP")]
     cols = [S.spans(F.col("text"), d.pattern, d.group, d.needs).alias(f"d{i}") for i, d in enumerate(plain)]
     for row in df.select("id", *cols).collect():
         for i, d in enumerate(plain):
-            assert [(s["start"], s["end"]) for s in row[f"d{i}"]] == _python_spans(texts[row["id"]], d.pattern, d.group), (d.label, texts[row["id"]])
+            assert [(s["start"], s["end"]) for s in row[f"d{i}"]] == _python_spans(
+                texts[row["id"]], d.pattern, d.group
+            ), (d.label, texts[row["id"]])
 
 
 def test_mask_is_greedy_and_ordered(found):

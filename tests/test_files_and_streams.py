@@ -15,18 +15,24 @@ def test_csv(spark, tmp_path):
     df = S.read_table(spark, str(path))
     assert df.columns == ["id", "name"] and [tuple(r) for r in df.collect()] == [("1", "a\nb"), ("2", None)]
     S.write_table(df, str(tmp_path / "out"))
-    assert [tuple(r) for r in S.read_table(spark, str(tmp_path / "out")).orderBy("id").collect()] == [("1", "a\nb"), ("2", None)]
+    assert [
+        tuple(r) for r in S.read_table(spark, str(tmp_path / "out")).orderBy("id").collect()
+    ] == [("1", "a\nb"), ("2", None)]
     path.write_text("id,name\n1,a,b\n", encoding="utf-8")
     with pytest.raises(Exception):  # noqa: B017
         S.read_table(spark, str(path)).collect()
 
 
 def test_text_corpus(spark, tmp_path):
-    for name, content in {"a.txt": b"one", "b.txt": b"\xff\xfe", "c.txt": b"  ", "d.txt": b"x" * 50, "e.md": b"no"}.items():
+    for name, content in {
+        "a.txt": b"one", "b.txt": b"\xff\xfe", "c.txt": b"  ", "d.txt": b"x" * 50, "e.md": b"no"
+    }.items():
         (tmp_path / name).write_bytes(content)
     good, bad = S.read_text_corpus(spark, str(tmp_path), max_bytes=20)
     assert [r["text"] for r in good.collect()] == ["one"]
-    assert {r["path"][-5:]: r["reason"] for r in bad.collect()} == {"b.txt": "not_utf8", "c.txt": "blank", "d.txt": "too_large"}
+    assert {r["path"][-5:]: r["reason"] for r in bad.collect()} == {
+        "b.txt": "not_utf8", "c.txt": "blank", "d.txt": "too_large"
+    }
 
 
 def test_snapshot(spark, tmp_path):
@@ -37,20 +43,34 @@ def test_snapshot(spark, tmp_path):
 
 
 def test_sheets_and_names(spark):
-    cells = spark.createDataFrame([("a", 0, "S0", 0, 0, " "), ("a", 1, "S1", 0, 0, "h"), ("a", 1, "S1", 1, 0, "v"), ("b", 0, "S0", 0, 0, None)], "artifact string, sheet_index int, sheet_name string, row int, col int, value string")
+    cells = spark.createDataFrame(
+        [("a", 0, "S0", 0, 0, " "), ("a", 1, "S1", 0, 0, "h"), ("a", 1, "S1", 1, 0, "v"), ("b", 0, "S0", 0, 0, None)],
+        "artifact string, sheet_index int, sheet_name string, row int, col int, value string",
+    )
     assert {r["artifact"]: r["sheet_index"] for r in S.select_sheet(cells).collect()} == {"a": 1, "b": 0}
     assert [r["cells"] for r in S.cells_to_rows(cells).collect()] == [{"h": "v"}]
     names = spark.createDataFrame([(0,), (25,), (26,), (701,), (702,)], "i int").select(excel_column_name(F.col("i")))
     assert [r[0] for r in names.collect()] == ["A", "Z", "AA", "ZZ", "AAA"]
-    stems = spark.createDataFrame([("/x/Ann's Report.v2.PDF",), ("...",), ("a" * 80 + ".csv",)], "p string").select(safe_stem(F.col("p")))
+    stems = spark.createDataFrame(
+        [("/x/Ann's Report.v2.PDF",), ("...",), ("a" * 80 + ".csv",)], "p string"
+    ).select(safe_stem(F.col("p")))
     assert [r[0] for r in stems.collect()] == ["ann-s-report-v2", "output", "a" * 64]
 
 
 def test_chain(spark):
     rows = [("s", i, f"id{i}", "encode", "cli", "d", "t") for i in range(5)]
-    kept = chain(spark.createDataFrame(rows, "stream string, seq long, id string, kind string, actor string, detail string, recorded_at string"))
+    kept = chain(
+        spark.createDataFrame(
+            rows, "stream string, seq long, id string, kind string, actor string, detail string, recorded_at string"
+        )
+    )
     assert verify_chain(kept).isEmpty()
-    assert [r["seq"] for r in verify_chain(kept.withColumn("detail", F.when(F.col("seq") == 2, "x").otherwise(F.col("detail")))).orderBy("seq").collect()] == [2, 3]
+    assert [
+        r["seq"]
+        for r in verify_chain(
+            kept.withColumn("detail", F.when(F.col("seq") == 2, "x").otherwise(F.col("detail")))
+        ).orderBy("seq").collect()
+    ] == [2, 3]
     assert [r["seq"] for r in verify_chain(kept.where("seq <> 3")).collect()] == [4]
 
 
@@ -58,17 +78,28 @@ def test_streams(spark, tmp_path):
     source, out = tmp_path / "in", tmp_path / "out"
     source.mkdir()
     (source / "a.txt").write_text("Patient Jane Example mail a@b.co")
-    run = lambda: D.write_masked(D.deidentify_stream(D.read_text_stream(spark, str(source))), str(out), str(tmp_path / "ck")).awaitTermination()
+    run = lambda: D.write_masked(
+        D.deidentify_stream(D.read_text_stream(spark, str(source))), str(out), str(tmp_path / "ck")
+    ).awaitTermination()
     run()
     (source / "b.txt").write_text("MRN-1")
     run()
-    assert sorted(r["masked_text"] for r in spark.read.json(str(out)).collect()) == ["Patient [NAME] mail [EMAIL]", "[MRN]"]
+    assert sorted(r["masked_text"] for r in spark.read.json(str(out)).collect()) == [
+        "Patient [NAME] mail [EMAIL]", "[MRN]"
+    ]
     table = tmp_path / "cands"
-    cands = spark.createDataFrame([("j", "a", f"p{i}", "T", f"v{i % 2}") for i in range(4)], "job_id string, artifact_id string, field_path string, phi_type string, original_value string")
+    cands = spark.createDataFrame(
+        [("j", "a", f"p{i}", "T", f"v{i % 2}") for i in range(4)],
+        "job_id string, artifact_id string, field_path string, phi_type string, original_value string",
+    )
     cands.coalesce(1).write.parquet(str(table))
-    grow = lambda: D.grow_vault(spark.readStream.schema(cands.schema).parquet(str(table)), str(tmp_path / "vault"), str(tmp_path / "ck2"), "k").awaitTermination()
+    grow = lambda: D.grow_vault(
+        spark.readStream.schema(cands.schema).parquet(str(table)), str(tmp_path / "vault"), str(tmp_path / "ck2"), "k"
+    ).awaitTermination()
     grow()
     cands.withColumn("artifact_id", F.lit("b")).coalesce(1).write.mode("append").parquet(str(table))
     grow()
     vault = spark.read.parquet(str(tmp_path / "vault"))
-    assert vault.count() == 8 and vault.select("token").distinct().count() == 2 and vault.select("seq").distinct().count() == 8
+    assert vault.count() == 8 and vault.select("token").distinct().count() == 2 and vault.select(
+        "seq"
+    ).distinct().count() == 8

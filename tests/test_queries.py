@@ -24,7 +24,9 @@ def duck():
 
 
 def _plain(rows):
-    cell = lambda v: v if v is None or isinstance(v, (str, bool)) else [cell(x) for x in v] if isinstance(v, (list, tuple)) else float(f"{float(v):.10g}")
+    cell = lambda v: v if v is None or isinstance(v, (str, bool)) else [cell(x) for x in v] if isinstance(
+        v, (list, tuple)
+    ) else float(f"{float(v):.10g}")
     return sorted(repr([cell(v) for v in r]) for r in rows)
 
 
@@ -35,7 +37,9 @@ def test_query(spark, duck, name):
     want = duck.sql(registry.ORACLES[name])
     assert sorted(want.columns) == columns
     quoted = ", ".join(f'"{c}"' for c in columns)
-    assert _plain(df.select(*columns).collect()) == _plain(duck.sql(f"SELECT {quoted} FROM ({registry.ORACLES[name]})").fetchall())
+    assert _plain(df.select(*columns).collect()) == _plain(
+        duck.sql(f"SELECT {quoted} FROM ({registry.ORACLES[name]})").fetchall()
+    )
 
 
 def test_text_reports(spark):

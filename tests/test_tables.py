@@ -12,28 +12,44 @@ VAULT = "seq long, id string, job_id string, artifact_id string, field_path stri
 
 
 def _policies(spark, *rows):
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "policy_ord int, header string, phi_type string, action string")
+    return spark.createDataFrame(
+        [(i, *r) for i, r in enumerate(rows)], "policy_ord int, header string, phi_type string, action string"
+    )
 
 
 def test_equal_rows_share_a_token(spark):
-    df = spark.createDataFrame([(0, "MRN-001", "Alice Smith"), (1, "MRN-001", "Alice Smith")], "row_index long, patient_id string, patient_name string")
+    df = spark.createDataFrame(
+        [(0, "MRN-001", "Alice Smith"), (1, "MRN-001", "Alice Smith")],
+        "row_index long, patient_id string, patient_name string",
+    )
     policies = _policies(spark, ("patient_id", "MRN", "encode"), ("patient_name", "NAME", "review"))
     cands = T.apply_policies(T.to_cells(df), policies)
     s = T.batch_summary(df, cands, 2).first()
     assert (s["total_rows"], s["encoded_cells"], s["review_required_cells"], s["failed_rows"]) == (2, 2, 2, 0)
     rows = T.encode_table(df, policies, KEY).orderBy("row_index").collect()
     assert rows[0]["patient_id"] == rows[1]["patient_id"] != "MRN-001" and rows[0]["patient_name"] == "Alice Smith"
-    scoped = cands.where("decision = 'approved'").select(F.lit("j").alias("job_id"), F.lit("a").alias("artifact_id"), "field_path", "phi_type", F.col("value").alias("original_value"))
+    scoped = cands.where("decision = 'approved'").select(
+        F.lit("j").alias("job_id"),
+        F.lit("a").alias("artifact_id"),
+        "field_path",
+        "phi_type",
+        F.col("value").alias("original_value"),
+    )
     new = V.ensure_mappings(scoped, spark.createDataFrame([], VAULT), KEY)
     assert new.count() == 2 and new.select("token").distinct().count() == 1 and V.audit_encode(new, "cli").count() == 2
 
 
 def test_kinds_blank_cells_and_failures(spark):
-    df = spark.createDataFrame([(0, "   ", "\t  ", "kept", "42")], "row_index long, a string, b string, c string, age string")
+    df = spark.createDataFrame(
+        [(0, "   ", "\t  ", "kept", "42")], "row_index long, a string, b string, c string, age string"
+    )
     assert [(r["header"], r["column_index"]) for r in T.to_cells(df).collect()] == [("c", 2), ("age", 3)]
     kinds = {r["name"]: r["inferred_kind"] for r in T.infer_kinds(df).collect()}
     assert kinds == {"row_index": "integer", "a": "string", "b": "string", "c": "string", "age": "integer"}
-    cands = spark.createDataFrame([(0, 9, "approved"), (0, 1, "approved"), (1, 0, "approved"), (7, 9, "approved")], "row_index long, column_index int, decision string")
+    cands = spark.createDataFrame(
+        [(0, 9, "approved"), (0, 1, "approved"), (1, 0, "approved"), (7, 9, "approved")],
+        "row_index long, column_index int, decision string",
+    )
     assert [r[0] for r in T.failed_rows(cands, 2, 3).collect()] == [0]
     s = T.batch_summary(spark.range(2), cands, 3).first()
     assert (s["encoded_cells"], s["failed_rows"]) == (1, 1)
@@ -47,23 +63,35 @@ def test_row_index_follows_the_scan(spark, tmp_path):
 
 def test_encoding_twice_adds_nothing(spark):
     rows = [("j", "a", f"rows/{i}", "T", f"v{i % 7}") for i in range(50)]
-    cands = spark.createDataFrame(rows + rows[:5], "job_id string, artifact_id string, field_path string, phi_type string, original_value string")
-    vault = spark.createDataFrame([(1, "x", "j", "a", "rows/3", "T", "tok-old", "v3"), (2, "y", "j", "b", "rows/9", "T", "tok-newer", "v3")], VAULT)
+    cands = spark.createDataFrame(
+        rows + rows[:5], "job_id string, artifact_id string, field_path string, phi_type string, original_value string"
+    )
+    vault = spark.createDataFrame(
+        [(1, "x", "j", "a", "rows/3", "T", "tok-old", "v3"), (2, "y", "j", "b", "rows/9", "T", "tok-newer", "v3")],
+        VAULT,
+    )
     new = V.ensure_mappings(cands, vault, KEY)
     assert new.count() == 49
     assert {r["token"] for r in new.where("original_value = 'v3'").collect()} == {"tok-old"}
     grown = vault.unionByName(new.withColumn("seq", F.monotonically_increasing_id() + 10).select(*vault.columns))
     assert V.ensure_mappings(cands, grown, KEY).isEmpty()
-    values, failed = V.decode(grown, grown.select(F.lit(1).alias("request_id"), F.col("seq").alias("ordinal"), F.col("id").alias("record_id")))
+    values, failed = V.decode(
+        grown, grown.select(F.lit(1).alias("request_id"), F.col("seq").alias("ordinal"), F.col("id").alias("record_id"))
+    )
     known = grown.select(F.col("id").alias("record_id"), F.col("original_value").alias("stored"))
-    assert failed.isEmpty() and values.count() == 51 and values.join(known, "record_id").where("original_value <> stored").isEmpty()
+    assert failed.isEmpty() and values.count() == 51 and values.join(known, "record_id").where(
+        "original_value <> stored"
+    ).isEmpty()
 
 
 def test_import_equals_a_sequential_loop(spark):
     rng = random.Random(3)
     for _ in range(3):
         vault = [(i, f"id{rng.randrange(6)}-{i}", "j", "a", f"p{i}", "T", f"tv{i}", f"v{i % 3}") for i in range(4)]
-        snap = [(i, f"id{rng.randrange(8)}", "j", "a", f"p{rng.randrange(10)}", "T", f"v{rng.randrange(5)}", f"ts{i}") for i in range(25)]
+        snap = [
+            (i, f"id{rng.randrange(8)}", "j", "a", f"p{rng.randrange(10)}", "T", f"v{rng.randrange(5)}", f"ts{i}")
+            for i in range(25)
+        ]
         ids, records, tokens, want = {r[1] for r in vault}, {(r[2:6], r[7]) for r in vault}, {}, {}
         for r in vault:
             tokens.setdefault((r[5], r[7]), r[6])
@@ -75,8 +103,16 @@ def test_import_equals_a_sequential_loop(spark):
                 records.add((r[2:6], r[6]))
                 tokens.setdefault((r[5], r[6]), r[7])
                 want[r[0]] = ("imported", tokens[(r[5], r[6])])
-        got = V.import_snapshot(spark.createDataFrame(vault, VAULT), spark.createDataFrame(snap, "ord long, id string, job_id string, artifact_id string, field_path string, phi_type string, original_value string, token string")).collect()
-        assert {r["ord"]: r["outcome"] if r["outcome"] == "duplicate" else (r["outcome"], r["token"]) for r in got} == want
+        got = V.import_snapshot(
+            spark.createDataFrame(vault, VAULT),
+            spark.createDataFrame(
+                snap,
+                "ord long, id string, job_id string, artifact_id string, field_path string, phi_type string, original_value string, token string",
+            ),
+        ).collect()
+        assert {
+            r["ord"]: r["outcome"] if r["outcome"] == "duplicate" else (r["outcome"], r["token"]) for r in got
+        } == want
 
 
 def test_audit_pages(spark):
@@ -88,7 +124,16 @@ def test_audit_pages(spark):
 
 
 def test_policies_in_json(spark):
-    df = spark.createDataFrame([(1, '[{"header":"a","phi_type":"T","action":"encode"},{"header":"b","phi_type":"T","action":"burn"},7]'), (2, "x"), (3, None)], "id int, j string")
+    df = spark.createDataFrame(
+        [
+            (1, '[{"header":"a","phi_type":"T","action":"encode"},{"header":"b","phi_type":"T","action":"burn"},7]'),
+            (2, "x"),
+            (3, None),
+        ],
+        "id int, j string",
+    )
     good, bad = T.validate_policies(df, "j", ["id"])
     assert [(r["header"], r["policy_ord"]) for r in good.collect()] == [("a", 0)]
-    assert {(r["id"], r["index"], r["reason"]) for r in bad.collect()} == {(1, 1, "bad_action"), (1, 2, "not_an_object"), (2, None, "not_an_array"), (3, None, "not_an_array")}
+    assert {(r["id"], r["index"], r["reason"]) for r in bad.collect()} == {
+        (1, 1, "bad_action"), (1, 2, "not_an_object"), (2, None, "not_an_array"), (3, None, "not_an_array")
+    }
