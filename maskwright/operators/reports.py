@@ -341,18 +341,25 @@ def check_markers(
 ) -> DataFrame:
     """Violations of JSON with a marker key at any depth, a key of ``top_only`` below the top, or a network call
     anywhere.
+
+    Keys are compared as they read, however they are escaped.
     """
-    keys, top = json_keys(F.col(json_col)), F.json_object_keys(json_col)
-    times = lambda arr, k: F.size(F.filter(arr, lambda x: x == k))
+    # Written anew, without escapes that need not be there; JSON that names a key twice stays as it is.
+    plain = F.coalesce(F.to_json(F.try_parse_json(F.col(json_col))), F.col(json_col))
+    rows = df.select(*id_cols, plain.alias("_plain"))
+    keys, top = json_keys(F.col("_plain")), F.json_object_keys("_plain")
+
+    def times(keys: Column, key: Column) -> Column:
+        return F.size(F.filter(keys, lambda x: x == key))
+
+    listed = F.array(*map(F.lit, top_only)) if top_only else F.array().cast("array<string>")
     bad = _violations(
         not_an_object=top.isNull(),
-        marker=F.arrays_overlap(keys, F.array(*[F.lit(m) for m in markers])),
-        below_top=F.exists(
-            F.array(*[F.lit(k) for k in top_only]), lambda k: times(keys, k) > times(top, k)
-        ) if top_only else F.lit(False),
-        network=F.col(json_col).rlike(r'"network_api_called"\s*:\s*true'),
+        marker=F.arrays_overlap(keys, F.array(*map(F.lit, markers))),
+        below_top=F.exists(listed, lambda k: times(keys, k) > times(top, k)),
+        network=F.col("_plain").rlike(r'"network_api_called"\s*:\s*true'),
     )
-    return df.select(*id_cols, bad.alias("violations"))
+    return rows.select(*id_cols, bad.alias("violations"))
 
 
 def reject_byte_payload(df: DataFrame, json_col: str) -> tuple[DataFrame, DataFrame]:

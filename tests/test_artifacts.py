@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import json
+
 from maskwright.operators import dicom as X
 from maskwright.operators import media as M
 from maskwright.operators import pages as D
@@ -30,6 +32,12 @@ def test_pages(spark):
 
 def test_headers(spark):
     rows = [("i", "", 0x10, 0x10, "PatientName", "PN", "Ann"), ("i", "", 0x10, 0x20, "PatientID", "LO", "7"), ("i", "0008,1115[0]", 0x20, 0x0E, "SeriesInstanceUID", "UI", "2.25.1"), ("i", "", 0x20, 0x0E, "SeriesInstanceUID", "UI", "2.25.1"),
+            # fmt: skip
+            # fmt: skip
+            # fmt: skip
+            # fmt: skip
+            # fmt: skip
+            # fmt: skip
             # fmt: skip
             # fmt: skip
             # fmt: skip
@@ -148,3 +156,74 @@ def test_redaction_at_any_depth(spark):
     rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "j string")
     got = {r["j"]: r["r"] for r in rows.select("j", R.redact_report_keys(R.F.col("j")).alias("r")).collect()}
     assert got == {**texts, None: None}
+
+
+def test_markers_with_escapes(spark):
+    j = spark.createDataFrame(
+        [(1, '{"a":{"cl\\u0061im":1}}'), (2, '{"source":1,"b":{"s\\u006furce":2}}'), (3, '{"a":1}')], "id int, j string"
+    )
+    got = {r["id"]: r["violations"] for r in R.check_markers(j, "j", ["id"], top_only=["source"]).collect()}
+    assert got == {1: ["marker"], 2: ["below_top"], 3: []}
+
+
+def test_corpus_report_of_the_sample_notes(spark):
+    """The report of the two sample notes passes; each thing amiss has its name."""
+    good = {
+        "engine": "fallback_synthetic_patterns",
+        "scope": "text_only_synthetic_corpus",
+        "fixture_count": 2,
+        "total_detected_span_count": 7,
+        "fixtures": [
+            {
+                "fixture": "fixture_001",
+                "detected_span_count": 4,
+                "category_counts": {"NAME": 1, "MRN": 1, "EMAIL": 1, "PHONE": 1},
+            },
+            {"fixture": "fixture_002", "detected_span_count": 3, "category_counts": {"NAME": 1, "MRN": 1, "PHONE": 1}},
+        ],
+        "category_counts": {"NAME": 2, "MRN": 2, "EMAIL": 1, "PHONE": 2},
+        "non_goals": ["visual_redaction"],
+        "network_api_called": False,
+    }
+    cases = {
+        "": good,
+        "missing_key": {k: v for k, v in good.items() if k != "scope"},
+        "unexpected_key": {**good, "raw": 1},
+        "network": {**good, "network_api_called": "no"},
+        "engine": {**good, "engine": 5},
+        "fixture_count": {**good, "fixture_count": 3},
+        "category_counts": {**good, "category_counts": {**good["category_counts"], "DOG": 0}},
+        "non_goals": {**good, "non_goals": ["visual_redaction", "tea"]},
+        "required_non_goal": {**good, "non_goals": ["ocr"]},
+        "fixtures": {**good, "fixtures": [good["fixtures"][0], {**good["fixtures"][1], "detected_span_count": -1}]},
+        "raw_value": {**good, "fixtures": [good["fixtures"][0], {**good["fixtures"][1], "fixture": "Jane Example"}]},
+    }
+    rows = spark.createDataFrame(
+        [(k, json.dumps(v)) for k, v in cases.items()] + [("not_an_object", "[1]")], "id string, j string"
+    )
+    got = {r["id"]: r["violations"] for r in R.check_corpus_report(rows, "j", ["id"]).collect()}
+    assert got.pop("") == [] and "not_an_object" in got.pop("not_an_object")
+    assert all(name in found for name, found in got.items())
+
+
+def test_handoff_json(spark):
+    """Each key that is missing, and each of a wrong type."""
+    texts = spark.createDataFrame([(1, " a  b ")], "id int, text string")
+    row = R.handoff(texts, "text", ["id"])[0].first().asDict()
+    good = {k: row[k] for k in R.HANDOFF_KEYS}
+    cases = [
+        good,
+        *[{k: v for k, v in good.items() if k != key} for key in good],
+        *[{**good, key: 7} for key in good],
+        {**good, "non_goals": [*good["non_goals"], 1]},
+    ]
+    rows = spark.createDataFrame([(i, json.dumps(c)) for i, c in enumerate(cases)], "id int, j string")
+    got = [r["violations"] for r in R.check_handoff_json(rows, "j", ["id"]).orderBy("id").collect()]
+    assert got[0] == [] and all(v[0] == "missing_key" for v in got[1:11]) and all(v[0] == "type" for v in got[11:])
+
+
+def test_pdf_report_and_queue(spark):
+    rows = spark.createDataFrame([(1, '{"review_queue":[]}'), (2, "nope"), (3, None)], "id int, j string")
+    got = {r["id"]: r for r in R.safe_pdf_report(rows, "j", ["id"]).collect()}
+    assert all(r["page_statuses"] == "[]" and r["summary"] == "{}" and not r["rewrite_ready"] for r in got.values())
+    assert R.safe_review_queue(rows, "j", ["id"]).isEmpty()

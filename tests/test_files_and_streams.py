@@ -35,6 +35,14 @@ def test_text_corpus(spark, tmp_path):
     }
 
 
+def test_text_corpus_cap(spark, tmp_path):
+    for name in "edcba":
+        (tmp_path / f"{name}.txt").write_text(name)
+    good, bad = S.read_text_corpus(spark, str(tmp_path), max_files=2)
+    assert sorted(r["text"] for r in good.collect()) == ["a", "b"]
+    assert {r["reason"] for r in bad.collect()} == {"too_many_files"} and bad.count() == 3
+
+
 def test_snapshot(spark, tmp_path):
     df = spark.createDataFrame([("i", "secret")], "id string, original_value string")
     S.write_snapshot(df, str(tmp_path / "s"), key="0123456789abcdef")
@@ -49,8 +57,10 @@ def test_sheets_and_names(spark):
     )
     assert {r["artifact"]: r["sheet_index"] for r in S.select_sheet(cells).collect()} == {"a": 1, "b": 0}
     assert [r["cells"] for r in S.cells_to_rows(cells).collect()] == [{"h": "v"}]
-    names = spark.createDataFrame([(0,), (25,), (26,), (701,), (702,)], "i int").select(excel_column_name(F.col("i")))
-    assert [r[0] for r in names.collect()] == ["A", "Z", "AA", "ZZ", "AAA"]
+    names = spark.createDataFrame([(0,), (25,), (26,), (701,), (702,), (12356630,)], "i int").select(
+        excel_column_name(F.col("i"))
+    )
+    assert [r[0] for r in names.collect()] == ["A", "Z", "AA", "ZZ", "AAA", "AAAAAA"]
     stems = spark.createDataFrame(
         [("/x/Ann's Report.v2.PDF",), ("...",), ("a" * 80 + ".csv",)], "p string"
     ).select(safe_stem(F.col("p")))
