@@ -79,6 +79,15 @@ def _counts(sample: DataFrame, sizes: Sizes) -> DataFrame:
     return found.groupBy("apart", "h").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def _distinct(keys: np.ndarray, bound: int) -> np.ndarray:
+    """The distinct keys, which are less than ``bound``, in order: by marking them where there is room for marks, else by sorting."""
+    if bound > 1 << 26:
+        return np.unique(keys)
+    marks = np.zeros(bound, bool)
+    marks[keys] = True
+    return np.flatnonzero(marks)
+
+
 class Features:
     """The chosen n-grams, sorted by hash."""
 
@@ -97,8 +106,9 @@ class Features:
                 real = self.hashes[place] == h[at]
                 rows.append(row[at][real])
                 found.append(place[real])
-        both = np.unique(np.concatenate(rows) * np.int64(len(self.hashes) or 1) + np.concatenate(found))
-        return both // (len(self.hashes) or 1), both % (len(self.hashes) or 1)
+        size = max(len(self.hashes), 1)
+        both = _distinct(np.concatenate(rows) * np.int64(size) + np.concatenate(found), (len(off) - 1) * size)
+        return both // size, both % size
 
 
 @dataclass(frozen=True)
