@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import discard, materialize
 
+#: Edge tables of up to this many rows, some tens of MB, are one task's work.
+SMALL = 100_000
 #: A node with more than this share of all edges is joined by broadcast: there are at most two such nodes for each share
 #: of the edges.
 HOT_SHARE = 1 / 512
@@ -34,21 +40,56 @@ def _small_star(edges: DataFrame, n: int) -> DataFrame:
     return moved.unionByName(edges.groupBy("a").agg(F.min("b").alias("b")))
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def _order(value: Any) -> Any:
+    """A key that orders values as Spark does: structs by their fields, nulls first."""
+    return tuple((v is not None, v) for v in value.values()) if isinstance(value, dict) else value
+
+
+def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of all edges of a small table."""
+    values: dict[Any, Any] = {}
+    up: dict[Any, Any] = {}
+
+    def root(x: Any) -> Any:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ends = []
+            for value in pair:
+                key = _order(value)
+                values.setdefault(key, value)
+                up.setdefault(key, key)
+                ends.append(root(key))
+            up[max(ends)] = min(ends)
+    if values:
+        nodes = [pa.array([values[x] for x in up], kind), pa.array([values[root(x)] for x in up], kind)]
+        yield pa.RecordBatch.from_arrays(nodes, ["node", "component"])
+
+
+def connected_components(edges: DataFrame, small: int = SMALL) -> DataFrame:
     """(node, component) for each node of ``edges`` (a, b: values of one ordered type): the smallest node reachable from
     it.
 
     Loops, repeated edges and either direction are allowed, edges with a null are ignored, no edges give no rows. A
-    round moves each edge's far end to the smallest neighbour; as the edges only ever point to smaller nodes, the rounds
-    end in stars, after a number that grows with the logarithm of the longest path. Each round is written to the shared
-    folder, and the one before the last is removed; only its row count and checksum reach the driver.
+    table of up to ``small`` edges is one task's work. In a larger one a round moves each edge's far end to the smallest
+    neighbour; as the edges only ever point to smaller nodes, the rounds end in stars, after a number that grows with
+    the logarithm of the longest path. Each round is written to the shared folder, and the one before the last is
+    removed; only its row count and checksum reach the driver.
     """
-    now = edges.where(F.col("a") != F.col("b")).select(
-        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-    ).distinct()
-    now, seen, old = materialize(now, "edges"), None, None
+    now = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    now, seen, old = materialize(now.distinct(), "edges"), None, None
     while True:
         mark = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
+        if mark[0] <= small and seen is None:
+            kind = now.schema["a"].dataType.simpleString()
+            found = now.coalesce(1).mapInArrow(_in_one_task, f"node {kind}, component {kind}")
+            return materialize(found, "components")
         if mark == seen or mark[0] == 0:
             break
         if old is not None:

@@ -80,7 +80,9 @@ def _counts(sample: DataFrame, sizes: Sizes) -> DataFrame:
 
 
 def _distinct(keys: np.ndarray, bound: int) -> np.ndarray:
-    """The distinct keys, which are less than ``bound``, in order: by marking them where there is room for marks, else by sorting."""
+    """The distinct keys, which are less than ``bound``, in order: by marking them where there is room for marks, else
+    by sorting.
+    """
     if bound > 1 << 26:
         return np.unique(keys)
     marks = np.zeros(bound, bool)

@@ -252,12 +252,21 @@ def test_simhash_groups(spark):
     assert simhash.simhash_groups(_docs(spark, [])).isEmpty()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 1000])
+def test_components(spark, small):
     path = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 200), (None, 3)]
+    edges = spark.createDataFrame(path, "a long, b long")
+    got = {r["node"]: r["component"] for r in connected_components(edges, small).collect()}
+    assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+    assert connected_components(edges.limit(0), small).isEmpty()
+    node = F.struct(F.col("a").isNull().alias("none"), F.col("a").alias("id"), F.lit("x").alias("t"))
+    ends = spark.createDataFrame([(3, 2), (None, 3), (5, None), (9, 8)], "a long, c long")
+    other = F.struct(F.col("c").isNull().alias("none"), F.col("c").alias("id"), F.lit("x").alias("t"))
     got = {
-        r["node"]: r["component"] for r in connected_components(spark.createDataFrame(path, "a long, b long")).collect()
+        r["node"]["id"]: r["component"]["id"]
+        for r in connected_components(ends.select(node.alias("a"), other.alias("b")), small).collect()
     }
-    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+    assert got == {2: 2, 3: 2, None: 2, 5: 2, 8: 8, 9: 8}
 
 
 def _shingle_set(text, k=5):
