@@ -36,7 +36,10 @@ def _drop(docs: DataFrame, name: str, others: DataFrame) -> DataFrame:
     repeats.
     """
     rest = drop_listed(docs, others, [name])
-    repeated = materialize(docs.groupBy(quoted(name)).count().where("count > 1").select(quoted(name)), "repeated")
+    counts = docs.groupBy(quoted(name)).count().where("count > 1")
+    repeated = materialize(counts.select(quoted(name)), "repeated")
+    if repeated.isEmpty():
+        return rest
     once = only_listed(rest, repeated, [name]).join(repeated, name, "left_semi").dropDuplicates([name])
     return drop_listed(rest, repeated, [name]).unionByName(once)
 
