@@ -72,7 +72,7 @@ def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(nodes, ["node", "component"])
 
 
-def connected_components(edges: DataFrame, small: int = SMALL) -> DataFrame:
+def connected_components(edges: DataFrame, small: int = 0) -> DataFrame:
     """(node, component) for each node of ``edges`` (a, b: values of one ordered type): the smallest node reachable from
     it.
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import SMALL, connected_components
 from .filters import only_listed
 from .storage import materialize
 from .wordstream import Words, blocks, grams, lowered, mix, utf8
@@ -124,7 +124,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
 
 def _open(members: DataFrame, edges: DataFrame) -> DataFrame:
     """The members, with their group, of buckets whose members are in several groups."""
-    groups = connected_components(edges).select(F.col("node").alias("doc_id"), "component")
+    groups = connected_components(edges, SMALL).select(F.col("node").alias("doc_id"), "component")
     grouped = members.join(groups, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     several = grouped.groupBy("key").agg(
         F.min("component").alias("low"), F.max("component").alias("high")
@@ -188,4 +188,4 @@ def near_copies(
             left = _open(members, edges)
             if left.isEmpty():
                 break
-    return connected_components(edges)
+    return connected_components(edges, SMALL)
