@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.components import connected_components
+from maskwright.llm.components import SMALL, connected_components
 from maskwright.llm.decontaminate import contaminated
 from maskwright.llm.exact_dedup import exact_dedup
 from maskwright.llm.filters import drop_listed, only_listed
@@ -76,7 +76,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     alike = near_copies(nodes, "node", "text", k=5, share=0.8).select(
         F.col("node").alias("a"), F.col("component").alias("b")
     )
-    groups = connected_components(close.unionByName(alike))
+    groups = connected_components(close.unionByName(alike), SMALL)
     others = groups.where(F.col("node") != F.col("component")).select(F.col("node").alias(name))
     return _drop(
         docs.withColumn(name, _node()), name, materialize(others, "near-copies")
