@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -239,6 +240,57 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import manifest
+
+    lowered = F.translate("text", ascii_uppercase, ascii_lowercase)
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    rows = manifest(_table(spark, sf_dir, "documents"), changed=lowered, when=tampered)
+    folded = F.element_at("copied", -1)
+    return rows.select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", folded.alias("folded_root"),
+        (folded == F.col("root")).alias("verified"),
+    )
+
+
+def _level(number: int, tier: str) -> str:
+    """The next level of the trees of ``tier``, for every document: node, place, siblings so far and folded node."""
+    return f"""
+n{number} AS (SELECT {tier} AS up, pos // 16 AS run, list(node ORDER BY pos) AS c FROM (SELECT DISTINCT {tier}, pos,
+ node FROM l{number}) GROUP BY ALL),
+l{number + 1} AS (SELECT doc_id, tree, leaf, subroot, n AS m, pos // 16 AS pos, (n + 15) // 16 AS n,
+  CASE WHEN n > 1 THEN sha256(array_to_string(c, '')) ELSE node END AS node,
+  CASE WHEN n > 1 THEN proof || array_to_string(c[1:pos % 16], '') || array_to_string(c[pos % 16 + 2:], '') ELSE proof
+ END AS proof,
+  CASE WHEN n > 1 THEN sha256(array_to_string(c[1:pos % 16], '') || folded || array_to_string(c[pos % 16 + 2:], ''))
+ ELSE folded END AS folded
+  FROM l{number} l JOIN n{number} r ON l.{tier} = r.up AND l.pos // 16 = r.run)"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+
+_LOWERED = f"translate(text, '{ascii_uppercase}', '{ascii_lowercase}')"
+_LEAF = " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars")))
+#: Six levels under a subroot and four over it: sources of up to 16^6 rows, and 16^4 sources.
+OP11_SQL = f"""
+WITH hashed AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS tree, sha256({_LEAF} || {_field("text")}) AS
+ leaf, sha256({_LEAF} || {_field(_LOWERED)}) AS other,
+         xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda x, b:
+ list_reduce(range(8), lambda y, i: xor(y >> 1, (y & 1) * 3988292384), xor(x, b)), 4294967295::BIGINT), 4294967295) %
+ 5 = 0 AS tampered FROM documents),
+l0 AS (SELECT doc_id, tree, leaf, '' AS subroot, 0 AS m, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS
+ FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n, leaf AS node, '' AS proof,
+ CASE WHEN coalesce(tampered, false) THEN other ELSE leaf END AS folded FROM hashed),{",".join(_level(k, "tree") for k in range(6))},
+l7 AS (SELECT doc_id, 0 AS tree, leaf, node AS subroot, 0 AS m, dense_rank() OVER (ORDER BY tree COLLATE "C") - 1 AS pos,
+ (SELECT count(DISTINCT tree) FROM l6) AS n, node, proof, folded FROM l6),{",".join(_level(k, "tree") for k in range(7, 11))}
+SELECT doc_id, leaf, subroot, node AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = node AS
+ verified FROM l11
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_html_text": op2_html_text,
@@ -250,6 +302,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_decontaminate": op9_decontaminate,
     "op10_simhash": op10_simhash,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 ORACLES: dict[str, str] = {
     "op4_substring_dedup": OP4_SQL,
@@ -258,4 +311,5 @@ ORACLES: dict[str, str] = {
     "op7_url_filter": OP7_SQL,
     "op8_secret_scan": OP8_SQL,
     "op9_decontaminate": OP9_SQL,
+    "op11_merkle_manifest": OP11_SQL,
 }
