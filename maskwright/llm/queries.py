@@ -291,6 +291,43 @@ SELECT doc_id, leaf, subroot, node AS root, sha256(proof) AS proof_sha256, folde
 """
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_counts import token_counts
+
+    return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_in_middle import fill_in_middle, restored
+
+    return fill_in_middle(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+OP13_SQL = r"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''),
+ '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h
+ FROM documents),
+drawn AS (SELECT doc_id, text, u, len(u)::BIGINT AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS one,
+ ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS two,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' ||
+ h[17:24])::BIGINT % 100 >= 50 THEN 'plain' WHEN ('0x' || h[25:32])::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+ FROM docs),
+cut AS (SELECT doc_id, text, n, form, array_to_string(u[1:least(one, two)], '') AS prefix,
+ array_to_string(u[least(one, two) + 1:greatest(one, two)], '') AS middle, array_to_string(u[greatest(one, two) + 1:],
+ '') AS suffix FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars, CASE WHEN form <>
+ 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+ ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM
+ cut
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_html_text": op2_html_text,
@@ -303,6 +340,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_simhash": op10_simhash,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_token_counts": op12_token_counts,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 ORACLES: dict[str, str] = {
     "op4_substring_dedup": OP4_SQL,
@@ -312,4 +351,5 @@ ORACLES: dict[str, str] = {
     "op8_secret_scan": OP8_SQL,
     "op9_decontaminate": OP9_SQL,
     "op11_merkle_manifest": OP11_SQL,
+    "op13_fill_in_middle": OP13_SQL,
 }
