@@ -14,6 +14,7 @@ from ..functions import patterns as P
 from ..functions.spans import DEFAULT, Detector, Registry, label_counts, with_spans
 from ..functions.text import is_blank, normalize_labels, squash_ws
 from ..sources.scratch import written
+from .redact import redact_json
 
 # Contract of a hand-over of recognised text.
 CANDIDATE = "PP-OCRv5_mobile_rec"
@@ -374,41 +375,11 @@ def reject_byte_payload(df: DataFrame, json_col: str) -> tuple[DataFrame, DataFr
     return df.where(~bad), df.where(bad).drop(json_col).withColumn("reason", F.lit("byte_payload"))
 
 
-def redact_report_keys(report: Column, keys: Sequence[str] = tuple(SECRET_KEYS)) -> Column:
-    """JSON text with the values of the keys replaced whole by ``"<redacted>"`` wherever they are, however deep they
-    nest. A value that does not end is replaced to the end of the text.
+def redact_report_keys(df: DataFrame, json_col: str, keys: Sequence[str] = tuple(SECRET_KEYS)) -> DataFrame:
+    """``df``, in whose JSON the values of the keys are replaced whole by ``"<redacted>"`` wherever they are
+    (``redact.redact_json``).
     """
-    text = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
-    named = rf'"({"|".join(keys)})"\s*+:'
-    # A key, a string, a bracket, or a run of other characters; a lone quote opens a string that does not end.
-    tokens = F.regexp_extract_all(
-        report, F.lit(rf'(?s){named}\s*+|{text}|[\[{{]|[\]}}]|[^\[\]{{}}",]++|,|".*'), F.lit(0)
-    )
-    # wait: a value has to begin; depth: brackets open in the value being replaced, -1 outside of one.
-    now = lambda depth, wait, out: F.struct(depth.cast("int").alias("depth"), wait.alias("wait"), out.alias("out"))
-    no = F.lit(False)
-
-    def step(s: Column, t: Column) -> Column:
-        up, down, depth = t.rlike(r"^[\[{]$"), t.rlike(r"^[\]}]$"), s["depth"]
-        key = t.rlike(rf"^{named}\s*+$")
-        inside = now(
-            F.when(up, depth + 1).when(down & (depth == 1), F.lit(-1)).when(down, depth - 1).otherwise(depth),
-            no,
-            s["out"],
-        )
-        begins = F.when(up, now(F.lit(1), no, s["out"])).when(
-            down | (t == ","), now(F.lit(-1), no, F.concat(s["out"], F.array(t)))
-        ).otherwise(now(F.lit(-1), no, s["out"]))
-        shown = F.when(
-            key, F.concat(F.lit('"'), F.regexp_extract(t, rf"^{named}", 1), F.lit('":"<redacted>"'))
-        ).otherwise(t)
-        return F.when(depth > 0, inside).when(s["wait"], begins).otherwise(
-            now(F.lit(-1), key, F.concat(s["out"], F.array(shown)))
-        )
-
-    return F.array_join(
-        F.aggregate(tokens, now(F.lit(-1), no, F.array().cast("array<string>")), step, lambda s: s["out"]), ""
-    )
+    return redact_json(df, json_col, keys)
 
 
 def safe_identifier(c: Column) -> Column:

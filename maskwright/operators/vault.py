@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, scope_key
 from ..sources.scratch import written
+from .components import components
 
 SCOPE = ["job_id", "artifact_id", "field_path"]
 IDENTITY = ["phi_type", "original_value"]
@@ -154,33 +156,69 @@ def export_subset(vault: DataFrame, ids: DataFrame, contexts: DataFrame) -> tupl
     ), rejected
 
 
-def _first_wins(rows: DataFrame, write: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Of rows with ``ord``, ``id`` and ``record``, those that a scan in order would keep, if it drops a row whose id or
-    record a kept row has.
+#: Rows of a component of conflicts that one task goes through in order; larger ones are settled in rounds.
+IN_ORDER = 1_000_000
 
-    Each round keeps the undecided rows that are first both for their id and their record, and drops those that share
-    either with a kept row. Without conflicts one round is all; the number of rounds is the longest chain of conflicts.
-    ``write`` materialises a frame.
+
+def _round(undecided: DataFrame, write: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(kept, undecided): rows that are first both for their id and their record are kept, those that share either with
+    a kept row are dropped.
+    """
+    firsts = [
+        F.when(F.col(c).isNull(), F.col("ord")).otherwise(F.min("ord").over(Window.partitionBy(c))).alias(f"by_{c}")
+        for c in ("id", "record")
+    ]
+    ranked = write(undecided.select("ord", "id", "record", *firsts))
+    kept = ranked.where("ord = by_id AND ord = by_record").select("ord", "id", "record")
+    rest = ranked.select("ord", "id", "record").join(kept.select("id"), "id", "left_anti")
+    return kept, write(rest.join(kept.select("record"), "record", "left_anti").select("ord", "id", "record"))
+
+
+def _in_order(key: tuple, rows: pa.Table) -> pa.Table:
+    """The rows of one component that a scan in order keeps."""
+    rows = rows.sort_by("ord")
+    ids, records, kept = set(), set(), []
+    for at, (i, r) in enumerate(zip(rows.column("id").to_pylist(), rows.column("record").to_pylist(), strict=True)):
+        if i not in ids and r not in records:
+            ids |= {i} - {None}
+            records.add(r)
+            kept.append(at)
+    return rows.take(kept).select(["ord"])
+
+
+def _first_wins(
+    rows: DataFrame, write: Callable[[DataFrame], DataFrame], rounds: int = 2, in_order: int = IN_ORDER
+) -> DataFrame:
+    """Of rows with ``ord`` (a bigint), ``id`` and ``record``, those that a scan in order would keep, if it drops a row
+    whose id or record a kept row has.
+
+    Null ids are no conflict. Of rows that agree in both only the first can be kept. ``rounds`` rounds settle all rows whose conflicts are few,
+    however often an id or a record is named. What is left are chains: rows are edges between ids and records, whose
+    connected components, found in a logarithmic number of rounds, don't touch each other, so each is scanned in order,
+    side by side, as 64-bit digests of ids and records. A component of more than ``in_order`` rows is not one task's
+    work: rounds go on until it is smaller. ``write`` materialises a frame.
     """
-    undecided, kept = rows, None
+    undecided = write(rows.groupBy("id", "record").agg(F.min("ord").alias("ord")).select("ord", "id", "record"))
+    kept = None
     while True:
-        ranked = undecided.withColumns(
-            {
-                "_by_id": F.min("ord").over(Window.partitionBy("id")),
-                "_by_record": F.min("ord").over(Window.partitionBy("record")),
-            }
+        for _ in range(rounds):
+            first, undecided = _round(undecided, write)
+            kept = first.select("ord") if kept is None else kept.unionByName(first.select("ord"))
+            if undecided.isEmpty():
+                return kept
+        # Digests may join two components, which does no harm.
+        ends = undecided.select(
+            "ord", "id", "record", F.xxhash64(F.lit("id"), "id").alias("a"), F.xxhash64(F.lit("record"), "record").alias("b")
         )
-        ranked = write(ranked)
-        first = ranked.where(
-            (F.col("ord") == F.col("_by_id")) & (F.col("ord") == F.col("_by_record"))
-        ).select("ord", "id", "record")
-        kept = first if kept is None else kept.unionByName(first)
-        undecided = ranked.select("ord", "id", "record").join(first.select("id"), "id", "left_anti").join(
-            first.select("record"), "record", "left_anti"
-        ).select("ord", "id", "record")
-        undecided = write(undecided)
+        found = components(ends.select("a", "b")).withColumnRenamed("node", "a")
+        named = write(ends.join(found, "a").select("ord", "id", "record", "component"))
+        sizes = named.groupBy("component").agg((F.count("*") <= in_order).alias("small"))
+        sized = write(named.join(sizes, "component"))
+        scanned = write(sized.where("small").drop("small").groupBy("component").applyInArrow(_in_order, "ord bigint"))
+        kept = kept.unionByName(scanned)
+        undecided = sized.where("NOT small").select("ord", "id", "record")
         if undecided.isEmpty():
-            return kept.select("ord")
+            return kept
 
 
 def import_snapshot(
@@ -190,18 +228,18 @@ def import_snapshot(
     ``token`` they get.
 
     A row is a duplicate if its id or record is in the vault or in a kept row before it; an imported value that is known
-    takes the known token, else that of the first kept row. ``write`` materialises each round, by default as a table in
-    the shared folder, so that a round does not run those before it again.
+    takes the known token, else that of the first kept row. ``ord`` is an integer without repeats. ``write``
+    materialises each step, by default as a table in the shared folder, so that none is computed twice.
     """
     record = F.to_json(F.struct(*RECORD), {"ignoreNullFields": "false"})
-    seen = snapshot.withColumn("record", record)
-    fresh = seen.select("ord", "id", "record").join(vault.select("id"), "id", "left_anti").join(
+    seen = snapshot.select(F.col("ord").cast("bigint").alias("ord"), "id", record.alias("record"))
+    fresh = seen.join(vault.select("id"), "id", "left_anti").join(
         vault.select(record.alias("record")), "record", "left_anti"
     ).select("ord", "id", "record")
-    kept = _first_wins(fresh, write).withColumn("_kept", F.lit(True))
-    marked = snapshot.join(kept, "ord", "left").withColumn(
-        "outcome", F.when(F.col("_kept"), "imported").otherwise("duplicate")
-    ).drop("_kept")
+    kept = _first_wins(fresh, write).select(F.col("ord").alias("first"))
+    marked = snapshot.join(kept, F.col("ord") == F.col("first"), "left").withColumn(
+        "outcome", F.when(F.col("first").isNotNull(), "imported").otherwise("duplicate")
+    ).drop("first")
     first_here = marked.where("outcome = 'imported'").groupBy(*IDENTITY).agg(F.min_by("token", "ord").alias("own"))
     return marked.join(_first(vault), IDENTITY, "left").join(first_here, IDENTITY, "left").withColumn(
         "token", F.coalesce("known", "own", "token")

@@ -562,13 +562,52 @@ def redacted_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("props"),
         ',"decoded_values":{"y":{"z":{"w":[1]}}}}]}}',
     )
-    return rows.select("event_id", R.redact_report_keys(F.col("j")).alias("json"))
+    return R.redact_report_keys(rows.select("event_id", F.col("j").alias("json")), "json")
 
 
 REDACTED_SQL = """SELECT event_id, '{"id":' || event_id ||
  ',"records":"<redacted>","in":{"l":[{"artifact":"<redacted>","k":' || props || ',"decoded_values":"<redacted>"}]}}'
  AS json FROM events"""
 
+
+def redacted_portable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A portable report of all orders of a customer in one JSON text, whose keys and values are escaped in part, nested
+    by the priority of the order, and in which secret keys also stand as values and inside of other secrets.
+    """
+    o = F.col("o_orderkey")
+    key = F.element_at(
+        F.array(*map(F.lit, ['"records"', '"decoded_v\\u0061lues"', '"\\u0061rtifact"', '"recordsX"', '"note"'])),
+        (o % 5 + 1).cast("int"),
+    )
+    value = F.element_at(
+        F.array(
+            F.concat(F.lit('{"artifact":["'), F.col("o_orderdate").cast("string"), F.lit('",{"x":[1,[2]]}]}')),
+            F.concat(F.lit('"'), F.col("o_orderdate").cast("string"), F.lit('\\"records\\":]}"')),
+            F.concat(F.lit('[["'), F.col("o_orderdate").cast("string"), F.lit('"],{"k":null}]')),
+            F.concat(F.lit(' "records" ')),
+            F.col("o_totalprice").cast("long").cast("string"),
+        ),
+        (F.floor(o / 5) % 5 + 1).cast("int"),
+    )
+    # The same, redacted by hand where the key is a secret, and all the way down where it is not.
+    one = F.concat(F.lit('{"o":'), o.cast("string"), F.lit(","), key, F.lit(": "), value, F.lit(" }"))
+    orders = F.transform(F.array_sort(F.collect_list(F.struct(o.alias("o"), one.alias("one")))), lambda x: x["one"])
+    reports = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
+        F.concat(F.lit('{"all":['), F.array_join(orders, ","), F.lit("]}")).alias("json")
+    )
+    return R.redact_report_keys(reports, "json")
+
+
+PORTABLE_SQL = r"""
+SELECT o_custkey, '{"all":[' || string_agg('{"o":' || o_orderkey || ',' || CASE o_orderkey % 5
+  WHEN 0 THEN '"records":"<redacted>"' WHEN 1 THEN '"decoded_values":"<redacted>"' WHEN 2 THEN '"artifact":"<redacted>"'
+  ELSE CASE o_orderkey % 5 WHEN 3 THEN '"recordsX": ' ELSE '"note": ' END || CASE o_orderkey // 5 % 5
+    WHEN 0 THEN '{"artifact":"<redacted>"}' WHEN 1 THEN '"' || o_orderdate || '\"records\":]}"'
+    WHEN 2 THEN '[["' || o_orderdate || '"],{"k":null}]' WHEN 3 THEN ' "records" '
+    ELSE floor(o_totalprice)::BIGINT::VARCHAR END END
+  || CASE WHEN o_orderkey % 5 < 3 AND o_orderkey // 5 % 5 = 4 THEN '' WHEN o_orderkey % 5 < 3 AND o_orderkey // 5 % 5 = 3 THEN
+ '  ' ELSE ' ' END || '}', ',' ORDER BY o_orderkey) || ']}' AS json FROM orders GROUP BY o_custkey"""
+
 QUERIES = {
     "csv_round_trip": csv_round_trip,
     "text_corpus": text_corpus,
@@ -593,6 +632,7 @@ QUERIES = {
     "safe_review_summaries": safe_review_summaries,
     "safe_pdf_reports": safe_pdf_reports,
     "redacted_json": redacted_json,
+    "redacted_portable": redacted_portable,
 }
 ORACLES = {
     "csv_round_trip": CSV_SQL,
@@ -618,4 +658,5 @@ ORACLES = {
     "safe_review_summaries": REVIEW_SUMMARY_SQL,
     "safe_pdf_reports": PDF_SQL,
     "redacted_json": REDACTED_SQL,
+    "redacted_portable": PORTABLE_SQL,
 }

@@ -26,3 +26,13 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(df: DataFrame) -> None:
+    """Deletes the files of a frame that ``written`` returned and that nothing reads any more."""
+    hadoop = df.sparkSession.sparkContext
+    base = df.sparkSession.conf.get("spark.checkpoint.dir").rstrip("/").split(":", 1)[-1].lstrip("/")
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        if folder.split(":", 1)[-1].lstrip("/").startswith(base):
+            path = hadoop._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(hadoop._jsc.hadoopConfiguration()).delete(path, True)

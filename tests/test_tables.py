@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from maskwright.operators import tabular as T
 from maskwright.operators import vault as V
+from maskwright.operators.components import components
+from maskwright.sources.scratch import written
 
 KEY = "k"
 VAULT = "seq long, id string, job_id string, artifact_id string, field_path string, phi_type string, token string, original_value string"
@@ -137,3 +139,55 @@ def test_policies_in_json(spark):
     assert {(r["id"], r["index"], r["reason"]) for r in bad.collect()} == {
         (1, 1, "bad_action"), (1, 2, "not_an_object"), (2, None, "not_an_array"), (3, None, "not_an_array")
     }
+
+
+def test_first_wins_by_components(spark):
+    """Chains of conflicts of any length, stars, repeats and null ids, against a scan in order."""
+    rng, rows = random.Random(9), []
+    order = list(range(10_000))
+    rng.shuffle(order)
+    for i in range(3000):  # one chain, in the worst order, and one whose order is mixed
+        rows.append((i, f"i{(i + 1) // 2}", f"r{i // 2}"))
+        rows.append((10_000 + order[i], f"x{(i + 1) // 2}", f"y{i // 2}"))
+    for i in range(3000):  # random graphs, a hot id, a hot record, repeats, null ids
+        rows.append((20_000 + i, f"a{rng.randrange(1500)}", f"b{rng.randrange(1500)}"))
+        rows.append((30_000 + i, rng.choice(["hot", f"h{i}"]), rng.choice(["hot", f"g{i}", f"g{i - 1}"])))
+        rows.append((40_000 + i, None if i % 2 else "i1", f"n{i // 3}"))
+    ids, records, want = set(), set(), set()
+    for o, i, r in sorted(rows):
+        if i not in ids and r not in records:
+            ids |= {i} - {None}
+            records.add(r)
+            want.add(o)
+    df = spark.createDataFrame(rows, "ord bigint, id string, record string").repartition(4)
+    steps = []
+
+    def write(step):
+        steps.append(step)
+        return written(step)
+
+    assert {r["ord"] for r in V._first_wins(df, write).collect()} == want
+    assert len(steps) < 12
+    small = df.where("ord < 100 OR ord BETWEEN 20000 AND 20200")
+    expected = {o for o in V._first_wins(small, written).toPandas()["ord"]}
+    assert {r["ord"] for r in V._first_wins(small, written, in_order=5).collect()} == expected
+
+
+def test_components(spark):
+    rng = random.Random(4)
+    edges = [(i, i + 1) for i in range(0, 600)] + [(rng.randrange(1000, 2000), rng.randrange(1000, 2000)) for _ in range(500)]
+    edges += [(5000, 5000 + i) for i in range(300)] + [(7, 7)]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = sorted((root(a), root(b)))
+            up[b] = a
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {x: root(x) for x in list(up)}
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).isEmpty()
