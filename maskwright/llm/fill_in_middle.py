@@ -62,7 +62,6 @@ def unit_widths(words: Words, ends: np.ndarray) -> list[np.ndarray]:
     return lists
 
 
-@F.arrow_udf(_FOUND)
 def _cuts(text: pa.Array, one: pa.Array, two: pa.Array) -> pa.Array:
     data, off = utf8(text)
     one, two = one.to_pylist(), two.to_pylist()
@@ -100,7 +99,8 @@ def fill_in_middle(
         F.col(id_col).alias("doc_id"), text.alias("text"), F.sha2(F.concat(F.lit(f"{seed}:"), name), 256).alias("hash")
     )
     h = [F.conv(F.substring("hash", 8 * i + 1, 8), 16, 10).cast("long") for i in range(4)]
-    cut = rows.select("doc_id", "text", "hash", _cuts("text", h[0], h[1]).alias("at"))
+    cuts = F.arrow_udf(_cuts, _FOUND)
+    cut = rows.select("doc_id", "text", "hash", cuts("text", h[0], h[1]).alias("at"))
     marked = F.col("text").contains(PREFIX) | F.col("text").contains(SUFFIX) | F.col("text").contains(MIDDLE)
     plain = (F.col("text") == "") | marked | (h[2] % 100 >= rate)
     form = F.when(plain, "plain").when(h[3] % 100 < spm, "spm").otherwise("psm")
