@@ -106,8 +106,7 @@ def streamed_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells.repartition(3, "field_path").write.parquet(path)
     stream = spark.readStream.schema(cells.schema).option("maxFilesPerTrigger", 1).parquet(path)
     D.grow_vault(stream, vault, scratch(spark, "vault-progress"), "key").awaitTermination()
-    rows = spark.read.schema(D.VAULT_SCHEMA).parquet(vault)
-    return rows.groupBy("original_value").agg(
+    return D.vault_table(spark, vault).read().groupBy("original_value").agg(
         F.count("*").alias("records"),
         F.countDistinct("token").alias("tokens"),
         F.countDistinct("field_path").alias("paths"),

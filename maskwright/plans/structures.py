@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import ledger as L
 from ..operators import vault as V
-from .tables import _audit, table
+from ..operators.idindex import IdIndex
+from ..sources.scratch import scratch
+from .tables import DECODE_SQL, EXPORT_SQL, _audit, _requests, _vault, table
 
 _SIZE = {"width": 256, "fan": 4}
 
@@ -103,5 +105,25 @@ def import_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHAIN_SQL = """SELECT c_custkey AS ord, 'id-' || (c_custkey + 1) // 2 AS id, CASE WHEN c_custkey % 2 = 0 THEN 'imported' ELSE
  'duplicate' END AS outcome, 'tok-' || c_custkey // 2 * 2 AS token FROM customer"""
 
-QUERIES = {"ledger_seals": ledger_seals, "ledger_breaks": ledger_breaks, "import_chain": import_chain}
-ORACLES = {"ledger_seals": SEALS_SQL, "ledger_breaks": BREAKS_SQL, "import_chain": CHAIN_SQL}
+def _index(spark: SparkSession, sf_dir: str) -> IdIndex:
+    """The vault of customers, by id, in three batches."""
+    index, vault = IdIndex(spark, scratch(spark, "id-index"), tier=2), _vault(spark, sf_dir)
+    for n in range(3):
+        index.append(vault.where(F.col("seq") % 3 == n), n)
+    return index
+
+
+def decode_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``decode_ids`` through files that have one of the ids."""
+    ids = _requests(spark, sf_dir)[1]
+    return V.decode(_index(spark, sf_dir).lookup(ids), ids)[0]
+
+
+def export_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``export_subset`` through files that have one of the ids."""
+    requests, ids = _requests(spark, sf_dir)
+    return V.export_subset(_index(spark, sf_dir).lookup(ids), ids, requests)[0]
+
+
+QUERIES = {"decode_by_index": decode_by_index, "export_by_index": export_by_index, "ledger_seals": ledger_seals, "ledger_breaks": ledger_breaks, "import_chain": import_chain}
+ORACLES = {"decode_by_index": DECODE_SQL, "export_by_index": EXPORT_SQL, "ledger_seals": SEALS_SQL, "ledger_breaks": BREAKS_SQL, "import_chain": CHAIN_SQL}

@@ -10,10 +10,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.spans import DEFAULT, Detector, Registry, category_counts, mask, with_spans
 from ..operators.vault import ensure_mappings
-from ..sources.scratch import written
+from ..sources.runs import RunTable
+from ..sources.scratch import removed, written
 
 VAULT_SCHEMA = (
-    "batch bigint, part int, seq bigint, id string, job_id string, artifact_id string, field_path string, phi_type string, "
+    "part int, seq bigint, id string, job_id string, artifact_id string, field_path string, phi_type string, "
     "original_value string, token string"
 )
 
@@ -43,18 +44,20 @@ def write_masked(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     return shown.option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+def vault_table(spark: SparkSession, vault_path: str, **sizes: int) -> RunTable:
+    """The table that ``grow_vault`` keeps, sorted by part, type and value."""
+    return RunTable(spark, vault_path, VAULT_SCHEMA, ["part", "phi_type", "original_value"], **sizes)
 
 
-def grow_vault(candidates: DataFrame, vault_path: str, checkpoint: str, key: str, parts: int = 64) -> StreamingQuery:
-    """Adds the new mapping records of each micro-batch of candidates to a table partitioned by batch and by a hash of
-    type and value, in ``parts`` parts.
+def grow_vault(
+    candidates: DataFrame, vault_path: str, checkpoint: str, key: str, parts: int = 1024, **sizes: int
+) -> StreamingQuery:
+    """Adds the new mapping records of each micro-batch of candidates to a table of sorted runs (``vault_table``).
 
-    All records of a value are in one part, so a batch reads only the parts that its own values are in, and only those
-    values of them reach a join. A batch overwrites its own partition and looks only at those before it, so a batch that
-    is run again after a failure changes nothing.
+    All records of a value are in one of ``parts`` parts, by its hash, so a batch reads only the stretches of files that
+    have the parts of its own values, and only those values reach a join. Runs are merged as they get many, so the
+    number of files grows with the size of the vault and not with the number of batches. A batch that is run again after
+    a failure changes nothing, and one that was lost before its commit leaves nothing that is read.
     """
 
     def part() -> Column:
@@ -62,20 +65,19 @@ def grow_vault(candidates: DataFrame, vault_path: str, checkpoint: str, key: str
 
     def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        table = vault_table(spark, vault_path, **sizes)
+        if number <= table.manifest()["batch"]:
+            return
         values = written(batch.select("phi_type", "original_value").distinct(), "values")
-        vault = spark.createDataFrame([], VAULT_SCHEMA)
-        if _exists(spark, vault_path):
-            hit = [r[0] for r in values.select(part()).distinct().collect()]  # ``parts`` rows at most
-            old = spark.read.schema(VAULT_SCHEMA).parquet(vault_path)
-            old = old.where((F.col("batch") < number) & F.col("part").isin(hit))
-            vault = old.join(values, ["phi_type", "original_value"], "left_semi")
-        new = ensure_mappings(batch, vault, key)
+        hit = [r[0] for r in values.select(part()).distinct().collect()]  # ``parts`` rows at most
+        old = table.read().where(F.col("part").isin(hit))
+        new = ensure_mappings(batch, old.join(values, ["phi_type", "original_value"], "left_semi"), key)
         # Partitions of the batch count up in bit 33, which leaves room for 128 of them and 2 ** 33 rows in each below
         # the batch number.
         seq = F.lit(number).cast("bigint") * (1 << 40) + F.monotonically_increasing_id() % (1 << 40)
         names = ["id", "job_id", "artifact_id", "field_path", "phi_type", "original_value", "token"]
-        rows = new.coalesce(128).select(seq.alias("seq"), *names, part().alias("part"))
-        rows.write.mode("overwrite").partitionBy("part").parquet(f"{vault_path}/batch={number}")
+        table.append(new.coalesce(128).select(part().alias("part"), seq.alias("seq"), *names), number)
+        removed(values)
 
     grown = candidates.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return grown.trigger(availableNow=True).start()

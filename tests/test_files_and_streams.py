@@ -109,7 +109,7 @@ def test_streams(spark, tmp_path):
     grow()
     cands.withColumn("artifact_id", F.lit("b")).coalesce(1).write.mode("append").parquet(str(table))
     grow()
-    vault = spark.read.parquet(str(tmp_path / "vault"))
+    vault = D.vault_table(spark, str(tmp_path / "vault")).read()
     assert vault.count() == 8 and vault.select("token").distinct().count() == 2 and vault.select(
         "seq"
     ).distinct().count() == 8
