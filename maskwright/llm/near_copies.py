@@ -2,8 +2,9 @@
 confirm them.
 
 SimHash within four bits finds one in twelve of the pairs at a similarity of 0.8, so these have a search of their own.
-Linked documents form groups. Pairs that are in one group already are not compared, so a large group costs a comparison
-for each document with its buckets' hubs; all other pairs that share a bucket are compared.
+Linked documents form groups. First each document is compared with a hub of each of its buckets, which joins most of a
+large group. What is left are pairs of different groups, of which only those are made that can be alike by their rare
+shingles (``_rare``), and not all of a bucket's.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from math import sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import SMALL, connected_components
@@ -113,6 +114,42 @@ def _alike(shared: Column, n: Column, m: Column, share: float) -> Column:
     return shared >= F.lit(share) * (n + m - shared) - 1e-9
 
 
+#: Shingles of up to so many open documents are rare.
+RARE = 32
+
+
+def _rare(sets: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
+    """(counts, heads) of documents (doc_id, found): the number ``rare`` of each one's shingles that are rare among them
+    and ``lead``, how many of its shingles, rarest first, it may lack the first one of in common with an alike document;
+    and the rows (doc_id, n, s) of the rare shingles among these, without those that no other document has.
+
+    Of two documents at a similarity of ``share`` or more, each lacks less than ``lead`` shingles of the other, so the
+    leads of both, in one order of all shingles, have a shingle in common. It is either rare, and then one of ``heads``,
+    or all rare shingles of both are in their leads and none is in common; what they can share is then the rest.
+    """
+    n = F.size("found")
+    lead = n - F.ceil(F.lit(share) * n - 1e-9).cast("int") + 1
+    each = sets.select("doc_id", F.explode("found").alias("s"))
+    often = materialize(
+        each.groupBy("s").agg(F.count("*").alias("df"), F.min("doc_id").alias("only")).where(F.col("df") <= RARE), "rare"
+    )
+    alone = often.where("df = 1").groupBy(F.col("only").alias("doc_id")).agg(F.count("*").alias("alone"))
+    shared = often.where("df > 1").select("s", "df")
+    some = materialize(only_listed(each, shared, ["s"]).join(shared, "s"), "rare-shingles")
+    counts = (
+        sets.select("doc_id", n.alias("n"), lead.alias("lead")).join(alone, "doc_id", "left")
+        .join(some.groupBy("doc_id").agg(F.count("*").alias("some")), "doc_id", "left")
+        .select("doc_id", "n", "lead", F.coalesce("alone", F.lit(0)).alias("alone"), F.coalesce("some", F.lit(0)).alias("some"))
+    )
+    counts = materialize(counts, "rare-counts")
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "s"))
+    heads = some.withColumn("rank", rank).join(counts, "doc_id").where(F.col("alone") + F.col("rank") <= F.col("lead"))
+    return (
+        counts.select("doc_id", "lead", (F.col("alone") + F.col("some")).alias("rare")),
+        materialize(heads.select("doc_id", "n", "s"), "rare-heads"),
+    )
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
     """Those of the pairs (a, b) whose sets are alike."""
     one, two = sets.select(F.col("doc_id").alias("a"), F.col("found").alias("x")), sets.select(
@@ -139,7 +176,8 @@ def near_copies(
 
     Two documents are linked if their sets of ``k``-word shingles, of the text with A-Z lower-cased, have a Jaccard
     similarity of at least ``share`` and a band in common, which pairs that similar lack by chance once in 150,000 at
-    0.8. Sets are compared whole, by 64-bit hashes. A text of fewer words has one shingle, all its words; null, empty
+    0.8; pairs that two rounds with hubs leave in different groups are found without bands if they share a rare shingle,
+    and are else lost by their sketches once in a million. Sets are compared whole, by 64-bit hashes. A text of fewer words has one shingle, all its words; null, empty
     and blank texts are alike. Ids are taken to be unique; documents with a null id are not looked at.
     """
     texts = docs.select(
@@ -147,8 +185,10 @@ def near_copies(
     ).where("doc_id is not null")
     banded = materialize(_mapped(texts, k, True), "bands")
     keyed = banded.select("doc_id", "n", F.explode("found").alias("key"))
-    buckets = materialize(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "buckets")
-    members = materialize(only_listed(keyed, buckets, ["key"]).join(buckets, "key", "left_semi"), "members")
+    buckets = materialize(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
+    placed = materialize(only_listed(keyed, buckets, ["key"]).join(buckets, "key"), "placed")
+    meets = placed.groupBy("doc_id").agg(F.sum("size").alias("meets"))
+    members = materialize(placed.drop("size").join(meets, "doc_id"), "members")
     named = materialize(members.select("doc_id").distinct(), "candidates")
     sets = materialize(
         _mapped(only_listed(texts, named, ["doc_id"]).join(named, "doc_id", "left_semi"), k, False), "shingles"
@@ -158,17 +198,29 @@ def near_copies(
     edges, left = None, members
     for nth in range(rounds + 1):
         if nth < rounds:
-            # All members with one hub, the same in all of a document's buckets if it can be.
-            hubs = left.groupBy("key").agg(
-                F.min(F.struct(F.xxhash64("doc_id", F.lit(nth)), "doc_id", "n")).alias("hub")
-            ).select("key", F.col("hub.doc_id").alias("b"), F.col("hub.n").alias("m"))
+            # All members with one hub: first the one that shares buckets with most others, as the text that a large
+            # group's texts were made from does, then one by chance, the same in all of a document's buckets if it can.
+            turn = F.col("meets") if nth == 0 else F.xxhash64("doc_id", F.lit(nth))
+            hubs = left.groupBy("key").agg(F.max(F.struct(turn.alias("turn"), "doc_id", "n")).alias("hub")).select(
+                "key", F.col("hub.doc_id").alias("b"), F.col("hub.n").alias("m")
+            )
             pairs = left.join(hubs, "key").where((F.col("doc_id") != F.col("b")) & close)
         else:
-            # Pairs of different groups whose sketches are close: members outside a bucket's largest group with all
-            # others. Unlike texts that share a band are told apart here, before their pairs are rows.
-            ids = materialize(left.select("doc_id").distinct(), "open-documents")
+            # Pairs of different groups. Those with a rare shingle in common, in the leads of both:
+            ids = materialize(left.select("doc_id", "component").distinct(), "open-documents")
+            rare, heads = _rare(
+                only_listed(sets, ids, ["doc_id"]).join(ids.select("doc_id"), "doc_id", "left_semi"), share
+            )
+            one = heads.join(ids, "doc_id")
+            two = one.select(
+                "s", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other")
+            )
+            apart = (F.col("doc_id") < F.col("b")) & (F.col("component") != F.col("other"))
+            by_rare = one.join(two, "s").where(apart & close).select(*ordered).distinct()
+            # and those without, which have all their rare shingles in their leads and can share no other ones than the
+            # rest: members outside a bucket's largest group with all others, if sketches are close too.
             known = only_listed(banded.select("doc_id", "sketch"), ids, ["doc_id"])
-            left = left.join(known.join(ids, "doc_id", "left_semi"), "doc_id")
+            left = left.join(rare.where("rare < lead"), "doc_id").join(known, "doc_id")
             sizes = left.groupBy("key", "component").agg(F.count("*").alias("c"))
             largest = sizes.groupBy("key").agg(F.max(F.struct("c", "component")).alias("most")).select(
                 "key", F.col("most.component").alias("most")
@@ -177,12 +229,16 @@ def near_copies(
                 "key",
                 F.col("doc_id").alias("b"),
                 F.col("n").alias("m"),
+                F.col("rare").alias("other_rare"),
                 F.col("component").alias("other"),
                 F.col("sketch").alias("other_sketch"),
             )
-            hopeful = _hopeful(F.col("sketch"), F.col("other_sketch"), share)
-            pairs = left.join(outside, "key").where((F.col("component") != F.col("other")) & close & hopeful)
-        found = _confirmed(materialize(pairs.select(*ordered).distinct(), "pairs"), sets, share)
+            most = F.least(F.col("n") - F.col("rare"), F.col("m") - F.col("other_rare"))
+            hopeful = _alike(most, F.col("n"), F.col("m"), share) & _hopeful(F.col("sketch"), F.col("other_sketch"), share)
+            by_band = left.join(outside, "key").where((F.col("component") != F.col("other")) & close & hopeful)
+            pairs = by_rare.unionByName(by_band.select(*ordered))
+        named = ordered if nth < rounds else ["a", "b"]
+        found = _confirmed(materialize(pairs.select(*named).distinct(), "pairs"), sets, share)
         edges = materialize(found if edges is None else edges.unionByName(found), "links")
         if nth < rounds:
             left = _open(members, edges)
