@@ -10,23 +10,19 @@ with the logarithm of the number of batches.
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .manifest import Conflict, Manifest
 from .scratch import removed, written
 
 #: Versions of the manifest, and so the runs they name, that stay for readers which began with them.
 KEEP = 10
 
 
-class Conflict(RuntimeError):
-    """Another writer has committed since this one looked."""
-
-
 class RunTable:
     """``schema`` is that of the rows, ``order`` the columns by which a run is sorted over all its files. ``beside`` makes
     small tables of a new run, as (name, frame) from its files, that live and die with it.
@@ -38,54 +34,21 @@ class RunTable:
     ):
         self.spark, self.path, self.schema, self.order = spark, path.rstrip("/"), schema, list(order)
         self.tier, self.rows_per_file, self.beside = tier, rows_per_file, beside
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        self._hadoop = jvm.org.apache.hadoop.fs
-        self._files = self._hadoop.FileContext.getFileContext(self._hadoop.Path(self.path).toUri(), conf)
-        self._fs = self._hadoop.Path(self.path).getFileSystem(conf)
-
-    def _at(self, *names: str) -> Any:
-        return self._hadoop.Path("/".join([self.path, *names]))
-
-    def _names(self, folder: str) -> list[str]:
-        where = self._at(folder)
-        return [x.getPath().getName() for x in self._fs.listStatus(where)] if self._fs.exists(where) else []
+        self._manifest = Manifest(spark, self.path, KEEP)
 
     def manifest(self) -> dict[str, Any]:
         """The newest one: version, newest batch, live runs (name, level, rows) and dropped ones (name, version)."""
-        versions = sorted(int(n[:-5]) for n in self._names("_manifest") if n.endswith(".json") and n[:-5].isdigit())
-        if not versions:
-            return {"version": 0, "batch": -1, "runs": [], "dropped": []}
-        stream = self._fs.open(self._at("_manifest", f"{versions[-1]:012d}.json"))
-        try:
-            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        return {"batch": -1, "runs": [], "dropped": []} | self._manifest.read()
 
     def _commit(self, old: dict[str, Any], batch: int, runs: list[dict], gone: list[str]) -> dict[str, Any]:
         version = old["version"] + 1
         dropped = [d for d in old["dropped"] if d["version"] > version - KEEP]
-        late = [d["name"] for d in old["dropped"] if d["version"] <= version - KEEP]
-        new = {
-            "version": version, "batch": batch, "runs": runs,
-            "dropped": dropped + [{"name": name, "version": version} for name in gone],
-        }
-        draft = self._at("_manifest", f".{uuid.uuid4().hex}")
-        self._fs.mkdirs(self._at("_manifest"))
-        stream = self._fs.create(draft, False)
-        stream.write(json.dumps(new).encode())
-        stream.close()
-        once = self.spark.sparkContext._gateway.new_array(getattr(self._hadoop, "Options$Rename"), 1)
-        once[0] = getattr(self._hadoop, "Options$Rename").NONE
-        try:
-            self._files.rename(draft, self._at("_manifest", f"{version:012d}.json"), once)
-        except Exception as e:
-            self._fs.delete(draft, False)
-            raise Conflict(f"version {version} of {self.path} is there already") from e
+        dropped += [{"name": name, "version": version} for name in gone]
+        new = self._manifest.commit(old, {"batch": batch, "runs": runs, "dropped": dropped})
         # Only after the commit: what nobody can be reading any more.
-        for name in late:
-            self._fs.delete(self._at(name), True)
-        if version > KEEP:
-            self._fs.delete(self._at("_manifest", f"{version - KEEP:012d}.json"), False)
+        for d in old["dropped"]:
+            if d["version"] <= version - KEEP:
+                self._manifest.delete(d["name"])
         return new
 
     def _write(self, rows: DataFrame, level: int) -> dict[str, Any]:
@@ -144,13 +107,13 @@ class RunTable:
         """Runs that no manifest names: those that a lost writer, or one that is at work, left."""
         now = self.manifest()
         known = {r["name"] for r in now["runs"]} | {d["name"] for d in now["dropped"]}
-        return [n for n in self._names("") if n.startswith("run-") and n not in known]
+        return [n for n in self._manifest.names() if n.startswith("run-") and n not in known]
 
     def vacuum(self) -> int:
         """Removes orphans; only while no writer is at work."""
         gone = self.orphans()
         for name in gone:
-            self._fs.delete(self._at(name), True)
+            self._manifest.delete(name)
         return len(gone)
 
 
