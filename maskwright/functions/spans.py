@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import patterns as P
+from .arrays import let, scan
+from .names import fresh
 
 SPAN = "array<struct<label:string,start:int,end:int,ord:int>>"
 _FOUND = "array<struct<start:int,end:int,value:string>>"
@@ -62,14 +64,16 @@ def _marked_spans(text: Column, pattern: str, group: int, needs: str | None) ->
             F.length(F.substring_index(piece, _END, -1)).alias("gap"),
         )
 
-    def step(state: Column, p: Column) -> Column:
-        end = state["at"] + p["whole"]
+    def step(at: Column, p: Column) -> tuple[Column, Column]:
+        end = at + p["whole"]
         span = F.struct((end - F.length(p["value"])).alias("start"), end.alias("end"), p["value"].alias("value"))
-        return F.struct((end + p["gap"]).alias("at"), F.concat(state["found"], F.array(span)).alias("found"))
+        return end + p["gap"], F.array(span)
 
-    matches = F.transform(F.slice(pieces, 2, F.size(pieces)), parts)
-    start = F.struct(F.length(F.get(pieces, F.lit(0))).alias("at"), F.array().cast(_FOUND).alias("found"))
-    found = F.coalesce(F.aggregate(matches, start, step, lambda s: s["found"]), F.array().cast(_FOUND))
+    def all_of(pieces: Column) -> Column:
+        matches = F.transform(F.slice(pieces, 2, F.size(pieces)), parts)
+        return F.when(F.size(pieces) > 1, scan(matches, F.length(F.get(pieces, F.lit(0))), step, _FOUND))
+
+    found = F.coalesce(let(pieces, all_of), F.array().cast(_FOUND))
     return found if needs is None else F.when(text.rlike(needs), found).otherwise(F.array().cast(_FOUND))
 
 
@@ -148,15 +152,18 @@ def with_spans(
     are merged in a second one, so that no expression is computed twice.
     """
     detectors = detectors.detectors if isinstance(detectors, Registry) else tuple(detectors)
-    text = F.col("_unmarked")
-    clean = df.withColumn("_unmarked", unmarked(F.col(text_col)))
+    taken_names = [*df.columns, out]
+    clear, nth = fresh(taken_names, "unmarked"), fresh(taken_names, "found")
+    names = [fresh(taken_names, f"{nth}_{i}") for i in range(len(detectors))]
+    text = F.col(clear)
+    clean = df.withColumn(clear, unmarked(F.col(text_col)))
     found = clean.withColumns(
-        {f"_d{i}": _marked_spans(text, d.pattern, d.group, d.needs) for i, d in enumerate(detectors)}
+        {name: _marked_spans(text, d.pattern, d.group, d.needs) for name, d in zip(names, detectors, strict=True)}
     )
     taken: dict[str, list[Column]] = {}
     parts = []
     for i, d in enumerate(detectors):
-        own = F.col(f"_d{i}")
+        own = F.col(names[i])
         if d.valid is not None:
             own = _kept(own, d.valid)
         for other in taken.get(d.blocked_by or "", []):
@@ -165,7 +172,7 @@ def with_spans(
             taken.setdefault(d.blocks, []).append(own)
         parts.append(_labelled(own, d.label, i))
     merged = found.withColumn(out, order_spans(F.concat(*parts)) if parts else F.array().cast(SPAN))
-    return merged.drop("_unmarked", *[f"_d{i}" for i in range(len(detectors))])
+    return merged.drop(clear, *names)
 
 
 def _kept(own: Column, valid: Callable[[Column], Column]) -> Column:
@@ -173,7 +180,25 @@ def _kept(own: Column, valid: Callable[[Column], Column]) -> Column:
 
 
 def _outside(own: Column, other: Column) -> Column:
-    return F.filter(own, lambda s: ~F.exists(other, lambda o: (o["start"] <= s["start"]) & (s["start"] < o["end"])))
+    """Those of the spans that don't begin in one of the other ones: both in one order, with how far the others reach."""
+    marked = [
+        F.transform(
+            spans_,
+            lambda s: F.struct(
+                s["start"].alias("start"), F.lit(mine).alias("mine"), s["end"].alias("end"), s["value"].alias("value")
+            ),
+        )
+        for spans_, mine in ((other, 0), (own, 1))
+    ]
+
+    def step(reach: Column, x: Column) -> tuple[Column, Column]:
+        mine, none = x["mine"] == 1, F.array().cast(_FOUND)
+        span = F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
+        free = mine & (x["start"] >= reach)
+        return F.when(mine, reach).otherwise(F.greatest(reach, x["end"])), F.when(free, span).otherwise(none)
+
+    both = scan(F.array_sort(F.concat(*marked)), F.lit(0), step, _FOUND)
+    return F.when((F.size(own) == 0) | (F.size(other) == 0), own).otherwise(both)
 
 
 def _labelled(own: Column, label: str, nth: int) -> Column:
@@ -218,16 +243,26 @@ def mask(text: Column, found: Column) -> Column:
     """Replaces spans by ``[LABEL]`` from left to right; a span that starts before the end of the last one replaced is
     left out.
     """
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        piece = F.concat(s["out"], text.substr(s["at"] + 1, x["start"] - s["at"]), F.lit("["), x["label"], F.lit("]"))
-        skip = x["start"] < s["at"]
-        return F.struct(
-            F.when(skip, s["at"]).otherwise(x["end"]).alias("at"), F.when(skip, s["out"]).otherwise(piece).alias("out")
-        )
-
-    return F.aggregate(found, state, step, lambda s: F.concat(s["out"], text.substr(s["at"] + 1, F.length(text))))
+    none = F.array().cast("array<string>")
+
+    def stretch(at: Column, xs: Column) -> Column:
+        """Where a chunk's text begins, and that text: finding a place in a text takes as long as what is before it."""
+        end = F.greatest(F.array_max(F.transform(xs, lambda x: x["end"])), at)
+        return F.struct(at.alias("from"), text.substr(at + 1, end - at).alias("text"))
+
+    def step(at: Column, x: Column, here: Column) -> tuple[Column, Column]:
+        before = here["text"].substr(at - here["from"] + 1, x["start"] - at)
+        skip = x["start"] < at
+        shown = F.array(before, F.concat(F.lit("["), x["label"], F.lit("]")))
+        return F.when(skip, at).otherwise(x["end"]), F.when(skip, none).otherwise(shown)
+
+    def ends(at: Column, x: Column) -> Column:
+        return F.when(x["start"] < at, at).otherwise(x["end"])
+
+    last = F.aggregate(found, F.lit(0), ends)
+    masked = F.array_join(scan(found, F.lit(0), step, "array<string>", stretch), "")
+    whole = F.concat(masked, text.substr(last + 1, F.length(text)))
+    return F.when(found.isNotNull(), F.when(F.size(found) == 0, text).otherwise(whole))
 
 
 def text_report(

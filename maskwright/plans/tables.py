@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from ..operators import tabular as T
 from ..operators import vault as V
 from ..sources import files as S
+from ..sources.dealt import read_dealt
 
 #: The key of the tokens in these queries; a real one comes from the caller's configuration.
 KEY = "query-key"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return read_dealt(spark, path) if name in ("documents", "pages") else spark.read.parquet(path)
 
 
 def _policies(spark: SparkSession, *rows: tuple[str, str, str]) -> DataFrame:
