@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import fresh
+
 MAX_REGIONS = 4096
 MAX_PIXELS = 16_000_000
 
@@ -57,26 +59,38 @@ def validate_regions(
     return seen.select("image_id", reason.alias("reason"))
 
 
-def covered_runs(regions: DataFrame) -> DataFrame:
-    """(image_id, y, x0, x1): for each line of an image the disjoint runs that regions cover. A region gives a row for
-    each of its lines, never one for each pixel.
+def covered_slabs(regions: DataFrame) -> DataFrame:
+    """(image_id, y0, y1, x0, x1): disjoint rectangles that regions cover. The lines of an image are cut at the upper and
+    lower edges of its regions; between two such edges, in a slab, all lines are alike, so a region gives a row for each
+    slab that it crosses, however high the slabs are.
     """
-    lines = regions.where((F.col("w") > 0) & (F.col("h") > 0)).select(
-        "image_id",
-        F.explode(F.sequence(F.col("y"), F.col("y") + F.col("h") - 1)).alias("y"),
-        F.col("x").alias("x0"),
+    # Repeated regions are one.
+    filled = regions.where((F.col("w") > 0) & (F.col("h") > 0)).select(
+        "image_id", "y", (F.col("y") + F.col("h")).alias("below"), F.col("x").alias("x0"),
         (F.col("x") + F.col("w")).alias("x1"),
-    ).distinct()
-    line = Window.partitionBy("image_id", "y").orderBy("x0", "x1")
-    reach = F.max("x1").over(line.rowsBetween(Window.unboundedPreceding, -1))
-    marked = lines.withColumn("fresh", F.coalesce(F.col("x0") > reach, F.lit(True)).cast("int"))
-    grouped = marked.withColumn("run", F.sum("fresh").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    return grouped.groupBy("image_id", "y", "run").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("run")
+    ).distinct()
+    edges = filled.select("image_id", F.explode(F.array("y", "below")).alias("y0")).distinct()
+    slabs = edges.withColumn("y1", F.lead("y0").over(Window.partitionBy("image_id").orderBy("y0")))
+    inside = (F.col("y0") >= F.col("y")) & (F.col("y0") < F.col("below"))
+    crossed = filled.join(slabs, "image_id").where(inside).select("image_id", "y0", "y1", "x0", "x1").distinct()
+    slab = Window.partitionBy("image_id", "y0", "y1").orderBy("x0", "x1")
+    reach = F.max("x1").over(slab.rowsBetween(Window.unboundedPreceding, -1))
+    marked = crossed.withColumn("fresh", F.coalesce(F.col("x0") > reach, F.lit(True)).cast("int"))
+    grouped = marked.withColumn("run", F.sum("fresh").over(slab.rowsBetween(Window.unboundedPreceding, 0)))
+    return grouped.groupBy("image_id", "y0", "y1", "run").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("run")
+
+
+def covered_runs(regions: DataFrame) -> DataFrame:
+    """(image_id, y, x0, x1): for each line of an image the disjoint runs that regions cover, for what is known by line.
+    """
+    lines = F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("y")
+    return covered_slabs(regions).select("image_id", lines, "x0", "x1")
 
 
 def covered_pixels(regions: DataFrame) -> DataFrame:
     """(image_id, covered): pixels that at least one region covers."""
-    return covered_runs(regions).groupBy("image_id").agg(F.sum(F.col("x1") - F.col("x0")).alias("covered"))
+    area = (F.col("x1") - F.col("x0")).cast("long") * (F.col("y1") - F.col("y0"))
+    return covered_slabs(regions).groupBy("image_id").agg(F.sum(area).alias("covered"))
 
 
 def redaction_summary(images: DataFrame, regions: DataFrame) -> DataFrame:
@@ -141,11 +155,12 @@ def redaction_batch(manifest: DataFrame, images: DataFrame, regions: DataFrame)
     """Per manifest row (item_index, image_id, input_path, output_path): status redacted or failed, a code, and the
     redacted pixels. One failure does not stop the others.
     """
-    known = images.select("image_id", F.lit(True).alias("_known"))
+    mark = fresh([*manifest.columns, "reason", "covered"], "known")
+    known = images.select("image_id", F.lit(True).alias(mark))
     checked = manifest.join(validate_regions(images, regions), "image_id", "left").join(known, "image_id", "left")
     checked = checked.join(covered_pixels(regions), "image_id", "left")
     same = F.col("input_path") == F.col("output_path")
-    code = F.when(F.col("_known").isNull(), "missing_image").when(same, "output_is_input").otherwise(F.col("reason"))
+    code = F.when(F.col(mark).isNull(), "missing_image").when(same, "output_is_input").otherwise(F.col("reason"))
     status = F.when(code.isNull(), "redacted").otherwise("failed")
     pixels = F.when(code.isNull(), F.col("covered")).otherwise(0).cast("long")
     return checked.select(

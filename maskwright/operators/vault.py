@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import fresh
 from ..functions.text import is_blank, scope_key
 from ..sources.scratch import written
 from .components import components
@@ -279,6 +280,55 @@ def audit_page(
     )
 
 
+#: Sequence numbers of a stretch of the audit index.
+STRETCH = 65_536
+
+
+def audit_index(events: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """(at, kind, actor, n): the events of each stretch of sequence numbers, by kind and actor. Counts of appended events
+    can be appended; ``audit_page_at`` adds them up.
+    """
+    at = F.floor(F.col("seq") / stretch).cast("bigint").alias("at")
+    return events.groupBy(at, "kind", "actor").agg(F.count("*").alias("n"))
+
+
+def audit_page_at(
+    events: DataFrame, index: DataFrame, kind: str | None = None, actor: str | None = None, limit: int = MAX_PAGE,
+    offset: int = 0, stretch: int = STRETCH,
+) -> DataFrame:
+    """``audit_page`` by way of an ``audit_index`` with its ``stretch``: the index tells the total, and the stretches
+    that the page is in, so that only events of these are read and sorted, however deep the page is.
+    """
+    if limit <= 0 or offset < 0:
+        raise ValueError("limit must be positive and offset not negative")
+    limit = min(limit, MAX_PAGE)
+
+    def chosen(rows: DataFrame) -> DataFrame:
+        for name, value in (("kind", kind), ("actor", actor)):
+            rows = rows.where(F.col(name) == value) if value is not None else rows
+        return rows
+
+    newest = Window.orderBy(F.col("at").desc()).rowsBetween(Window.unboundedPreceding, 0)  # a row for each stretch
+    counts = chosen(index).groupBy("at").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(newest))
+    held = (F.col("upto") > offset) & (F.col("upto") - F.col("n") < offset + limit)
+    total, low, high, before = counts.agg(
+        F.coalesce(F.sum("n"), F.lit(0)),
+        F.min(F.when(held, F.col("at"))),
+        F.max(F.when(held, F.col("at"))),
+        F.min(F.when(held, F.col("upto") - F.col("n"))),
+    ).first()
+    inside = F.col("seq").between(low * stretch, high * stretch + stretch - 1) if low is not None else F.lit(False)
+    rows = chosen(events.where(inside)).orderBy(F.col("seq").desc())
+    more = total > offset + limit
+    return rows.offset(offset - (before or 0)).limit(limit).withColumns(
+        {
+            "total_matching_events": F.lit(total).cast("long"),
+            "has_more": F.lit(more),
+            "next_offset": F.lit(offset + limit if more else None).cast("long"),
+        }
+    )
+
+
 def sanitize_audit(events: DataFrame) -> DataFrame:
     """Events with a fixed phrase for each kind in place of the detail."""
     phrase = F.create_map(*[F.lit(x) for pair in SAFE_DETAIL.items() for x in pair])
@@ -298,11 +348,10 @@ def decode_summary(values: DataFrame) -> DataFrame:
 
 
 def chain(events: DataFrame, by: str = "stream") -> DataFrame:
-    """Events with ``hash``: the digest of the event and of the digests before it, by stream and seq, for evidence of
-    later changes.
+    """Events with ``hash``, a digest of the event's fields and of those of the event before it, by stream and seq.
 
-    Each event's own digest covers its fields; ``hash`` covers its own digest and the one before it, so a change, a loss
-    or a swap shows at the place where it was made.
+    A change, a loss or a swap shows at the place where it was made, and each event is checked with its neighbour alone.
+    What must bind the whole history, its end included, is sealed (``ledger.seal``).
     """
     own = F.sha2(
         F.concat_ws(
@@ -311,12 +360,14 @@ def chain(events: DataFrame, by: str = "stream") -> DataFrame:
         256,
     )
     order = Window.partitionBy(by).orderBy("seq")
-    return events.withColumn("_own", own).withColumn(
-        "hash", F.sha2(F.concat_ws("\x1f", F.lag("_own", 1, "").over(order), "_own"), 256)
-    ).drop("_own")
+    name = fresh(events.columns, "own")
+    return events.withColumn(name, own).withColumn(
+        "hash", F.sha2(F.concat_ws("\x1f", F.lag(name, 1, "").over(order), F.col(name)), 256)
+    ).drop(name)
 
 
 def verify_chain(events: DataFrame, by: str = "stream") -> DataFrame:
     """The events whose stored ``hash`` is not the one that their fields and the event before them give."""
-    again = chain(events.withColumnRenamed("hash", "_stored"), by)
-    return again.where(~F.col("hash").eqNullSafe(F.col("_stored"))).drop("hash").withColumnRenamed("_stored", "hash")
+    stored = fresh(events.columns, "stored")
+    again = chain(events.withColumnRenamed("hash", stored), by)
+    return again.where(~F.col("hash").eqNullSafe(F.col(stored))).drop("hash").withColumnRenamed(stored, "hash")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import ledger as L
 from ..operators import vault as V
 from ..operators.idindex import IdIndex
-from ..sources.scratch import scratch
+from ..sources.scratch import scratch, written
 from .tables import DECODE_SQL, EXPORT_SQL, _audit, _requests, _vault, table
 
 _SIZE = {"width": 256, "fan": 4}
@@ -125,5 +125,18 @@ def export_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.export_subset(_index(spark, sf_dir).lookup(ids), ids, requests)[0]
 
 
-QUERIES = {"decode_by_index": decode_by_index, "export_by_index": export_by_index, "ledger_seals": ledger_seals, "ledger_breaks": ledger_breaks, "import_chain": import_chain}
-ORACLES = {"decode_by_index": DECODE_SQL, "export_by_index": EXPORT_SQL, "ledger_seals": SEALS_SQL, "ledger_breaks": BREAKS_SQL, "import_chain": CHAIN_SQL}
+def audit_page_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page in the middle of one kind's events, by way of the audit index."""
+    events = _audit(spark, sf_dir)
+    index = written(V.audit_index(events, 512), "audit-index")
+    page = V.audit_page_at(events, index, "decode", None, 40, 1000, 512)
+    return page.select("seq", "id", "kind", "actor", "total_matching_events", "has_more", "next_offset")
+
+
+DEEP_SQL = """WITH m AS (SELECT event_id AS seq, 'ev-' || event_id AS id, 'decode' AS kind, 'user-' || user_id % 10 AS
+ actor, count(*) OVER () AS total_matching_events FROM events WHERE event_id % 4 = 1)
+SELECT *, total_matching_events > 1040 AS has_more, CASE WHEN total_matching_events > 1040 THEN 1040::BIGINT END AS
+ next_offset FROM m ORDER BY seq DESC LIMIT 40 OFFSET 1000"""
+
+QUERIES = {"audit_page_deep": audit_page_deep, "decode_by_index": decode_by_index, "export_by_index": export_by_index, "ledger_seals": ledger_seals, "ledger_breaks": ledger_breaks, "import_chain": import_chain}
+ORACLES = {"audit_page_deep": DEEP_SQL, "decode_by_index": DECODE_SQL, "export_by_index": EXPORT_SQL, "ledger_seals": SEALS_SQL, "ledger_breaks": BREAKS_SQL, "import_chain": CHAIN_SQL}

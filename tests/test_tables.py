@@ -125,6 +125,22 @@ def test_audit_pages(spark):
     assert [r["seq"] for r in last] == [1] and last[0]["next_offset"] is None
 
 
+def test_audit_pages_by_index(spark, tmp_path):
+    """Each page is that of a sort over all events, and reads few of them."""
+    rng = random.Random(2)
+    seqs = rng.sample(range(1000), 300)
+    rows = [(s, rng.choice(["decode", "encode"]), rng.choice("ab")) for s in seqs]
+    events = spark.createDataFrame(rows, "seq long, kind string, actor string")
+    index = V.audit_index(events, 32)
+    for kind, actor, limit, offset in [(None, None, 7, 0), ("decode", None, 10, 63), ("encode", "a", 100, 10), (None, "b", 5, 140), ("none", None, 5, 0), (None, None, 50, 299)]:
+        want = V.audit_page(events, kind, actor, limit, offset).collect()
+        assert V.audit_page_at(events, index, kind, actor, limit, offset, 32).collect() == want
+    path = str(tmp_path / "events")
+    events.repartitionByRange(20, "seq").sortWithinPartitions("seq").write.parquet(path)
+    page = V.audit_page_at(spark.read.parquet(path), index, None, None, 10, 200, 32)
+    assert "PushedFilters: [IsNotNull(seq), GreaterThanOrEqual(seq," in page._jdf.queryExecution().toString()
+
+
 def test_policies_in_json(spark):
     df = spark.createDataFrame(
         [
