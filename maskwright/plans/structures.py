@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import ledger as L
 from ..operators import vault as V
 from ..operators.idindex import IdIndex
+from ..operators.phrases import count_phrases, leaked_values
 from ..sources.scratch import scratch, written
 from .tables import DECODE_SQL, EXPORT_SQL, _audit, _requests, _vault, table
 
@@ -138,5 +139,33 @@ DEEP_SQL = """WITH m AS (SELECT event_id AS seq, 'ev-' || event_id AS id, 'decod
 SELECT *, total_matching_events > 1040 AS has_more, CASE WHEN total_matching_events > 1040 THEN 1040::BIGINT END AS
  next_offset FROM m ORDER BY seq DESC LIMIT 40 OFFSET 1000"""
 
-QUERIES = {"audit_page_deep": audit_page_deep, "decode_by_index": decode_by_index, "export_by_index": export_by_index, "ledger_seals": ledger_seals, "ledger_breaks": ledger_breaks, "import_chain": import_chain}
-ORACLES = {"audit_page_deep": DEEP_SQL, "decode_by_index": DECODE_SQL, "export_by_index": EXPORT_SQL, "ledger_seals": SEALS_SQL, "ledger_breaks": BREAKS_SQL, "import_chain": CHAIN_SQL}
+def _openings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(category, phrase): the first three words of each benchmark item, by the phrase's length."""
+    phrase = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
+    return table(spark, sf_dir, "benchmark").select(phrase.alias("phrase")).select(
+        F.concat(F.lit("k"), F.length("phrase") % 4).alias("category"), "phrase"
+    )
+
+
+def phrase_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often documents have the openings of benchmark items."""
+    return count_phrases(table(spark, sf_dir, "documents"), "text", ["doc_id"], _openings(spark, sf_dir))
+
+
+def phrase_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that have such an opening in any case, as a vault's values are looked for in reports."""
+    values = _openings(spark, sf_dir).select(F.upper("phrase").alias("value"))
+    return leaked_values(table(spark, sf_dir, "documents"), ["text", "source"], ["doc_id"], values)
+
+
+_OPENINGS = "openings AS (SELECT array_to_string(string_split(text, ' ')[1:3], ' ') AS phrase FROM benchmark)"
+PHRASES_SQL = f"""WITH {_OPENINGS}, listed AS (SELECT phrase, count(*) AS times FROM openings WHERE phrase <> '' GROUP BY
+ phrase) SELECT doc_id, 'k' || length(phrase) % 4 AS category, sum((length(text) - length(replace(text, phrase, ''))) //
+ length(phrase) * times)::BIGINT AS n FROM documents JOIN listed ON contains(text, phrase) GROUP BY ALL"""
+LEAKS_SQL = f"""WITH {_OPENINGS}, listed AS (SELECT DISTINCT lower(phrase) AS phrase FROM openings WHERE phrase <> ''), docs AS
+ (SELECT doc_id, lower(concat_ws(chr(10), text, source)) AS text FROM documents)
+SELECT doc_id, sum((length(text) - length(replace(text, phrase, ''))) // length(phrase))::BIGINT AS leaks FROM docs JOIN
+ listed ON contains(text, phrase) GROUP BY doc_id"""
+
+QUERIES = {"phrase_counts": phrase_counts, "phrase_leaks": phrase_leaks, "audit_page_deep": audit_page_deep, "decode_by_index": decode_by_index, "export_by_index": export_by_index, "ledger_seals": ledger_seals, "ledger_breaks": ledger_breaks, "import_chain": import_chain}
+ORACLES = {"phrase_counts": PHRASES_SQL, "phrase_leaks": LEAKS_SQL, "audit_page_deep": DEEP_SQL, "decode_by_index": DECODE_SQL, "export_by_index": EXPORT_SQL, "ledger_seals": SEALS_SQL, "ledger_breaks": BREAKS_SQL, "import_chain": CHAIN_SQL}
