@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .arrays import let, scan
+from .arrays import CHUNK, let, scan
 from .names import fresh
 
 SPAN = "array<struct<label:string,start:int,end:int,ord:int>>"
@@ -46,35 +46,30 @@ def unmarked(text: Column) -> Column:
     return F.when(text.rlike("[\x01-\x03]"), F.translate(text, "\x01\x02\x03", "\x04\x04\x04")).otherwise(text)
 
 
-def _marked_spans(text: Column, pattern: str, group: int, needs: str | None) -> Column:
-    """The spans of a text without marks: one pass puts marks around the matches, and the pieces between marks tell the
-    offsets.
+def _pieces(text: Column, pattern: str, group: int) -> Column:
+    """A text without marks, cut where matches begin: each piece but the first is the whole match, its group, and the
+    text up to the next match, with marks between.
     """
     folded = pattern.startswith("(?i)")
     regex = "(?Ui)" + pattern[4:] if folded else "(?U)" + pattern
-    # Each piece but the first: the whole match, its group, and the text up to the next match.
-    pieces = F.split(F.regexp_replace(text, regex, f"{_OPEN}$0{_SHUT}${group}{_END}"), _OPEN, -1)
-
-    def parts(piece: Column) -> Column:
-        whole = F.substring_index(piece, _SHUT, 1)
-        value = F.substring_index(F.substring_index(piece, _END, 1), _SHUT, -1)
-        return F.struct(
-            F.length(whole).alias("whole"),
-            value.alias("value"),
-            F.length(F.substring_index(piece, _END, -1)).alias("gap"),
-        )
-
-    def step(at: Column, p: Column) -> tuple[Column, Column]:
-        end = at + p["whole"]
-        span = F.struct((end - F.length(p["value"])).alias("start"), end.alias("end"), p["value"].alias("value"))
-        return end + p["gap"], F.array(span)
-
-    def all_of(pieces: Column) -> Column:
-        matches = F.transform(F.slice(pieces, 2, F.size(pieces)), parts)
-        return F.when(F.size(pieces) > 1, scan(matches, F.length(F.get(pieces, F.lit(0))), step, _FOUND))
-
-    found = F.coalesce(let(pieces, all_of), F.array().cast(_FOUND))
-    return found if needs is None else F.when(text.rlike(needs), found).otherwise(F.array().cast(_FOUND))
+    return F.split(F.regexp_replace(text, regex, f"{_OPEN}$0{_SHUT}${group}{_END}"), _OPEN, -1)
+
+
+#: The spans of pieces, in time proportional to them: offsets are running sums of the pieces' lengths, and as appending
+#: copies an array, those of a chunk are gathered before they are appended. As text, as there are many detectors.
+_SPANS = f"""coalesce(aggregate(
+  CASE WHEN size({{0}}) > 1 THEN sequence(0, cast(floor((size({{0}}) - 2) / {CHUNK}) AS int)) ELSE array() END,
+  named_struct('at', length({{0}}[0]), 'out', cast(array() AS {_FOUND})),
+  (whole, i) -> aggregate(
+    transform(slice({{0}}, i * {CHUNK} + 2, {CHUNK}), p -> named_struct(
+      'all', length(substring_index(p, '{_SHUT}', 1)),
+      'value', substring_index(substring_index(p, '{_END}', 1), '{_SHUT}', -1),
+      'gap', length(substring_index(p, '{_END}', -1)))),
+    named_struct('at', whole.at, 'out', cast(array() AS {_FOUND})),
+    (own, p) -> named_struct('at', own.at + p.all + p.gap, 'out', concat(own.out, array(named_struct(
+      'start', own.at + p.all - length(p.value), 'end', own.at + p.all, 'value', p.value)))),
+    own -> named_struct('at', own.at, 'out', concat(whole.out, own.out))),
+  whole -> whole.out), cast(array() AS {_FOUND}))"""
 
 
 def spans(text: Column, pattern: str, group: int = 0, needs: str | None = None) -> Column:
@@ -83,7 +78,22 @@ def spans(text: Column, pattern: str, group: int = 0, needs: str | None = None)
 
     No match, or null text: an empty array. ``needs`` is a cheap pattern that each text with a match has.
     """
-    return _marked_spans(unmarked(text), pattern, group, needs)
+    def offsets(p: Column) -> tuple[Column, Column, Column]:
+        whole, value = F.substring_index(p, _SHUT, 1), F.substring_index(F.substring_index(p, _END, 1), _SHUT, -1)
+        return F.length(whole), value, F.length(F.substring_index(p, _END, -1))
+
+    def step(at: Column, p: Column) -> tuple[Column, Column]:
+        whole, value, gap = offsets(p)
+        end = at + whole
+        span = F.struct((end - F.length(value)).alias("start"), end.alias("end"), value.alias("value"))
+        return end + gap, F.array(span)
+
+    def all_of(ps: Column) -> Column:
+        return F.when(F.size(ps) > 1, scan(F.slice(ps, 2, F.size(ps)), F.length(F.get(ps, F.lit(0))), step, _FOUND))
+
+    clean, none = unmarked(text), F.array().cast(_FOUND)
+    found = F.coalesce(let(_pieces(clean, pattern, group), all_of), none)
+    return found if needs is None else F.when(clean.rlike(needs), found).otherwise(none)
 
 
 def valid_dea(value: Column) -> Column:
@@ -153,26 +163,28 @@ def with_spans(
     """
     detectors = detectors.detectors if isinstance(detectors, Registry) else tuple(detectors)
     taken_names = [*df.columns, out]
-    clear, nth = fresh(taken_names, "unmarked"), fresh(taken_names, "found")
-    names = [fresh(taken_names, f"{nth}_{i}") for i in range(len(detectors))]
-    text = F.col(clear)
-    clean = df.withColumn(clear, unmarked(F.col(text_col)))
-    found = clean.withColumns(
-        {name: _marked_spans(text, d.pattern, d.group, d.needs) for name, d in zip(names, detectors, strict=True)}
+    clear, start = fresh(taken_names, "unmarked"), fresh(taken_names, "detected")
+    cut, names = ([fresh(taken_names, f"{start}_{kind}_{i}") for i in range(len(detectors))] for kind in ("cut", "own"))
+    text, found = F.col(clear), df.withColumn(clear, unmarked(F.col(text_col)))
+    cuts = {}
+    for name, d in zip(cut, detectors, strict=True):
+        pieces = _pieces(text, d.pattern, d.group)
+        cuts[name] = pieces if d.needs is None else F.when(text.rlike(d.needs), pieces)
+    found = found.withColumns(cuts).withColumns(
+        {name: F.expr(_SPANS.format(f"`{pieces}`")) for name, pieces in zip(names, cut, strict=True)}
     )
-    taken: dict[str, list[Column]] = {}
-    parts = []
-    for i, d in enumerate(detectors):
-        own = F.col(names[i])
+    # Detectors that depend on others come one after the other, each as a column.
+    taken: dict[str, list[str]] = {}
+    for name, d in zip(names, detectors, strict=True):
         if d.valid is not None:
-            own = _kept(own, d.valid)
+            found = found.withColumn(name, _kept(F.col(name), d.valid))
         for other in taken.get(d.blocked_by or "", []):
-            own = _outside(own, other)
+            found = found.withColumn(name, _outside(F.col(name), F.col(other)))
         if d.blocks:
-            taken.setdefault(d.blocks, []).append(own)
-        parts.append(_labelled(own, d.label, i))
+            taken.setdefault(d.blocks, []).append(name)
+    parts = [_labelled(F.col(name), d.label, i) for i, (name, d) in enumerate(zip(names, detectors, strict=True))]
     merged = found.withColumn(out, order_spans(F.concat(*parts)) if parts else F.array().cast(SPAN))
-    return merged.drop(clear, *names)
+    return merged.drop(clear, *cut, *names)
 
 
 def _kept(own: Column, valid: Callable[[Column], Column]) -> Column:
@@ -298,12 +310,19 @@ def text_report(
     )
 
 
+def each_span(found: DataFrame, others: Sequence[str], spans_col: str = "spans", name: str = "s") -> DataFrame:
+    """A row for each span. An outer explode: of an inner one the optimiser makes a filter on the array's size, which it
+    moves below the detectors, so that they run twice.
+    """
+    return found.select(*others, F.explode_outer(spans_col).alias(name)).where(F.col(name).isNotNull())
+
+
 def label_counts(
     df: DataFrame, text_col: str, by: Sequence[str], detectors: Sequence[Detector] | Registry = DEFAULT
 ) -> DataFrame:
     """(by, label, n): spans by the given columns and label."""
     found = with_spans(df.select(*by, text_col), text_col, detectors, "_spans")
-    return found.select(*by, F.explode("_spans.label").alias("label")).groupBy(*by, "label").agg(
+    return each_span(found, by, "_spans.label", "label").groupBy(*by, "label").agg(
         F.count("*").alias("n")
     )
 
@@ -313,6 +332,7 @@ __all__ = [
     "Detector",
     "Registry",
     "category_counts",
+    "each_span",
     "label_counts",
     "mask",
     "order_spans",

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.spans import DEFAULT, Detector, Registry, label_counts, with_spans
+from ..functions.spans import DEFAULT, Detector, Registry, each_span, label_counts, with_spans
 from ..functions.text import is_blank, normalize_labels, squash_ws
 from ..sources.scratch import written
 from .redact import redact_json
@@ -150,7 +150,7 @@ def corpus_summary(docs: DataFrame, text_col: str, detectors: Sequence[Detector]
     """One row: document_count, total_detected_span_count, category_counts; nothing about single documents."""
     found = with_spans(docs.select(text_col), text_col, detectors, "_spans")
     totals = docs.agg(F.count("*").alias("document_count"))
-    by_label = found.select(F.explode("_spans.label").alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+    by_label = each_span(found, [], "_spans.label", "label").groupBy("label").agg(F.count("*").alias("n"))
     counts = by_label.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_detected_span_count"),
         _counts_map(F.collect_list(F.struct("label", "n"))).alias("category_counts"),

@@ -272,7 +272,7 @@ def phone_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phone numbers with extensions, short and overlong, and plain, in texts made from each document."""
     found = P.with_spans(_phones(spark, sf_dir), "text", P.Registry().only("FAX", "PHONE"))
     value = F.col("text").substr(F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
-    rows = found.select("doc_id", "text", F.explode("spans").alias("s")).select(
+    rows = P.each_span(found, ["doc_id", "text"]).select(
         "doc_id", F.col("s.label").alias("label"), value.alias("value")
     )
     return rows.groupBy("doc_id", "label", "value").agg(F.count("*").alias("n"))
@@ -300,7 +300,7 @@ def passports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Letters with eight digits, but not those that a record number or an id is made of."""
     found = P.with_spans(_passport_texts(spark, sf_dir), "text", P.Registry().only("PASSPORT"))
     value = F.col("text").substr(F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
-    return found.select("doc_id", "text", F.explode("spans").alias("s")).select(
+    return P.each_span(found, ["doc_id", "text"]).select(
         "doc_id", F.col("s.start").cast("long").alias("at"), value.alias("value")
     )
 
