@@ -170,13 +170,22 @@ def _open(members: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def near_copies(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, share: float = 0.8, rounds: int = 2
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, share: float = 0.8, rounds: int = 1
 ) -> DataFrame:
-    """(node, component) for each document that has a near copy: its id and the smallest id that links reach.
+    """(node, component) for each document that has a near copy: its id and the smallest id that links (``near_links``)
+    reach.
+    """
+    return connected_components(near_links(docs, id_col, text_col, k, share, rounds), SMALL)
+
+
+def near_links(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, share: float = 0.8, rounds: int = 1
+) -> DataFrame:
+    """(a, b): links between documents, a < b, as many as join all documents that links join.
 
     Two documents are linked if their sets of ``k``-word shingles, of the text with A-Z lower-cased, have a Jaccard
     similarity of at least ``share`` and a band in common, which pairs that similar lack by chance once in 150,000 at
-    0.8; pairs that two rounds with hubs leave in different groups are found without bands if they share a rare shingle,
+    0.8; pairs that ``rounds`` rounds with hubs leave in different groups are found without bands if they share a rare shingle,
     and are else lost by their sketches once in a million. Sets are compared whole, by 64-bit hashes. A text of fewer words has one shingle, all its words; null, empty
     and blank texts are alike. Ids are taken to be unique; documents with a null id are not looked at.
     """
@@ -244,4 +253,4 @@ def near_copies(
             left = _open(members, edges)
             if left.isEmpty():
                 break
-    return connected_components(edges, SMALL)
+    return edges
