@@ -17,7 +17,7 @@ from maskwright.llm.exact_dedup import exact_dedup
 from maskwright.llm.filters import drop_listed, only_listed
 from maskwright.llm.mixing import mix
 from maskwright.llm.names import fresh, quoted
-from maskwright.llm.near_copies import near_copies
+from maskwright.llm.near_copies import near_links
 from maskwright.llm.quality import score_quality
 from maskwright.llm.simhash import simhash_groups
 from maskwright.llm.storage import materialize
@@ -73,9 +73,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     close = simhash_groups(nodes, "node", "text", k=5).select(
         F.col("doc_id").alias("a"), F.col("component_id").alias("b")
     )
-    alike = near_copies(nodes, "node", "text", k=5, share=0.8).select(
-        F.col("node").alias("a"), F.col("component").alias("b")
-    )
+    alike = near_links(nodes, "node", "text", k=5, share=0.8)
     groups = connected_components(close.unionByName(alike), SMALL)
     others = groups.where(F.col("node") != F.col("component")).select(F.col("node").alias(name))
     return _drop(
