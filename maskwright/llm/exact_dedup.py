@@ -52,13 +52,17 @@ class DigestIndex:
             F.col(id_col).alias("id"), F.sha2(text, 256).alias("text_sha256"), self.digest(text).alias("digest")
         )
 
-    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 1) -> DataFrame:
-        """Adds documents, dealt to ``batches`` batches; the rows (id, text_sha256, digest) that were added."""
+    def add(
+        self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 1, name: str | None = None
+    ) -> DataFrame:
+        """Adds documents, dealt to ``batches`` batches; the rows (id, text_sha256, digest) that were added. Under a
+        ``name`` they are added once, however often a call is repeated after a failure.
+        """
         rows = materialize(self._rows(docs, id_col, text_col), "digest-rows")
         for k in range(batches):
             own = rows.where(F.pmod(F.xxhash64("id", "digest"), F.lit(batches)) == k)
-            hits = self.runs.add(own.select("digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("n")))
-            hits.write.mode("append").parquet(f"{self.runs.path}/hits")
+            keys = own.select("digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("n"))
+            self.runs.add(keys, None if name is None else f"{name}/{k}/{batches}")
         return rows
 
     def groups(
@@ -71,7 +75,7 @@ class DigestIndex:
         ``add`` returned, if they are at hand.
         """
         rows = self._rows(docs, id_col, text_col) if rows is None else rows
-        hits = materialize(self.runs.spark.read.parquet(f"{self.runs.path}/hits").distinct(), "hits")
+        hits = materialize(self.runs.hits(), "hits")
         alone = drop_listed(rows, hits, ["digest"])
         alone = alone.select(
             F.col("id").alias("doc_id"),

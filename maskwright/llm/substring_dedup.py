@@ -25,6 +25,7 @@ from .sorted_runs import SortedRuns
 from .storage import materialize, new_path
 from .wordstream import Words, blocks, grams, joined_words, sliding_min, utf8
 
+PIECES = "v bigint, k1 bigint, k2 bigint, first int, size int, c1 bigint, c2 bigint, weight bigint"
 #: Windows of a piece at most; longer runs, as of one word over and over, are cut.
 PIECE = 31
 
@@ -85,8 +86,7 @@ def fingerprints(texts: DataFrame, window: int, gram: int) -> DataFrame:
                 cols = [*where, ctx[:, 0], ctx[:, 1], 1 + twice.astype(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
 
-    schema = "v bigint, k1 bigint, k2 bigint, first int, size int, c1 bigint, c2 bigint, weight bigint"
-    return texts.select("k1", "k2", "text").mapInArrow(run, schema)
+    return texts.select("k1", "k2", "text").mapInArrow(run, PIECES)
 
 
 _PIECE = ("first", "size", "v", "single", "k1", "k2")
@@ -231,23 +231,36 @@ class PassageIndex:
         texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         return texts.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64("doc_id")})
 
-    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 1) -> None:
-        """Adds documents, dealt to ``batches`` batches."""
-        path = f"{self.runs.path}/pieces/{uuid4().hex}"
-        fingerprints(self._keyed(docs, id_col, text_col), self.window, self.gram).write.parquet(path)
-        pieces = self.runs.spark.read.parquet(path)
+    def add(
+        self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 1, name: str | None = None
+    ) -> None:
+        """Adds documents, dealt to ``batches`` batches. Under a ``name`` they are added once, however often a call is
+        repeated after a failure.
+        """
+        own = f"pieces-{uuid4().hex}"
+        part = F.pmod("k1", F.lit(batches)).cast("int").alias("part")
+        rows = fingerprints(self._keyed(docs, id_col, text_col), self.window, self.gram).select("*", part)
+        rows.write.partitionBy("part").parquet(f"{self.runs.path}/{own}")
         for k in range(batches):
-            own = pieces.where(F.pmod("k1", F.lit(batches)) == k)
-            hits = self.runs.add(own.select("v", F.col("weight").alias("n")))
-            hits.write.mode("append").parquet(f"{self.runs.path}/hits")
+            place = f"{own}/part={k}"
+            # The pieces count with the batch's commit, and not before.
+            there = self.runs.manifest.exists(place)
+            keys = self._pieces([place] if there else []).select("v", F.col("weight").alias("n"))
+            self.runs.add(keys, None if name is None else f"{name}/{k}/{batches}", place if there else None)
+
+    def _pieces(self, places: list[str]) -> DataFrame:
+        spark = self.runs.spark
+        if not places:
+            return spark.createDataFrame([], PIECES)
+        return spark.read.schema(PIECES).parquet(*[f"{self.runs.path}/{p}" for p in places])
 
     def remove(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """One row per row of ``docs``, which holds all documents that were added so far: doc_id, n_words, n_removed,
         text.
         """
-        spark, keyed = self.runs.spark, self._keyed(docs, id_col, text_col)
-        hits = materialize(spark.read.parquet(f"{self.runs.path}/hits").distinct(), "hits")
-        found = _repeated_ranges(keyed, spark.read.parquet(f"{self.runs.path}/pieces/*"), hits, self.window)
+        keyed = self._keyed(docs, id_col, text_col)
+        hits = materialize(self.runs.hits(), "hits")
+        found = _repeated_ranges(keyed, self._pieces(self.runs.state["beside"]), hits, self.window)
         packed = F.shiftleft(F.col("first").cast("long"), 32).bitwiseOR(F.col("words").cast("long"))
         ranges = materialize(found.groupBy("k1", "k2").agg(F.collect_set(packed).alias("ranges")), "ranges")
         # Texts that lose nothing are not shuffled.

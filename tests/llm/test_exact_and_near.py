@@ -23,6 +23,7 @@ from maskwright.llm.storage import shared_folder
 from maskwright.llm.substring_dedup import PassageIndex, remove_repeats
 from maskwright.llm.wordstream import Words, blocks, sliding_min, utf8
 from maskwright.llm.xxh64 import xxh64_slices
+from maskwright.sources.manifest import Conflict
 
 DOCS = "doc_id long, text string, n long, keep_id string, ranges string"
 
@@ -64,11 +65,16 @@ def test_runs_grow_by_batches(spark):
     runs = SortedRuns(spark, "digest", merge, tier=2)
     batches = [[("a", 3, 1), ("b", 2, 1), ("a", 9, 1)], [("a", 1, 1), ("c", 5, 1)], [("d", 7, 1), ("c", 4, 1)], []]
     frames = [spark.createDataFrame(b, "digest string, keep_id long, n long") for b in batches]
-    repeated = [{r["digest"] for r in runs.add(f).collect()} for f in frames[:2]]
+
+    def hits(runs, frame):
+        runs.add(frame)
+        return {r["digest"] for r in runs.hits().collect()}
+
+    repeated = [hits(runs, f) for f in frames[:2]]
     assert list(runs.levels.values()) == [1]
     runs = SortedRuns.open(spark.newSession(), "digest", merge, runs.path, tier=2)
-    repeated += [{r["digest"] for r in runs.add(f).collect()} for f in frames[2:]]
-    assert repeated == [{"a"}, {"a"}, {"c"}, set()]
+    repeated += [hits(runs, f) for f in frames[2:]]
+    assert repeated == [{"a"}, {"a"}, {"a", "c"}, {"a", "c"}]
     assert list(runs.levels.values()) == [2]
     want = [("a", 1, 3), ("b", 2, 1), ("c", 4, 2), ("d", 7, 1)]
     again = SortedRuns.open(spark, "digest", merge, runs.path)
@@ -111,6 +117,79 @@ def test_index_over_sessions(spark):
     assert Counter(map(tuple, left.collect())) == _brute_windows(rows, 7)
 
 
+@pytest.mark.parametrize("step", ["rows", "filter", "hits", "commit", "merge"])
+def test_indexes_survive_a_lost_driver(spark, monkeypatch, step):
+    """A driver that is lost at any step of adding a batch; a new one opens the index, adds the batch again, and all is
+    as if nothing had happened.
+    """
+    rng = random.Random(step)
+    words = lambda n: " ".join(f"w{rng.randrange(10_000)}" for _ in range(n))
+    shared = words(12)
+    rows = [(i, f"{words(5)} {shared} {words(5)}" if i % 4 == 0 else words(15)) for i in range(12)] + [(90, "a"), (91, "b")]
+    more = [(100, "a"), (101, words(20)), (102, f"{words(3)} {shared}"), (103, "")]
+    paths = [f"{shared_folder(spark)}/lost-{step}-{name}" for name in ("digests", "passages")]
+    parts = [rows[:7], rows[7:], more]
+
+    def opened(again=True):
+        d, p = DigestIndex.create(spark, paths[0], again=again), PassageIndex.create(spark, paths[1], 7, 3, again=again)
+        d.runs.tier = p.runs.tier = 3
+        return d, p
+
+    def lose(index):
+        writer = type(spark.range(0).write)
+        real, failed = {n: getattr(o, n) for o, n in ((writer, "parquet"), (SortedRuns, "_commit"), (SortedRuns, "_replace"))}, []
+
+        def parquet(self, path, *args, **kw):
+            out = real["parquet"](self, path, *args, **kw)
+            if step in ("rows", "filter", "hits") and path.startswith(index.runs.path) and path.endswith(f"/{step}"):
+                failed.append(path)
+                raise RuntimeError("lost")
+            return out
+
+        def other(name):
+            def call(self, *args, **kw):
+                failed.append(name)
+                raise RuntimeError("lost")
+
+            return call
+
+        with monkeypatch.context() as m:
+            m.setattr(writer, "parquet", parquet)
+            if step in ("commit", "merge"):
+                name = "_commit" if step == "commit" else "_replace"
+                m.setattr(SortedRuns, name, other(name))
+            with pytest.raises(RuntimeError, match="lost"):
+                index.add(_docs(spark, more), name="2")
+        assert failed
+
+    for k in range(2):
+        for index in opened(again=k > 0):
+            index.add(_docs(spark, parts[k]), name=str(k))
+    for index in opened():
+        lose(index)
+    for _ in range(2):  # a call too many does no harm
+        for index in opened():
+            index.add(_docs(spark, more), name="2")
+    digests, passages = opened()
+    docs = rows + more
+    same = lambda t: [d for d, u in docs if u == t]
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in digests.groups(_docs(spark, docs)).collect()}
+    assert got == {d: (min(same(t)), len(same(t)), d == min(same(t))) for d, t in docs}
+    assert Counter(map(tuple, passages.remove(_docs(spark, docs)).collect())) == _brute_windows(docs, 7)
+    assert digests.runs.rows().agg(F.sum("n")).first()[0] == len(docs)
+    digests.runs.vacuum(), passages.runs.vacuum()
+    assert Counter(map(tuple, passages.remove(_docs(spark, docs)).collect())) == _brute_windows(docs, 7)
+
+
+def test_two_writers_of_an_index(spark):
+    path = f"{shared_folder(spark)}/two-writers"
+    one, two = (DigestIndex.create(spark, path) for _ in range(2))
+    one.add(_docs(spark, [(1, "a")]))
+    with pytest.raises(Conflict):
+        two.add(_docs(spark, [(2, "a")]))
+    assert DigestIndex.create(spark, path, again=True).runs.rows().count() == 1
+
+
 def test_filters(spark):
     rows = spark.range(1000).withColumn("id", F.when(F.col("id") != 5, F.col("id")))
     listed = spark.range(0, 1000, 7)
