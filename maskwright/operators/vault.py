@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from ..functions.names import fresh
 from ..functions.text import is_blank, scope_key
+from ..sources.keys import Key
 from ..sources.scratch import written
 from .components import components
+from .ledger import field
 
 SCOPE = ["job_id", "artifact_id", "field_path"]
 IDENTITY = ["phi_type", "original_value"]
@@ -31,17 +33,24 @@ SAFE_DETAIL = {
 MAX_PAGE = 100
 
 
-def token(key: str | Column, phi_type: Column, value: Column) -> Column:
-    """``tok-`` and 32 hexadecimal digits of a keyed SHA-256: the same for a type and value wherever it is computed. The
-    key comes from the caller's configuration.
+def _keyed(key: str | Column | Key, *parts: Column) -> Column:
+    """A digest of some texts that only holders of the key can make. A ``Key`` is the way to give one: the digest is an
+    HMAC over the parts with their lengths, and no plan shows the key. A text or column is for tests and for tokens of
+    earlier versions: it is hashed before the parts, and is part of the plan.
     """
-    key = F.lit(key) if isinstance(key, str) else key
-    return F.concat(F.lit("tok-"), F.substring(F.sha2(F.concat_ws("\x1f", key, phi_type, value), 256), 1, 32))
+    if isinstance(key, Key):
+        return key.hmac(F.concat(*map(field, parts)))
+    return F.sha2(F.concat_ws("\x1f", F.lit(key) if isinstance(key, str) else key, *parts), 256)
 
 
-def record_id(key: str, *scope: Column) -> Column:
+def token(key: str | Column | Key, phi_type: Column, value: Column) -> Column:
+    """``tok-`` and 32 hexadecimal digits of a keyed digest: the same for a type and value wherever it is computed."""
+    return F.concat(F.lit("tok-"), F.substring(_keyed(key, phi_type, value), 1, 32))
+
+
+def record_id(key: str | Key, *scope: Column) -> Column:
     """A UUID-shaped name of a record, from its identity."""
-    h = F.sha2(F.concat_ws("\x1f", F.lit(f"{key}:record"), *scope), 256)
+    h = _keyed(key, F.lit("record"), *scope) if isinstance(key, Key) else _keyed(f"{key}:record", *scope)
     return F.concat_ws(
         "-",
         F.substring(h, 1, 8),
@@ -57,7 +66,7 @@ def _first(vault: DataFrame) -> DataFrame:
     return vault.groupBy(*IDENTITY).agg(F.min_by("token", "seq").alias("known"))
 
 
-def ensure_mappings(candidates: DataFrame, vault: DataFrame, key: str) -> DataFrame:
+def ensure_mappings(candidates: DataFrame, vault: DataFrame, key: str | Key) -> DataFrame:
     """The records to append for ``candidates`` (scope, type, value): none for a record that is there, the known token
     for a known value, a keyed one otherwise.
 

@@ -9,8 +9,9 @@ from ..operators import ledger as L
 from ..operators import vault as V
 from ..operators.idindex import IdIndex
 from ..operators.phrases import count_phrases, leaked_values
+from ..sources.keys import Key
 from ..sources.scratch import scratch, written
-from .tables import DECODE_SQL, EXPORT_SQL, _audit, _requests, _vault, table
+from .tables import DECODE_SQL, EXPORT_SQL, KEY, _audit, _requests, _vault, table
 
 _SIZE = {"width": 256, "fan": 4}
 
@@ -167,5 +168,32 @@ LEAKS_SQL = f"""WITH {_OPENINGS}, listed AS (SELECT DISTINCT lower(phrase) AS ph
 SELECT doc_id, sum((length(text) - length(replace(text, phrase, ''))) // length(phrase))::BIGINT AS leaks FROM docs JOIN
  listed ON contains(text, phrase) GROUP BY doc_id"""
 
-QUERIES = {"phrase_counts": phrase_counts, "phrase_leaks": phrase_leaks, "audit_page_deep": audit_page_deep, "decode_by_index": decode_by_index, "export_by_index": export_by_index, "ledger_seals": ledger_seals, "ledger_breaks": ledger_breaks, "import_chain": import_chain}
-ORACLES = {"phrase_counts": PHRASES_SQL, "phrase_leaks": LEAKS_SQL, "audit_page_deep": DEEP_SQL, "decode_by_index": DECODE_SQL, "export_by_index": EXPORT_SQL, "ledger_seals": SEALS_SQL, "ledger_breaks": BREAKS_SQL, "import_chain": CHAIN_SQL}
+def _key(spark: SparkSession) -> Key:
+    """The queries' key as a file; a real one is put there by the caller's own means."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch(spark, "key"))
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+    out.write(KEY.encode())
+    out.close()
+    return Key(spark, path.toString())
+
+
+def hmac_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New mappings of all customers, keyed by HMAC with a key that no plan shows."""
+    c = table(spark, sf_dir, "customer")
+    candidates = c.select(
+        F.lit("job").alias("job_id"), F.lit("customers").alias("artifact_id"),
+        F.concat(F.lit("rows/"), F.col("c_custkey")).alias("field_path"), F.lit("NAME").alias("phi_type"),
+        F.col("c_name").alias("original_value"),
+    )
+    made = V.ensure_mappings(candidates, _vault(spark, sf_dir), _key(spark))
+    return made.select("field_path", "original_value", "token", F.length("id").alias("id_length"))
+
+
+_PADS = ["".join(f"{b ^ mask:02X}" for b in KEY.encode().ljust(64, b"\0")) for mask in (0x36, 0x5C)]
+HMAC_SQL = f"""WITH m AS (SELECT 'rows/' || c_custkey AS field_path, c_name AS original_value, '4:NAME' ||
+ coalesce(strlen(c_name) || ':' || c_name, '-') AS message FROM customer)
+SELECT field_path, original_value, 'tok-' || substr(sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') ||
+ encode(message)))), 1, 32) AS token, 36 AS id_length FROM m"""
+
+QUERIES = {"hmac_mappings": hmac_mappings, "phrase_counts": phrase_counts, "phrase_leaks": phrase_leaks, "audit_page_deep": audit_page_deep, "decode_by_index": decode_by_index, "export_by_index": export_by_index, "ledger_seals": ledger_seals, "ledger_breaks": ledger_breaks, "import_chain": import_chain}
+ORACLES = {"hmac_mappings": HMAC_SQL, "phrase_counts": PHRASES_SQL, "phrase_leaks": LEAKS_SQL, "audit_page_deep": DEEP_SQL, "decode_by_index": DECODE_SQL, "export_by_index": EXPORT_SQL, "ledger_seals": SEALS_SQL, "ledger_breaks": BREAKS_SQL, "import_chain": CHAIN_SQL}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import is_blank
+from .keys import Key
 from .scratch import written
 
 MAX_TEXT_BYTES = 1 << 20
@@ -210,19 +211,24 @@ def classify_files(
     return inventory.select(*columns, reason.alias("reason"))
 
 
-def write_snapshot(records: DataFrame, path: str, key: str | None = None, mode: str = "error") -> None:
-    """Mapping records as Parquet, with the value encrypted (AES-GCM) if a key of 16, 24 or 32 bytes is given."""
+def _secret(key: str | Key) -> Column:
+    return key.content() if isinstance(key, Key) else F.lit(key)
+
+
+def write_snapshot(records: DataFrame, path: str, key: str | Key | None = None, mode: str = "error") -> None:
+    """Mapping records as Parquet, with the value encrypted (AES-GCM) if a key of 16, 24 or 32 bytes is given; as a
+    ``Key`` it is not part of the plan.
+    """
     if key is not None:
-        records = records.withColumn(
-            "original_value", F.base64(F.aes_encrypt(F.col("original_value").cast("binary"), F.lit(key), F.lit("GCM")))
-        )
+        value = F.aes_encrypt(F.col("original_value").cast("binary"), _secret(key), F.lit("GCM"))
+        records = records.withColumn("original_value", F.base64(value))
     records.write.mode(mode).parquet(path)
 
 
-def read_snapshot(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
+def read_snapshot(spark: SparkSession, path: str, key: str | Key | None = None) -> DataFrame:
     records = spark.read.parquet(path)
     return records if key is None else records.withColumn(
-        "original_value", F.aes_decrypt(F.unbase64("original_value"), F.lit(key), F.lit("GCM")).cast("string")
+        "original_value", F.aes_decrypt(F.unbase64("original_value"), _secret(key), F.lit("GCM")).cast("string")
     )
 
 
