@@ -167,9 +167,11 @@ def test_indexes_survive_a_lost_driver(spark, monkeypatch, step):
             index.add(_docs(spark, parts[k]), name=str(k))
     for index in opened():
         lose(index)
-    for _ in range(2):  # a call too many does no harm
-        for index in opened():
-            index.add(_docs(spark, more), name="2")
+    for index in opened():
+        index.add(_docs(spark, more), name="2")
+        state = index.runs.manifest.read()
+        index.add(_docs(spark, more), name="2")  # a call too many does no harm
+        assert index.runs.manifest.read() == state
     digests, passages = opened()
     docs = rows + more
     same = lambda t: [d for d, u in docs if u == t]
