@@ -101,18 +101,29 @@ class _Holder:
         self.level = (2 if talk else 0) if self.main else level
         self.talk = talk or (up is not None and up.talk)
         self.article = (self.main and not self.talk) or (up is not None and up.article)
-        is_header = tag == "header" and not (up is not None and up.article)
-        self.beside = tag in _BESIDE or is_header or (up is not None and up.beside)
-        if self.main and not self.talk and not self.beside:
+        self.apart = tag in _BESIDE or (tag == "header" and not (up is not None and up.article))
+        if self.apart or (self.main and not self.talk):
+            # A form around an article, or around other parts of a page, is no part of it, but the page's own form.
+            for form in self.above():
+                if form.tag == "form":
+                    form.apart = False
+        if self.main and not self.talk and not self.beside():
             # Elements that hold the main text are not parts beside it, whatever their names.
-            while up is not None:
-                up.level, up = 0, up.up
+            for holder in self.above():
+                holder.level = 0
 
-    def hint(self) -> int:
-        level, at = 0, self
+    def above(self) -> Iterator[_Holder]:
+        """The elements around this one."""
+        at = self.up
         while at is not None:
-            level, at = max(level, at.level), at.up
-        return level
+            yield at
+            at = at.up
+
+    def beside(self) -> bool:
+        return self.apart or any(x.apart for x in self.above())
+
+    def hint(self) -> int:
+        return max([self.level, *(x.level for x in self.above())])
 
 
 def text_blocks(html: str) -> list[tuple[str, int, int, int, int, int, int, int, int]]:
@@ -165,13 +176,14 @@ def text_blocks(html: str) -> list[tuple[str, int, int, int, int, int, int, int,
     close()
     has_article = any(holder is not None and holder.article for *_, holder in found)
     out = []
-    hints: dict[int, int] = {}
+    around: dict[int, tuple[bool, int]] = {}
     for *block, holder in found:
         article = holder is not None and holder.article
-        beside = holder is not None and holder.beside
-        hint = 0 if holder is None else hints.setdefault(id(holder), -1)
-        if hint < 0:
-            hint = hints[id(holder)] = holder.hint()
+        beside, hint = False, 0
+        if holder is not None:
+            if id(holder) not in around:
+                around[id(holder)] = holder.beside(), holder.hint()
+            beside, hint = around[id(holder)]
         out.append((*block, int(article), int(beside), hint, int(has_article and not article)))
     return out
 

@@ -128,6 +128,17 @@ def _texts(spark, htmls):
     return {r["page_id"]: r["text"] for r in H.extract_text(pages).collect()}
 
 
+def test_html_forms_around_pages(spark):
+    """A form that holds an article, or a page with its parts, is no part beside the text; a form beside it is one."""
+    inner, menu = f"<h1>Bridge</h1><p>{LONG}</p><p>Then it rained.</p>", "<nav><a href='/a'>Home</a> <a href='/b'>World</a></nav>"
+    htmls = [
+        f"<body><form id='aspnetForm'>{menu}<article>{inner}</article><footer>All rights reserved.</footer></form></body>",
+        f"<body><form><article>{inner}</article></form>{AD}</body>",
+        f"<body>{menu}<article>{inner}<form><p>Sign up for our letter and read the best stories.</p></form></article></body>",
+    ]
+    assert set(_texts(spark, htmls).values()) == {f"Bridge\n{LONG.strip()}\nThen it rained."}
+
+
 @pytest.mark.parametrize(
     "name",
     ["content has-sidebar", "page no-sidebar", "post has-comments", "search-result-page", "sidebar", "nav search"],
