@@ -114,6 +114,8 @@ def _alike(shared: Column, n: Column, m: Column, share: float) -> Column:
     return shared >= F.lit(share) * (n + m - shared) - 1e-9
 
 
+#: Buckets of the filters here, a quarter of others' size, as a run has many of them.
+FILTER = 256
 #: Shingles of up to so many open documents are rare.
 RARE = 32
 
@@ -135,7 +137,7 @@ def _rare(sets: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
     )
     alone = often.where("df = 1").groupBy(F.col("only").alias("doc_id")).agg(F.count("*").alias("alone"))
     shared = often.where("df > 1").select("s", "df")
-    some = materialize(only_listed(each, shared, ["s"]).join(shared, "s"), "rare-shingles")
+    some = materialize(only_listed(each, shared, ["s"], FILTER).join(shared, "s"), "rare-shingles")
     counts = (
         sets.select("doc_id", n.alias("n"), lead.alias("lead")).join(alone, "doc_id", "left")
         .join(some.groupBy("doc_id").agg(F.count("*").alias("some")), "doc_id", "left")
@@ -195,12 +197,12 @@ def near_links(
     banded = materialize(_mapped(texts, k, True), "bands")
     keyed = banded.select("doc_id", "n", F.explode("found").alias("key"))
     buckets = materialize(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
-    placed = materialize(only_listed(keyed, buckets, ["key"]).join(buckets, "key"), "placed")
+    placed = materialize(only_listed(keyed, buckets, ["key"], FILTER).join(buckets, "key"), "placed")
     meets = placed.groupBy("doc_id").agg(F.sum("size").alias("meets"))
     members = materialize(placed.drop("size").join(meets, "doc_id"), "members")
     named = materialize(members.select("doc_id").distinct(), "candidates")
     sets = materialize(
-        _mapped(only_listed(texts, named, ["doc_id"]).join(named, "doc_id", "left_semi"), k, False), "shingles"
+        _mapped(only_listed(texts, named, ["doc_id"], FILTER).join(named, "doc_id", "left_semi"), k, False), "shingles"
     ).select("doc_id", "found")
     close = F.least("n", "m") >= F.lit(share) * F.greatest("n", "m") - 1e-9  # no other sizes can be alike
     ordered = [F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")]
@@ -217,9 +219,7 @@ def near_links(
         else:
             # Pairs of different groups. Those with a rare shingle in common, in the leads of both:
             ids = materialize(left.select("doc_id", "component").distinct(), "open-documents")
-            rare, heads = _rare(
-                only_listed(sets, ids, ["doc_id"]).join(ids.select("doc_id"), "doc_id", "left_semi"), share
-            )
+            rare, heads = _rare(sets.join(ids.select("doc_id"), "doc_id", "left_semi"), share)
             one = heads.join(ids, "doc_id")
             two = one.select(
                 "s", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other")
@@ -228,7 +228,7 @@ def near_links(
             by_rare = one.join(two, "s").where(apart & close).select(*ordered).distinct()
             # and those without, which have all their rare shingles in their leads and can share no other ones than the
             # rest: members outside a bucket's largest group with all others, if sketches are close too.
-            known = only_listed(banded.select("doc_id", "sketch"), ids, ["doc_id"])
+            known = only_listed(banded.select("doc_id", "sketch"), ids, ["doc_id"], FILTER)
             left = left.join(rare.where("rare < lead"), "doc_id").join(known, "doc_id")
             sizes = left.groupBy("key", "component").agg(F.count("*").alias("c"))
             largest = sizes.groupBy("key").agg(F.max(F.struct("c", "component")).alias("most")).select(
