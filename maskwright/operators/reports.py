@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions.arrays import let
+from ..functions.names import fresh
 from ..functions.spans import DEFAULT, Detector, Registry, each_span, label_counts, with_spans
 from ..functions.text import is_blank, normalize_labels, squash_ws
 from ..sources.scratch import written
@@ -227,9 +229,25 @@ def check_text_report(reports: DataFrame, id_cols: Sequence[str], labels: Sequen
     return reports.select(*id_cols, bad.alias("violations"))
 
 
+def _step(df: DataFrame, **columns: Column) -> tuple[DataFrame, dict[str, Column]]:
+    """``df`` with more columns under names of their own, and these. What later expressions name more than once is a
+    step: the optimiser leaves it apart, so that a text is parsed once however many of its members are looked at.
+    """
+    names: dict[str, str] = {}
+    for key in columns:
+        names[key] = fresh([*df.columns, *names.values()], f"_{key}")
+    return df.withColumns({names[k]: c for k, c in columns.items()}), {k: F.col(n) for k, n in names.items()}
+
+
+def _parsed(df: DataFrame, json_col: str) -> tuple[DataFrame, Column]:
+    """``df`` with the members of its JSON object, null for other JSON, and that column."""
+    rows, made = _step(df, members=_variant_map(F.try_parse_json(F.col(json_col))))
+    return rows, made["members"]
+
+
 def _variant_map(v: Column) -> Column:
     """The members of a JSON object, null for other JSON."""
-    return F.when(json_type(v) == "OBJECT", v.cast("map<string,variant>"))
+    return F.try_variant_get(v, "$", "map<string,variant>")
 
 
 def json_type(v: Column) -> Column:
@@ -243,19 +261,34 @@ def _member(object_: Column, key: str) -> Column:
 
 def _elements(v: Column) -> Column:
     """The elements of a JSON array, null for other JSON."""
-    return F.when(json_type(v) == "ARRAY", v.cast("array<variant>"))
+    return F.try_variant_get(v, "$", "array<variant>")
 
 
 def _whole(v: Column) -> Column:
     """A JSON number that is whole and not negative, else null."""
-    number = F.when(json_type(v) == "BIGINT", v.cast("bigint"))
-    return F.when(number >= 0, number)
+
+    def number(x: Column) -> Column:
+        own = x.cast("bigint")
+        return F.when(json_type(x) == "BIGINT", F.when(own >= 0, own))
+
+    return let(v, number)
+
+
+def _text(v: Column) -> Column:
+    """A JSON string, else null."""
+    return let(v, lambda x: F.when(json_type(x) == "STRING", x.cast("string")))
+
+
+def _flag(v: Column) -> Column:
+    """A JSON boolean, else null."""
+    return let(v, lambda x: F.when(json_type(x) == "BOOLEAN", x.cast("boolean")))
 
 
 def _bad_counts(v: Column, labels: Sequence[str]) -> Column:
     """Whether a value is no object of allowed labels with whole counts."""
-    counts = _variant_map(v)
-    wrong = F.exists(F.map_entries(counts), lambda e: ~e["key"].isin(*labels) | _whole(e["value"]).isNull())
+    wrong = F.exists(
+        F.map_entries(_variant_map(v)), lambda e: ~e["key"].isin(*labels) | _whole(e["value"]).isNull()
+    )
     return F.coalesce(wrong, F.lit(True))
 
 
@@ -272,24 +305,26 @@ def check_corpus_report(
 
     A report of two fixtures, and with ``golden`` any report, has to have the counts of the two sample notes.
     """
-    report = _variant_map(F.try_parse_json(F.col(json_col)))
-    keys = F.map_keys(report)
-    fixtures, goals = _elements(_member(report, "fixtures")), _elements(_member(report, "non_goals"))
-    n, total = _whole(_member(report, "fixture_count")), _whole(_member(report, "total_detected_span_count"))
-    counts = _variant_map(_member(report, "category_counts"))
+    rows, report = _parsed(reports.select(*id_cols, json_col), json_col)
+    rows, found = _step(
+        rows,
+        keys=F.map_keys(report),
+        fixtures=_elements(_member(report, "fixtures")),
+        goals=_elements(_member(report, "non_goals")),
+        n=_whole(_member(report, "fixture_count")),
+        total=_whole(_member(report, "total_detected_span_count")),
+        counts=_variant_map(_member(report, "category_counts")),
+    )
+    keys, fixtures, goals, n, total, counts = found.values()
     summed = F.aggregate(F.map_values(counts), F.lit(0).cast("long"), lambda a, v: a + F.coalesce(_whole(v), F.lit(0)))
     off = total < 4
     for label, want in GOLDEN_COUNTS.items():
         off = off | ~F.coalesce(_whole(_member(counts, label)) == want, F.lit(False))
     is_golden = F.lit(True) if golden else n == 2
 
-    def text(v: Column) -> Column:
-        return F.when(json_type(v) == "STRING", v.cast("string"))
-
-    def bad_fixture(v: Column) -> Column:
-        own = _variant_map(v)
+    def bad_fixture(own: Column) -> Column:
         extra = F.size(F.array_except(F.map_keys(own), F.array(*map(F.lit, FIXTURE_KEYS)))) > 0
-        parts = text(_member(own, "fixture")).isNull() | _whole(_member(own, "detected_span_count")).isNull()
+        parts = _text(_member(own, "fixture")).isNull() | _whole(_member(own, "detected_span_count")).isNull()
         return F.coalesce(extra | parts | _bad_counts(_member(own, "category_counts"), labels), F.lit(True))
 
     network = _member(report, "network_api_called")
@@ -300,19 +335,19 @@ def check_corpus_report(
         network=F.when(
             F.array_contains(keys, "network_api_called"), F.to_json(network) != "false"
         ).otherwise(F.lit(False)),
-        engine=text(_member(report, "engine")) != CORPUS_ENGINE,
-        scope=text(_member(report, "scope")) != CORPUS_SCOPE,
+        engine=_text(_member(report, "engine")) != CORPUS_ENGINE,
+        scope=_text(_member(report, "scope")) != CORPUS_SCOPE,
         fixture_count=(n == 0) | (n != F.size(fixtures)),
         total=total == 0,
         category_counts=_bad_counts(_member(report, "category_counts"), labels),
         counts=summed != total,
         golden=is_golden & off,
-        non_goals=F.exists(goals, lambda g: ~F.coalesce(text(g).isin(*CORPUS_NON_GOALS), F.lit(False))),
-        required_non_goal=~F.exists(goals, lambda g: F.coalesce(text(g) == "visual_redaction", F.lit(False))),
-        fixtures=F.exists(fixtures, bad_fixture),
+        non_goals=F.exists(goals, lambda g: ~F.coalesce(_text(g).isin(*CORPUS_NON_GOALS), F.lit(False))),
+        required_non_goal=~F.exists(goals, lambda g: F.coalesce(_text(g) == "visual_redaction", F.lit(False))),
+        fixtures=F.exists(F.transform(fixtures, _variant_map), bad_fixture),
         raw_value=F.exists(F.array(*map(F.lit, raw_values)), lambda x: F.col(json_col).contains(x)),
     )
-    return reports.select(*id_cols, bad.alias("violations"))
+    return rows.select(*id_cols, bad.alias("violations"))
 
 
 def check_leaks(
@@ -347,8 +382,10 @@ def check_markers(
     """
     # Written anew, without escapes that need not be there; JSON that names a key twice stays as it is.
     plain = F.coalesce(F.to_json(F.try_parse_json(F.col(json_col))), F.col(json_col))
-    rows = df.select(*id_cols, plain.alias("_plain"))
-    keys, top = json_keys(F.col("_plain")), F.json_object_keys("_plain")
+    rows, made = _step(df.select(*id_cols, json_col) if json_col not in id_cols else df.select(*id_cols), plain=plain)
+    plain = made["plain"]
+    rows, found = _step(rows, keys=json_keys(plain), top=F.json_object_keys(plain))
+    keys, top = found.values()
 
     def times(keys: Column, key: Column) -> Column:
         return F.size(F.filter(keys, lambda x: x == key))
@@ -358,7 +395,7 @@ def check_markers(
         not_an_object=top.isNull(),
         marker=F.arrays_overlap(keys, F.array(*map(F.lit, markers))),
         below_top=F.exists(listed, lambda k: times(keys, k) > times(top, k)),
-        network=F.col("_plain").rlike(r'"network_api_called"\s*:\s*true'),
+        network=plain.rlike(r'"network_api_called"\s*:\s*true'),
     )
     return rows.select(*id_cols, bad.alias("violations"))
 
@@ -392,7 +429,7 @@ def safe_identifier(c: Column) -> Column:
 
 
 def _one_of(c: Column, allowed: Sequence[str]) -> Column:
-    return F.when(c.isin(*allowed), c)
+    return let(c, lambda x: F.when(x.isin(*allowed), x))
 
 
 def safe_privacy_summary(df: DataFrame, json_col: str, id_cols: Sequence[str]) -> DataFrame:
@@ -515,12 +552,13 @@ def check_handoff(df: DataFrame, id_cols: Sequence[str]) -> DataFrame:
 
 def check_handoff_json(df: DataFrame, json_col: str, id_cols: Sequence[str]) -> DataFrame:
     """Violations of hand-overs in JSON: missing keys and wrong types, and those of ``check_handoff``."""
-    whole = _variant_map(F.try_parse_json(F.col(json_col)))
+    rows, whole = _parsed(df.select(*id_cols, json_col), json_col)
     types = {k: "STRING" for k in HANDOFF_KEYS} | {"ready_for_text_pii_eval": "BOOLEAN", "non_goals": "ARRAY"}
     wrong = F.lit(False)
     for key, kind in types.items():
         wrong = wrong | ~F.coalesce(json_type(_member(whole, key)) == kind, F.lit(False))
-    goals = _elements(_member(whole, "non_goals"))
+    rows, made = _step(rows, goals=_elements(_member(whole, "non_goals")))
+    goals = made["goals"]
     wrong = wrong | F.coalesce(F.exists(goals, lambda g: json_type(g) != "STRING"), F.lit(False))
     outer = _violations(
         not_an_object=whole.isNull(),
@@ -533,7 +571,7 @@ def check_handoff_json(df: DataFrame, json_col: str, id_cols: Sequence[str]) ->
             return F.transform(goals, lambda g: g.try_cast("string"))
         return _member(whole, key).try_cast("boolean" if types[key] == "BOOLEAN" else "string")
 
-    parts = df.select(*id_cols, outer.alias("_outer"), *[read(k).alias(k) for k in HANDOFF_KEYS])
+    parts = rows.select(*id_cols, outer.alias("_outer"), *[read(k).alias(k) for k in HANDOFF_KEYS])
     inner = check_handoff(parts, [*id_cols, "_outer"])
     return inner.select(*id_cols, F.concat("_outer", "violations").alias("violations"))
 
@@ -588,15 +626,20 @@ def text_match(actual: DataFrame, expected: DataFrame, id_col: str, text_col: st
 
 def _primitive(v: Column) -> Column:
     """The value if it is no array or object."""
-    return F.when(~json_type(v).isin("ARRAY", "OBJECT"), v)
+    return let(v, lambda x: F.when(~json_type(x).isin("ARRAY", "OBJECT"), x))
 
 
 def _kept(object_: Column, keys: Sequence[str], good: Callable[[Column], Column]) -> Column:
     """JSON text of those of the keys whose value ``good`` keeps, in the order of the keys; an empty object if there are
     none.
     """
-    entries = [F.struct(F.lit(k).alias("key"), F.to_json(good(_member(object_, k))).alias("value")) for k in keys]
-    shown = F.filter(F.array(*entries), lambda e: e["value"].isNotNull())
+
+    def entries(own: Column) -> Column:
+        return F.array(
+            *[F.struct(F.lit(k).alias("key"), F.to_json(good(_member(own, k))).alias("value")) for k in keys]
+        )
+
+    shown = F.filter(let(object_, entries), lambda e: e["value"].isNotNull())
     return F.concat(
         F.lit("{"),
         F.array_join(F.transform(shown, lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])), ","),
@@ -608,7 +651,6 @@ def safe_handoff_summary(df: DataFrame, json_col: str, id_cols: Sequence[str]) -
     """The fixed fields of a hand-over, each only if it has the value that it must have; whether the text is ready; line
     and character counts; known non-goals.
     """
-    whole = _variant_map(F.try_parse_json(F.col(json_col)))
     fixed = {
         "candidate": [CANDIDATE],
         "engine": [ENGINE],
@@ -617,6 +659,7 @@ def safe_handoff_summary(df: DataFrame, json_col: str, id_cols: Sequence[str]) -
         "privacy_filter_contract": [TEXT_CONTRACT],
     }
     marks = check_markers(df, json_col, [*id_cols, json_col], HANDOFF_MARKERS, HANDOFF_TOP_ONLY)
+    marks, whole = _parsed(marks, json_col)
     clean = F.size("violations") == 0
     fields = {k: _one_of(_member(whole, k).try_cast("string"), v) for k, v in fixed.items()}
     fields["ready"] = F.coalesce(_member(whole, "ready_for_text_pii_eval").try_cast("boolean"), F.lit(False))
@@ -634,15 +677,14 @@ def safe_bridge_summary(
     """What may be shown of a report from recognised text to detected identifiers: fixed fields with their one value,
     the span count, and counts of allowed labels.
     """
-    whole = _variant_map(F.try_parse_json(F.col(json_col)))
+    rows, whole = _parsed(df.select(*id_cols, json_col), json_col)
     fields = {k: _one_of(_member(whole, k).try_cast("string"), [v]) for k, v in BRIDGE_FIELDS.items()}
     for key, want in (("ready_for_text_pii_eval", True), ("network_api_called", False)):
-        value = F.when(json_type(_member(whole, key)) == "BOOLEAN", _member(whole, key).cast("boolean"))
-        fields[key] = F.when(value == want, value)
+        fields[key] = F.when(_flag(_member(whole, key)) == want, F.lit(want))
     fields["detected_span_count"] = _whole(_member(whole, "privacy_filter_detected_span_count"))
     counts = _variant_map(_member(whole, "privacy_filter_category_counts"))
     fields["category_counts"] = _kept(counts, labels, lambda v: F.when(_whole(v).isNotNull(), v))
-    return df.select(*id_cols, *[c.alias(k) for k, c in fields.items()])
+    return rows.select(*id_cols, *[c.alias(k) for k, c in fields.items()])
 
 
 def safe_review_queue(df: DataFrame, json_col: str, id_cols: Sequence[str]) -> DataFrame:
@@ -653,20 +695,22 @@ def safe_review_queue(df: DataFrame, json_col: str, id_cols: Sequence[str]) -> D
     of what they say. Entries that are no objects have nothing to show.
     """
     queue = _elements(_member(_variant_map(F.try_parse_json(F.col(json_col))), "review_queue"))
-    rows = df.select(*id_cols, F.posexplode(queue).alias("nth", "_entry"))
-    entry = _variant_map(F.col("_entry"))
-    confidence, flag, reference = _member(entry, "confidence"), _member(entry, "requires_review"), _variant_map(
-        _member(entry, "field_ref")
+    # Outer, as of an inner one the optimiser makes a filter that computes the queue again.
+    rows = df.select(*id_cols, F.posexplode_outer(queue).alias("nth", "_entry")).where(F.col("nth").isNotNull())
+    rows, made = _step(rows, members=_variant_map(F.col("_entry")))
+    entry = made["members"]
+    rows, made = _step(
+        rows, confidence=_member(entry, "confidence"), reference=_variant_map(_member(entry, "field_ref"))
     )
+    confidence, reference = made.values()
     numeric = json_type(confidence).isin("BIGINT", "DECIMAL", "DOUBLE")
     fields = {
         "page": _whole(_member(entry, "page")),
         "confidence": F.when(numeric, confidence.try_cast("double")),
-        "requires_review": F.when(json_type(flag) == "BOOLEAN", flag.cast("boolean")),
+        "requires_review": _flag(_member(entry, "requires_review")),
     }
     for key, allowed in QUEUE_VALUES.items():
-        value = _member(entry, key)
-        fields[key] = _one_of(F.when(json_type(value) == "STRING", value.cast("string")), allowed)
+        fields[key] = _one_of(_text(_member(entry, key)), allowed)
     keys = F.coalesce(F.map_keys(entry), F.array().cast("array<string>"))
     fields["field"] = F.when(F.array_contains(keys, "field"), "redacted-field")
     named = F.map_contains_key(reference, "artifact_label") & F.map_contains_key(reference, "metadata_key")
@@ -682,9 +726,11 @@ def safe_review_summary(
     """(ids, summary): the allowed keys of a report's ``summary`` that are numbers, booleans or null, as JSON; null if
     there is no such object.
     """
-    summary = _variant_map(_member(_variant_map(F.try_parse_json(F.col(json_col))), "summary"))
+    members = _variant_map(F.try_parse_json(F.col(json_col)))
+    rows, made = _step(df.select(*id_cols, json_col), summary=_variant_map(_member(members, "summary")))
+    summary = made["summary"]
     shown = _kept(summary, keys, lambda v: F.when(~json_type(v).isin("ARRAY", "OBJECT", "STRING"), v))
-    return df.select(*id_cols, F.when(summary.isNotNull(), shown).alias("summary"))
+    return rows.select(*id_cols, F.when(summary.isNotNull(), shown).alias("summary"))
 
 
 def safe_pdf_report(df: DataFrame, json_col: str, id_cols: Sequence[str]) -> DataFrame:
@@ -695,17 +741,19 @@ def safe_pdf_report(df: DataFrame, json_col: str, id_cols: Sequence[str]) -> Dat
     page is blocked if it asks for recognition, for a look at handwriting (by its flag or its status in any case) or, by
     either, for a visual review; the report is ready if rewriting is available and no page is.
     """
-    whole = _variant_map(F.try_parse_json(F.col(json_col)))
+    rows, whole = _parsed(df.select(*id_cols, json_col), json_col)
 
     def listed(key: str, keys: Sequence[str]) -> Column:
-        objects = F.filter(_elements(_member(whole, key)), lambda v: json_type(v) == "OBJECT")
-        shown = F.transform(objects, lambda v: _kept(_variant_map(v), keys, _primitive))
+        objects = F.filter(F.transform(_elements(_member(whole, key)), _variant_map), lambda m: m.isNotNull())
+        shown = F.transform(objects, lambda m: _kept(m, keys, _primitive))
         return F.concat(F.lit("["), F.coalesce(F.array_join(shown, ","), F.lit("")), F.lit("]"))
 
-    statuses = F.coalesce(
+    pages = F.coalesce(
         F.transform(_elements(_member(whole, "page_statuses")), _variant_map),
         F.array().cast("array<map<string,variant>>"),
     )
+    rows, made = _step(rows, statuses=pages)
+    statuses = made["statuses"]
 
     def flag(page: Column, key: str, status: str) -> Column:
         own = F.coalesce(_member(page, key).try_cast("boolean"), F.lit(False))
@@ -721,10 +769,13 @@ def safe_pdf_report(df: DataFrame, json_col: str, id_cols: Sequence[str]) -> Dat
         return flag(page, "requires_visual_review", "visual_review_required")
 
     blocked = F.filter(statuses, lambda p: ocr(p) | hand(p) | visual(p))
-    numbers = F.transform(blocked, lambda p: _whole(_member(p, "page")))
+    rows, made = _step(rows, numbers=F.transform(blocked, lambda p: _whole(_member(p, "page"))))
+    numbers = made["numbers"]
     n_blocked = F.size(F.array_distinct(F.array_compact(numbers))) + F.size(F.filter(numbers, lambda x: x.isNull()))
+    rows, made = _step(rows, n_blocked=n_blocked)
+    n_blocked = made["n_blocked"]
     available = F.coalesce(_member(whole, "rewrite_available").try_cast("boolean"), F.lit(False))
-    return df.select(
+    return rows.select(
         *id_cols,
         _kept(_variant_map(_member(whole, "summary")), PDF_SUMMARY_KEYS, _primitive).alias("summary"),
         listed("review_queue", ["page", "kind", "status"]).alias("review_queue"),

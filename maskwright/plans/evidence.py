@@ -13,6 +13,7 @@ from ..operators import reports as R
 from ..operators import tabular as T
 from ..operators import vault as V
 from ..sources import files as S
+from ..sources.dealt import read_dealt
 from ..sources.scratch import scratch
 from ..streaming import deidentify as D
 from .artifacts import BATCH_SQL, _elements, redaction_batch
@@ -365,7 +366,7 @@ SELECT doc_id, length(text) AS input_char_count, e + s AS detected_span_count, '
 
 def _events_json(spark: SparkSession, sf_dir: str, *parts: Column | str) -> DataFrame:
     text = F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-    return table(spark, sf_dir, "events").select("event_id", text.alias("j"))
+    return read_dealt(spark, f"{sf_dir}/events.parquet").select("event_id", text.alias("j"))
 
 
 def corpus_report_check(spark: SparkSession, sf_dir: str) -> DataFrame:

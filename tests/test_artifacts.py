@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import json
 
+import pytest
+
 from maskwright.operators import dicom as X
 from maskwright.operators import media as M
 from maskwright.operators import pages as D
@@ -227,3 +229,38 @@ def test_pdf_report_and_queue(spark):
     got = {r["id"]: r for r in R.safe_pdf_report(rows, "j", ["id"]).collect()}
     assert all(r["page_statuses"] == "[]" and r["summary"] == "{}" and not r["rewrite_ready"] for r in got.values())
     assert R.safe_review_queue(rows, "j", ["id"]).isEmpty()
+
+
+def _parses(df) -> int:
+    return df._jdf.queryExecution().optimizedPlan().toString().count("parse_json")
+
+
+@pytest.mark.parametrize(
+    "check, most",
+    [
+        (R.check_corpus_report, 1),
+        (R.check_handoff_json, 1),
+        (R.safe_pdf_report, 1),
+        (R.safe_bridge_summary, 1),
+        (R.safe_review_queue, 1),
+        (R.safe_review_summary, 1),
+        (R.safe_handoff_summary, 2),  # as it is, and for the markers
+    ],
+)
+def test_json_is_parsed_once(spark, check, most):
+    """However many members are looked at; each look parsed the text anew, and casts were computed twice at each level."""
+    rows = spark.createDataFrame([(1, '{"summary":{"pages":1}}'), (2, "x"), (3, None)], "id int, j string")
+    shown = check(rows.repartition(2), "j", ["id"])
+    assert _parses(shown) <= most
+    assert "schema_of_variant(try_parse" not in shown._jdf.queryExecution().optimizedPlan().toString()
+    shown.collect()
+
+
+def test_json_that_is_no_object(spark):
+    rows = spark.createDataFrame(
+        [(1, "[1]"), (2, '"s"'), (3, "null"), (4, "x"), (5, None), (6, "{}")], "id int, j string"
+    )
+    got = {r["id"]: r["summary"] for r in R.safe_review_summary(rows, "j", ["id"]).collect()}
+    assert got == dict.fromkeys(range(1, 7))
+    bad = {r["id"]: r["violations"] for r in R.check_corpus_report(rows, "j", ["id"]).collect()}
+    assert all(bad[i][0] == "not_an_object" for i in range(1, 6)) and bad[6][0] == "missing_key"
