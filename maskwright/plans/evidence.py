@@ -47,8 +47,9 @@ def _note_files(spark: SparkSession, sf_dir: str) -> str:
     )
     value = F.when(k % 11 == 0, "  ").when(k % 13 == 0, F.repeat(F.lit("long "), 100)).otherwise(line)
     path = scratch(spark, "notes")
-    rows = table(spark, sf_dir, "supplier").select(k.alias("key"), value.alias("value"))
-    rows.repartition(8, "key").write.partitionBy("key").text(path)
+    # Shelves are listed side by side.
+    rows = table(spark, sf_dir, "supplier").select((k % 64).alias("shelf"), k.alias("key"), value.alias("value"))
+    S.write_files(rows.repartition(64, "key"), path, ["shelf", "key"])
     return path
 
 
@@ -76,7 +77,8 @@ def masked_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         D.read_text_stream(spark, _note_files(spark, sf_dir)), "text", P.Registry().only("EMAIL", "SSN")
     )
     out = scratch(spark, "masked")
-    D.write_masked(masked, out, scratch(spark, "masked-progress")).awaitTermination()
+    with D.listed_by_cores(spark):
+        D.write_masked(masked, out, scratch(spark, "masked-progress")).awaitTermination()
     rows = spark.read.schema("path string, masked_text string, category_counts string").json(out)
     return rows.select(
         _key(F.col("path")).alias("key"),

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+import re
+from collections.abc import Iterator, Sequence
+from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.names import quoted
 from ..functions.text import is_blank
 from .keys import Key
 from .scratch import written
@@ -34,6 +39,35 @@ def write_table(df: DataFrame, path: str, mode: str = "error") -> None:
     ).csv(path)
 
 
+def write_files(df: DataFrame, path: str, keys: Sequence[str]) -> None:
+    """A text file for each row, with the one column that is no key and a line end, in folders ``key=value``. The keys
+    tell rows apart and are not null. A task that is run again writes the same files.
+
+    Spark's local file system starts a process for each file and folder that it makes, so in such a folder, which all
+    executors have to share, tasks write the files themselves; elsewhere Spark's writer does.
+    """
+    (content,) = [c for c in df.columns if c not in keys]
+    folder = re.sub("^file:/+", "/", path)
+    if not folder.startswith("/"):
+        df.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(*keys).text(path)
+        return
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for batch in batches:
+            *parts, texts = [c.to_pylist() for c in batch.columns]
+            for *values, text in zip(*parts, texts, strict=True):
+                at = os.path.join(folder, *[f"{k}={quote(v, safe=' ')}" for k, v in zip(keys, values, strict=True)])
+                os.makedirs(at, exist_ok=True)
+                with open(os.path.join(at, "part-0.txt"), "w", encoding="utf-8", newline="") as out:
+                    out.write(f"{text or ''}\n")
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    rows = df.select(*[F.col(quoted(c)).cast("string") for c in (*keys, content)])
+    rows.mapInArrow(put, "n bigint").agg(F.sum("n")).collect()
+
+
 def select_sheet(cells: DataFrame) -> DataFrame:
     """Per artifact the first sheet with a cell that is not blank, else the first sheet, and the number of sheets.
     ``cells`` has artifact, sheet_index, sheet_name, row, col, value.
@@ -79,12 +113,13 @@ def read_text_corpus(
     rejected: names are put in sorted ranges, and only the sizes of the ranges are seen together.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", True)
-    listed = files.load(path).select("path", "length")
-    content = files.load(path).where(F.col("length") <= max_bytes).select("path", "content")
-    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
-    rows = listed.join(content.select("path", text.alias("text"), F.lit(True).alias("_read")), "path", "left")
-    reason = F.when(F.col("_read").isNull(), "too_large").when(F.col("text").isNull(), "not_utf8")
-    rows = rows.withColumn("reason", reason.when(is_blank(F.col("text")), "blank")).drop("_read")
+    found = files.load(path)  # the folder is listed once
+    listed, small = found.select("path", "length"), F.col("length") <= max_bytes
+    content = F.col("content").cast("string")
+    read = found.where(small).select("path", F.when(F.is_valid_utf8(content), content).alias("text"))
+    unread = found.where(~small).select("path", F.lit(None).cast("string").alias("text"))
+    reason = F.when(F.col("text").isNull(), "not_utf8").when(is_blank(F.col("text")), "blank")
+    rows = read.withColumn("reason", reason).unionByName(unread.withColumn("reason", F.lit("too_large")))
     if max_files is not None:
         ranged = written(
             listed.select("path").repartitionByRange("path").withColumn("_part", F.spark_partition_id()), "names"
