@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,9 +39,27 @@ def deidentify_stream(
     return found.select(*others, masked.alias("masked_text"), counts.alias("category_counts"))
 
 
+#: Tasks that list the files of a micro-batch; by default a task for each file.
+_LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+@contextmanager
+def listed_by_cores(spark: SparkSession) -> Iterator[None]:
+    """While a stream of small files runs in here, a micro-batch's files are listed in as many tasks as there are cores."""
+    before = spark.conf.get(_LISTING)
+    spark.conf.set(_LISTING, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(_LISTING, before)
+
+
 def write_masked(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Appends masked rows as JSON; takes what is there and stops, so it can be run on a schedule."""
-    shown = stream.withColumn("category_counts", F.to_json("category_counts")).writeStream.format("json")
+    """Appends masked rows as JSON; takes what is there and stops, so it can be run on a schedule. A micro-batch writes
+    as many files as there are cores at most.
+    """
+    rows = stream.coalesce(stream.sparkSession.sparkContext.defaultParallelism)
+    shown = rows.withColumn("category_counts", F.to_json("category_counts")).writeStream.format("json")
     return shown.option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

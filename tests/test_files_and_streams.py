@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from maskwright.functions import spans as P
 from maskwright.functions.text import excel_column_name, safe_stem
 from maskwright.operators.vault import chain, verify_chain
 from maskwright.sources import files as S
@@ -113,3 +114,24 @@ def test_streams(spark, tmp_path):
     assert vault.count() == 8 and vault.select("token").distinct().count() == 2 and vault.select(
         "seq"
     ).distinct().count() == 8
+
+
+def test_a_file_for_each_row(spark, tmp_path):
+    rows = spark.createDataFrame([("a b", "x\ny"), ("c/d", None)], "key string, value string")
+    S.write_files(rows, f"file://{tmp_path}/notes", ["key"])
+    found = {str(p.parent.name): p.read_text() for p in (tmp_path / "notes").rglob("*.txt")}
+    assert found == {"key=a b": "x\ny\n", "key=c%2Fd": "\n"}
+
+
+def test_masked_batches_write_few_files(spark, tmp_path):
+    """A batch wrote a file for each 32 files that it read, and listed each file in a task of its own."""
+    rows = spark.range(300).selectExpr("id AS key", "concat('a', id, '@example.com') AS value")
+    S.write_files(rows, f"file://{tmp_path}/notes", ["key"])
+    before = spark.conf.get(D._LISTING)
+    stream = D.deidentify_stream(D.read_text_stream(spark, f"file://{tmp_path}/notes"), "text", P.Registry().only("EMAIL"))
+    with D.listed_by_cores(spark):
+        assert int(spark.conf.get(D._LISTING)) == spark.sparkContext.defaultParallelism
+        D.write_masked(stream, f"file://{tmp_path}/out", f"file://{tmp_path}/progress").awaitTermination()
+    assert spark.conf.get(D._LISTING) == before
+    assert spark.read.json(f"file://{tmp_path}/out").where("masked_text LIKE '[EMAIL]%'").count() == 300
+    assert len(list((tmp_path / "out").glob("*.json"))) <= spark.sparkContext.defaultParallelism
