@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import fresh
 from ..sources.scratch import written
 
 FIELDS = ("seq", "id", "kind", "actor", "detail", "recorded_at")
@@ -112,10 +113,13 @@ def seal(
         F.max_by("total", "nth").alias("so_far"),
     )
     named = events.withColumn(by, F.coalesce(F.col(by).cast("string"), F.lit("")))
-    new = _leaves(named, by, fields).join(last.select("stream", "known"), "stream", "left").where(
-        "known IS NULL OR seq > known"
+    stream, known = fresh(events.columns, "sealed_stream"), fresh(events.columns, "sealed_to")
+    # Events that are sealed already are left out before any is hashed or sorted. One row for each stream.
+    sealed = last.select(F.col("stream").alias(stream), F.col("known").alias(known))
+    new = named.join(sealed, F.col(by) == F.col(stream), "left").where(
+        F.col(known).isNull() | (F.col("seq").cast("bigint") > F.col(known))
     )
-    placed = new.drop("known").withColumn("block", _block(width))
+    placed = _leaves(new.drop(stream, known), by, fields).withColumn("block", _block(width))
     blocks = written(_blocks(placed, ["stream", "block"]), "blocks").join(last, "stream", "left").withColumn(
         "nth", F.coalesce(F.col("before") + 1, F.lit(0))
     )

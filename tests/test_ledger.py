@@ -146,3 +146,18 @@ def test_no_stream_is_one_task(spark):
     seals, blocks = L.seal(events, width=64, fan=16)
     assert blocks.count() == -(-20_000 // 64) and seals.count() == 1
     assert L.verify(events, seals, blocks, width=64, fan=16).isEmpty()
+
+
+def test_sealed_events_are_not_hashed_again(spark, monkeypatch):
+    """Of a second batch only the new events are; all of them were hashed and sorted, and the old ones left out then."""
+    events = spark.createDataFrame(_rows("a", range(40)), EVENTS)
+    seals, _ = L.seal(events.where("seq < 20"), **SIZE)
+    plans, write = [], L.written
+    monkeypatch.setattr(
+        L, "written",
+        lambda df, name: (plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())), write(df, name))[1],
+    )
+    more, _ = L.seal(events, seals, **SIZE)
+    assert [r["n"] for r in more.collect()] == [20]
+    plan = dict(plans)["blocks"]
+    assert plan.index("octet_length") < plan.index("Join")
