@@ -35,3 +35,21 @@ def components(edges: DataFrame) -> DataFrame:
         removed(large)
     ends = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return ends.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def chain_ends(links: DataFrame, start: str, to: str) -> DataFrame:
+    """(``start``, end, odd) for each row of ``links``, which leads from a node to one other node, without circles: the
+    node without a link that it leads to in the end, and whether the number of links up to there is odd.
+
+    Links are made twice as long in each round, so the number of rounds grows with the logarithm of the longest chain.
+    Each round is written.
+    """
+    now = written(links.select(F.col(start).alias("node"), F.col(to).alias("end"), F.lit(True).alias("odd")), "links")
+    while True:
+        ahead = now.select(F.col("node").alias("end"), F.col("end").alias("next"), F.col("odd").alias("more"))
+        end, odd = F.coalesce("next", "end").alias("end"), (F.col("odd") != F.coalesce("more", F.lit(False))).alias("odd")
+        longer = written(now.join(ahead, "end", "left").select("node", end, odd, F.col("next").isNotNull().alias("on")), "links")
+        removed(now)
+        now = longer
+        if longer.where("on").isEmpty():
+            return now.select(F.col("node").alias(start), "end", "odd")

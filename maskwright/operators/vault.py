@@ -17,7 +17,7 @@ from ..functions.names import fresh
 from ..functions.text import is_blank, scope_key
 from ..sources.keys import Key
 from ..sources.scratch import written
-from .components import components
+from .components import chain_ends, components
 from .ledger import field
 
 SCOPE = ["job_id", "artifact_id", "field_path"]
@@ -180,8 +180,32 @@ def _round(undecided: DataFrame, write: Callable[[DataFrame], DataFrame]) -> tup
     ]
     ranked = write(undecided.select("ord", "id", "record", *firsts))
     kept = ranked.where("ord = by_id AND ord = by_record").select("ord", "id", "record")
-    rest = ranked.select("ord", "id", "record").join(kept.select("id"), "id", "left_anti")
-    return kept, write(rest.join(kept.select("record"), "record", "left_anti").select("ord", "id", "record"))
+    return kept, _without(undecided, kept, write)
+
+
+def _without(undecided: DataFrame, kept: DataFrame, write: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows that share neither id nor record with a kept row."""
+    rest = undecided.join(kept.select("id"), "id", "left_anti")
+    return write(rest.join(kept.select("record"), "record", "left_anti").select("ord", "id", "record"))
+
+
+def _chain_round(undecided: DataFrame, write: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """``_round``, which also settles the chains that begin at the rows it keeps, however long they are.
+
+    A row with one earlier row that shares its id or record is kept if that one is not, so along such links each second
+    row is; a row with more of them is left.
+    """
+    earlier = {}
+    for c in ("id", "record"):
+        order = Window.partitionBy(c, F.when(F.col(c).isNull(), F.col("ord"))).orderBy("ord")
+        earlier |= {f"{c}_{n}": F.lag("ord", n).over(order) for n in (1, 2)}
+    seen = write(undecided.select("ord", "id", "record", *[of.alias(name) for name, of in earlier.items()]))
+    number = sum((F.col(name).isNotNull().cast("int") for name in earlier), F.lit(0))
+    links = chain_ends(seen.where(number == 1).select("ord", F.coalesce("id_1", "record_1").alias("to")), "ord", "to")
+    firsts = seen.where(number == 0).select("ord", "id", "record")
+    even = links.where("NOT odd").join(firsts.select(F.col("ord").alias("end")), "end", "left_semi").select("ord")
+    kept = write(firsts.unionByName(seen.join(even, "ord", "left_semi").select("ord", "id", "record")))
+    return kept, _without(undecided, kept, write)
 
 
 def _in_order(key: tuple, rows: pa.Table) -> pa.Table:
@@ -203,16 +227,16 @@ def _first_wins(
     whose id or record a kept row has.
 
     Null ids are no conflict. Of rows that agree in both only the first can be kept. ``rounds`` rounds settle all rows whose conflicts are few,
-    however often an id or a record is named. What is left are chains: rows are edges between ids and records, whose
-    connected components, found in a logarithmic number of rounds, don't touch each other, so each is scanned in order,
-    side by side, as 64-bit digests of ids and records. A component of more than ``in_order`` rows is not one task's
-    work: rounds go on until it is smaller. ``write`` materialises a frame.
+    however often an id or a record is named, and another one chains of any length (``_chain_round``). In what is left
+    rows are edges between ids and records, whose connected components, found in a logarithmic number of rounds, don't
+    touch each other, so each is scanned in order, side by side, as 64-bit digests of ids and records. A component of
+    more than ``in_order`` rows is not one task's work: rounds go on until it is smaller. ``write`` materialises a frame.
     """
     undecided = write(rows.groupBy("id", "record").agg(F.min("ord").alias("ord")).select("ord", "id", "record"))
     kept = None
     while True:
-        for _ in range(rounds):
-            first, undecided = _round(undecided, write)
+        for turn in [*[_round] * rounds, _chain_round]:
+            first, undecided = turn(undecided, write)
             kept = first.select("ord") if kept is None else kept.unionByName(first.select("ord"))
             if undecided.isEmpty():
                 return kept

@@ -189,6 +189,22 @@ def test_first_wins_by_components(spark):
     assert {r["ord"] for r in V._first_wins(small, written, in_order=5).collect()} == expected
 
 
+def test_long_chains_need_no_task_of_their_own(spark):
+    """A chain of more rows than one task goes through took a round for every four rows."""
+    rows = [(i, f"i{(i + 1) // 2}", f"r{i // 2}") for i in range(600)]
+    rows += [(1000 + i, f"j{i // 2}" if i % 2 else None, f"s{i - i % 2}") for i in range(100)]
+    steps = []
+
+    def write(step):
+        steps.append(step)
+        assert len(steps) < 30
+        return written(step)
+
+    df = spark.createDataFrame(rows, "ord bigint, id string, record string").repartition(4)
+    got = {r["ord"] for r in V._first_wins(df, write, in_order=5).collect()}
+    assert got == {*range(0, 600, 2), *range(1000, 1100, 2)}
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(0, 600)] + [(rng.randrange(1000, 2000), rng.randrange(1000, 2000)) for _ in range(500)]
