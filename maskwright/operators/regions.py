@@ -59,16 +59,27 @@ def validate_regions(
     return seen.select("image_id", reason.alias("reason"))
 
 
+#: Rows of a part that images are dealt in. Parts hold few bytes for their rows, so by size alone too many would meet.
+PART = 250_000
+
+
+def _parts(rows: DataFrame, times: int = 1) -> int:
+    """The number of parts that ``times`` as many rows are dealt in by image: a task has no more rows if there are more
+    in all.
+    """
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() * times // PART))
+
+
 def covered_slabs(regions: DataFrame) -> DataFrame:
     """(image_id, y0, y1, x0, x1): disjoint rectangles that regions cover. The lines of an image are cut at the upper and
     lower edges of its regions; between two such edges, in a slab, all lines are alike, so a region gives a row for each
     slab that it crosses, however high the slabs are.
     """
-    # Repeated regions are one.
+    # Repeated regions are one. They are dealt by image once, and what follows stays where they are.
     filled = regions.where((F.col("w") > 0) & (F.col("h") > 0)).select(
         "image_id", "y", (F.col("y") + F.col("h")).alias("below"), F.col("x").alias("x0"),
         (F.col("x") + F.col("w")).alias("x1"),
-    ).distinct()
+    ).repartition(_parts(regions), "image_id").distinct()
     edges = filled.select("image_id", F.explode(F.array("y", "below")).alias("y0")).distinct()
     slabs = edges.withColumn("y1", F.lead("y0").over(Window.partitionBy("image_id").orderBy("y0")))
     inside = (F.col("y0") >= F.col("y")) & (F.col("y0") < F.col("below"))
@@ -96,7 +107,8 @@ def covered_pixels(regions: DataFrame) -> DataFrame:
 def redaction_summary(images: DataFrame, regions: DataFrame) -> DataFrame:
     """(image_id, redacted_regions, redacted_pixels, unchanged_pixels)."""
     n = regions.groupBy("image_id").agg(F.count("*").alias("redacted_regions"))
-    counted = images.join(n, "image_id", "left").join(covered_pixels(regions), "image_id", "left")
+    dealt = images.repartition(max(_parts(regions), _parts(images)), "image_id")
+    counted = dealt.join(n, "image_id", "left").join(covered_pixels(regions), "image_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
     return counted.select(
         "image_id",
@@ -111,8 +123,8 @@ def verify_redaction(before: DataFrame, after: DataFrame, regions: DataFrame, fi
 
     ``before`` and ``after`` are runs (image_id, y, x0, x1, colour) that tile each line. Runs of a line are cut at each
     other's ends, and at those of the covered runs, by one window over all boundaries of that line; a piece where either
-    side is missing fails. Boundaries are dealt by image once, and the sums by place, the windows by line and the
-    verdicts stay where they are.
+    side is missing fails. Runs are dealt by image once, and their boundaries, the sums by place, the windows by line
+    and the verdicts stay where they are.
     """
     none = F.lit(None).cast("long")
     sides = [
@@ -123,13 +135,12 @@ def verify_redaction(before: DataFrame, after: DataFrame, regions: DataFrame, fi
             (covered_runs(regions), "cover", none),
         )
     ]
-    runs = sides[0].unionByName(sides[1]).unionByName(sides[2])
+    runs = sides[0].unionByName(sides[1]).unionByName(sides[2]).repartition(_parts(before, 2), "image_id")
     opens = F.struct(F.col("x0").alias("x"), F.col("colour").alias("colour"), F.lit(1).alias("open"))
     shuts = F.struct(F.col("x1").alias("x"), F.col("colour").alias("colour"), F.lit(-1).alias("open"))
     ends = runs.select("image_id", "y", "side", F.explode(F.array(opens, shuts)).alias("e")).select(
         "image_id", "y", "side", "e.*"
     )
-    ends = ends.repartition("image_id")
     names = ["before", "after", "cover"]
     is_open = F.col("open") == 1
     events = ends.groupBy("image_id", "y", "x").agg(

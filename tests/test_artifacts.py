@@ -160,6 +160,33 @@ def test_redaction_at_any_depth(spark):
     assert got == {**texts, None: None}
 
 
+def test_more_regions_are_dealt_in_more_parts(spark, monkeypatch):
+    """Parts were put together by their bytes alone, so a task's rows and memory grew with the table."""
+    monkeypatch.setattr(I, "PART", 100)
+    ids = spark.range(900).withColumnRenamed("id", "image_id")
+    regions = ids.selectExpr("image_id", "image_id % 5 AS x", "1L AS y", "3L AS w", "2L AS h")
+    slabs = I.covered_slabs(regions.unionByName(regions))
+    assert slabs.rdd.getNumPartitions() >= 18
+    images = ids.selectExpr("image_id", "10L AS width", "10L AS height")
+    summary = I.redaction_summary(images, regions)
+    assert summary.rdd.getNumPartitions() >= 9
+    assert {tuple(r)[1:] for r in summary.collect()} == {(1, 6, 94)} and summary.count() == 900
+
+
+def test_runs_are_dealt_and_not_their_ends(spark, monkeypatch):
+    """The two ends of each run were shuffled, in parts as large as their bytes allowed."""
+    monkeypatch.setattr(I, "PART", 100)
+    lines = spark.range(300).selectExpr("id AS image_id", "explode(array(0L, 1L)) AS y", "0L AS x0", "9L AS x1")
+    before = lines.selectExpr("*", "5L AS colour")
+    after = lines.selectExpr("*", "IF(y = 1 AND image_id % 3 = 0, 0L, 5L) AS colour")
+    regions = spark.range(300).selectExpr("id AS image_id", "0L AS x", "1L AS y", "9L AS w", "1L AS h")
+    found = I.verify_redaction(before, after, regions, 0)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(array(struct(x, x0") < plan.index("RepartitionByExpression [image_id")
+    assert found.rdd.getNumPartitions() >= 12
+    assert {r["image_id"] for r in found.where("verified").collect()} == {*range(0, 300, 3)}
+
+
 def test_redaction_reads_each_text_where_it_lies(spark):
     """Tokens were sorted, shuffled and summed up in windows; texts, broken ones too, read the same."""
     texts = {
