@@ -7,15 +7,19 @@ zero; the rest become one Spark expression.
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 from math import log
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from .labelled import fold, labelled_sample
 from .names import fresh, quoted
 from .storage import materialize
@@ -91,6 +95,20 @@ class Rule:
         return whole
 
 
+def _marks(rules: Sequence[Rule], names: Sequence[str]) -> Column:
+    """1 for each rule that holds, else 0, as an array. The rules are one value, and not a column each, so that the
+    driver's plans and the code that is made of them stay small however many rules a forest has.
+    """
+    rows = [[{"at": names.index(n), "most": a, "bound": b} for n, a, b in r.bounds] for r in rules]
+    listed = F.from_json(F.lit(json.dumps(rows)), "array<array<struct<at:int,most:boolean,bound:double>>>")
+
+    def held(stats: Column) -> Column:
+        one = lambda b: (F.get(stats, b["at"]) <= b["bound"]) == b["most"]
+        return F.transform(listed, lambda bounds: F.forall(bounds, one).cast("double"))
+
+    return let(F.array(*map(F.col, names)), held)
+
+
 _NODE = re.compile(r"^( *)(?:If|Else) \(feature (\d+) (<=|>) (\S+)\)$")
 
 
@@ -146,12 +164,11 @@ def fit_rules(sample: DataFrame, trees: int = 20, depth: int = 3, penalty: float
     rules = rules_of(forest.toDebugString, names)
     if not rules:
         return RuleModel(log(ones / (n - ones)), ())
-    marked = rows.coalesce(1).select("label", *[r.column().cast("double").alias(f"r{i}") for i, r in enumerate(rules)])
+    marked = rows.coalesce(1).select("label", array_to_vector(_marks(rules, names)).alias("features"))
     lasso = LogisticRegression(
         labelCol="label", elasticNetParam=1.0, regParam=penalty, maxIter=100, standardization=False
     )
-    both = VectorAssembler(inputCols=[f"r{i}" for i in range(len(rules))], outputCol="features").transform(marked)
-    fitted = lasso.fit(both.select("label", "features"))
+    fitted = lasso.fit(marked)
     weights = zip(rules, fitted.coefficients.toArray(), strict=True)
     return RuleModel(float(fitted.intercept), tuple((r, float(w)) for r, w in weights if w))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from maskwright.llm import html_labels as L
 from maskwright.llm import html_text as H
-from maskwright.llm.quality import rules_of, score_quality, with_statistics
+from maskwright.llm.quality import Rule, _marks, rules_of, score_quality, with_statistics
 from maskwright.llm.toxicity import score_toxicity
 
 SF = "/root/testdata/sf0.01"
@@ -209,3 +209,13 @@ def test_html_of_all_pages(spark):
             for b in re.split(r"</?(?:h1|p)>", re.sub("</?b>", "", body))
         ]
         assert r["text"] == "\n".join(p for p in parts if p)
+
+
+def test_rules_are_marked_by_one_expression(spark):
+    """A column for each rule made the driver's plans grow with their number."""
+    rules = [Rule((("a", True, i / 7), ("b", False, 0.5))) for i in range(300)] + [Rule((("b", True, 0.5),))]
+    rows = spark.createDataFrame([(1.0, 0.75), (1 / 7, 0.5), (2.0, 3.0)], "a double, b double")
+    marked = rows.select("a", "b", _marks(rules, ["a", "b"]).alias("m"))
+    for r in marked.collect():
+        want = [r.a <= i / 7 and r.b > 0.5 for i in range(300)] + [r.b <= 0.5]
+        assert r.m == [float(w) for w in want]
