@@ -201,9 +201,8 @@ def near_links(
     meets = placed.groupBy("doc_id").agg(F.sum("size").alias("meets"))
     members = materialize(placed.drop("size").join(meets, "doc_id"), "members")
     named = materialize(members.select("doc_id").distinct(), "candidates")
-    sets = materialize(
-        _mapped(only_listed(texts, named, ["doc_id"], FILTER).join(named, "doc_id", "left_semi"), k, False), "shingles"
-    ).select("doc_id", "found")
+    # Texts and sets stay where they lie: the few that the filters here let through besides are never joined.
+    sets = materialize(_mapped(only_listed(texts, named, ["doc_id"]), k, False), "shingles").select("doc_id", "found")
     close = F.least("n", "m") >= F.lit(share) * F.greatest("n", "m") - 1e-9  # no other sizes can be alike
     ordered = [F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")]
     edges, left = None, members
@@ -219,7 +218,7 @@ def near_links(
         else:
             # Pairs of different groups. Those with a rare shingle in common, in the leads of both:
             ids = materialize(left.select("doc_id", "component").distinct(), "open-documents")
-            rare, heads = _rare(sets.join(ids.select("doc_id"), "doc_id", "left_semi"), share)
+            rare, heads = _rare(only_listed(sets, ids, ["doc_id"], FILTER), share)
             one = heads.join(ids, "doc_id")
             two = one.select(
                 "s", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other")

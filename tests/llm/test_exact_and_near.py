@@ -13,13 +13,14 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from maskwright.llm import near_copies as near_module
 from maskwright.llm import simhash
 from maskwright.llm.components import connected_components
 from maskwright.llm.exact_dedup import DigestIndex, exact_dedup
 from maskwright.llm.filters import drop_listed, only_listed
 from maskwright.llm.near_copies import near_copies
 from maskwright.llm.sorted_runs import SortedRuns
-from maskwright.llm.storage import shared_folder
+from maskwright.llm.storage import materialize, shared_folder
 from maskwright.llm.substring_dedup import PassageIndex, remove_repeats
 from maskwright.llm.wordstream import Words, blocks, sliding_min, utf8
 from maskwright.llm.xxh64 import xxh64_slices
@@ -393,3 +394,39 @@ def test_near_copies(spark, stage):
     else:
         got = {r["node"]: r["component"] for r in near_copies(docs.where("doc_id is not null"), rounds=1).collect()}
         assert {d: got.get(d, d) for d in label} == label
+
+
+def test_near_copies_leave_texts_and_sets_where_they_lie(spark, monkeypatch):
+    """Candidates' texts and open documents' sets are chosen by filters, not by joins that shuffle them whole, also when
+    nothing is small enough to broadcast; the groups are those of brute force.
+    """
+    rng = random.Random(5)
+    rows = []
+    for base in range(4):
+        words = [f"w{base}x{i}" for i in range(120)]
+        for changed in (0, 1, 2, 8, 9):
+            copy = list(words)
+            for i in rng.sample(range(120), changed):
+                copy[i] = f"n{rng.randrange(10000)}"
+            rows.append((len(rows), " ".join(copy)))
+    plans = {}
+
+    def written(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return materialize(df, name)
+
+    monkeypatch.setattr(near_module, "materialize", written)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r["node"]: r["component"] for r in near_copies(_docs(spark, rows)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not [name for name in ("shingles", "rare", "rare-shingles", "rare-counts") if "LeftSemi" in plans[name]]
+    sets = {d: _shingle_set(t) for d, t in rows}
+    label = {d: d for d in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    assert {d: got.get(d, d) for d in label} == label
